@@ -15,54 +15,83 @@ from lumenlake.llm.common import SPACE, materialise
 
 #: Lines with fewer words must be equal to count as copies: one edit in so few words is another line.
 LEAST_WORDS = 8
+WORDED = "[^\\x20\\x09-\\x0D]"
+#: A null key counts as the largest; a line's place is its key times PLACES plus its number.
+NULL_KEY, PLACES = 2**63 - 1, 2**31
+
+
+#: A line's words are cut into so many segments when candidates are first sought, and when they are sought
+#: again among the lines that are left.
+COARSE, FINE = 2, 8
+BLANKS = " \t\n\x0b\f\r"
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    """Of a line that has a word."""
+    return F.split(F.btrim(line, F.lit(BLANKS)), SPACE)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line) for each line that has a word; a line ends at a line feed or at the text's end."""
     out = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return out.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    return out.where(F.col("line").rlike(WORDED))
+
+
+def place_of(key: Column, number: Column) -> Column:
+    """One number that sorts by key, then line number; unlike a struct it is aggregated by hashing."""
+    return (key.cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(11,0)") + number.cast("decimal(11,0)")).cast("decimal(38,0)")
+
 
+def key_and_number(place: str, key: str = "d", number: str = "l") -> list[Column]:
+    step = F.lit(PLACES).cast("decimal(11,0)")
+    return [F.floor(F.col(place) / step).cast("long").alias(key), F.pmod(F.col(place), step).cast("int").alias(number)]
 
-def halves(words: Column) -> Column:
-    """Keys of which two lines within one edit share at least one: the first or the last half of the shorter.
 
-    The one edit lies in one half, so the other half is untouched. A line of n words asks among lines of n and
-    n + 1 words by halves of n // 2 words, and among lines of n - 1 words by halves of (n - 1) // 2.
+def segment_keys(words: str, segments: int) -> Column:
+    """Keys of which two lines within one edit share at least one: the words outside one segment.
+
+    The one edit lies in one segment of the shorter line, so what is before it and what is behind it, counted
+    from the line's end, is untouched. A line of n words asks among lines of n and n + 1 words by the segments
+    of n words, and among lines of n - 1 words by those of n - 1.
     """
+    n, own = F.size(words), F.col(words)
     keys = []
-    for short in (F.size(words), F.size(words) - 1):
-        half = F.floor(short / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), short, F.slice(words, 1, half)))
-        keys.append(F.xxhash64(F.lit("last"), short, F.slice(words, -half, half)))
-    return F.when(F.size(words) >= LEAST_WORDS, F.array_distinct(F.array(*keys)))
+    for short in (n, n - 1):
+        for k in range(segments):
+            before, behind = F.floor(short * k / segments), short - F.floor(short * (k + 1) / segments)
+            before, behind = before.cast("int"), behind.cast("int")
+            keys.append(F.xxhash64(F.lit(k), short, F.slice(own, F.lit(1), before), F.slice(own, n - behind + 1, behind)))
+    return F.array(*keys)
+
+
+def sharing(keys: DataFrame, line: list[str]) -> DataFrame:
+    """The lines of keys(*line, h) that share a key with another line."""
+    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    return keys.join(shared, "h", "left_semi").select(*line).distinct()
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """lines(line_id, at, words) as (line_id, at, key): one row for each word deleted and for each gap.
+    """lines(d, l, words) as (d, l, key): one row for each word deleted and for each gap.
 
     The key holds the length with the gap filled, the gap's place, and a hash of the words before and of those
     behind it: the exclusive or of hashes of word and place, counted from the line's start or end, so that all
     variants of a line take one pass over its words.
     """
-    each = lines.select("line_id", "at", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    by_place = Window.partitionBy("line_id").orderBy("i")
-    whole = Window.partitionBy("line_id")
+    each = lines.select("d", "l", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    by_place = Window.partitionBy("d", "l").orderBy("i")
+    whole = Window.partitionBy("d", "l")
     forward, backward = F.xxhash64("word", "i"), F.xxhash64("word", F.col("n") - F.col("i"))
     head = F.coalesce(F.bit_xor(forward).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     upto = F.bit_xor(backward).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
     tail = F.bit_xor(backward).over(whole).bitwiseXOR(upto)
-    each = each.select("line_id", "at", "n", "i", "word", head.alias("head"), tail.alias("tail"))
+    each = each.select("d", "l", "n", "i", "word", head.alias("head"), tail.alias("tail"))
     own_tail = F.col("tail").bitwiseXOR(backward)
     own_head = F.col("head").bitwiseXOR(forward)
     key = lambda n, i, a, b: F.struct(n.alias("n"), i.alias("i"), a.alias("a"), b.alias("b"))
     deleted = key(F.col("n"), F.col("i"), F.col("head"), F.col("tail"))
     before = key(F.col("n") + 1, F.col("i"), F.col("head"), own_tail)
     behind = F.when(F.col("i") == F.col("n") - 1, key(F.col("n") + 1, F.col("n"), own_head, F.lit(0).cast("long")))
-    return each.select("line_id", "at", F.explode(F.array_compact(F.array(deleted, before, behind))).alias("k")).select("line_id", "at", "k.*")
+    return each.select("d", "l", F.explode(F.array_compact(F.array(deleted, before, behind))).alias("k")).select("d", "l", "k.*")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -80,34 +109,34 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of equal lines the earliest by (doc_id, line_no) stays. A line of LEAST_WORDS words or more also goes if a
     line within one edit of it comes earlier, whether or not that one stays.
     """
-    line = F.col("line")
-    own = lines_of(docs, id_col, text_col)
-    own = own.select(
-        F.md5(line).alias("line_id"),
-        (F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).cast("decimal(38,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)").alias("at"),
-        halves(words_of(line)).alias("halves"),
+    own = lines_of(docs, id_col, text_col).select(
+        F.unhex(F.md5("line")).alias("line_id"),
+        place_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), F.col("line_no")).alias("at"),
+        words_of(F.col("line")).alias("words"),
     )
-    own = own.select("line_id", "at", *[F.get("halves", F.lit(k)).alias(f"h{k}") for k in range(4)])
-    first = materialise(own.groupBy("line_id").agg(F.min("at").alias("at"), *[F.first(f"h{k}").alias(f"h{k}") for k in range(4)]), "lines")
-    keys = first.select("line_id", "at", F.explode(F.array_compact(F.array(*[F.col(f"h{k}") for k in range(4)]))).alias("h"))
-    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    near = materialise(keys.join(shared, "h", "left_semi").select("line_id", "at").distinct(), "near")
-    place = F.lit(2**31).cast("decimal(11,0)")
-    near = near.withColumns({"doc_id": F.floor(F.col("at") / place).cast("long"), "line_no": F.pmod("at", place).cast("int")})
-    asked = near.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id", "at")).alias("asked"))
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(2**63 - 1)).cast("long").alias("doc_id"), F.split(F.col(text_col), "\n").alias("lines"))
-    texts = texts.join(asked, "doc_id").select("lines", F.explode("asked").alias("q"))
-    texts = texts.select("q.line_id", "q.at", F.get("lines", F.col("q.line_no")).alias("line")).where(F.md5("line") == F.col("line_id"))
-    texts = texts.groupBy("line_id").agg(F.min("at").alias("at"), F.first("line").alias("line"))
-    texts = materialise(texts.select("line_id", "at", words_of(F.col("line")).alias("words")), "words")
+    own = own.select("line_id", "at", F.when(F.size("words") >= LEAST_WORDS, segment_keys("words", COARSE)).alias("keys"))
+    names = [f"h{k}" for k in range(2 * COARSE)]
+    own = own.select("line_id", "at", *[F.get("keys", F.lit(k)).alias(x) for k, x in enumerate(names)])
+    first = own.groupBy("line_id").agg(F.min("at").alias("at"), *[F.first(x).alias(x) for x in names])
+    first = first.select(*key_and_number("at"), *names)
+    first = materialise(first, "lines")
+    keys = first.where("h0 IS NOT NULL").select("d", "l", F.explode(F.array_distinct(F.array(*names))).alias("h"))
+    asked = sharing(keys, ["d", "l"]).groupBy("d").agg(F.collect_list("l").alias("asked"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("d"), F.split(F.col(text_col), "\n").alias("lines"))
+    texts = texts.join(asked, "d").select("d", "lines", F.explode("asked").alias("l")).select("d", "l", F.get("lines", F.col("l")).alias("line"))
+    texts = texts.where(F.col("line").rlike(WORDED)).select("d", "l", words_of(F.col("line")).alias("words"))
+    texts = materialise(texts.dropDuplicates(["d", "l"]), "words")
+    fine = sharing(texts.select("d", "l", F.explode(F.array_distinct(segment_keys("words", FINE))).alias("h")), ["d", "l"])
+    texts = materialise(texts.join(fine, ["d", "l"], "left_semi"), "near")
     keyed = materialise(variants(texts), "variants")
-    earliest = keyed.groupBy("n", "i", "a", "b").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = keyed.join(earliest, ["n", "i", "a", "b"]).where("at > first").select("line_id", "first").distinct()
-    left = texts.select("line_id", F.col("words").alias("x"))
-    right = texts.select(F.col("at").alias("first"), F.col("words").alias("y"))
-    gone = pairs.join(left, "line_id").join(right, "first").where(within_one(F.col("x"), F.col("y"))).select("line_id").distinct()
-    stay = first.join(gone, "line_id", "left_anti")
-    return stay.select(F.floor(F.col("at") / place).cast("long").alias("doc_id"), F.pmod("at", place).cast("int").alias("line_no"))
+    place = place_of(F.col("d"), F.col("l"))
+    earliest = keyed.groupBy("n", "i", "a", "b").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    pairs = keyed.join(earliest, ["n", "i", "a", "b"]).where(place > F.col("e")).select("d", "l", "e").distinct()
+    pairs = pairs.select("d", "l", *key_and_number("e", "ed", "el"))
+    right = texts.select(F.col("d").alias("ed"), F.col("l").alias("el"), F.col("words").alias("earlier"))
+    gone = pairs.join(texts, ["d", "l"]).join(right, ["ed", "el"]).where(within_one(F.col("words"), F.col("earlier"))).select("d", "l").distinct()
+    stay = first.select("d", "l").join(gone, ["d", "l"], "left_anti")
+    return stay.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,9 +148,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     kept = kept_lines(docs, id_col, text_col)
     by_doc = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_kept"))
-    out = docs.withColumn("_id", F.coalesce(F.col(id_col), F.lit(2**63 - 1)).cast("long")).join(by_doc, "_id", "left")
+    out = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))).join(by_doc, "_id", "left")
     lines = F.split(F.col(text_col), "\n")
-    worded = lambda x: x.rlike("[^\\x20\\x09-\\x0D]")
+    worded = lambda x: x.rlike(WORDED)
     stays = F.filter(lines, lambda x, i: ~worded(x) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
     n = F.size(F.filter(lines, worded))
     out = out.withColumn("_n", F.coalesce(n, F.lit(0)).cast("long")).withColumn("_stay", stays)
