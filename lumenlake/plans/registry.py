@@ -2,5 +2,677 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lumenlake.functions import hashes, paths, tags
+from lumenlake.operators import clusters, rewrite, search, stats, sync
+from lumenlake.plans.catalog import CATALOG, EVENTS, HASHED, LISTING, ROOTS, catalog, change_events, hidden_tags, journal, listing, roots, table
+from lumenlake.streaming import changes
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return put
+
+
+def on_catalog(select: str, base: str = CATALOG) -> str:
+    recursive = "RECURSIVE " if "reach AS" in select else ""
+    return f"WITH {recursive}{base}{'' if select.lstrip().startswith('SELECT') else ','} {select}"
+
+
+LISTED = ["path", "name", "media_kind", "size_bytes"]
+
+
+# -- projections and scalar functions
+
+
+@query(on_catalog("SELECT path, regexp_extract(path, '^(.*)/', 1) AS dir, name, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext FROM catalog"))
+def path_parts(spark, sf_dir):
+    return catalog(spark, sf_dir).select("path", paths.path_parts(F.col("path")).alias("p")).select("path", "p.*")
+
+
+@query(on_catalog("SELECT path, media_kind FROM catalog"))
+def media_kind(spark, sf_dir):
+    return catalog(spark, sf_dir).select("path", "media_kind")
+
+
+@query(on_catalog("SELECT path, CASE media_kind WHEN 'video' THEN 'video/mp4' WHEN 'audio' THEN 'audio/mpeg' ELSE '' END AS content_type FROM catalog"))
+def content_type(spark, sf_dir):
+    return catalog(spark, sf_dir).select("path", paths.content_type(F.col("path")).alias("content_type"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS t FROM events")
+def parse_creation_time(spark, sf_dir):
+    own = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return own.select("event_id", paths.parse_creation_time(text).alias("t"))
+
+
+@query("SELECT p_partkey, 'part:' || replace(lower(p_name), ' ', '-') AS slug FROM part")
+def tag_slug(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tags.tag_slug("part", F.col("p_name")).alias("slug"))
+
+
+@query(on_catalog("SELECT path, auto_tags FROM catalog WHERE media_kind <> 'audio'"))
+def photo_auto_tags(spark, sf_dir):
+    return catalog(spark, sf_dir).where("media_kind <> 'audio'").select("path", "auto_tags")
+
+
+@query(on_catalog("SELECT path, auto_tags FROM catalog WHERE media_kind = 'audio'"))
+def audio_auto_tags(spark, sf_dir):
+    return catalog(spark, sf_dir).where("media_kind = 'audio'").select("path", "auto_tags")
+
+
+WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+@query(f"SELECT doc_id, list_filter({WORDS}, lambda w, i: list_position({WORDS}, w) = i AND w <> 'untagged') AS tags FROM documents WHERE length(text) <= 400")
+def normalize_tags(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").where("length(text) <= 400")
+    return own.select("doc_id", tags.normalize_tags(F.split("text", " |\n")).alias("tags"))
+
+
+@query(f"SELECT doc_id, {WORDS} AS tokens FROM documents")
+def tokenize_query(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tags.tokenize_query(F.col("text")).alias("tokens"))
+
+
+@query(on_catalog("SELECT path, phash FROM hashed", HASHED))
+def dhash64(spark, sf_dir):
+    return catalog(spark, sf_dir, phash=True).select("path", "phash")
+
+
+@query("""
+WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: (floor(x::DOUBLE * 1000000)::BIGINT & 4294967295)::BIGINT) AS v FROM embeddings)
+SELECT vec_id, (CASE WHEN hi >= 2147483648 THEN hi - 4294967296 ELSE hi END * 4294967296 + lo)::BIGINT AS phash FROM (
+  SELECT vec_id, list_reduce([v[i] FOR i IN range(10, 41, 2)], lambda a, b: xor(a, b)) AS hi, list_reduce([v[i] FOR i IN range(9, 41, 2)], lambda a, b: xor(a, b)) AS lo FROM n)
+""")
+def audio_fold64(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings")
+    text = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("string")), ",")
+    return own.select("vec_id", hashes.audio_fold64(text).alias("phash"))
+
+
+@query(on_catalog("SELECT a.path, bit_count(xor(a.phash, b.phash))::INT AS dist FROM hashed a JOIN hashed b ON b.doc_id = a.doc_id + 1", HASHED))
+def hamming64(spark, sf_dir):
+    own = clusters.written(catalog(spark, sf_dir, phash=True).select("doc_id", "path", "phash"))
+    after = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("phash").alias("b"))
+    return own.join(after, "doc_id").select("path", hashes.hamming64(F.col("phash"), F.col("b")).alias("dist"))
+
+
+@query(on_catalog("SELECT path, flash % 2 = 1 AS fired FROM catalog"))
+def flash_fired(spark, sf_dir):
+    return catalog(spark, sf_dir).select("path", tags.flash_fired(F.col("flash")).alias("fired"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor(n / 1073741824.0 * 10 + 0.5) / 10) END AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS n FROM orders)")
+def human_size(spark, sf_dir):
+    n = F.col("o_orderkey").cast("long") * F.col("o_orderkey").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", paths.human_size(n).alias("size"))
+
+
+@query(on_catalog("SELECT hash, sha256(string_agg(path, chr(10) ORDER BY path)) AS fingerprint FROM catalog GROUP BY hash HAVING count(*) > 1"))
+def cluster_fingerprint(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    found = clusters.fingerprints(clusters.exact_members(own).select("id", "path"))
+    return found.select(F.substring("id", 7, 64).alias("hash"), "fingerprint")
+
+
+@query(on_catalog("""
+SELECT path, lpad(lower(printf('%x', u)), 16, '0') || '-' || lpad(lower(printf('%x', list_reduce(list_prepend(2166136261, list_transform(range(strlen(path)), lambda i: ('0x' || substr(hex(path), 2 * i + 1, 2))::BIGINT)), lambda h, b: xor(h, b) * 16777619 % 4294967296))), 8, '0') AS id
+FROM (SELECT path, (CASE WHEN phash < 0 THEN phash::HUGEINT + 18446744073709551616 ELSE phash END)::UBIGINT AS u FROM hashed)""", HASHED))
+def cluster_id(spark, sf_dir):
+    return catalog(spark, sf_dir, phash=True).select("path", hashes.cluster_id(F.col("phash"), F.col("path")).alias("id"))
+
+
+# -- filters, search, order
+
+PICK = "SELECT path, name, media_kind, size_bytes FROM catalog"
+
+
+@query(on_catalog(f"{PICK} WHERE starts_with(path, '/lib/src1/')"))
+def filter_folder(spark, sf_dir):
+    return search.filter_folder(catalog(spark, sf_dir), "/lib/src1").select(*LISTED)
+
+
+@query(on_catalog(f"{PICK} WHERE NOT list_contains(tags, 'hidden')"))
+def exclude_hidden(spark, sf_dir):
+    return search.exclude_hidden(catalog(spark, sf_dir)).select(*LISTED)
+
+
+@query(on_catalog(f"{PICK} WHERE len(tags) = 0"))
+def filter_untagged(spark, sf_dir):
+    return search.filter_untagged(catalog(spark, sf_dir)).select(*LISTED)
+
+
+@query(on_catalog(f"{PICK} WHERE (list_contains(tags, 'good') OR list_contains(auto_tags, 'good') OR contains(lower(name), 'good')) OR (list_contains(tags, 'iso:low') OR list_contains(auto_tags, 'iso:low') OR contains(lower(name), 'iso:low'))"))
+def match_tokens(spark, sf_dir):
+    return search.match_tokens(catalog(spark, sf_dir), ["good", "iso:low"], "any").select(*LISTED)
+
+
+@query(on_catalog("""SELECT path, name, taken_at, row_number() OVER (ORDER BY taken_at DESC NULLS FIRST, path DESC) - 1 AS pos FROM catalog
+WHERE starts_with(path, '/lib/src1/') AND NOT list_contains(tags, 'hidden') AND list_contains(tags, 'good') AND list_contains(auto_tags, 'kind:photo')"""))
+def search_media(spark, sf_dir):
+    found = search.search_media(catalog(spark, sf_dir), "kind:photo good", "/lib/src1", "date", True)
+    return search.with_position(found, search.sort_order("date", True)).select("path", "name", "taken_at", "pos")
+
+
+for _key, _column in search.SORT_KEYS.items():
+    for _desc in (False, True):
+        _way, _nulls = ("DESC", "FIRST") if _desc else ("ASC", "LAST")
+
+        @query(on_catalog(f"SELECT path, row_number() OVER (ORDER BY {_column} {_way} NULLS {_nulls}, path {_way}) - 1 AS pos FROM catalog"), name=f"sort_media_{_key}_{_way.lower()}")
+        def sort_media(spark, sf_dir, key=_key, desc=_desc):
+            return search.with_position(catalog(spark, sf_dir), search.sort_order(key, desc)).select("path", "pos")
+
+
+@query(on_catalog("SELECT k.path, c.name, c.path IS NOT NULL AS found FROM (SELECT path FROM listing) k LEFT JOIN catalog c ON c.path = k.path", LISTING))
+def get_media(spark, sf_dir):
+    return search.get_media(catalog(spark, sf_dir), listing(spark, sf_dir).select("path")).select("path", "name", "found")
+
+
+STATS = """hidden AS (SELECT unnest(['junk', 'ghost']) AS name),
+user_tags AS (SELECT t AS name, count(*) AS n FROM (SELECT unnest(tags) AS t FROM catalog) GROUP BY t),
+auto AS (SELECT t AS name, count(*) AS n FROM (SELECT unnest(auto_tags) AS t FROM catalog) GROUP BY t),
+tag_stats AS (SELECT 'untagged' AS name, count(*) FILTER (len(tags) = 0) AS count, 'system' AS kind, false AS hidden FROM catalog
+  UNION ALL SELECT coalesce(u.name, h.name), coalesce(n, 0), 'user', h.name IS NOT NULL FROM user_tags u FULL JOIN hidden h USING (name)
+  UNION ALL SELECT name, n, 'auto', false FROM auto)"""
+
+
+def _stats(spark, sf_dir):
+    return stats.tag_stats(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), True, True)
+
+
+@query(on_catalog(STATS + " SELECT * FROM tag_stats"))
+def tag_stats(spark, sf_dir):
+    return _stats(spark, sf_dir)
+
+
+@query(on_catalog(STATS + " SELECT * FROM tag_stats WHERE contains(name, 'canon')"))
+def filter_tag_names(spark, sf_dir):
+    return search.filter_tag_names(_stats(spark, sf_dir), " Canon ")
+
+
+@query()
+def suggest_tags(spark, sf_dir):
+    return search.suggest_tags(_stats(spark, sf_dir), "can", ["camera:canon"])
+
+
+@query()
+def fuzzy_score(spark, sf_dir):
+    return catalog(spark, sf_dir).select("path", tags.fuzzy_score("doc1", F.col("name")).alias("score"))
+
+
+@query(on_catalog("p AS (SELECT path, row_number() OVER (ORDER BY name, path) - 1 AS pos FROM catalog), e AS (SELECT min(pos) AS a, max(pos) AS b FROM p WHERE path LIKE '%/doc\\_10.%' ESCAPE '\\' OR path LIKE '%/doc\\_50.%' ESCAPE '\\') SELECT path, pos FROM p, e WHERE pos BETWEEN a AND b"))
+def select_range(spark, sf_dir):
+    own = clusters.written(search.with_position(catalog(spark, sf_dir), search.sort_order("name")).select("path", "pos"))
+    ends = own.where(F.col("path").rlike("/doc_(10|50)\\.")).orderBy("path")
+    a, b = [x.path for x in ends.collect()]
+    return search.select_range(own, b, a)
+
+
+# -- aggregates
+
+
+@query(on_catalog("""parts AS (SELECT string_split(path, '/') AS p FROM catalog WHERE media_kind <> 'audio'),
+up AS (SELECT CASE WHEN i = 1 THEN '/' ELSE array_to_string(p[1:i], '/') END AS path, i = len(p) - 1 AS own FROM (SELECT p, unnest(range(1, len(p))) AS i FROM parts)),
+node AS (SELECT path, count(*) FILTER (own) AS count, count(*) AS total FROM up GROUP BY path)
+SELECT path, CASE WHEN path = '/' THEN '' WHEN path = '/lib' THEN '/' ELSE regexp_extract(path, '^(.*)/', 1) END AS parent, CASE WHEN path = '/' THEN '/' ELSE string_split(path, '/')[-1] END AS name, count, total FROM node"""))
+def folder_tree(spark, sf_dir):
+    return stats.folder_tree(catalog(spark, sf_dir))
+
+
+UNTAGGED = "u AS (SELECT regexp_extract(path, '^(.*)/', 1) AS folder, path, name FROM catalog WHERE len(tags) = 0)"
+
+
+@query(on_catalog(UNTAGGED + " SELECT folder, path, name, count(*) OVER (PARTITION BY folder) AS count FROM u"))
+def untagged_by_folder(spark, sf_dir):
+    return stats.untagged_by_folder(catalog(spark, sf_dir))
+
+
+EXACT = "e AS (SELECT 'exact-' || hash AS id, count(*) AS size, count(*) FILTER (len(tags) = 0) AS untagged, min(path) AS first FROM catalog GROUP BY hash HAVING count(*) > 1)"
+
+
+@query(on_catalog(EXACT + " SELECT * FROM e"))
+def exact_clusters(spark, sf_dir):
+    return clusters.exact_clusters(catalog(spark, sf_dir))
+
+
+@query(on_catalog(EXACT + " SELECT count(*) AS clusters, sum(size)::BIGINT AS members, sum(size - 1)::BIGINT AS extras, (SELECT sum(size_bytes)::BIGINT FROM catalog c JOIN e ON 'exact-' || c.hash = e.id WHERE c.path <> e.first) AS reclaim_bytes FROM e"))
+def reclaim_summary(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return stats.reclaim_summary(clusters.exact_clusters(own), clusters.exact_members(own))
+
+
+@query(on_catalog(EXACT + " SELECT id, path, CASE WHEN path = first THEN 'keep' ELSE 'extra' END AS role FROM catalog JOIN e ON 'exact-' || hash = id"))
+def keeper_and_extras(spark, sf_dir):
+    return clusters.keeper_and_extras(clusters.exact_members(catalog(spark, sf_dir)))
+
+
+@query(on_catalog(EXACT + " SELECT * FROM e WHERE untagged > 0"))
+def clusters_needing_tags(spark, sf_dir):
+    return clusters.clusters_needing_tags(clusters.exact_clusters(catalog(spark, sf_dir)))
+
+
+@query(on_catalog(EXACT + " SELECT * FROM e WHERE size >= 3"))
+def clusters_min_size(spark, sf_dir):
+    return clusters.clusters_min_size(clusters.exact_clusters(catalog(spark, sf_dir)), 3)
+
+
+PRINTS = EXACT + ", f AS (SELECT 'exact-' || hash AS id, sha256(string_agg(path, chr(10) ORDER BY path)) AS fingerprint, min(doc_id) AS d FROM catalog GROUP BY hash HAVING count(*) > 1)"
+
+
+def _dismissed(own):
+    members = clusters.exact_members(own)
+    even = own.withColumn("id", F.concat(F.lit("exact-"), "hash")).groupBy("id").agg(F.min("doc_id").alias("d")).where("d % 2 = 0").select("id")
+    return clusters.fingerprints(members.select("id", "path")).join(even, "id", "left_semi").select("fingerprint")
+
+
+@query(on_catalog(PRINTS + " SELECT e.* FROM e JOIN f USING (id) WHERE d % 2 <> 0"))
+def drop_dismissed(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return clusters.drop_dismissed(clusters.exact_clusters(own), clusters.exact_members(own), _dismissed(own))
+
+
+@query(on_catalog(PRINTS + " SELECT DISTINCT fingerprint FROM f"))
+def dismiss_cluster(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return clusters.dismiss(_dismissed(own), clusters.exact_members(own).select("id", "path"))
+
+
+@query(on_catalog(PRINTS + " SELECT DISTINCT fingerprint FROM f WHERE d % 2 <> 0"))
+def undismiss_cluster(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    every = clusters.dismiss(_dismissed(own), clusters.exact_members(own).select("id", "path"))
+    return clusters.undismiss(every, _dismissed(own))
+
+
+NEAR = """d AS (SELECT DISTINCT CASE WHEN media_kind = 'audio' THEN 'audio' ELSE 'photo' END AS kind, phash FROM hashed WHERE phash <> 0),
+pairs AS (SELECT a.kind, a.phash AS a, b.phash AS b, bit_count(xor(a.phash, b.phash))::INT AS dist FROM d a JOIN d b ON a.kind = b.kind AND a.phash < b.phash AND bit_count(xor(a.phash, b.phash)) <= {t})"""
+GROUPS = NEAR + """, sides AS (SELECT kind, a, b FROM pairs UNION SELECT kind, b, a FROM pairs),
+reach AS (SELECT kind, phash AS node, phash AS other FROM d UNION SELECT r.kind, r.node, p.b FROM reach r JOIN sides p ON p.kind = r.kind AND p.a = r.other),
+label AS (SELECT kind, node, min(other) AS g FROM reach GROUP BY kind, node)
+SELECT count(*) AS size, count(*) FILTER (len(tags) = 0) AS untagged, min(path) AS first FROM hashed JOIN label ON node = phash AND kind = CASE WHEN media_kind = 'audio' THEN 'audio' ELSE 'photo' END GROUP BY kind, g HAVING count(*) > 1"""
+
+
+def _hashed(spark, sf_dir):
+    return clusters.written(catalog(spark, sf_dir, phash=True))
+
+
+for _name, _t in (("near_pairs", 5), ("near_pairs_wide", 12)):
+
+    @query(on_catalog(NEAR.format(t=_t) + " SELECT * FROM pairs", HASHED), name=_name)
+    def near_pairs(spark, sf_dir, t=_t):
+        return clusters.near_pairs(_hashed(spark, sf_dir), t)
+
+
+for _name, _t in (("duplicate_clusters", 5), ("similar_clusters", 12)):
+
+    @query(on_catalog(GROUPS.format(t=_t), HASHED), name=_name)
+    def near_clusters(spark, sf_dir, t=_t):
+        return clusters.near_clusters(_hashed(spark, sf_dir), t).select("size", "untagged", "first")
+
+
+@query(on_catalog(GROUPS.format(t=5).replace("SELECT count(*) AS size", ", c AS (SELECT count(*) AS size") + ") SELECT count(*) AS total, count(*) FILTER (len(tags) > 0) AS tagged, count(*) FILTER (len(tags) = 0) AS untagged, (SELECT max(untagged) FROM c) AS largest_untagged FROM catalog", HASHED))
+def tagging_progress(spark, sf_dir):
+    own = _hashed(spark, sf_dir)
+    return stats.tagging_progress(own, clusters.near_clusters(own))
+
+
+@query(on_catalog("s AS (SELECT * FROM catalog WHERE list_contains(tags, 'junk') AND media_kind = 'photo'), t AS (SELECT t, count(*) AS m FROM (SELECT unnest(tags) AS t FROM s) GROUP BY t), n AS (SELECT count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM s) SELECT t AS tag, n, bytes FROM n LEFT JOIN t ON m = n"))
+def selection_summary(spark, sf_dir):
+    return stats.selection_summary(catalog(spark, sf_dir).where(F.array_contains("tags", "junk") & (F.col("media_kind") == "photo")))
+
+
+@query(on_catalog(STATS + " SELECT name, name IN (SELECT name FROM user_tags UNION ALL SELECT name FROM hidden) AS exists FROM (SELECT DISTINCT name FROM tag_stats)"))
+def tag_exists(spark, sf_dir):
+    return stats.tag_exists(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), _stats(spark, sf_dir).select("name").distinct())
+
+
+@query(on_catalog("SELECT media_kind, count(*) AS count FROM catalog GROUP BY media_kind"))
+def media_count(spark, sf_dir):
+    return stats.media_count(catalog(spark, sf_dir))
+
+
+@query(on_catalog(UNTAGGED + ", s AS (SELECT folder, count(*) AS n, count(*) FILTER (ends_with(path, '.jpg')) AS k FROM u GROUP BY folder) SELECT folder, CASE WHEN k = 0 THEN 'none' WHEN k = n THEN 'all' ELSE 'some' END AS state FROM s"))
+def folder_selection_state(spark, sf_dir):
+    own = stats.untagged_by_folder(catalog(spark, sf_dir))
+    return stats.folder_selection_state(own, own.where(F.col("path").endswith(".jpg")))
+
+
+# -- joins, sync
+
+CHANGES = """changed AS (SELECT coalesce(l.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'new' WHEN l.path IS NULL THEN 'missing' WHEN l.size_bytes = c.size_bytes AND l.mod_time = c.mod_time THEN 'unchanged' ELSE 'changed' END AS status
+FROM listing l FULL JOIN catalog c ON l.path = c.path)"""
+
+
+@query(on_catalog(CHANGES + " SELECT * FROM changed", LISTING))
+def detect_changes(spark, sf_dir):
+    return sync.detect_changes(listing(spark, sf_dir), catalog(spark, sf_dir))
+
+
+@query(on_catalog("SELECT c.path FROM catalog c WHERE NOT starts_with(c.path, '/lib/src1/') OR c.path IN (SELECT path FROM listing)", LISTING))
+def prune_missing(spark, sf_dir):
+    return sync.prune_missing(catalog(spark, sf_dir), listing(spark, sf_dir), "/lib/src1")[0].select("path")
+
+
+@query(on_catalog("SELECT c.path FROM catalog c WHERE c.path NOT IN (SELECT path FROM listing)", LISTING))
+def prune_missing__removed(spark, sf_dir):
+    return sync.prune_missing(catalog(spark, sf_dir), listing(spark, sf_dir))[1]
+
+
+@query(on_catalog("SELECT path FROM catalog WHERE regexp_matches(path, '^/lib/src[0-9]*[02468]/')"))
+def covered_by_roots(spark, sf_dir):
+    some = roots(spark, sf_dir).where("last_scanned_at IS NOT NULL")
+    return sync.covered_by_roots(catalog(spark, sf_dir).select("path"), some)
+
+
+@query(on_catalog("SELECT path FROM catalog WHERE NOT starts_with(path, '/lib/src1/fr/')"))
+def drop_ignored(spark, sf_dir):
+    return sync.drop_ignored(catalog(spark, sf_dir).select("path"), roots(spark, sf_dir).where("path = '/lib/src1/fr'"))
+
+
+@query(on_catalog("p AS (SELECT path, string_split(path, '/') AS p FROM listing) SELECT path FROM p WHERE NOT starts_with(path, '/lib/src1/') AND NOT list_contains(p, 'vendor')", LISTING))
+def path_policy(spark, sf_dir):
+    return sync.path_policy(listing(spark, sf_dir), ["/lib/src1"]).select("path")
+
+
+@query("SELECT DISTINCT unnest(['/lib', '/lib/' || source, '/lib/' || source || '/' || lang]) AS dir FROM documents")
+def discover_dirs(spark, sf_dir):
+    return sync.discover_dirs(catalog(spark, sf_dir), "/lib")
+
+
+@query(on_catalog(CHANGES + f", {ROOTS} SELECT r.path AS root, status, count(*) AS count FROM changed c JOIN roots r ON starts_with(c.path, r.path || '/') WHERE status <> 'missing' GROUP BY ALL", LISTING))
+def scan_summary(spark, sf_dir):
+    return sync.scan_summary(sync.detect_changes(listing(spark, sf_dir), catalog(spark, sf_dir)), roots(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS}, t AS (SELECT path, op, ts, event_id FROM (SELECT e.event_id, c.* FROM (SELECT row_number() OVER () AS r, event_id FROM events) e JOIN (SELECT row_number() OVER () AS r, * FROM change_events) c USING (r))) SELECT '/lib/src' || (user_id % 8) || '/en/u' || user_id || '.jpg' AS path, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_per_path(spark, sf_dir):
+    own = journal(spark, sf_dir).select(F.concat(F.lit("/lib/src"), (F.col("id").cast("int") % 8).cast("string"), F.lit("/en/u"), "id", F.lit(".jpg")).alias("path"), F.col("seq").alias("event_id"), "state")
+    return sync.latest_per_path(own, "event_id").select("path", "event_id")
+
+
+@query(on_catalog("SELECT path, size_bytes FROM listing UNION ALL SELECT path, size_bytes FROM catalog WHERE path NOT IN (SELECT path FROM listing)", LISTING))
+def additive_scan(spark, sf_dir):
+    return sync.additive_scan(catalog(spark, sf_dir).select("path", "size_bytes"), listing(spark, sf_dir).select("path", "size_bytes"))
+
+
+for _keep in (False, True):
+
+    @query(on_catalog("SELECT c.path, l.size_bytes, CASE WHEN l.path IS NULL OR " + str(_keep).lower() + " THEN coalesce(tags, []) ELSE [] END AS tags, CASE WHEN l.path IS NULL THEN c.size_bytes END AS kept_size FROM catalog c LEFT JOIN listing l ON l.path = c.path UNION ALL SELECT path, size_bytes, [], NULL FROM listing WHERE path NOT IN (SELECT path FROM catalog)", LISTING), name="upsert_catalog" + "_preserving" * _keep)
+    def upsert_catalog(spark, sf_dir, keep=_keep):
+        own = catalog(spark, sf_dir).select("path", "tags", F.lit(None).cast("long").alias("size_bytes"), F.col("size_bytes").alias("kept_size"))
+        built = listing(spark, sf_dir).select("path", "size_bytes", F.lit(None).cast("long").alias("kept_size"))
+        return sync.upsert_catalog(own, built, keep)
+
+
+@query(on_catalog("SELECT coalesce(l.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'added' WHEN l.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM listing l FULL JOIN catalog c ON l.path = c.path WHERE c.path IS NULL OR l.path IS NULL OR l.size_bytes <> c.size_bytes", LISTING))
+def snapshot_diff(spark, sf_dir):
+    return sync.snapshot_diff(catalog(spark, sf_dir).select("path", "size_bytes", "mod_time"), listing(spark, sf_dir))
+
+
+LAST = "last AS (SELECT * FROM journal QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), pending AS (SELECT * FROM last WHERE state = 'pending')"
+
+
+@query(f"WITH {EVENTS}, {LAST} SELECT id, kind, state, seq FROM pending")
+def journal_pending(spark, sf_dir):
+    return sync.journal_pending(journal(spark, sf_dir)).select("id", "kind", "state", "seq")
+
+
+@query(f"""WITH {LISTING}, {EVENTS}, {LAST}, x AS (SELECT p.id, kind, p.old_path IN (SELECT path FROM listing) AS s, p.new_path IN (SELECT path FROM listing) AS d FROM pending p)
+SELECT id, kind, CASE WHEN kind = 'restore' THEN 'skipped' WHEN kind = 'move' AND NOT s AND d THEN 'forwarded' WHEN kind = 'move' AND NOT s THEN 'skipped' WHEN s THEN 'rolled' WHEN kind = 'delete' THEN 'skipped' ELSE 'forwarded' END AS outcome,
+ CASE WHEN kind = 'restore' THEN 'pending' WHEN kind = 'move' AND NOT s AND d THEN 'complete' WHEN kind = 'permanent-delete' AND NOT s THEN 'complete' ELSE 'failed' END AS state FROM x""")
+def recovery_plan(spark, sf_dir):
+    trash = catalog(spark, sf_dir).where("doc_id % 20 = 0").select(F.col("path").alias("original_path"))
+    return sync.recovery_plan(sync.journal_pending(journal(spark, sf_dir)), listing(spark, sf_dir), trash).select("id", "kind", "outcome", "state")
+
+
+@query(on_catalog("pending AS (SELECT path FROM catalog WHERE doc_id % 10 = 0) SELECT p.path, t.path IS NOT NULL AS in_trash FROM pending p LEFT JOIN (SELECT path FROM catalog WHERE doc_id % 20 = 0) t USING (path)"))
+def trash_match(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    trash = own.where("doc_id % 20 = 0").select(F.col("path").alias("path"), F.lit(True).alias("in_trash"))
+    return own.where("doc_id % 10 = 0").select("path").join(trash, "path", "left").withColumn("in_trash", F.coalesce("in_trash", F.lit(False)))
+
+
+@query(f"WITH {ROOTS} SELECT path, row_number() OVER (ORDER BY last_scanned_at ASC NULLS FIRST, path) - 1 AS pos FROM roots")
+def rescan_order(spark, sf_dir):
+    return sync.rescan_order(roots(spark, sf_dir)).select("path", "pos")
+
+
+@query(on_catalog("SELECT sha256(path) AS id, mod_time + INTERVAL 1 DAY AS trashed_at FROM catalog WHERE doc_id % 20 = 1 AND path IN (SELECT path FROM listing)", LISTING))
+def trash_list(spark, sf_dir):
+    own = catalog(spark, sf_dir).where("doc_id % 20 IN (0, 1)")
+    trash = own.select(F.sha2("path", 256).alias("id"), F.col("path").alias("trash_path"), F.timestamp_add("DAY", F.lit(1), F.col("mod_time")).alias("trashed_at"))
+    return sync.trash_list(trash, listing(spark, sf_dir)).select("id", "trashed_at")
+
+
+@query(f"WITH {ROOTS}, k AS (SELECT * FROM roots WHERE last_scanned_at IS NOT NULL) SELECT path, origin FROM k UNION ALL SELECT path, '/lib' FROM (SELECT DISTINCT path FROM roots WHERE last_scanned_at IS NULL UNION SELECT '/lib') WHERE NOT (path = '/lib/src1/fr' OR starts_with(path, '/lib/src1/fr/'))")
+def upsert_roots(spark, sf_dir):
+    own = roots(spark, sf_dir)
+    ignored = own.where("path = '/lib/src1/fr'").select("path")
+    return sync.upsert_roots(own.where("last_scanned_at IS NOT NULL"), ignored, "/lib", sync.discover_dirs(catalog(spark, sf_dir), "/lib").select(F.col("dir").alias("path"))).select("path", "origin")
+
+
+@query(f"WITH {ROOTS} SELECT path FROM roots WHERE path <> '/lib/src2' AND origin <> '/lib/src2'")
+def remove_roots(spark, sf_dir):
+    own = roots(spark, sf_dir)
+    return sync.remove_roots(own, own.where("path = '/lib/src1/fr'"), "/lib/src2")[0].select("path")
+
+
+@query(f"WITH {ROOTS} SELECT path, greatest(last_scanned_at, CASE WHEN origin = '/lib/src3' THEN TIMESTAMP '2025-01-01' END) AS last_scanned_at FROM roots")
+def mark_scanned(spark, sf_dir):
+    own = roots(spark, sf_dir)
+    return sync.mark_scanned(own, own.where("origin = '/lib/src3'").select("path", F.to_timestamp(F.lit("2025-01-01 00:00:00")).alias("at"))).select("path", "last_scanned_at")
+
+
+# -- rewrites
+
+
+@query(on_catalog("SELECT path, CASE WHEN doc_id % 3 = 0 THEN ['new', 'two words'] ELSE tags END AS tags FROM catalog"))
+def set_tags(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return rewrite.set_tags(own, own.where("doc_id % 3 = 0").select("path", F.array(F.lit(" New"), F.lit("two words"), F.lit("NEW"), F.lit("Untagged")).alias("tags"))).select("path", "tags")
+
+
+GAINED = "CASE WHEN {on} THEN list_concat(tags, list_filter(['good', 'extra'], lambda x: NOT list_contains(tags, x))) ELSE tags END"
+
+
+@query(on_catalog(f"SELECT path, {GAINED.format(on='doc_id % 2 = 0')} AS tags FROM catalog"))
+def add_tags(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return rewrite.add_tags(own, own.where("doc_id % 2 = 0"), ["Good", "extra"])[0].select("path", "tags")
+
+
+@query(on_catalog("SELECT count(*) FILTER (doc_id % 2 = 0) AS updated FROM catalog"))
+def add_tags__counts(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return rewrite.add_tags(own, own.where("doc_id % 2 = 0"), ["Good", "extra"])[1]
+
+
+@query(on_catalog("SELECT count(*) FILTER (doc_id % 2 = 0 AND NOT list_contains(tags, 'good')) AS updated FROM catalog"))
+def apply_tags_by_path(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return rewrite.add_tags(own, own.where("doc_id % 2 = 0"), ["good"])[1]
+
+
+@query(on_catalog(f"SELECT path, {GAINED.format(on=chr(39).join(['starts_with(path, ', '/lib/src1/', ')']))} AS tags FROM catalog"))
+def add_tags_to_folder(spark, sf_dir):
+    return rewrite.add_tags_to_folder(catalog(spark, sf_dir), "/lib/src1/", ["good", "extra"])[0].select("path", "tags")
+
+
+RENAMED = "CASE WHEN list_contains(tags, 'hidden') AND list_contains(tags, 'good') THEN list_filter(tags, lambda x: x <> 'hidden') ELSE list_transform(tags, lambda x: CASE WHEN x = 'hidden' THEN 'good' ELSE x END) END"
+RENAME_COUNTS = "SELECT count(*) FILTER (list_contains(tags, 'hidden') AND NOT list_contains(tags, 'good')) AS renamed, count(*) FILTER (list_contains(tags, 'hidden') AND list_contains(tags, 'good')) AS absorbed FROM catalog"
+
+
+@query(on_catalog(f"SELECT path, {RENAMED} AS tags FROM catalog"))
+def rename_tag(spark, sf_dir):
+    return rewrite.rename_tag(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), "Hidden", "good")[0].select("path", "tags")
+
+
+@query(on_catalog(RENAME_COUNTS))
+def rename_tag__counts(spark, sf_dir):
+    return rewrite.rename_tag(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), "Hidden", "good")[2]
+
+
+@query(on_catalog(f"SELECT path, {RENAMED} AS tags FROM catalog"))
+def merge_tags(spark, sf_dir):
+    return rewrite.merge_tags(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), "hidden", "good")[0].select("path", "tags")
+
+
+@query("SELECT DISTINCT 'ghost' AS name FROM documents")
+def merge_tags__hidden(spark, sf_dir):
+    return rewrite.merge_tags(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), "junk", "good")[1]
+
+
+@query(on_catalog("SELECT path, list_filter(tags, lambda x: x <> 'junk') AS tags FROM catalog"))
+def delete_tag(spark, sf_dir):
+    return rewrite.delete_tag(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), "junk")[0].select("path", "tags")
+
+
+@query(on_catalog("SELECT count(*) FILTER (list_contains(tags, 'junk')) AS affected FROM catalog"))
+def delete_tag__counts(spark, sf_dir):
+    return rewrite.delete_tag(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), "junk")[2]
+
+
+@query("SELECT DISTINCT unnest(['ghost', 'good', 'junk']) AS name FROM documents")
+def set_tag_hidden(spark, sf_dir):
+    return rewrite.set_tag_hidden(catalog(spark, sf_dir), hidden_tags(spark, sf_dir), " Good", True)
+
+
+@query(on_catalog("SELECT path FROM catalog WHERE NOT starts_with(path, '/lib/src1/')"))
+def remove_folder(spark, sf_dir):
+    return rewrite.remove_folder(catalog(spark, sf_dir), "/lib/src1")[0].select("path")
+
+
+@query(on_catalog("SELECT path FROM catalog WHERE starts_with(path, '/lib/src1/')"))
+def remove_folder__removed(spark, sf_dir):
+    return rewrite.remove_folder(catalog(spark, sf_dir), "/lib/src1")[1]
+
+
+def _moves(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    sources = own.where("doc_id % 4 = 0").select("path", F.col("doc_id").alias("seq")).union(listing(spark, sf_dir).where("path LIKE '/lib/new/%'").select("path", F.lit(-1).cast("long")))
+    return rewrite.plan_moves(own, sources, "/lib/src1/en/")
+
+
+@query(on_catalog("""s AS (SELECT path, name FROM catalog WHERE doc_id % 4 = 0) SELECT path, '/lib/src1/en/' || name NOT IN (SELECT path FROM catalog) AS success,
+CASE WHEN '/lib/src1/en/' || name IN (SELECT path FROM catalog) THEN 'destination exists' END AS error, CASE WHEN '/lib/src1/en/' || name NOT IN (SELECT path FROM catalog) THEN '/lib/src1/en/' || name END AS new_path FROM s
+UNION ALL SELECT path, false, 'not in catalog', NULL FROM listing WHERE path LIKE '/lib/new/%'""", LISTING))
+def plan_moves(spark, sf_dir):
+    return _moves(spark, sf_dir)[0]
+
+
+@query(on_catalog("SELECT CASE WHEN doc_id % 4 = 0 AND '/lib/src1/en/' || name NOT IN (SELECT path FROM catalog) THEN '/lib/src1/en/' || name ELSE path END AS path FROM catalog"))
+def plan_moves__catalog(spark, sf_dir):
+    return _moves(spark, sf_dir)[1].select("path")
+
+
+@query(on_catalog("SELECT count(*) FILTER (k AND '/lib/src1/en/' || name NOT IN (SELECT path FROM catalog)) AS succeeded, count(*) FILTER (NOT k OR '/lib/src1/en/' || name IN (SELECT path FROM catalog)) AS failed FROM (SELECT name, true AS k FROM catalog WHERE doc_id % 4 = 0 UNION ALL SELECT '', false FROM listing WHERE path LIKE '/lib/new/%')", LISTING))
+def batch_outcome(spark, sf_dir):
+    return stats.batch_outcome(_moves(spark, sf_dir)[0])
+
+
+def _deletes(spark, sf_dir):
+    return rewrite.plan_deletes(catalog(spark, sf_dir), listing(spark, sf_dir).select("path"))
+
+
+@query(on_catalog("SELECT path, path IN (SELECT path FROM catalog) AS success, CASE WHEN path NOT IN (SELECT path FROM catalog) THEN 'not in catalog' END AS error FROM listing", LISTING))
+def plan_deletes(spark, sf_dir):
+    return _deletes(spark, sf_dir)[0]
+
+
+@query(on_catalog("SELECT sha256(path) AS id, path AS original_path, hash FROM catalog WHERE path IN (SELECT path FROM listing)", LISTING))
+def plan_deletes__trash(spark, sf_dir):
+    return _deletes(spark, sf_dir)[2]
+
+
+@query(on_catalog("SELECT path, name, hash, CASE WHEN path IN (SELECT path FROM listing) THEN NULL ELSE size_bytes END AS size_bytes FROM catalog", LISTING))
+def plan_undo(spark, sf_dir):
+    results, left, trash = _deletes(spark, sf_dir)
+    undo = results.where("success").select(F.lit(1).alias("op_seq"), F.lit("delete").alias("kind"), F.col("path").alias("old_path"), F.lit(None).cast("string").alias("new_path"))
+    return rewrite.plan_undo(left, undo, trash)[1].select("path", "name", "hash", "size_bytes")
+
+
+@query(on_catalog("SELECT path, media_kind, width FROM catalog"))
+def all_media(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return own.where("media_kind <> 'audio'").select("path", "media_kind", "width").unionByName(own.where("media_kind = 'audio'").select("path", "media_kind"), allowMissingColumns=True)
+
+
+@query(on_catalog("SELECT path, name, NULL::INT AS width FROM catalog WHERE media_kind = 'audio'"))
+def audio_as_media(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    shape = own.where("media_kind <> 'audio'").select("path", "name", "width").limit(0)
+    return shape.unionByName(own.where("media_kind = 'audio'").select("path", "name"), allowMissingColumns=True)
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
+PLACES = """c AS (SELECT c_custkey AS id, (c_custkey * 41 % 180 - 90)::DOUBLE AS lat, (c_custkey * 67 % 360 - 180)::DOUBLE AS lon FROM customer),
+s AS (SELECT s_name AS place, n_name AS country, (s_suppkey * 37 % 180 - 90)::DOUBLE AS lat, (s_suppkey * 73 % 360 - 180)::DOUBLE AS lon FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+m AS (SELECT id, place, country, 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(radians(c.lat - s.lat) / 2) ** 2 + cos(radians(c.lat)) * cos(radians(s.lat)) * sin(radians(c.lon - s.lon) / 2) ** 2))) AS km FROM c, s),
+b AS (SELECT id, place, country FROM m WHERE km <= 300 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(km, 6), place) = 1)"""
+
+
+@query(f"WITH {PLACES} SELECT c.id, place, country FROM c LEFT JOIN b USING (id)")
+def nearest_place(spark, sf_dir):
+    spot = lambda k, a, b: [(F.col(k) * a % 180 - 90).cast("double").alias("lat"), (F.col(k) * b % 360 - 180).cast("double").alias("lon")]
+    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *spot("c_custkey", 41, 67))
+    nation = table(spark, sf_dir, "nation")
+    cities = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("place"), F.col("n_name").alias("country"), *spot("s_suppkey", 37, 73))
+    return clusters.nearest_place(points, cities, 300.0).select("id", "place", "country")
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
+SELECT query, vec_id, rank FROM (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5""")
+def semantic_neighbours(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings")
+    return clusters.semantic_neighbours(own, own.where("vec_id % 100 = 0"), 5).select("query", "vec_id", "rank")
+
+
+@query(on_catalog("""m AS (SELECT 'exact-' || hash AS id, path, tags, auto_tags FROM catalog WHERE hash IN (SELECT hash FROM catalog GROUP BY hash HAVING count(*) > 1)),
+n AS (SELECT id, count(*) AS size FROM m GROUP BY id HAVING count(*) FILTER (len(tags) = 0) > 0), t AS (SELECT id, tag, count(*) AS k FROM (SELECT id, unnest(auto_tags) AS tag FROM m) GROUP BY ALL)
+SELECT n.id, tag, size FROM n LEFT JOIN t ON t.id = n.id AND k = size"""))
+def tagging_queue(spark, sf_dir):
+    own = catalog(spark, sf_dir)
+    return clusters.tagging_queue(clusters.exact_members(own).select("id", "path"), own)
+
+
+# -- streams, as batches
+
+SESSIONS = "(SELECT {key}, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT {key}, ts, lag(ts) OVER (PARTITION BY {key} ORDER BY ts) AS p FROM {source}))"
+
+for _name, _gap in (("debounce_changes", "3 seconds"), ("debounce_changes_hourly", "1 hour")):
+
+    @query(f"WITH {EVENTS} SELECT dir, min(ts) AS first_event, max(ts) + INTERVAL {_gap} AS due, count(*) AS events FROM {SESSIONS.format(key='dir', gap=_gap, source='change_events')} GROUP BY dir, g", name=_name)
+    def debounce_changes(spark, sf_dir, gap=_gap):
+        return changes.debounce_changes(change_events(spark, sf_dir), gap)
+
+
+@query(f"WITH s AS (SELECT user_id, g, min(ts) AS a, max(ts) AS b FROM {SESSIONS.format(key='user_id', gap='6 hours', source='events')} GROUP BY ALL), x AS (SELECT user_id, b AS idle_from, lead(a) OVER (PARTITION BY user_id ORDER BY a) AS idle_to FROM s) SELECT * FROM x WHERE idle_to IS NOT NULL")
+def idle_periods(spark, sf_dir):
+    return changes.idle_periods(table(spark, sf_dir, "events"), "6 hours")
+
+
+@query(f"WITH {EVENTS} SELECT CASE op WHEN 'remove' THEN NULL ELSE 'rescan' END AS action, dir AS path, count(*) AS n FROM change_events WHERE op <> 'remove' AND dir IN (SELECT DISTINCT '/lib/' || source || '/' || lang FROM documents) GROUP BY ALL")
+def route_changes(spark, sf_dir):
+    events = change_events(spark, sf_dir).withColumn("is_dir", F.lit(False))
+    return changes.route_changes(events, roots(spark, sf_dir)).groupBy("action", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EVENTS}, {LAST} SELECT id, state, seq FROM last")
+def journal_state_stream(spark, sf_dir):
+    return changes.journal_state_stream(journal(spark, sf_dir))
