@@ -55,7 +55,8 @@ def distance(a, b) -> np.ndarray:
 def plant(sample: np.ndarray, leaves: int, seed: int = 11) -> list:
     """Tree over the sample with about so many leaves: nodes (vantage, median, near, far), leaves as numbers.
 
-    Of a few vantage points the one is taken whose median has the fewest of the sample within three of it.
+    Of a few vantage points and of the distances near their medians, those are taken that have the fewest of the
+    sample about the boundary.
     """
     r = np.random.default_rng(seed)
     nodes: list = []
@@ -65,12 +66,13 @@ def plant(sample: np.ndarray, leaves: int, seed: int = 11) -> list:
             nodes.append(None)
             return len(nodes) - 1
         best = None
-        for v in r.choice(points, min(12, len(points)), replace=False):
+        for v in r.choice(points, min(24, len(points)), replace=False):
             d = distance(points, v)
-            cut = int(np.median(d))
-            inside = d <= cut
-            if 0.2 < inside.mean() < 0.8 and (best is None or (score := (abs(d - cut) <= 3).mean()) < best[0]):
-                best = ((abs(d - cut) <= 3).mean(), v, cut, inside)
+            below = np.cumsum(np.bincount(d, minlength=65)) / len(d)
+            for cut in np.flatnonzero((below >= 0.35) & (below <= 0.65)):
+                score = below[min(64, cut + 3)] - below[max(0, cut - 3)]
+                if best is None or score < best[0]:
+                    best = (score, v, int(cut), d <= cut)
         if best is None:
             nodes.append(None)
             return len(nodes) - 1
@@ -134,7 +136,7 @@ def shard_links(homes: np.ndarray, visitors: np.ndarray, radius: int, among: boo
     return points[linked], points[labels[linked]]
 
 
-def near_links(prints: DataFrame, radius: int = 3, per_shard: int = 4096, most_sample: int = 16384) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 3, per_shard: int = 16384, most_sample: int = 16384) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp``, whose components are those of all pairs within radius.
 
     The driver sees at most most_sample fingerprints and one count for each shard of the tree (at most an
