@@ -69,15 +69,18 @@ def bands_of(phash: Column, threshold: int) -> Column:
     return F.array(*out)
 
 
+def _probes(value: Column, flips: list[int], band: int) -> Column:
+    masks = F.array(*[F.lit(x).cast("long") for x in flips])
+    return F.transform(masks, lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m).alias("value")))
+
+
 def wide_probes(phash: Column, bands: int, radius: int) -> Column:
     """(band, value) of all values within radius bit flips of each of so many slices."""
     out, at = [], 0
     for k in range(bands):
         width = 64 // bands + (k < 64 % bands)
         flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-        slice_ = F.shiftrightunsigned(phash, at).bitwiseAND((1 << width) - 1)
-        probes = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda m, s=slice_: s.bitwiseXOR(m))
-        out.append(F.transform(probes, lambda v, k=k: F.struct(F.lit(k).alias("band"), v.alias("value"))))
+        out.append(_probes(F.shiftrightunsigned(phash, at).bitwiseAND((1 << width) - 1), flips, k))
         at += width
     return F.flatten(F.array(*out))
 
