@@ -173,6 +173,7 @@ def nearest_place(points: DataFrame, cities: DataFrame, max_km: float = 50.0, ce
     row = F.floor(F.col("lat") / cell)
     far = F.greatest(F.lit(0.02), F.cos(F.radians(F.least(F.abs("lat") + up * cell, F.lit(89.0)))))
     wide = F.least(F.ceil(F.lit(max_km / 111.0 / cell) / far).cast("int") + 1, F.lit(int(180 / cell)))
+    wide = F.when(F.abs("lat") + up * cell >= 90, F.lit(int(180 / cell))).otherwise(wide)  # a pole within reach: all longitudes
     turns = int(360 / cell)
     column = F.floor((F.col("lon") + 180.0) / cell)
     city = cities.select("place", "country", F.col("lat").alias("clat"), F.col("lon").alias("clon"), row.alias("r"), column.alias("c"), wide.alias("w"))
