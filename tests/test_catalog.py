@@ -150,3 +150,10 @@ def test_ingest_stream(spark, tmp_path):
     q = changes.ingest_stream(files.stream_listing(spark, str(tmp_path / "m")), lambda: spark.createDataFrame([], schema), lambda df, n: saved.append(df.count()), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert saved == [1]
+
+
+def test_nearest_place_reaches_across_a_pole(spark):
+    points = spark.createDataFrame([(1, 89.5, 0.0), (2, -90.0, 10.0), (3, 0.0, 0.0)], "id int, lat double, lon double")
+    cities = spark.createDataFrame([("north", "x", 89.5, 180.0), ("south", "y", -89.0, -170.0)], "place string, country string, lat double, lon double")
+    got = {r.id: r.place for r in clusters.nearest_place(points, cities, 300.0).collect()}
+    assert got == {1: "north", 2: "south", 3: None}
