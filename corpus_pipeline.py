@@ -29,8 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.simhash_dedup(docs).select(*COLUMNS)
+    """One document of each group of near copies stays: 0.8 or more of their shingles of five words are shared."""
+    return simhash.near_copy_dedup(docs).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

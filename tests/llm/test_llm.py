@@ -241,3 +241,45 @@ def test_pipeline(spark):
         assert docs.columns == corpus_pipeline.COLUMNS
     n = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == n > 0
+
+
+def near_copies(seed=3):
+    """Texts, some with a few words changed, so that many copies of 0.8 or more are over three bits apart."""
+    r = random.Random(seed)
+    texts = []
+    for k in range(30):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 300))]
+        texts += [" ".join(w)] * (1 + k % 2)
+        for share in (0.01, 0.02, 0.05):
+            v = list(w)
+            for i in r.sample(range(len(w)), max(1, round(share * len(w)))):
+                v[i] = "changed"
+            texts.append(" ".join(v))
+    return texts + ["", " ", "Two Words", "two words", "two words more"]
+
+
+def plain_shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_copies_equal_all_pairs(spark, odd):
+    import corpus_pipeline
+
+    texts = near_copies()
+    sets = [plain_shingles(x) for x in texts]
+    want = plain_components(len(texts), lambda i, j: plain_alike(sets[i], sets[j]))
+    docs = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_components(docs).collect()}
+    found = [got[i] for i in range(len(texts))]
+    exact = plain_components(len(texts), lambda i, j: found[i] == found[j] and plain_alike(sets[i], sets[j]))
+    assert found == exact  # what is linked is linked by pairs of the least similarity
+    assert sum(a != b for a, b in zip(found, want)) <= 0.02 * len(texts)  # the radius loses few
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_near_copies(spark, docs, SF).collect()) == sorted(set(found))
+    before = {r.doc_id for r in simhash.simhash_dedup(docs).select("doc_id").collect()}
+    assert len(set(found)) < 0.8 * len(before)
+    assert simhash.near_copy_dedup(odd).count() == 5 and simhash.near_copy_dedup(odd.limit(0)).count() == 0
