@@ -127,24 +127,26 @@ def fertility_measures(text: Column, vocabulary: str) -> Column:
 _NOT_CONTINUED = bytes(x for x in range(256) if not 0x80 <= x < 0xC0)
 
 
-def bands(measured: DataFrame, width: float, least: tuple[float, float, float]) -> DataFrame:
+def bands(measured: DataFrame, width: float, least: tuple[float, float, float], low: tuple[float, float]) -> DataFrame:
     """For each group the lower and upper ends of its bands: median -+ width times the median distance from it,
-    and never narrower than ``least``. Texts that fail a base rule do not count. One row for each language, so
+    and never narrower than ``least``; the lower end of characters per token by the width and least of ``low``. Texts that fail a base rule do not count. One row for each language, so
     the result is small; the percentiles are Spark's mergeable sketches over all rows."""
     names = ["chars_per_token", "fallback_share", "entropy_rate"]
     sound = measured.where("NOT base_failed")
     middle = sound.groupBy("band_group").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in names])
     spread = {x: F.greatest((F.col(x)[2] - F.col(x)[0]) / 2 * F.lit(width), F.lit(m)) for x, m in zip(names, least)}
-    return middle.select("band_group", *chain.from_iterable(((F.col(x)[1] - spread[x]).alias(f"{x}_low"), (F.col(x)[1] + spread[x]).alias(f"{x}_high")) for x in names))
+    below = spread | {names[0]: F.greatest((F.col(names[0])[2] - F.col(names[0])[0]) / 2 * F.lit(low[0]), F.lit(low[1]))}
+    return middle.select("band_group", *chain.from_iterable(((F.col(x)[1] - below[x]).alias(f"{x}_low"), (F.col(x)[1] + spread[x]).alias(f"{x}_high")) for x in names))
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, width: float = 10.0) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, width: float = 10.0, low: tuple[float, float] = (5.0, 0.1)) -> DataFrame:
     """One row for each document: the measures, ``base_failed``, ``kept`` and ``reason``.
 
     Base rules: fewer than least_words words, or over most_repeated in 100 words in repeated windows. The
     method's bands: characters per token, share of fallback bytes, and entropy over the logarithm of the text's
     number of tokens (``entropy_rate``, which hardly depends on length), each with ends from all documents of
-    the row's language, or of its script where the language is null. Null and empty texts fail the base rule;
+    the row's language, or of its script where the language is null. Junk breaks into more tokens than clean text, so
+    characters per token have a lower end of their own, low. Null and empty texts fail the base rule;
     repeated rows get equal verdicts; other columns of docs are left out, whatever their names.
     """
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
@@ -155,7 +157,7 @@ def fertility_rules(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     own = own.withColumn("entropy_rate", F.col("entropy") / F.log2(tokens + 1)).drop("_lang")
     own = own.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     own = materialise(own, "fertility")
-    ends = materialise(bands(own, width, (0.6, 0.02, 0.06)), "bands")
+    ends = materialise(bands(own, width, (0.6, 0.02, 0.06), low), "bands")
     most = ends.count()
     side = F.broadcast(ends) if most <= 10_000 else ends  # one row for each language
     joined = own.join(side, "band_group", "left")

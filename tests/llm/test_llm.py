@@ -283,3 +283,11 @@ def test_near_copies_equal_all_pairs(spark, odd):
     before = {r.doc_id for r in simhash.simhash_dedup(docs).select("doc_id").collect()}
     assert len(set(found)) < 0.8 * len(before)
     assert simhash.near_copy_dedup(odd).count() == 5 and simhash.near_copy_dedup(odd.limit(0)).count() == 0
+
+
+def test_fertility_rejects_junk_by_a_band(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    named = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where(quality_cnn.held_out(F.col("doc_id")))
+    rows = fertility.fertility_rules(docs, queries.PIECES).join(named, "doc_id").where("NOT base_failed").collect()
+    lost = lambda q: [r.reason == "chars_per_token" for r in rows if r.quality == q]
+    assert sum(lost(0)) >= 0.7 * len(lost(0)) > 0 and sum(lost(1)) <= 0.05 * len(lost(1))
