@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.hashes import cluster_fingerprint, cluster_id, hamming64
+from lumenlake.operators.tables import components, materialise
 
 DUPLICATE, SIMILAR = 5, 12
-_own: list[str] = []
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder: a cut of lineage that survives lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="lumenlake-"))
-        base = _own[0]
-    path = f"{base.rstrip('/')}/media-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def exact_clusters(df: DataFrame) -> DataFrame:
@@ -115,29 +100,12 @@ def near_pairs(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
 
 def near_groups(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
     """(path, phash, untagged, group): each row with the smallest unsigned hash that links of its kind reach."""
-    hashes = written(distinct_hashes(df))
+    hashes = materialise(distinct_hashes(df), "hashes")
     key = lambda x: F.concat(F.col("kind"), F.lit(":"), F.lower(F.lpad(F.hex(x), 16, "0")))
-    edges = written(near_hashes(hashes, threshold).select(key("a").alias("x"), key("b").alias("y")))
-    labels = components(edges)
+    labels = components(near_hashes(hashes, threshold).select(key("a").alias("a"), key("b").alias("b")))
     kind = F.when(F.col("media_kind") == "audio", "audio").otherwise("photo").alias("kind")
     own = df.where("phash IS NOT NULL AND phash <> 0").select("path", "phash", kind, (F.size("tags") == 0).alias("untagged"), "size_bytes").withColumn("node", key("phash"))
-    return own.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label", "node", "kind")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of edges(x, y): the smallest node of each component, by the least label of neighbours and
-    jumps to a label's own label; each round is a written table, and the driver sees one count a round."""
-    both = written(edges.union(edges.select("y", "x")).distinct())
-    labels = written(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
-    while True:
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels.node == near.x).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
-        step = written(step)
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = written(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
-        labels = step.select("node", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+    return own.join(labels, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root", "node", "kind")
 
 
 def near_clusters(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:

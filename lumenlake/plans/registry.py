@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import hashes, paths, tags
 from lumenlake.operators import clusters, rewrite, search, stats, sync
+from lumenlake.operators.tables import materialise
 from lumenlake.plans.catalog import CATALOG, EVENTS, HASHED, LISTING, ROOTS, catalog, change_events, hidden_tags, journal, listing, roots, table
 from lumenlake.streaming import changes
 
@@ -104,7 +105,7 @@ def audio_fold64(spark, sf_dir):
 
 @query(on_catalog("SELECT a.path, bit_count(xor(a.phash, b.phash))::INT AS dist FROM hashed a JOIN hashed b ON b.doc_id = a.doc_id + 1", HASHED))
 def hamming64(spark, sf_dir):
-    own = clusters.written(catalog(spark, sf_dir, phash=True).select("doc_id", "path", "phash"))
+    own = materialise(catalog(spark, sf_dir, phash=True).select("doc_id", "path", "phash"), "media")
     after = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("phash").alias("b"))
     return own.join(after, "doc_id").select("path", hashes.hamming64(F.col("phash"), F.col("b")).alias("dist"))
 
@@ -214,7 +215,7 @@ def fuzzy_score(spark, sf_dir):
 
 @query(on_catalog("p AS (SELECT path, row_number() OVER (ORDER BY name, path) - 1 AS pos FROM catalog), e AS (SELECT min(pos) AS a, max(pos) AS b FROM p WHERE path LIKE '%/doc\\_10.%' ESCAPE '\\' OR path LIKE '%/doc\\_50.%' ESCAPE '\\') SELECT path, pos FROM p, e WHERE pos BETWEEN a AND b"))
 def select_range(spark, sf_dir):
-    own = clusters.written(search.with_position(catalog(spark, sf_dir), search.sort_order("name")).select("path", "pos"))
+    own = materialise(search.with_position(catalog(spark, sf_dir), search.sort_order("name")).select("path", "pos"), "positions")
     ends = own.where(F.col("path").rlike("/doc_(10|50)\\.")).orderBy("path")
     a, b = [x.path for x in ends.collect()]
     return search.select_range(own, b, a)
@@ -305,7 +306,7 @@ SELECT count(*) AS size, count(*) FILTER (len(tags) = 0) AS untagged, min(path)
 
 
 def _hashed(spark, sf_dir):
-    return clusters.written(catalog(spark, sf_dir, phash=True))
+    return materialise(catalog(spark, sf_dir, phash=True), "media")
 
 
 for _name, _t in (("near_pairs", 5), ("near_pairs_wide", 12)):
