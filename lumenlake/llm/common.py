@@ -1,40 +1,16 @@
-"""What several operators of this subpackage share: scratch tables, running totals, components."""
+"""What several operators of this subpackage share: words, running totals; scratch tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but these six ASCII white-space characters.
-WORD = "[^\\x20\\x09-\\x0D]+"
-SPACE = "[\\x20\\x09-\\x0D]+"
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of our own only where that is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="lumenlake-"))
-    return _own[0]
-
+from lumenlake.operators.tables import components, materialise, shared_dir, spent
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again.
+__all__ = ["WORD", "components", "materialise", "running_total", "shared_dir", "spent"]
 
-    Cuts the lineage in a way that survives lost executors, and runs what stands above it once. The files
-    live as long as the checkpoint folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of anything but these six ASCII white-space characters.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -54,29 +30,3 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
         .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .drop("_before")
     )
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: (node, root), root the smallest node of its component.
-
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes; the driver sees a
-    count and a checksum for each round. Nodes without an edge to another node do not appear.
-    """
-    edges = materialise(edges.where("a <> b").selectExpr("least(a, b) AS b", "greatest(a, b) AS a").distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-        small = small.union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialise(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components not settled after {most_rounds} rounds")
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,40 +1,30 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame operations only.
 
-An edit is one word inserted, deleted or substituted. Two lines are within one edit exactly if some way of
-deleting at most one word from each leaves the same words with the gap at the same place. Every such variant
-of a line is hashed into a key; lines that meet in a key are candidates, their words are compared, and a line
-goes if an earlier one is within the bound.
+An edit is one character inserted, deleted or substituted; the bound is one edit, for lines of every length. A
+variant of a line is the line without one character, keyed by the length of the longer line of a pair and by the
+place of the gap: two lines are within one edit exactly if a variant of one, or the line itself with a gap put in,
+has the key of a variant of the other. Lines that meet in a key are compared, and a line goes if an earlier one is
+within the bound.
+
+Most lines have no near neighbour, so variants are only made where one can be: a pair within the bound agrees
+outside the half that holds the edit, and outside the piece of about root n characters of that half that holds it.
+Both are joins on equal hashes that lose no pair, and a variant costs a hash of its piece, not of its line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import SPACE, materialise
+from lumenlake.llm.common import materialise, spent
 
-#: Lines with fewer words must be equal to count as copies: one edit in so few words is another line.
-LEAST_WORDS = 8
 WORDED = "[^\\x20\\x09-\\x0D]"
 #: A null key counts as the largest; a line's place is its key times PLACES plus its number.
 NULL_KEY, PLACES = 2**63 - 1, 2**31
 
 
-#: A line's words are cut into so many segments when candidates are first sought, and when they are sought
-#: again among the lines that are left.
-COARSE, FINE = 2, 8
-BLANKS = " \t\n\x0b\f\r"
-
-
-def words_of(line: Column) -> Column:
-    """Of a line that has a word."""
-    return F.split(F.btrim(line, F.lit(BLANKS)), SPACE)
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line) for each line that has a word; a line ends at a line feed or at the text's end."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return out.where(F.col("line").rlike(WORDED))
+def key_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_KEY))
 
 
 def place_of(key: Column, number: Column) -> Column:
@@ -42,118 +32,115 @@ def place_of(key: Column, number: Column) -> Column:
     return (key.cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(11,0)") + number.cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
-def key_and_number(place: str, key: str = "d", number: str = "l") -> list[Column]:
+def key_and_number(place: str) -> list[Column]:
     step = F.lit(PLACES).cast("decimal(11,0)")
-    return [F.floor(F.col(place) / step).cast("long").alias(key), F.pmod(F.col(place), step).cast("int").alias(number)]
-
+    return [F.floor(F.col(place) / step).cast("long").alias("d"), F.pmod(F.col(place), step).cast("int").alias("l")]
 
-def segment_keys(words: str, segments: int) -> Column:
-    """Keys of which two lines within one edit share at least one: the words outside one segment.
 
-    The one edit lies in one segment of the shorter line, so what is before it and what is behind it, counted
-    from the line's end, is untouched. A line of n words asks among lines of n and n + 1 words by the segments
-    of n words, and among lines of n - 1 words by those of n - 1.
-    """
-    n, own = F.size(words), F.col(words)
+def half_keys(line: Column) -> Column:
+    """For the line as one of the longer length, and as one that lacks a character of it: a key of what lies outside
+    the first half, and of what lies outside the second. Two lines within one edit share at least one."""
     keys = []
-    for short in (n, n - 1):
-        for k in range(segments):
-            before, behind = F.floor(short * k / segments), short - F.floor(short * (k + 1) / segments)
-            before, behind = before.cast("int"), behind.cast("int")
-            keys.append(F.xxhash64(F.lit(k), short, F.slice(own, F.lit(1), before), F.slice(own, n - behind + 1, behind)))
+    for more in (0, 1):
+        longer = F.length(line) + more
+        middle = F.ceil(longer / 2).cast("int")
+        keys += [F.xxhash64(F.lit(0), longer, F.right(line, longer - middle)), F.xxhash64(F.lit(1), longer, F.left(line, middle))]
     return F.array(*keys)
 
 
-def sharing(keys: DataFrame, line: list[str]) -> DataFrame:
-    """The lines of keys(*line, h) that share a key with another line."""
-    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return keys.join(shared, "h", "left_semi").select(*line).distinct()
-
-
-def variants(lines: DataFrame) -> DataFrame:
-    """lines(d, l, words) as (d, l, key): one row for each word deleted and for each gap.
-
-    The key holds the length with the gap filled, the gap's place, and a hash of the words before and of those
-    behind it: the exclusive or of hashes of word and place, counted from the line's start or end, so that all
-    variants of a line take one pass over its words.
-    """
-    each = lines.select("d", "l", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    by_place = Window.partitionBy("d", "l").orderBy("i")
-    whole = Window.partitionBy("d", "l")
-    forward, backward = F.xxhash64("word", "i"), F.xxhash64("word", F.col("n") - F.col("i"))
-    head = F.coalesce(F.bit_xor(forward).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    upto = F.bit_xor(backward).over(by_place.rowsBetween(Window.unboundedPreceding, 0))
-    tail = F.bit_xor(backward).over(whole).bitwiseXOR(upto)
-    each = each.select("d", "l", "n", "i", "word", head.alias("head"), tail.alias("tail"))
-    own_tail = F.col("tail").bitwiseXOR(backward)
-    own_head = F.col("head").bitwiseXOR(forward)
-    key = lambda n, i, a, b: F.struct(n.alias("n"), i.alias("i"), a.alias("a"), b.alias("b"))
-    deleted = key(F.col("n"), F.col("i"), F.col("head"), F.col("tail"))
-    before = key(F.col("n") + 1, F.col("i"), F.col("head"), own_tail)
-    behind = F.when(F.col("i") == F.col("n") - 1, key(F.col("n") + 1, F.col("n"), own_head, F.lit(0).cast("long")))
-    return each.select("d", "l", F.explode(F.array_compact(F.array(deleted, before, behind))).alias("k")).select("d", "l", "k.*")
-
-
-def within_one(a: Column, b: Column) -> Column:
-    """Whether two word lists are at most one edit apart: what they share from both ends covers all but one
-    word of the longer."""
-    most = F.greatest(F.size(a), F.size(b))
-    same = lambda x, y: F.coalesce(F.array_position(F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False))), F.lit(False)), F.lit(0))
-    ends = [F.when(p == 0, most).otherwise(p - 1) for p in (same(a, b), same(F.reverse(a), F.reverse(b)))]
-    return ends[0] + ends[1] >= most - 1
+def first_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, id2, d, l, halves): each different line with a word, named by two hashes, where it comes first."""
+    own = docs.select(F.col(id_col).alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("number", "line"))
+    own = own.where(F.col("line").rlike(WORDED))
+    names = [f"h{k}" for k in range(4)]
+    line, at = F.col("line"), place_of(key_of(F.col("key")), F.col("number"))
+    own = own.select(F.xxhash64(line).alias("id"), F.hash(line).alias("id2"), at.alias("at"), half_keys(line).alias("h"))
+    own = own.select("id", "id2", "at", *[F.get("h", F.lit(k)).alias(x) for k, x in enumerate(names)])
+    first = own.groupBy("id", "id2").agg(F.min("at").alias("at"), *[F.first(x).alias(x) for x in names])
+    return first.select("id", "id2", *key_and_number("at"), F.array(*names).alias("halves"))
+
+
+def shared_only(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key another row has too; rows and counts read one exchange."""
+    dealt = rows.repartition(key)
+    many = dealt.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    return dealt.join(many, key, "left_semi")
+
+
+def pieces(lines: DataFrame) -> DataFrame:
+    """lines(id, id2, at, line, half), half as half_keys numbers them -> (id, id2, at, full, outside, piece): the half
+    cut into root-of-its-length pieces, each with a hash of all that is outside it. full: the line is of the longer
+    length, and a piece loses a character; else it lacks one, and a gap is put in."""
+    own = lines.withColumn("full", F.col("half") < 2).withColumn("longer", F.length("line") + F.when(F.col("half") < 2, 0).otherwise(1))
+    own = own.withColumn("middle", F.ceil(F.col("longer") / 2).cast("int")).withColumn("second", F.col("half") % 2)
+    own = own.withColumn("low", F.col("middle") * F.col("second")).withColumn("width", F.when(F.col("second") == 1, F.col("longer") - F.col("middle")).otherwise(F.col("middle")))
+    own = own.where("width > 0").withColumn("parts", F.ceil(F.sqrt("width")).cast("int"))
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    edge = lambda k: F.col("low") + F.ceil(k * F.col("width") / F.col("parts")).cast("int")
+    own = own.withColumn("a", edge(F.col("part"))).withColumn("b", edge(F.col("part") + 1))
+    outside = F.xxhash64("longer", "second", "part", F.left("line", F.col("a")), F.right("line", F.col("longer") - F.col("b")))
+    size = F.col("b") - F.col("a") - F.when(F.col("full"), 0).otherwise(1)
+    return own.select("id", "id2", "at", "full", outside.alias("outside"), (F.col("b") - F.col("a")).alias("gaps"), F.substr("line", F.col("a") + 1, size).alias("piece"))
+
+
+def variants(found: DataFrame) -> DataFrame:
+    """pieces(...) as (id, id2, at, outside, variant): one row for each place of the gap."""
+    own = found.withColumn("gap", F.explode(F.sequence(F.lit(0), F.col("gaps") - 1)))
+    behind = F.col("gap") + F.when(F.col("full"), 2).otherwise(1)
+    variant = F.xxhash64("gap", F.left("piece", F.col("gap")), F.substr("piece", behind, F.length("piece")))
+    return own.select("id", "id2", "at", "outside", variant.alias("variant"))
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no) of each line with a word that stays.
+    """(d, l) of each line with a word that stays: key (null as the largest long) and line number.
 
-    Of equal lines the earliest by (doc_id, line_no) stays. A line of LEAST_WORDS words or more also goes if a
-    line within one edit of it comes earlier, whether or not that one stays.
+    Of equal lines the earliest by (key, line number) stays. A line also goes if a different line within one edit of
+    it comes earlier, whether or not that one stays.
     """
-    own = lines_of(docs, id_col, text_col).select(
-        F.unhex(F.md5("line")).alias("line_id"),
-        place_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), F.col("line_no")).alias("at"),
-        words_of(F.col("line")).alias("words"),
-    )
-    own = own.select("line_id", "at", F.when(F.size("words") >= LEAST_WORDS, segment_keys("words", COARSE)).alias("keys"))
-    names = [f"h{k}" for k in range(2 * COARSE)]
-    own = own.select("line_id", "at", *[F.get("keys", F.lit(k)).alias(x) for k, x in enumerate(names)])
-    first = own.groupBy("line_id").agg(F.min("at").alias("at"), *[F.first(x).alias(x) for x in names])
-    first = first.select(*key_and_number("at"), *names)
-    first = materialise(first, "lines")
-    keys = first.where("h0 IS NOT NULL").select("d", "l", F.explode(F.array_distinct(F.array(*names))).alias("h"))
-    asked = sharing(keys, ["d", "l"]).groupBy("d").agg(F.collect_list("l").alias("asked"))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("d"), F.split(F.col(text_col), "\n").alias("lines"))
-    texts = texts.join(asked, "d").select("d", "lines", F.explode("asked").alias("l")).select("d", "l", F.get("lines", F.col("l")).alias("line"))
-    texts = texts.where(F.col("line").rlike(WORDED)).select("d", "l", words_of(F.col("line")).alias("words"))
-    texts = materialise(texts.dropDuplicates(["d", "l"]), "words")
-    fine = sharing(texts.select("d", "l", F.explode(F.array_distinct(segment_keys("words", FINE))).alias("h")), ["d", "l"])
-    texts = materialise(texts.join(fine, ["d", "l"], "left_semi"), "near")
-    keyed = materialise(variants(texts), "variants")
-    place = place_of(F.col("d"), F.col("l"))
-    earliest = keyed.groupBy("n", "i", "a", "b").agg(F.min(place).alias("e"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = keyed.join(earliest, ["n", "i", "a", "b"]).where(place > F.col("e")).select("d", "l", "e").distinct()
-    pairs = pairs.select("d", "l", *key_and_number("e", "ed", "el"))
-    right = texts.select(F.col("d").alias("ed"), F.col("l").alias("el"), F.col("words").alias("earlier"))
-    gone = pairs.join(texts, ["d", "l"]).join(right, ["ed", "el"]).where(within_one(F.col("words"), F.col("earlier"))).select("d", "l").distinct()
-    stay = first.select("d", "l").join(gone, ["d", "l"], "left_anti")
-    return stay.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))
+    first = materialise(first_places(docs, id_col, text_col), "lines")
+    halves = first.select("id", F.posexplode("halves").alias("half", "h"))
+    asked = shared_only(halves, "h").groupBy("id").agg(F.collect_set("half").alias("asked"))
+    asked = materialise(asked.join(first.select("id", "id2", "d", "l"), "id"), "asked")
+    by_doc = asked.groupBy("d").agg(F.collect_list(F.struct("l", "id", "id2", "asked")).alias("asked"))
+    by_doc = materialise(by_doc, "asked-by-doc")
+    texts = docs.select(key_of(F.col(id_col)).alias("d"), F.col(text_col).alias("text")).join(by_doc, "d")
+    texts = texts.select("d", F.split("text", "\n").alias("lines"), F.explode("asked").alias("x")).select("d", F.get("lines", F.col("x.l")).alias("line"), "x.*")
+    same = (F.xxhash64("line") == F.col("id")) & (F.hash("line") == F.col("id2"))  # rows that repeat a key may differ
+    texts = texts.where(same).select("id", "id2", place_of(F.col("d"), F.col("l")).alias("at"), "line", "asked")
+    texts = materialise(texts, "texts")
+    found = materialise(pieces(texts.select("id", "id2", "at", "line", F.explode("asked").alias("half"))), "pieces")
+    keyed = materialise(variants(shared_only(found, "outside")), "variants")
+    earliest = keyed.groupBy("outside", "variant").agg(F.min("at").alias("e"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    pairs = keyed.join(earliest, ["outside", "variant"]).where("at > e").select("id", "id2", "e").distinct()
+    pairs = pairs.join(texts.select("id", "id2", "line"), ["id", "id2"]).join(texts.select(F.col("at").alias("e"), F.col("line").alias("earlier")), "e")
+    gone = materialise(pairs.where(F.levenshtein("line", "earlier", 1) >= 0).select("id", "id2").distinct(), "gone")
+    spent(asked, by_doc, texts, found, keyed)
+    return first.join(gone, ["id", "id2"], "left_anti").select("d", "l")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text reduced to the lines that stay, and n_lines, n_removed.
 
-    Blank lines stay where they are. A null text stays null, with no lines. A null key counts as the largest.
-    Rows that repeat a key are told apart by nothing: a line number that stays for the key stays in each.
-    Columns of docs named n_lines or n_removed are replaced. Keys are longs.
+    A line ends at a line feed or at the text's end. Blank lines stay where they are. A null text stays null, with
+    no lines; an empty one stays empty; an empty table gives an empty one. Keys are longs; a null key counts as the
+    largest. Rows that repeat a key are one document to the order: a line number that stays for the key stays in
+    each of them, so repeated rows stay equal. Other columns stay, whatever their names; columns of docs named
+    n_lines or n_removed are replaced.
     """
     kept = kept_lines(docs, id_col, text_col)
-    by_doc = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_kept"))
-    out = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))).join(by_doc, "_id", "left")
-    lines = F.split(F.col(text_col), "\n")
-    worded = lambda x: x.rlike(WORDED)
-    stays = F.filter(lines, lambda x, i: ~worded(x) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
-    n = F.size(F.filter(lines, worded))
-    out = out.withColumn("_n", F.coalesce(n, F.lit(0)).cast("long")).withColumn("_stay", stays)
-    left = F.coalesce(F.size(F.filter("_stay", worded)), F.lit(0)).cast("long")
-    out = out.withColumn("n_removed", F.col("_n") - F.greatest(left, F.lit(0))).withColumn("n_lines", F.greatest("_n", F.lit(0)))
-    return out.withColumn(text_col, F.array_join("_stay", "\n")).drop("_id", "_n", "_stay", "_kept")
+    word, bit = F.floor(F.col("l") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("l") % 64)
+    bits = kept.groupBy("d", word.alias("w")).agg(F.bit_or(bit).alias("bits"))
+    by_doc = bits.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("bits"), F.max("w").alias("last"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0).cast("long")))
+    by_doc = by_doc.select("d", dense.alias("bits"))
+    out = docs.select(F.struct("*").alias("row"), key_of(F.col(id_col)).alias("d")).join(by_doc, "d", "left")
+    out = out.withColumn("lines", F.split(F.col(f"row.{text_col}"), "\n"))
+    flag = lambda i: F.coalesce(F.getbit(F.get("bits", F.floor(i / 64).cast("int")), i % 64) == 1, F.lit(False))
+    stays = F.filter("lines", lambda x, i: flag(i) | ~x.rlike(WORDED))
+    out = out.withColumn("stay", stays)
+    n = F.coalesce(F.size(F.filter("lines", lambda x: x.rlike(WORDED))), F.lit(0))
+    lost = F.coalesce(F.size("lines") - F.size("stay"), F.lit(0))
+    nothing = F.col("lines").isNull()
+    row = F.col("row").withField(text_col, F.array_join("stay", "\n"))
+    row = row.withField("n_lines", F.when(nothing, 0).otherwise(n).cast("long")).withField("n_removed", F.when(nothing, 0).otherwise(lost).cast("long"))
+    return out.select(row.alias("row")).select("row.*")

@@ -126,24 +126,17 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM drawn
 """
 
-OP7_SQL = r"""
+#: Pairs of lines that agree in a half, told apart by how far they agree from both ends.
+_AGREE = "list_reduce([0, 1048576, 524288, 262144, 131072, 65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda p, k: CASE WHEN p + k <= least(a.n, b.n) AND {side}(a.line, (p + k)::BIGINT) = {side}(b.line, (p + k)::BIGINT) THEN p + k ELSE p END)"
+OP7_SQL = rf"""
 WITH each AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
-lines AS (SELECT doc_id, no, line FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-firsts AS (SELECT line, min((doc_id, no)) AS pos FROM lines GROUP BY line),
-worded AS (SELECT line, pos, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM firsts),
-long AS (SELECT line, pos, w, len(w) AS n FROM worded WHERE len(w) >= 8),
-variants AS (
-  SELECT line, pos, md5(n || '/' || i || '/' || array_to_string(w[1:i], ' ') || chr(10) || array_to_string(w[i + 2:], ' ')) AS k
-  FROM (SELECT line, pos, w, n, unnest(range(n)) AS i FROM long)
-  UNION ALL
-  SELECT line, pos, md5((n + 1) || '/' || i || '/' || array_to_string(w[1:i], ' ') || chr(10) || array_to_string(w[i + 1:], ' ')) AS k
-  FROM (SELECT line, pos, w, n, unnest(range(n + 1)) AS i FROM long)),
-met AS (SELECT k, min(pos) AS first FROM variants GROUP BY k HAVING count(*) > 1),
-gone AS (SELECT DISTINCT line FROM variants JOIN met USING (k) WHERE pos > first),
-stay AS (SELECT pos FROM firsts WHERE line NOT IN (SELECT line FROM gone)),
+firsts AS (SELECT line, length(line) AS n, min((doc_id, no)) AS pos FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+halves AS (SELECT *, unnest([m || 'r' || right(line, (m - (m + 1) // 2)::BIGINT), m || 'l' || left(line, ((m + 1) // 2)::BIGINT)]) AS h FROM (SELECT *, unnest([n, n + 1]) AS m FROM firsts)),
+gone AS (SELECT DISTINCT a.line FROM halves a JOIN halves b ON a.h = b.h AND b.pos < a.pos
+  WHERE {_AGREE.format(side="left")} + {_AGREE.format(side="right")} >= greatest(a.n, b.n) - 1),
+stay AS (SELECT pos FROM firsts ANTI JOIN gone USING (line)),
 marked AS (
-  SELECT e.doc_id, e.no, e.line, regexp_matches(e.line, '[^\x20\x09-\x0D]') AS worded,
-    (e.doc_id, e.no) IN (SELECT pos FROM stay) AS stays FROM each e)
+  SELECT e.doc_id, e.no, e.line, regexp_matches(e.line, '[^\x20\x09-\x0D]') AS worded, (e.doc_id, e.no) IN (SELECT pos FROM stay) AS stays FROM each e)
 SELECT doc_id, coalesce(array_to_string(list(line ORDER BY no) FILTER (stays OR NOT worded), chr(10)), '') AS text,
   count(*) FILTER (worded)::BIGINT AS n_lines, count(*) FILTER (worded AND NOT stays)::BIGINT AS n_removed
 FROM marked GROUP BY doc_id
