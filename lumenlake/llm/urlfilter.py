@@ -1,9 +1,11 @@
 """URL filter by a tree of path templates for each host.
 
 Digits and long hexadecimal runs of a path are variable by their look; level by level, a segment also becomes
-a wildcard if its parent has many different children of few URLs each, or if its labels are statistically like
-those of its labelled siblings. Templates whose labelled URLs are bad to a smoothed share of ``purity`` are
-rejected. A URL's label is the verdict of a curated rule, or a column of the caller's.
+a wildcard if its parent has many different children of few URLs each, or if its branch is statistically like its
+siblings': by the labels, where both have enough of them, else by the shape of what follows. A template's purity is
+the bad share of its labelled URLs, smoothed towards what its parent holds besides it, and so on up to the host, so
+that a branch without labels is judged by what is known around it and no label counts twice. Templates of a purity of
+``purity`` or more are rejected. A URL's label is a column of the caller's, else the verdict of a curated rule.
 """
 
 from __future__ import annotations
@@ -37,51 +39,92 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def generalised(paths: DataFrame, most_depth: int, fan: int, share: float, z: float) -> DataFrame:
-    """paths(host, look, segments, n, labelled, bad) with ``template``; two small shuffles a level, no group is
-    ever gathered. Segments beyond most_depth become one "**"."""
-    deepest = min(most_depth, paths.agg(F.max(F.size("segments"))).first()[0] or 0)
-    own = paths.withColumn("template", F.lit(""))
-    for level in range(deepest):
-        own = own.withColumn("_seg", F.get("segments", F.lit(level)))
+SUMS = ("n", "labelled", "bad", "ends", "varies")
+
+
+def smoothed(bad: Column, labelled: Column, prior: Column, strength: float) -> Column:
+    return (bad + F.lit(strength) * prior) / (labelled + F.lit(strength))
+
+
+def alike(least: int, z: float) -> Column:
+    """Whether child (c_) and its siblings (p_ less c_) are alike: their bad shares if both have least labels, else
+    the shares of URLs that end at this segment and that go on with a variable one, if both have least URLs."""
+
+    def near(part: str, of: str) -> Column:
+        c, n, p, m = F.col(f"c_{part}"), F.col(f"c_{of}"), F.col(f"p_{part}"), F.col(f"p_{of}")
+        rate, rest = p / m, m - n
+        error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.01)) * (1 / n + 1 / rest))
+        return F.abs(c / n - (p - c) / rest) <= z * error
+
+    enough = lambda of: (F.col(f"c_{of}") >= least) & (F.col(f"p_{of}") - F.col(f"c_{of}") >= least)
+    shape = F.when(enough("n"), near("ends", "n") & near("varies", "n")).otherwise(False)
+    return F.when(enough("labelled"), near("bad", "labelled")).otherwise(shape)
+
+
+def generalised(paths: DataFrame, fan: int, share: float, least: int, z: float, prior: float, strength: float) -> DataFrame:
+    """paths(host, look, segments, n, labelled, bad) with ``template`` and ``purity``.
+
+    One level at a time, from sums for each node; no group is ever gathered. A path that is alone below its node is
+    done: its rest is kept as it is. So there are as many levels as paths of one host still branch, whatever their
+    depth; the driver sees whether any is left.
+    """
+    top = paths.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    going = paths.join(top, "host").withColumns({"template": F.lit(""), "prior": F.lit(prior)})
+    going = materialise(going, "level")
+    done, level = [], 0
+    while True:
         node = ["host", "template"]
-        child = own.where("_seg IS NOT NULL").groupBy(*node, "_seg").agg(*[F.sum(x).alias(f"c_{x}") for x in ("n", "labelled", "bad")])
-        parent = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), *[F.sum(f"c_{x}").alias(f"p_{x}") for x in ("n", "labelled", "bad")])
-        both = child.join(parent, node)
+        after = F.get("segments", F.lit(level + 1))
+        own = going.withColumn("_seg", F.get("segments", F.lit(level)))
+        own = own.withColumn("ends", F.when(after.isNull(), F.col("n")).otherwise(0)).withColumn("varies", F.when(after.contains("#"), F.col("n")).otherwise(0))
+        child = own.groupBy(*node, "_seg").agg(F.count(F.lit(1)).alias("c_paths"), *[F.sum(x).alias(f"c_{x}") for x in SUMS])
+        parent = child.groupBy(*node).agg(F.sum("c_paths").alias("paths"), F.count("_seg").alias("children"), *[F.sum(F.when(F.col("_seg").isNotNull(), F.col(f"c_{x}"))).alias(f"p_{x}") for x in SUMS])
+        both = child.where("_seg IS NOT NULL").join(parent, node)
         variable = (F.col("children") > fan) & (F.col("c_n") < share * F.col("p_n"))
-        others = F.col("p_labelled") - F.col("c_labelled")
-        rate = F.col("p_bad") / F.greatest("p_labelled", F.lit(1))
-        apart = F.abs(F.col("c_bad") / F.greatest("c_labelled", F.lit(1)) - (F.col("p_bad") - F.col("c_bad")) / F.greatest(others, F.lit(1)))
-        error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.01)) * (1 / F.greatest("c_labelled", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-        alike = (F.col("c_labelled") > 0) & (others > 0) & (apart <= z * error)
-        to = both.select(*node, "_seg", F.when(variable | alike, F.lit("*")).otherwise(F.col("_seg")).alias("_to"))
-        own = own.join(to, [*node, "_seg"], "left")
-        own = own.withColumn("template", F.when(F.col("_to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_to")))
-        own = materialise(own.drop("_seg", "_to"), f"level{level}")
-    return own.withColumn("template", F.when(F.size("segments") > most_depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-
-
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, purity: float = 0.8, prior: float = 0.5, strength: float = 10.0, fan: int = 16, share: float = 0.05, z: float = 1.96, most_depth: int = 8) -> DataFrame:
+        to = both.select(*node, "_seg", "c_labelled", "c_bad", F.when(F.col("paths") == 1, F.lit(None)).when(variable | alike(least, z), F.lit("*")).otherwise(F.col("_seg")).alias("_to"))
+        to = materialise(to.where("_to IS NOT NULL"), "branches")
+        sums = to.groupBy(*node, "_to").agg(F.sum("c_labelled").alias("_l"), F.sum("c_bad").alias("_b"))
+        to = to.select(*node, "_seg", "_to").join(sums, [*node, "_to"])
+        step = own.drop("ends", "varies").join(to, [*node, "_seg"], "left")
+        on = F.col("_to").isNotNull()
+        outside = smoothed(F.col("b") - F.col("_b"), F.col("l") - F.col("_l"), F.col("prior"), strength)
+        new = {"prior": outside, "l": F.col("_l"), "b": F.col("_b")}
+        step = step.withColumns({k: F.when(on, v).otherwise(F.col(k)) for k, v in new.items()})
+        rest = F.concat_ws("/", F.col("template"), F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))))
+        rest = F.when(F.size("segments") > level, rest).otherwise(F.col("template"))
+        step = step.withColumn("template", F.when(on, F.concat("template", F.lit("/"), "_to")).otherwise(rest))
+        step = materialise(step.withColumn("_on", on).drop("_seg", "_to", "_l", "_b"), "level")
+        done.append(step.where("NOT _on").drop("_on"))
+        going = step.where("_on").drop("_on")
+        if going.isEmpty():
+            break
+        level += 1
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.withColumn("purity", smoothed(F.col("b"), F.col("l"), F.col("prior"), strength))
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, purity: float = 0.8, prior: float = 0.5, strength: float = 10.0, fan: int = 16, share: float = 0.05, least: int = 5, z: float = 1.96) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict, template, template_purity.
 
-    verdict is the rule's, else block where the template's smoothed purity, (bad + strength * prior) / (labelled
-    + strength), reaches ``purity``, else allow. label: 1 bad, 0 good, null unknown; by default what the rules
-    say. A null url, or one without "://", has an empty host and path. Repeated rows count and stay; an empty
-    table gives an empty one; other columns are left out, whatever their names.
+    verdict is the rule's, else block where the template's purity reaches ``purity``, else allow. label: 1 bad, 0
+    good; where it is null, what the rules say. strength: how many labels the surroundings weigh; the host's are
+    prior. fan, share: more than fan children make those variable that have less than share
+    of their parent's URLs. least, z: labels or URLs on both sides, and standard errors, of a test of likeness. A null
+    url, or one without "://", has an empty host and path. Repeated rows count and stay; an empty table gives an
+    empty one; other columns are left out, whatever their names.
     """
     host, path = host_and_path(F.col(url_col))
-    own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), *([label.cast("int").alias("_label")] if label is not None else []))
+    label = F.lit(None) if label is None else label
+    own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), label.cast("int").alias("_label"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     own = own.withColumns({"rule": rule, "_ruled": verdict})
-    if label is None:
-        own = own.withColumn("_label", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0))
+    own = own.withColumn("_label", F.coalesce("_label", F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0)))
     own = own.withColumn("look", F.regexp_replace(F.regexp_replace("path", "(?i)(?=[a-f]*[0-9])[0-9a-f]{8,}", "#"), "[0-9]+", "#"))
     paths = own.groupBy("host", "look").agg(F.count(F.lit(1)).alias("n"), F.count("_label").alias("labelled"), F.coalesce(F.sum("_label"), F.lit(0)).alias("bad"))
     paths = materialise(paths.withColumn("segments", F.filter(F.split("look", "/"), lambda x: x != "")), "paths")
-    grown = generalised(paths, most_depth, fan, share, z)
-    sums = grown.groupBy("host", "template").agg(F.sum("labelled").alias("_labelled"), F.sum("bad").alias("_bad"))
-    sums = sums.select("host", "template", ((F.col("_bad") + strength * prior) / (F.col("_labelled") + strength)).alias("template_purity"))
-    judged = materialise(grown.select("host", "look", "template").join(sums, ["host", "template"]), "templates")
+    judged = generalised(paths, fan, share, least, z, prior, strength).select("host", "look", "template", F.col("purity").alias("template_purity"))
     out = own.join(judged, ["host", "look"])
     by_method = F.when(F.col("template_purity") >= purity, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", by_method).alias("verdict"), "template", "template_purity")
