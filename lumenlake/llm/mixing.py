@@ -53,26 +53,35 @@ def time_of(demand: Column, slope: Column) -> Column:
     return F.when(straight, demand).otherwise((root - (1 - slope)) / (2 * slope))
 
 
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs as (doc_id, mark, _source, size, _hash, _bucket). mark is a hash of the text; the hash that orders a
+    source's stream is of the key, and of the text where the key is null, so that null keys do not share a bucket."""
+    source, key, text = F.col(source_col), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(
+        key.alias("doc_id"),
+        F.xxhash64(F.col(text_col).isNull(), text).alias("mark"),
+        F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string"))).alias("_source"),
+        words_in(F.col(text_col)).alias("size"),
+        F.substring(F.md5(F.coalesce(key.cast("string"), F.concat(F.lit("\\N"), F.md5(text)))), 1, 8).alias("_hash"),
+    )
+    return own.withColumn("_bucket", F.substring("_hash", 1, 3))
+
+
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, slope: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken, copies, position, positions.
+    """One row for each document: doc_id, mark, size, source_size, target, taken, copies, position, positions.
 
     A source's documents form one stream of words in the order of a hash of their key; it is read from the
     start, up to ``most`` passes, until the target is met, so only the document at the end is taken in part and
-    a source's taken words equal its target but for less than one word. positions has for each pass that
-    takes at least half of the document the time of its first word by its source's schedule (heavy sources rise
-    over training by ``slope``, light ones fall); position is the first of them, else null; copies counts them. A null text has no words; a null source is one of its own and comes last; rows
-    that repeat a key follow each other; reruns give the same rows. Other columns are left out.
+    a source's taken words equal its target but for less than one word. positions has for each pass that takes at
+    least half of the document the time of its first word by its source's schedule (heavy sources rise over training
+    by ``slope``, light ones fall); position is the first of them, else null; copies counts them. mark is a hash of
+    the text. A null text has no words; a null source is one of its own and comes last; rows that repeat a key follow
+    each other by size; reruns give the same rows. Other columns are left out, whatever their names.
     """
-    source = F.col(source_col)
-    own = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string"))).alias("_source"),
-        words_in(F.col(text_col)).alias("size"),
-        F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("\\N"))), 1, 8).alias("_hash"),
-    ).withColumn("_bucket", F.substring("_hash", 1, 3))
-    own = materialise(own, "sizes")
+    own = materialise(sized(docs, id_col, text_col, source_col), "sizes")
     goal = targets(own.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, most)
-    placed = running_total(own, ["_source"], "_bucket", [F.col("_hash"), F.col("doc_id"), F.col("size")], "size", "_start")
+    order = [F.col("_hash"), F.col("doc_id"), F.col("size"), F.col("mark")]
+    placed = running_total(own, ["_source"], "_bucket", order, "size", "_start")
     # one row for each source; Spark broadcasts it if its size allows, else splits the hot source by AQE
     placed = placed.join(goal, "_source")
     words = F.floor("target")
@@ -85,17 +94,20 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
         times.append(F.when((part > 0) & (2 * part >= F.col("size")), time_of(place / F.col("target"), lean)))
     placed = placed.withColumn("positions", F.array_compact(F.array(*times)))
     first = F.when(F.size("positions") > 0, F.element_at("positions", 1))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.size("positions").alias("copies"), first.alias("position"), "positions")
+    return placed.select("doc_id", "mark", "size", "source_size", "target", taken.cast("long").alias("taken"), F.size("positions").alias("copies"), first.alias("position"), "positions")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, slope: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs as training reads them: each as often as the mix takes it, by range of position.
+    """The rows of docs as training reads them, each as often as the mix takes it, by range of position.
 
-    The last document of a source counts if at least half of it is taken. Keys are taken to be unique; rows
-    that repeat a key all follow the places of the first of them.
+    The last document of a source counts if at least half of it is taken. Rows of equal key and text are copies: the
+    first of them by its other columns stands for all, at the places of all. Columns keep their names.
     """
     plan = plan_mix(docs, weights, most, slope, id_col, text_col, source_col).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("positions").alias("_positions"))
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    out = out.withColumn("_position", F.explode("_positions")).drop("_positions")
-    return out.orderBy("_position", id_col).drop("_position")
+    plan = plan.groupBy("doc_id", "mark").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).alias("key"), F.xxhash64(text.isNull(), F.coalesce(text, F.lit(""))).alias("mark"), F.struct("*").alias("row"))
+    own = own.join(plan, F.col("key").eqNullSafe(F.col("doc_id")) & (own["mark"] == plan["mark"])).select("key", own["mark"], "row", "positions")
+    own = own.groupBy("key", "mark").agg(F.min("row").alias("row"), F.first("positions").alias("positions"))
+    out = own.select("key", "mark", "row", F.explode("positions").alias("position"))
+    return out.orderBy("position", "key", "mark").select("row.*")

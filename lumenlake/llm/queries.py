@@ -27,7 +27,7 @@ def op1_quality_cnn(spark, sf_dir):
 
 
 def op2_curriculum_mix(spark, sf_dir):
-    return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("positions", "position")
+    return mixing.plan_mix(table(spark, sf_dir, "documents")).drop("mark").orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 def op3_url_templates(spark, sf_dir):
@@ -81,7 +81,7 @@ QUERIES = {
 
 OP2_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, coalesce('0' || source, '1') AS s, substr(md5(coalesce(doc_id::VARCHAR, '\N')), 1, 8) AS h,
+  SELECT doc_id, coalesce('0' || source, '1') AS s, substr(md5(coalesce(doc_id::VARCHAR, '\N' || md5(coalesce(text, '')))), 1, 8) AS h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 sources AS (
   SELECT s, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY s) - 1) % 3 + 1)::INT]::DOUBLE AS weight
@@ -95,13 +95,15 @@ capped AS (SELECT *, share * weight > most AS c FROM shared),
 goal AS (
   SELECT s, source_size, weight, CASE WHEN c THEN most ELSE weight * (SELECT arg_min(share, (most / weight, s)) FROM capped WHERE NOT c) END AS target FROM capped),
 placed AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, size, source_size, target, CASE weight WHEN 5 THEN 0.5 WHEN 1 THEN -0.5 ELSE 0 END::DOUBLE AS slope,
     coalesce(sum(size) OVER (PARTITION BY s ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized JOIN goal USING (s)),
 passes AS (
-  SELECT *, list_transform([0, 1, 2], lambda k: greatest(least(floor(target)::BIGINT - (source_size * k + start), size), 0)) AS parts FROM placed)
-SELECT doc_id, size, source_size, target, list_sum(parts)::BIGINT AS taken,
-  len(list_filter(parts, lambda p: p > 0 AND 2 * p >= size))::INT AS copies FROM passes
+  SELECT *, list_transform([0, 1, 2], lambda k: {'place': source_size * k + start, 'part': greatest(least(floor(target)::BIGINT - (source_size * k + start), size), 0)}) AS parts FROM placed),
+timed AS (
+  SELECT *, list_transform(list_filter(parts, lambda p: p.part > 0 AND 2 * p.part >= size), lambda p: CASE WHEN slope = 0 THEN p.place / target
+    ELSE (sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * (p.place / target), 0)) - (1 - slope)) / (2 * slope) END) AS positions FROM passes)
+SELECT doc_id, size, source_size, target, list_sum(list_transform(parts, lambda p: p.part))::BIGINT AS taken, len(positions)::INT AS copies, positions[1] AS position, positions FROM timed
 """
 
 
