@@ -17,24 +17,34 @@ def dhash64(grid: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(bit(i)))
 
 
+def _shape_prints(px: np.ndarray) -> np.ndarray:
+    """Hashes of pictures (n, height, width, channels), blue first, of one shape."""
+    _, h, w, c = px.shape
+    y = np.clip((np.arange(ROWS) + 0.5) * h / ROWS - 0.5, 0, h - 1)
+    x = np.clip((np.arange(COLUMNS) + 0.5) * w / COLUMNS - 0.5, 0, w - 1)
+    y0, x0 = y.astype(int), x.astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
+    at = lambda a, b: px[:, a][:, :, b].astype(np.float64)
+    small = (at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy
+    small = small[..., [2, 1, 0]] if c >= 3 else np.repeat(small[..., :1], 3, -1)
+    luma = (small.round().astype(np.int64) * [299, 587, 114]).sum(-1) // 1000
+    bits = np.packbits((luma[..., :-1] < luma[..., 1:]).reshape(len(px), 64), axis=1)
+    return bits.copy().view(">i8")[:, 0].astype(np.int64)
+
+
 def image_dhash(images: DataFrame) -> DataFrame:
     """(path, phash) of decoded pictures, as Spark's image source gives them: bilinear 9 x 8, integer luma."""
 
     def prints(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                px = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(np.float64)
-                px = px[:, :, [2, 1, 0]] if r.nChannels >= 3 else np.repeat(px, 3, 2)
-                y = np.clip((np.arange(ROWS) + 0.5) * r.height / ROWS - 0.5, 0, r.height - 1)
-                x = np.clip((np.arange(COLUMNS) + 0.5) * r.width / COLUMNS - 0.5, 0, r.width - 1)
-                y0, x0 = y.astype(int), x.astype(int)
-                y1, x1 = np.minimum(y0 + 1, r.height - 1), np.minimum(x0 + 1, r.width - 1)
-                fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-                small = (px[y0][:, x0] * (1 - fx) + px[y0][:, x1] * fx) * (1 - fy) + (px[y1][:, x0] * (1 - fx) + px[y1][:, x1] * fx) * fy
-                luma = (small.round().astype(np.int64) * [299, 587, 114]).sum(2) // 1000
-                out.append(np.packbits(luma[:, :-1] < luma[:, 1:]).view(">i8")[0])
-            yield pd.DataFrame({"path": pdf["origin"], "phash": np.array(out, np.int64)})
+            out = np.zeros(len(pdf), np.int64)
+            for (h, w, c), where in pdf.groupby(["height", "width", "nChannels"]).indices.items():
+                for at in range(0, len(where), 64):  # pictures of one shape together, a bounded number at a time
+                    own = where[at : at + 64]
+                    px = np.stack([np.frombuffer(pdf["data"].iat[i], np.uint8).reshape(h, w, c) for i in own])
+                    out[own] = _shape_prints(px)
+            yield pd.DataFrame({"path": pdf["origin"], "phash": out})
 
     flat = images.select("image.*").where("width > 0 AND height > 0")
     return flat.mapInPandas(prints, "path string, phash long")
@@ -52,9 +62,12 @@ def hamming64(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def cluster_fingerprint(members: Column) -> Column:
-    """Of a set of paths, whatever their order; empty for none."""
-    return F.when(F.size(members) > 0, F.sha2(F.array_join(F.array_sort(members), "\n"), 256)).otherwise("")
+def cluster_fingerprint(path: Column) -> Column:
+    """Aggregate: of a group's different paths, whatever their order; empty for none. Four 60-bit pieces of each path's
+    checksum are joined by exclusive or, so that partial results merge and no group is ever gathered."""
+    digest = F.sha2(path, 256)
+    pieces = [F.bit_xor(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("long")).cast("string") for k in range(4)]
+    return F.when(F.count(path) > 0, F.sha2(F.concat_ws(":", F.count(path).cast("string"), *pieces), 256)).otherwise("")
 
 
 def fnv1a32(text: Column) -> Column:

@@ -84,10 +84,32 @@ def audio_auto_tags(df: DataFrame) -> DataFrame:
     ))
 
 
+DESCRIBED = {
+    "taken_at": "timestamp", "camera_make": "string", "camera_model": "string", "lens": "string", "iso": "int", "orientation": "int", "flash": "int",
+    "width": "int", "height": "int", "codec": "string", "duration_sec": "double", "bitrate_kbps": "int", "channels": "int",
+}
+
+
+def with_auto_tags(df: DataFrame) -> DataFrame:
+    """df(path, mod_time) and whatever else is known, with name, media_kind and ``auto_tags``; what is not known of a
+    file (DESCRIBED) gives no tag."""
+    path = F.col("path")
+    known = df.withColumns({k: F.lit(None).cast(t) for k, t in DESCRIBED.items() if k not in df.columns})
+    kind = media_kind(path)
+    photo = photo_auto_tags(known).select("*", F.col("auto_tags").alias("photo_tags")).drop("auto_tags")
+    both = audio_auto_tags(photo).withColumn("auto_tags", F.when(kind == "audio", F.col("auto_tags")).otherwise(F.col("photo_tags")))
+    new = {"name": base_name(path), "media_kind": kind, "auto_tags": F.col("auto_tags")}
+    return both.select(*[x for x in df.columns if x not in new], *[v.alias(k) for k, v in new.items()])
+
+
 def flash_fired(flash: Column) -> Column:
     return F.coalesce(flash.bitwiseAND(1) == 1, F.lit(False))
 
 
+# What a hit counts, at the start, behind a boundary, and less for each character of the target.
+HIT, AT_START, AT_BOUNDARY, A_CHARACTER = 1, 4, 2, 0.01
+
+
 def fuzzy_score(q: str, target: Column) -> Column:
     """How well the letters of q, in order, hit the target; null if they don't all occur."""
     q = q.lower()
@@ -102,9 +124,9 @@ def fuzzy_score(q: str, target: Column) -> Column:
     def step(acc, c):
         hit = (acc["qi"] < len(q)) & (c["x"] == F.get(wanted, acc["qi"]))
         run = F.when(hit & acc["hit"], acc["run"] + 1).otherwise(0)
-        place = F.when(c["before"] == "", 4).when(c["before"].rlike("[\\s\\-_./]"), 2).otherwise(0)
-        gain = F.when(hit, 1 + place + run).otherwise(0)
+        place = F.when(c["before"] == "", AT_START).when(c["before"].rlike("[\\s\\-_./]"), AT_BOUNDARY).otherwise(0)
+        gain = F.when(hit, HIT + place + run).otherwise(0)
         return F.struct((acc["qi"] + hit.cast("int")).alias("qi"), (acc["score"] + gain).alias("score"), F.when(hit, run).otherwise(acc["run"]).alias("run"), hit.alias("hit"))
 
     end = F.aggregate(F.filter(at, lambda c: c["x"].isNotNull() & (c["x"] != "")), zero, step)
-    return F.when(end["qi"] == len(q), end["score"] - F.length(text) * F.lit(0.01).cast("double"))
+    return F.when(end["qi"] == len(q), end["score"] - F.length(text) * F.lit(A_CHARACTER))

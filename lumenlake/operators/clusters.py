@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.hashes import cluster_fingerprint, cluster_id, hamming64
+from lumenlake.operators.rewrite import add_tags
+from lumenlake.operators.search import with_position
 from lumenlake.operators.tables import components, materialise
 
 DUPLICATE, SIMILAR = 5, 12
@@ -29,9 +31,8 @@ def exact_members(df: DataFrame) -> DataFrame:
 
 
 def fingerprints(members: DataFrame) -> DataFrame:
-    """(id, fingerprint) of clusters given as members(id, path). The fingerprint is one checksum over all
-    paths, so a cluster's paths meet in one row; that is the definition."""
-    return members.groupBy("id").agg(cluster_fingerprint(F.collect_list("path")).alias("fingerprint"))
+    """(id, fingerprint) of clusters given as members(id, path), each path once."""
+    return members.groupBy("id").agg(cluster_fingerprint(F.col("path")).alias("fingerprint"))
 
 
 def drop_dismissed(clusters: DataFrame, members: DataFrame, dismissed: DataFrame) -> DataFrame:
@@ -44,14 +45,26 @@ def keeper_and_extras(members: DataFrame) -> DataFrame:
     return members.select("id", "path", F.when(F.col("keep"), "keep").otherwise("extra").alias("role"))
 
 
-def bands_of(phash: Column, threshold: int) -> Column:
-    """threshold + 1 slices of the 64 bits: hashes within threshold agree in one at least."""
-    n, at, out = threshold + 1, 0, []
+def slices_of(phash: Column, n: int) -> list[Column]:
+    """The 64 bits cut into n slices of about one width."""
+    at, out = 0, []
     for k in range(n):
         width = 64 // n + (k < 64 % n)
-        out.append(F.shiftrightunsigned(phash, at).bitwiseAND((1 << width) - 1))
+        out.append((F.shiftrightunsigned(phash, at).bitwiseAND((1 << width) - 1), width))
         at += width
-    return F.array(*out)
+    return out
+
+
+def shared_keys(phash: Column, threshold: int, equal: int = 3) -> Column:
+    """Keys of which two hashes within threshold share at least one: of threshold + equal slices at most threshold
+    differ, so some ``equal`` of them agree. Three slices together have 24 bits or so, which keeps buckets small."""
+    own, keys = slices_of(phash, threshold + equal), []
+    for number, some in enumerate(combinations(own, equal)):
+        value = F.lit(number).cast("long")
+        for part, width in some:
+            value = F.shiftleft(value, width).bitwiseOR(part)
+        keys.append(value)
+    return F.array(*keys)
 
 
 def _probes(value: Column, flips: list[int], band: int) -> Column:
@@ -80,17 +93,18 @@ def distinct_hashes(df: DataFrame) -> DataFrame:
 def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
     """(kind, a, b, dist), a < b, all pairs of distinct hashes within threshold, losing none.
 
-    Up to eight: one of threshold + 1 slices is equal. Beyond, slices are few bits, so fewer and longer ones
-    are taken, of which one differs in at most two bits; one side probes those.
+    Up to eight: hashes that agree in some three of threshold + 3 slices meet. Beyond, slices are few bits, so fewer
+    and longer ones are taken, of which one differs in at most two bits; one side probes those.
     """
     if threshold <= 8:
-        left = right = hashes.select("kind", "phash", F.posexplode(bands_of(F.col("phash"), threshold)).alias("band", "value"))
+        left = right = hashes.select("kind", "phash", F.explode(shared_keys(F.col("phash"), threshold)).alias("key"))
+        pairs = left.withColumnRenamed("phash", "a").join(right.withColumnRenamed("phash", "b"), ["kind", "key"]).where("a < b")
     else:
         bands = threshold // 3 + 1
-        left = hashes.select("kind", "phash", F.posexplode(bands_of(F.col("phash"), bands - 1)).alias("band", "value"))
+        left = hashes.select("kind", "phash", F.posexplode(F.array(*[x for x, _ in slices_of(F.col("phash"), bands)])).alias("band", "value"))
         right = hashes.select("kind", "phash", F.explode(wide_probes(F.col("phash"), bands, 2)).alias("p")).select("kind", "phash", "p.*")
-    pairs = left.withColumnRenamed("phash", "a").join(right.withColumnRenamed("phash", "b"), ["kind", "band", "value"])
-    pairs = pairs.where("a < b") if threshold <= 8 else pairs.where("a <> b").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = left.withColumnRenamed("phash", "a").join(right.withColumnRenamed("phash", "b"), ["kind", "band", "value"])
+        pairs = pairs.where("a <> b").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.withColumn("dist", hamming64(F.col("a"), F.col("b"))).where(F.col("dist") <= threshold).select("kind", "a", "b", "dist").distinct()
 
 
@@ -108,25 +122,48 @@ def near_groups(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
     return own.join(labels, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root", "node", "kind")
 
 
-def near_clusters(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
-    """(id, size, untagged, first) of each group of two rows or more."""
-    groups = near_groups(df, threshold).groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.count_if("untagged").alias("untagged"), F.min("path").alias("first"))
+def clusters_of(groups: DataFrame) -> DataFrame:
+    """(group, id, size, untagged, first) of each group of two rows or more, from near_groups."""
+    found = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.count_if("untagged").alias("untagged"), F.min("path").alias("first"))
     least = F.conv(F.substring_index("group", ":", -1), 16, -10).cast("long")
-    return groups.where("size > 1").select(cluster_id(least, F.col("first")).alias("id"), "size", "untagged", "first")
+    return found.where("size > 1").select("group", cluster_id(least, F.col("first")).alias("id"), "size", "untagged", "first")
+
+
+def near_clusters(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
+    """(id, size, untagged, first) of each group of two rows or more; the id is that of the group's smallest hash."""
+    return clusters_of(near_groups(df, threshold)).drop("group")
+
+
+def near_members(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
+    """(id, path, size_bytes, keep): the rows of near_clusters; keep marks the first path of each."""
+    groups = materialise(near_groups(df, threshold), "groups")
+    return groups.join(clusters_of(groups).select("group", "id", "first"), "group").select("id", "path", "size_bytes", (F.col("path") == F.col("first")).alias("keep"))
 
 
 def clusters_needing_tags(clusters: DataFrame) -> DataFrame:
     return clusters.where("untagged > 0")
 
 
-def clusters_min_size(clusters: DataFrame, n: int) -> DataFrame:
-    return clusters.where(F.col("size") >= n)
+def clusters_min_size(clusters: DataFrame, n: int, page: int | None = None, rows: int = 50) -> DataFrame:
+    """Clusters of n members or more; with page, counted from 0, only that page of ``rows`` of them, largest first."""
+    own = clusters.where(F.col("size") >= n)
+    if page is None:
+        return own
+    return with_position(own, [F.desc("size"), F.asc("id")]).where(F.col("pos").between(page * rows, (page + 1) * rows - 1))
+
+
+def apply_similar_scope(df: DataFrame, duplicates: DataFrame, similar: DataFrame, cluster: str, tags: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(df, counts): tags merged into all members of a duplicate cluster, and of the looser clusters that hold one of
+    them. duplicates and similar are members(id, path)."""
+    own = duplicates.where(F.col("id") == cluster).select("path")
+    wider = similar.join(similar.join(own, "path", "left_semi").select("id").distinct(), "id", "left_semi").select("path")
+    return add_tags(df, own.union(wider), tags)
 
 
 def dismiss(dismissed: DataFrame, members: DataFrame) -> DataFrame:
     """dismissed(fingerprint) and the fingerprints of members(id, path), clusters of two or more."""
-    many = members.groupBy("id").agg(F.collect_set("path").alias("p")).where(F.size("p") > 1)
-    return dismissed.union(many.select(cluster_fingerprint(F.col("p")).alias("fingerprint"))).distinct()
+    many = members.groupBy("id").agg(cluster_fingerprint(F.col("path")).alias("fingerprint"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return dismissed.union(many.select("fingerprint")).distinct()
 
 
 def undismiss(dismissed: DataFrame, fingerprints: DataFrame) -> DataFrame:
@@ -155,25 +192,29 @@ def nearest_place(points: DataFrame, cities: DataFrame, max_km: float = 50.0, ce
     return points.join(best, "id", "left")
 
 
-def semantic_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def semantic_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:
     """(query, vec_id, score, rank): for each of queries(vec_id, embedding), a stated set, its k nearest of all
-    vectors by cosine. Each partition keeps k for each query before anything is shuffled by query."""
+    vectors by cosine. The queries are sent to every task, so more than most_queries are refused: ask in blocks. Each
+    partition keeps k for each query before anything is shuffled by query."""
+    if (asked := queries.count()) > most_queries:
+        raise ValueError(f"{asked} queries; at most {most_queries} at once")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(q) if queries.count() <= 10_000 else q, F.col("query") != F.col("vec_id"))
-    score = dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding")))
-    pairs = pairs.select("query", "vec_id", F.round(score, 9).alias("score"))
+    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), dot(F.col("embedding"), F.col("embedding")).alias("qq"))
+    own = vectors.select("vec_id", "embedding", dot(F.col("embedding"), F.col("embedding")).alias("vv"))
+    pairs = own.join(F.broadcast(q), F.col("query") != F.col("vec_id"))  # a checked number of rows
+    pairs = pairs.select("query", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / F.sqrt(F.col("qq") * F.col("vv")), 9).alias("score"))
     some = Window.partitionBy("query", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy(F.desc("score"), "vec_id")
     few = pairs.withColumn("_r", F.row_number().over(some)).where(F.col("_r") <= k)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).drop("_r")
 
 
 def tagging_queue(members: DataFrame, df: DataFrame) -> DataFrame:
-    """(id, tag, size) for clusters with an untagged member: the auto tags that all members share; tag is null
-    where there is none. members(id, path)."""
-    own = members.join(df.select("path", "auto_tags", "tags"), "path")
-    n = own.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.size("tags") == 0).alias("untagged")).where("untagged > 0")
-    tags = own.select("id", F.explode("auto_tags").alias("tag")).groupBy("id", "tag").agg(F.count(F.lit(1)).alias("m"))
-    shared = n.join(tags, "id").where("m = size").select("id", "tag")
-    return n.join(shared, "id", "left").select("id", "tag", "size")
-
+    """(pos, id, size, untagged, first, shared) of clusters with an untagged member, largest first: the first path
+    stands for the cluster, shared are the auto tags that all members have. members(id, path)."""
+    own = members.select("id", "path").join(df.select("path", "auto_tags", "tags"), "path")
+    n = own.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.size("tags") == 0).alias("untagged"), F.min("path").alias("first")).where("untagged > 0")
+    tags = own.select("id", F.explode(F.array_distinct("auto_tags")).alias("tag")).groupBy("id", "tag").agg(F.count(F.lit(1)).alias("m"))
+    # no more tags than one row has
+    shared = n.join(tags, "id").where("m = size").groupBy("id").agg(F.array_sort(F.collect_list("tag")).alias("shared"))
+    out = n.join(shared, "id", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<string>")))
+    return with_position(out, [F.desc("size"), F.asc("id")])

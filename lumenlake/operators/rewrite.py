@@ -114,7 +114,7 @@ def plan_deletes(df: DataFrame, paths: DataFrame, permanent: bool = False) -> tu
 
 def plan_undo(df: DataFrame, undo: DataFrame, trash: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(results, df): the last operation of undo(op_seq, kind, old_path, new_path) reversed. Moves swap back;
-    trashed rows return with path, name and hash only; permanent deletes never do."""
+    trashed rows return with path, name and hash only, and without tags; permanent deletes never do."""
     last = undo.join(F.broadcast(undo.agg(F.max("op_seq").alias("op_seq"))), "op_seq")  # one row
     back = last.where("kind = 'move'").select(F.col("new_path").alias("path"), F.col("old_path").alias("_to"))
     out = df.join(back, "path", "left").withColumn("path", F.coalesce("_to", "path")).withColumn("name", F.when(F.col("_to").isNotNull(), base_name(F.col("_to"))).otherwise(F.col("name"))).drop("_to")
@@ -122,4 +122,6 @@ def plan_undo(df: DataFrame, undo: DataFrame, trash: DataFrame) -> tuple[DataFra
     restored = restored.select(F.col("original_path").alias("path"), base_name(F.col("original_path")).alias("name"), "hash")
     found = back.join(df.select("path"), "path", "left_semi").select(F.col("_to").alias("path")).union(restored.select("path")).withColumn("_ok", F.lit(True))
     results = last.select(F.col("old_path").alias("path")).join(found, "path", "left").select("path", F.coalesce("_ok", F.lit(False)).alias("success"))
-    return results, out.unionByName(restored, allowMissingColumns=True)
+    out = out.unionByName(restored, allowMissingColumns=True)
+    lists = [x for x in ("tags", "auto_tags") if x in out.columns]
+    return results, out.withColumns({x: F.coalesce(x, F.array().cast("array<string>")) for x in lists})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.paths import is_under
 from lumenlake.functions.tags import HIDDEN, UNTAGGED, fuzzy_score, tokenize_query
+from lumenlake.operators.tables import materialise
 
 SORT_KEYS = {"name": "name", "date": "taken_at", "size": "size_bytes"}
 
@@ -48,17 +49,16 @@ def sort_media(df: DataFrame, key: str = "name", desc: bool = False) -> DataFram
 
 def with_position(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
     """The place of each row in a total order, from 0, without a window over all rows in one task: rows are
-    range-partitioned, counted for each partition, and numbered within it."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = ranged.groupBy(part.alias("_part")).count()
-    starts = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    range-partitioned and written with their number within the partition, and the partitions' sizes are added up. The
+    range-partitioned rows are a table because a second plan of them might be cut at other boundaries."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))
+    ranged = materialise(ranged, "ranged").select("row", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("number"))
+    sizes = ranged.groupBy("part").count()
     # one row for each partition of the sort
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = F.broadcast(starts) if most <= 100_000 else starts
-    return ranged.withColumn("_part", part).join(starts, "_part").withColumn(out, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_start")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    placed = ranged.join(starts, "part").select("row", (F.col("start") + F.col("number")).alias("place"))
+    return placed.select("row.*", F.col("place").alias(out)) if out not in df.columns else placed.select(F.col("row").withField(out, F.col("place")).alias("row")).select("row.*")
 
 
 def search_media(df: DataFrame, q: str = "", folder: str | None = None, sort: str = "name", desc: bool = False, match: str = "all") -> DataFrame:
@@ -79,6 +79,15 @@ def get_media(df: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(df.withColumn("found", F.lit(True)), "path", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def audio_as_media(audio: DataFrame, photos: DataFrame) -> DataFrame:
+    """audio in the columns of photos; what a sound has not is null."""
+    return photos.limit(0).unionByName(audio.select(*[x for x in audio.columns if x in photos.columns]), allowMissingColumns=True)
+
+
+def all_media(photos: DataFrame, audio: DataFrame) -> DataFrame:
+    return photos.unionByName(audio_as_media(audio, photos))
+
+
 def filter_tag_names(stats: DataFrame, text: str) -> DataFrame:
     return stats.where(F.col("name").contains(text.strip().lower()))
 

@@ -46,19 +46,24 @@ def detect_changes(listing: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def prune_missing(catalog: DataFrame, listing: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed): rows that the listing lacks go, only those under root if one is given."""
-    if root is None:
-        return catalog.join(listing.select("path"), "path", "left_semi"), catalog.join(listing.select("path"), "path", "left_anti").select("path")
-    inside = is_under(F.col("path"), root)
+    """(kept, removed): rows that the listing lacks go, only those under root if one is given. A listing without a
+    row (there) is taken for a failed one and refused: it would remove everything."""
+    inside = F.lit(True) if root is None else is_under(F.col("path"), root)
     own = listing.where(inside).select("path")
+    if own.isEmpty():
+        raise ValueError("the listing has no row; nothing is pruned")
     kept = catalog.where(~inside).unionByName(catalog.where(inside).join(own, "path", "left_semi"))
     return kept, catalog.where(inside).join(own, "path", "left_anti").select("path")
 
 
-def covered_by_roots(folders: DataFrame, roots: DataFrame) -> DataFrame:
-    """folders(path) that equal or lie below one of roots(path)."""
+def covered_by_roots(folders: DataFrame, roots: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """folders(path) that equal or lie below one of roots(path), or, if media(path) is given, hold any of it."""
     up = folders.select("path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("up"))
-    return up.join(roots.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
+    found = up.join(roots.select(F.col("path").alias("up")), "up", "left_semi").select("path")
+    if media is not None:
+        above = media.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+        found = found.union(folders.select("path").join(above, "path", "left_semi"))
+    return found.distinct()
 
 
 def drop_ignored(paths: DataFrame, ignored: DataFrame) -> DataFrame:
@@ -73,14 +78,16 @@ def scan_summary(changes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def latest_per_path(df: DataFrame, seq: str) -> DataFrame:
-    """The last row of each path by seq; of equal ones any."""
-    names = [x for x in df.columns if x != "path"]
-    return df.groupBy("path").agg(F.max_by(F.struct(*names), seq).alias("_r")).select("path", "_r.*")
+    """The last row of each path by seq; of equal ones the greatest by its other columns."""
+    names = [x for x in df.columns if x not in ("path", seq)]
+    return df.groupBy("path").agg(F.max(F.struct(seq, *names)).alias("_r")).select("path", "_r.*")
 
 
 def additive_scan(catalog: DataFrame, scanned: DataFrame) -> DataFrame:
-    """scanned over catalog, unrelated rows kept."""
-    return scanned.unionByName(catalog.join(scanned.select("path"), "path", "left_anti"), allowMissingColumns=True)
+    """scanned over catalog, unrelated rows kept. A row without tags has an empty list of them."""
+    out = scanned.unionByName(catalog.join(scanned.select("path"), "path", "left_anti"), allowMissingColumns=True)
+    lists = [x for x in ("tags", "auto_tags") if x in out.columns]
+    return out.withColumns({x: F.coalesce(x, F.array().cast("array<string>")) for x in lists})
 
 
 def upsert_catalog(catalog: DataFrame, built: DataFrame, preserve_tags: bool = False) -> DataFrame:
@@ -100,6 +107,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
+def snapshot_counts(diff: DataFrame) -> DataFrame:
+    """(change, count) of snapshot_diff."""
+    return diff.groupBy("change").agg(F.count(F.lit(1)).alias("count"))
+
+
 def journal_pending(journal: DataFrame) -> DataFrame:
     """The last entry of each id by seq, if it is still pending."""
     names = [x for x in journal.columns if x != "id"]
@@ -112,20 +124,19 @@ def recovery_plan(pending: DataFrame, listing: DataFrame, trash: DataFrame) -> D
     out = pending
     for column in ("old_path", "new_path", "path"):
         out = out.join(there.select(F.col("_p").alias(column), F.col("_there").alias(f"_{column}")), column, "left")
-    in_trash = trash.select(F.col("original_path").alias("path")).distinct().withColumn("_trash", F.lit(True))
-    out = out.join(in_trash, "path", "left")
+    out = trash_match(out, trash).withColumnRenamed("in_trash", "_trash")
     yes = lambda x: F.coalesce(F.col(x), F.lit(False))
     src, dst, here, trashed = yes("_old_path"), yes("_new_path"), yes("_path"), yes("_trash")
     kind = F.col("kind")
     cases = [
         ((kind == "move") & ~src & dst, "forwarded", "complete", None, "rename"),
-        ((kind == "move") & src & ~dst, "rolled", "failed", "crashed before move started", "none"),
-        ((kind == "move") & src & dst, "rolled", "failed", "partial cross-FS copy, destination removed", "none"),
-        (kind == "move", "skipped", "failed", "both src and dst missing on recovery", "remove"),
-        ((kind == "delete") & here, "rolled", "failed", "crashed before delete started", "none"),
+        ((kind == "move") & src & ~dst, "rolled", "failed", "the move never began: source in place", "none"),
+        ((kind == "move") & src & dst, "rolled", "failed", "both ends exist: the unfinished copy is dropped", "none"),
+        (kind == "move", "skipped", "failed", "neither end of the move exists", "remove"),
+        ((kind == "delete") & here, "rolled", "failed", "the delete never began: file in place", "none"),
         ((kind == "delete") & trashed, "forwarded", "complete", None, "remove"),
-        (kind == "delete", "skipped", "failed", "file missing and not in trash on recovery", "remove"),
-        ((kind == "permanent-delete") & here, "rolled", "failed", "crashed before permanent delete", "none"),
+        (kind == "delete", "skipped", "failed", "the file is gone and the trash lacks it", "remove"),
+        ((kind == "permanent-delete") & here, "rolled", "failed", "the file still exists", "none"),
         (kind == "permanent-delete", "forwarded", "complete", None, "remove"),
     ]
     row = F.struct(F.lit("skipped").alias("outcome"), F.lit("pending").alias("state"), F.lit(None).cast("string").alias("message"), F.lit("none").alias("catalog_action"))
@@ -139,15 +150,33 @@ def rescan_order(roots: DataFrame) -> DataFrame:
     return roots.withColumn("pos", F.row_number().over(Window.orderBy(F.asc_nulls_first("last_scanned_at"), "path")) - 1)
 
 
+def trash_match(pending: DataFrame, trash: DataFrame) -> DataFrame:
+    """pending(path) with in_trash, whether trash has a row of that original_path."""
+    there = trash.select(F.col("original_path").alias("path")).distinct().withColumn("in_trash", F.lit(True))
+    return pending.join(there, "path", "left").withColumn("in_trash", F.coalesce("in_trash", F.lit(False)))
+
+
 def trash_list(trash: DataFrame, listing: DataFrame) -> DataFrame:
     """Trash rows whose file is in listing(path), newest first."""
     return trash.join(listing.select(F.col("path").alias("trash_path")), "trash_path", "left_semi").orderBy(F.desc("trashed_at"), "id")
 
 
-def upsert_roots(roots: DataFrame, ignored: DataFrame, origin: str, dirs: DataFrame) -> DataFrame:
-    """roots(path, origin, last_scanned_at) and those of dirs(path) that are new, not blank and not ignored."""
+def upsert_roots(roots: DataFrame, ignored: DataFrame, origin: str, dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(roots, added): roots(path, origin, last_scanned_at) with those of dirs(path) that are new, not blank and not
+    ignored; added are the new ones."""
     new = drop_ignored(dirs.where("trim(path) <> ''").select("path").distinct(), ignored).join(roots.select("path"), "path", "left_anti")
-    return roots.unionByName(new.withColumn("origin", F.lit(origin)), allowMissingColumns=True)
+    return roots.unionByName(new.withColumn("origin", F.lit(origin)), allowMissingColumns=True), new
+
+
+def decompose_roots(roots: DataFrame, listing: DataFrame) -> DataFrame:
+    """roots with the directories, as the listing shows them, below each root that is its own origin and has none."""
+    own = F.coalesce("origin", "path") == F.col("path")
+    parents = roots.where(~own).select(F.col("origin").alias("path")).distinct()
+    whole = roots.where(own).join(parents, "path", "left_anti").select(F.col("path").alias("origin"))
+    dirs = listing.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct().where(~F.exists(F.split("path", "/"), skipped_dir))
+    below = dirs.select("path", F.explode(ancestors(F.col("path"))).alias("origin")).join(whole, "origin")
+    new = below.groupBy("path").agg(F.max("origin").alias("origin")).join(roots.select("path"), "path", "left_anti")  # the nearest: the longest
+    return roots.unionByName(new, allowMissingColumns=True)
 
 
 def remove_roots(roots: DataFrame, ignored: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

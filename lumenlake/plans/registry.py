@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumenlake.functions import hashes, paths, tags
 from lumenlake.operators import clusters, rewrite, search, stats, sync
-from lumenlake.operators.tables import materialise
+from lumenlake.operators.tables import materialise, shared_dir
 from lumenlake.plans.catalog import CATALOG, EVENTS, HASHED, LISTING, ROOTS, catalog, change_events, hidden_tags, journal, listing, roots, table
+from lumenlake.sources import files
 from lumenlake.streaming import changes
 
 QUERIES: dict = {}
@@ -26,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def on_catalog(select: str, base: str = CATALOG) -> str:
-    recursive = "RECURSIVE " if "reach AS" in select else ""
+    recursive = "RECURSIVE " if "reach" in select else ""
     return f"WITH {recursive}{base}{'' if select.lstrip().startswith('SELECT') else ','} {select}"
 
 
@@ -76,10 +79,12 @@ def audio_auto_tags(spark, sf_dir):
 WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
-@query(f"SELECT doc_id, list_filter({WORDS}, lambda w, i: list_position({WORDS}, w) = i AND w <> 'untagged') AS tags FROM documents WHERE length(text) <= 400")
+@query(f"""WITH w AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+f AS (SELECT doc_id, w, min(i) AS i FROM w WHERE w <> 'untagged' GROUP BY doc_id, w), t AS (SELECT doc_id, list(w ORDER BY i) AS tags FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(tags, []) AS tags FROM documents LEFT JOIN t USING (doc_id)""")
 def normalize_tags(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").where("length(text) <= 400")
-    return own.select("doc_id", tags.normalize_tags(F.split("text", " |\n")).alias("tags"))
+    own = table(spark, sf_dir, "documents")
+    return own.select("doc_id", tags.normalize_tags(F.split("text", "[ \n]")).alias("tags"))
 
 
 @query(f"SELECT doc_id, {WORDS} AS tokens FROM documents")
@@ -121,13 +126,20 @@ def human_size(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", paths.human_size(n).alias("size"))
 
 
-@query(on_catalog("SELECT hash, sha256(string_agg(path, chr(10) ORDER BY path)) AS fingerprint FROM catalog GROUP BY hash HAVING count(*) > 1"))
+#: Four 60-bit pieces of each path's checksum, joined by exclusive or.
+PRINT = "sha256(concat_ws(':', count(*)" + "".join(f", bit_xor(('0x' || substr(sha256(path), {1 + 15 * k}, 15))::BIGINT)" for k in range(4)) + "))"
+
+
+@query(on_catalog(f"SELECT hash, {PRINT} AS fingerprint FROM catalog GROUP BY hash HAVING count(*) > 1"))
 def cluster_fingerprint(spark, sf_dir):
     own = catalog(spark, sf_dir)
     found = clusters.fingerprints(clusters.exact_members(own).select("id", "path"))
     return found.select(F.substring("id", 7, 64).alias("hash"), "fingerprint")
 
 
+FNV = "list_reduce(list_prepend(2166136261, list_transform(range(strlen({x})), lambda i: ('0x' || substr(hex({x}), 2 * i + 1, 2))::BIGINT)), lambda h, b: xor(h, b) * 16777619 % 4294967296)"
+
+
 @query(on_catalog("""
 SELECT path, lpad(lower(printf('%x', u)), 16, '0') || '-' || lpad(lower(printf('%x', list_reduce(list_prepend(2166136261, list_transform(range(strlen(path)), lambda i: ('0x' || substr(hex(path), 2 * i + 1, 2))::BIGINT)), lambda h, b: xor(h, b) * 16777619 % 4294967296))), 8, '0') AS id
 FROM (SELECT path, (CASE WHEN phash < 0 THEN phash::HUGEINT + 18446744073709551616 ELSE phash END)::UBIGINT AS u FROM hashed)""", HASHED))
@@ -171,9 +183,9 @@ for _key, _column in search.SORT_KEYS.items():
     for _desc in (False, True):
         _way, _nulls = ("DESC", "FIRST") if _desc else ("ASC", "LAST")
 
-        @query(on_catalog(f"SELECT path, row_number() OVER (ORDER BY {_column} {_way} NULLS {_nulls}, path {_way}) - 1 AS pos FROM catalog"), name=f"sort_media_{_key}_{_way.lower()}")
+        @query(on_catalog(f"SELECT path, name, media_kind, hash, size_bytes, mod_time, taken_at, row_number() OVER (ORDER BY {_column} {_way} NULLS {_nulls}, path {_way}) - 1 AS pos FROM catalog"), name=f"sort_media_{_key}_{_way.lower()}")
         def sort_media(spark, sf_dir, key=_key, desc=_desc):
-            return search.with_position(catalog(spark, sf_dir), search.sort_order(key, desc)).select("path", "pos")
+            return search.with_position(catalog(spark, sf_dir), search.sort_order(key, desc)).select("path", "name", "media_kind", "hash", "size_bytes", "mod_time", "taken_at", "pos")
 
 
 @query(on_catalog("SELECT k.path, c.name, c.path IS NOT NULL AS found FROM (SELECT path FROM listing) k LEFT JOIN catalog c ON c.path = k.path", LISTING))
@@ -203,12 +215,24 @@ def filter_tag_names(spark, sf_dir):
     return search.filter_tag_names(_stats(spark, sf_dir), " Canon ")
 
 
-@query()
+def fuzzy(q: str, text: str) -> str:
+    """The score of q against the column text: a fold over its letters that carries how many of q are hit."""
+    hit = f"(a.qi < {len(q)} AND x.c = substr('{q}', a.qi + 1, 1))"
+    run = f"CASE WHEN {hit} THEN CASE WHEN a.hit THEN a.run + 1 ELSE 0 END ELSE a.run END"
+    place = "CASE WHEN x.p = '' THEN 4 WHEN regexp_matches(x.p, '[\\s\\-_./]') THEN 2 ELSE 0 END"
+    start = "'qi': 0, 'score': 0, 'run': 0, 'hit': false"
+    letters = f"list_transform(range(1, length({text}) + 1), lambda i: {{'c': lower({text})[i], 'p': CASE WHEN i = 1 THEN '' ELSE lower({text})[i - 1] END, {start}}})"
+    step = f"{{'c': x.c, 'p': x.p, 'qi': a.qi + {hit}::INT, 'score': a.score + CASE WHEN {hit} THEN 1 + {place} + ({run}) ELSE 0 END, 'run': {run}, 'hit': {hit}}}"
+    end = f"list_reduce(list_prepend({{'c': '', 'p': '', {start}}}, {letters}), lambda a, x: {step})"
+    return f"list_transform([{end}], lambda e: CASE WHEN e.qi = {len(q)} THEN e.score - length({text}) * 0.01::DOUBLE END)[1]"
+
+
+@query(on_catalog(STATS + f" SELECT * FROM (SELECT name, max(count)::BIGINT AS count, {fuzzy('can', 'name')} AS score FROM tag_stats WHERE kind <> 'system' AND name <> 'camera:canon' GROUP BY name) WHERE score IS NOT NULL ORDER BY score DESC, name LIMIT 8"))
 def suggest_tags(spark, sf_dir):
     return search.suggest_tags(_stats(spark, sf_dir), "can", ["camera:canon"])
 
 
-@query()
+@query(on_catalog(f"SELECT path, {fuzzy('doc1', 'name')} AS score FROM catalog"))
 def fuzzy_score(spark, sf_dir):
     return catalog(spark, sf_dir).select("path", tags.fuzzy_score("doc1", F.col("name")).alias("score"))
 
@@ -216,8 +240,7 @@ def fuzzy_score(spark, sf_dir):
 @query(on_catalog("p AS (SELECT path, row_number() OVER (ORDER BY name, path) - 1 AS pos FROM catalog), e AS (SELECT min(pos) AS a, max(pos) AS b FROM p WHERE path LIKE '%/doc\\_10.%' ESCAPE '\\' OR path LIKE '%/doc\\_50.%' ESCAPE '\\') SELECT path, pos FROM p, e WHERE pos BETWEEN a AND b"))
 def select_range(spark, sf_dir):
     own = materialise(search.with_position(catalog(spark, sf_dir), search.sort_order("name")).select("path", "pos"), "positions")
-    ends = own.where(F.col("path").rlike("/doc_(10|50)\\.")).orderBy("path")
-    a, b = [x.path for x in ends.collect()]
+    a, b = [x.path for x in own.where(F.col("path").rlike("/doc_(10|50)\\.")).orderBy("path").take(2)]  # two rows
     return search.select_range(own, b, a)
 
 
@@ -269,7 +292,12 @@ def clusters_min_size(spark, sf_dir):
     return clusters.clusters_min_size(clusters.exact_clusters(catalog(spark, sf_dir)), 3)
 
 
-PRINTS = EXACT + ", f AS (SELECT 'exact-' || hash AS id, sha256(string_agg(path, chr(10) ORDER BY path)) AS fingerprint, min(doc_id) AS d FROM catalog GROUP BY hash HAVING count(*) > 1)"
+@query(on_catalog(EXACT + " SELECT * FROM (SELECT *, row_number() OVER (ORDER BY size DESC, id) - 1 AS pos FROM e WHERE size >= 2) WHERE pos BETWEEN 10 AND 19"))
+def clusters_min_size__page(spark, sf_dir):
+    return clusters.clusters_min_size(clusters.exact_clusters(catalog(spark, sf_dir)), 2, 1, 10)
+
+
+PRINTS = EXACT + f", f AS (SELECT 'exact-' || hash AS id, {PRINT} AS fingerprint, min(doc_id) AS d FROM catalog GROUP BY hash HAVING count(*) > 1)"
 
 
 def _dismissed(own):
@@ -297,12 +325,16 @@ def undismiss_cluster(spark, sf_dir):
     return clusters.undismiss(every, _dismissed(own))
 
 
-NEAR = """d AS (SELECT DISTINCT CASE WHEN media_kind = 'audio' THEN 'audio' ELSE 'photo' END AS kind, phash FROM hashed WHERE phash <> 0),
-pairs AS (SELECT a.kind, a.phash AS a, b.phash AS b, bit_count(xor(a.phash, b.phash))::INT AS dist FROM d a JOIN d b ON a.kind = b.kind AND a.phash < b.phash AND bit_count(xor(a.phash, b.phash)) <= {t})"""
-GROUPS = NEAR + """, sides AS (SELECT kind, a, b FROM pairs UNION SELECT kind, b, a FROM pairs),
-reach AS (SELECT kind, phash AS node, phash AS other FROM d UNION SELECT r.kind, r.node, p.b FROM reach r JOIN sides p ON p.kind = r.kind AND p.a = r.other),
-label AS (SELECT kind, node, min(other) AS g FROM reach GROUP BY kind, node)
-SELECT count(*) AS size, count(*) FILTER (len(tags) = 0) AS untagged, min(path) AS first FROM hashed JOIN label ON node = phash AND kind = CASE WHEN media_kind = 'audio' THEN 'audio' ELSE 'photo' END GROUP BY kind, g HAVING count(*) > 1"""
+def labels(t: int, x: str = "") -> str:
+    """Tables d, pairs, m (rows with the smallest hash g of their group) and named (groups of two or more), names with x behind."""
+    return f"""d{x} AS (SELECT DISTINCT CASE WHEN media_kind = 'audio' THEN 'audio' ELSE 'photo' END AS kind, phash FROM hashed WHERE phash <> 0),
+pairs{x} AS (SELECT a.kind, a.phash AS a, b.phash AS b, bit_count(xor(a.phash, b.phash))::INT AS dist FROM d{x} a JOIN d{x} b ON a.kind = b.kind AND a.phash < b.phash AND bit_count(xor(a.phash, b.phash)) <= {t}),
+sides{x} AS (SELECT kind, a, b FROM pairs{x} UNION SELECT kind, b, a FROM pairs{x}),
+reach{x} AS (SELECT kind, phash AS node, phash AS other FROM d{x} UNION SELECT r.kind, r.node, p.b FROM reach{x} r JOIN sides{x} p ON p.kind = r.kind AND p.a = r.other),
+label{x} AS (SELECT kind, node, min((CASE WHEN other < 0 THEN other::HUGEINT + 18446744073709551616 ELSE other END)::UBIGINT) AS g FROM reach{x} GROUP BY kind, node),
+m{x} AS (SELECT l.kind, g, path, tags, auto_tags, size_bytes FROM hashed JOIN label{x} l ON node = phash AND l.kind = CASE WHEN media_kind = 'audio' THEN 'audio' ELSE 'photo' END),
+c{x} AS (SELECT kind, g, count(*) AS size, count(*) FILTER (len(tags) = 0) AS untagged, min(path) AS first FROM m{x} GROUP BY kind, g HAVING count(*) > 1),
+named{x} AS (SELECT *, lpad(lower(printf('%x', g)), 16, '0') || '-' || lpad(lower(printf('%x', {FNV.format(x="first")})), 8, '0') AS id FROM c{x})"""
 
 
 def _hashed(spark, sf_dir):
@@ -311,19 +343,35 @@ def _hashed(spark, sf_dir):
 
 for _name, _t in (("near_pairs", 5), ("near_pairs_wide", 12)):
 
-    @query(on_catalog(NEAR.format(t=_t) + " SELECT * FROM pairs", HASHED), name=_name)
+    @query(on_catalog(labels(_t) + " SELECT * FROM pairs", HASHED), name=_name)
     def near_pairs(spark, sf_dir, t=_t):
         return clusters.near_pairs(_hashed(spark, sf_dir), t)
 
 
 for _name, _t in (("duplicate_clusters", 5), ("similar_clusters", 12)):
 
-    @query(on_catalog(GROUPS.format(t=_t), HASHED), name=_name)
+    @query(on_catalog(labels(_t) + " SELECT id, size, untagged, first FROM named", HASHED), name=_name)
     def near_clusters(spark, sf_dir, t=_t):
-        return clusters.near_clusters(_hashed(spark, sf_dir), t).select("size", "untagged", "first")
+        return clusters.near_clusters(_hashed(spark, sf_dir), t)
+
 
+@query(on_catalog(labels(5) + " SELECT id, path, size_bytes, path = first AS keep FROM m JOIN named USING (kind, g)", HASHED))
+def duplicate_clusters__members(spark, sf_dir):
+    return clusters.near_members(_hashed(spark, sf_dir))
 
-@query(on_catalog(GROUPS.format(t=5).replace("SELECT count(*) AS size", ", c AS (SELECT count(*) AS size") + ") SELECT count(*) AS total, count(*) FILTER (len(tags) > 0) AS tagged, count(*) FILTER (len(tags) = 0) AS untagged, (SELECT max(untagged) FROM c) AS largest_untagged FROM catalog", HASHED))
+
+@query(on_catalog(labels(5) + ", " + labels(12, "w") + """, pick AS (SELECT path FROM m JOIN named USING (kind, g) WHERE id = (SELECT min(id) FROM named)),
+wide AS (SELECT id, path FROM mw JOIN namedw USING (kind, g)),
+scope AS (SELECT path FROM pick UNION SELECT path FROM wide WHERE id IN (SELECT id FROM wide WHERE path IN (SELECT path FROM pick)))
+SELECT path, CASE WHEN path IN (SELECT path FROM scope) THEN list_concat(tags, ['scoped']) ELSE tags END AS tags FROM hashed""", HASHED))
+def apply_similar_scope(spark, sf_dir):
+    own = _hashed(spark, sf_dir)
+    duplicates, similar = (materialise(clusters.near_members(own, t), "members") for t in (clusters.DUPLICATE, clusters.SIMILAR))
+    first = duplicates.agg(F.min("id")).first()[0]
+    return clusters.apply_similar_scope(own, duplicates, similar, first, ["Scoped"])[0].select("path", "tags")
+
+
+@query(on_catalog(labels(5) + " SELECT count(*) AS total, count(*) FILTER (len(tags) > 0) AS tagged, count(*) FILTER (len(tags) = 0) AS untagged, (SELECT max(untagged) FROM c) AS largest_untagged FROM catalog", HASHED))
 def tagging_progress(spark, sf_dir):
     own = _hashed(spark, sf_dir)
     return stats.tagging_progress(own, clusters.near_clusters(own))
@@ -377,6 +425,13 @@ def covered_by_roots(spark, sf_dir):
     return sync.covered_by_roots(catalog(spark, sf_dir).select("path"), some)
 
 
+@query("SELECT DISTINCT '/lib/' || source || x AS path FROM (SELECT source, unnest(['', '/' || lang]) AS x FROM documents) UNION SELECT DISTINCT '/lib/' || source || '/none/deep' FROM documents WHERE regexp_matches(source, '[02468]$')")
+def covered_by_roots__media(spark, sf_dir):
+    own = roots(spark, sf_dir)
+    asked = own.select("path").union(own.select(F.concat("origin", F.lit("/none/deep")).alias("path"))).distinct()
+    return sync.covered_by_roots(asked, own.where("last_scanned_at IS NOT NULL AND path = origin"), catalog(spark, sf_dir))
+
+
 @query(on_catalog("SELECT path FROM catalog WHERE NOT starts_with(path, '/lib/src1/fr/')"))
 def drop_ignored(spark, sf_dir):
     return sync.drop_ignored(catalog(spark, sf_dir).select("path"), roots(spark, sf_dir).where("path = '/lib/src1/fr'"))
@@ -422,6 +477,11 @@ def snapshot_diff(spark, sf_dir):
     return sync.snapshot_diff(catalog(spark, sf_dir).select("path", "size_bytes", "mod_time"), listing(spark, sf_dir))
 
 
+@query(on_catalog("SELECT CASE WHEN c.path IS NULL THEN 'added' WHEN l.path IS NULL THEN 'removed' ELSE 'changed' END AS change, count(*) AS count FROM listing l FULL JOIN catalog c ON l.path = c.path WHERE c.path IS NULL OR l.path IS NULL OR l.size_bytes <> c.size_bytes GROUP BY 1", LISTING))
+def snapshot_counts(spark, sf_dir):
+    return sync.snapshot_counts(snapshot_diff(spark, sf_dir))
+
+
 LAST = "last AS (SELECT * FROM journal QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1), pending AS (SELECT * FROM last WHERE state = 'pending')"
 
 
@@ -432,17 +492,19 @@ def journal_pending(spark, sf_dir):
 
 @query(f"""WITH {LISTING}, {EVENTS}, {LAST}, x AS (SELECT p.id, kind, p.old_path IN (SELECT path FROM listing) AS s, p.new_path IN (SELECT path FROM listing) AS d FROM pending p)
 SELECT id, kind, CASE WHEN kind = 'restore' THEN 'skipped' WHEN kind = 'move' AND NOT s AND d THEN 'forwarded' WHEN kind = 'move' AND NOT s THEN 'skipped' WHEN s THEN 'rolled' WHEN kind = 'delete' THEN 'skipped' ELSE 'forwarded' END AS outcome,
- CASE WHEN kind = 'restore' THEN 'pending' WHEN kind = 'move' AND NOT s AND d THEN 'complete' WHEN kind = 'permanent-delete' AND NOT s THEN 'complete' ELSE 'failed' END AS state FROM x""")
+ CASE WHEN kind = 'restore' THEN 'pending' WHEN kind = 'move' AND NOT s AND d THEN 'complete' WHEN kind = 'permanent-delete' AND NOT s THEN 'complete' ELSE 'failed' END AS state,
+ CASE WHEN kind = 'restore' THEN 'none' WHEN kind = 'move' AND NOT s AND d THEN 'rename' WHEN s THEN 'none' ELSE 'remove' END AS catalog_action,
+ CASE kind WHEN 'restore' THEN false WHEN 'move' THEN s OR NOT d WHEN 'delete' THEN true ELSE s END AS explained FROM x""")
 def recovery_plan(spark, sf_dir):
     trash = catalog(spark, sf_dir).where("doc_id % 20 = 0").select(F.col("path").alias("original_path"))
-    return sync.recovery_plan(sync.journal_pending(journal(spark, sf_dir)), listing(spark, sf_dir), trash).select("id", "kind", "outcome", "state")
+    plan = sync.recovery_plan(sync.journal_pending(journal(spark, sf_dir)), listing(spark, sf_dir), trash)
+    return plan.select("id", "kind", "outcome", "state", "catalog_action", F.col("message").isNotNull().alias("explained"))
 
 
 @query(on_catalog("pending AS (SELECT path FROM catalog WHERE doc_id % 10 = 0) SELECT p.path, t.path IS NOT NULL AS in_trash FROM pending p LEFT JOIN (SELECT path FROM catalog WHERE doc_id % 20 = 0) t USING (path)"))
 def trash_match(spark, sf_dir):
     own = catalog(spark, sf_dir)
-    trash = own.where("doc_id % 20 = 0").select(F.col("path").alias("path"), F.lit(True).alias("in_trash"))
-    return own.where("doc_id % 10 = 0").select("path").join(trash, "path", "left").withColumn("in_trash", F.coalesce("in_trash", F.lit(False)))
+    return sync.trash_match(own.where("doc_id % 10 = 0").select("path"), own.where("doc_id % 20 = 0").select(F.col("path").alias("original_path")))
 
 
 @query(f"WITH {ROOTS} SELECT path, row_number() OVER (ORDER BY last_scanned_at ASC NULLS FIRST, path) - 1 AS pos FROM roots")
@@ -461,7 +523,19 @@ def trash_list(spark, sf_dir):
 def upsert_roots(spark, sf_dir):
     own = roots(spark, sf_dir)
     ignored = own.where("path = '/lib/src1/fr'").select("path")
-    return sync.upsert_roots(own.where("last_scanned_at IS NOT NULL"), ignored, "/lib", sync.discover_dirs(catalog(spark, sf_dir), "/lib").select(F.col("dir").alias("path"))).select("path", "origin")
+    return sync.upsert_roots(own.where("last_scanned_at IS NOT NULL"), ignored, "/lib", sync.discover_dirs(catalog(spark, sf_dir), "/lib").select(F.col("dir").alias("path")))[0].select("path", "origin")
+
+
+@query(f"WITH {ROOTS} SELECT DISTINCT path FROM roots WHERE last_scanned_at IS NULL AND NOT (path = '/lib/src1/fr' OR starts_with(path, '/lib/src1/fr/')) UNION SELECT '/lib' FROM documents")
+def upsert_roots__added(spark, sf_dir):
+    own = roots(spark, sf_dir)
+    return sync.upsert_roots(own.where("last_scanned_at IS NOT NULL"), own.where("path = '/lib/src1/fr'").select("path"), "/lib", sync.discover_dirs(catalog(spark, sf_dir), "/lib").select(F.col("dir").alias("path")))[1]
+
+
+@query("SELECT DISTINCT '/lib/' || source || x AS path, '/lib/' || source AS origin FROM (SELECT source, unnest(['', '/' || lang]) AS x FROM documents)")
+def decompose_roots(spark, sf_dir):
+    whole = roots(spark, sf_dir).where("path = origin")
+    return sync.decompose_roots(whole, catalog(spark, sf_dir)).select("path", "origin")
 
 
 @query(f"WITH {ROOTS} SELECT path FROM roots WHERE path <> '/lib/src2' AND origin <> '/lib/src2'")
@@ -604,22 +678,147 @@ def plan_undo(spark, sf_dir):
     return rewrite.plan_undo(left, undo, trash)[1].select("path", "name", "hash", "size_bytes")
 
 
-@query(on_catalog("SELECT path, media_kind, width FROM catalog"))
+MEDIA = ["path", "name", "media_kind", "size_bytes", "mod_time", "width", "height", "camera_make"]
+
+
+@query(on_catalog(f"SELECT {', '.join(MEDIA)} FROM catalog"))
 def all_media(spark, sf_dir):
     own = catalog(spark, sf_dir)
-    return own.where("media_kind <> 'audio'").select("path", "media_kind", "width").unionByName(own.where("media_kind = 'audio'").select("path", "media_kind"), allowMissingColumns=True)
+    return search.all_media(own.where("media_kind <> 'audio'").select(*MEDIA), own.where("media_kind = 'audio'").select("path", "name", "media_kind", "size_bytes", "mod_time", "camera_make", "channels"))
 
 
-@query(on_catalog("SELECT path, name, NULL::INT AS width FROM catalog WHERE media_kind = 'audio'"))
+@query(on_catalog("SELECT path, name, media_kind, size_bytes, mod_time, NULL::INT AS width, NULL::INT AS height, NULL::VARCHAR AS camera_make FROM catalog WHERE media_kind = 'audio'"))
 def audio_as_media(spark, sf_dir):
     own = catalog(spark, sf_dir)
-    shape = own.where("media_kind <> 'audio'").select("path", "name", "width").limit(0)
-    return shape.unionByName(own.where("media_kind = 'audio'").select("path", "name"), allowMissingColumns=True)
+    return search.audio_as_media(own.where("media_kind = 'audio'").select("path", "name", "media_kind", "size_bytes", "mod_time", "duration_sec"), own.where("media_kind <> 'audio'").select(*MEDIA))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return files.content_hash(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "hash")
+
+
+# -- sources: written from a table into the shared folder, and read again
+
+
+def _tree(spark, sf_dir):
+    """A file /source=S/lang=L/....jpg for each pair, that lists the documents' keys."""
+    base = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    own = table(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("line"), "doc_id")
+    own = own.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id").drop("doc_id")
+    own.write.partitionBy("source", "lang").option("extension", "jpg").csv(base)
+    return base
+
+
+def _pair():
+    return [F.regexp_extract("path", f"/{x}=([^/]*)/", 1).alias(x) for x in ("source", "lang")]
+
+
+PAIRS = "SELECT source, lang, {0} FROM (SELECT source, lang, string_agg(doc_id, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY source, lang)"
+
+
+@query(PAIRS.format("strlen(content)::BIGINT AS size_bytes"))
+def list_media(spark, sf_dir):
+    return files.list_media(spark, _tree(spark, sf_dir)).select(*_pair(), "size_bytes")
+
+
+@query(PAIRS.format("sha256(content) AS hash"))
+def hashed_media(spark, sf_dir):
+    return files.hashed_media(spark, _tree(spark, sf_dir)).select(*_pair(), "hash")
+
+
+def _streamed(spark, df, mode="append"):
+    """What a stream of df has given when it has read all there is."""
+    name, base = f"s{uuid.uuid4().hex}", shared_dir(spark)
+    sink = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}-log").trigger(availableNow=True)
+    if mode == "append":
+        sink.format("parquet").option("path", f"{base}/{name}").start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+    out = []
+    sink.foreachBatch(lambda batch, _: out.append(materialise(batch, name))).start().awaitTermination()
+    return out[-1]
+
+
+@query(PAIRS.format("strlen(content)::BIGINT AS size_bytes"))
+def stream_listing(spark, sf_dir):
+    return _streamed(spark, files.stream_listing(spark, _tree(spark, sf_dir))).select(*_pair(), "size_bytes")
+
+
+def _stream_of(spark, df):
+    held = materialise(df, "fed")
+    return spark.readStream.schema(df.schema).parquet(held.scratch_path)
+
+
+@query(on_catalog(f"{ROOTS}, n AS (SELECT r.path AS root, count(*) AS n FROM listing l JOIN (SELECT DISTINCT path FROM roots WHERE path = origin) r ON starts_with(l.path, r.path || '/') GROUP BY r.path) SELECT root, (n // 25 * 25)::BIGINT AS processed, -1::BIGINT AS total FROM n WHERE n >= 25", LISTING))
+def scan_progress(spark, sf_dir):
+    top = roots(spark, sf_dir).where("path = origin").select(F.col("path").alias("root")).distinct()
+    each = listing(spark, sf_dir).select("path", F.explode(paths.ancestors(F.col("path"))).alias("root")).join(top, "root")
+    return _streamed(spark, changes.scan_progress(_stream_of(spark, each)), "complete")
+
+
+@query(f"WITH {EVENTS}, {LAST} SELECT id, state, seq FROM last")
+def journal_state_stream(spark, sf_dir):
+    return _streamed(spark, changes.journal_state_stream(_stream_of(spark, journal(spark, sf_dir))), "complete")
+
+
+@query(on_catalog(CHANGES + """, l AS (SELECT l.path, l.size_bytes, status FROM listing l JOIN changed USING (path))
+SELECT l.path, l.size_bytes, ['kind:' || k] || CASE k WHEN 'audio' THEN ['codec:mp3', 'year:2024'] ELSE [] END AS auto_tags, [] AS tags FROM (SELECT *, CASE regexp_extract(path, '(\\.[^./]*)$', 1) WHEN '.mp3' THEN 'audio' WHEN '.mp4' THEN 'video' ELSE 'photo' END AS k FROM l WHERE status <> 'unchanged') l
+UNION ALL SELECT path, size_bytes, auto_tags, tags FROM catalog WHERE path NOT IN (SELECT path FROM l WHERE status <> 'unchanged')""", LISTING))
+def ingest_stream(spark, sf_dir):
+    names = ["path", "name", "media_kind", "size_bytes", "mod_time", "tags", "auto_tags"]
+    held = [materialise(catalog(spark, sf_dir).select(*names), "catalog")]
+    save = lambda df, _: held.append(materialise(df.select(*names), "catalog"))
+    log = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    changes.ingest_stream(_stream_of(spark, listing(spark, sf_dir)), lambda: held[-1], save, log).awaitTermination()
+    return held[-1].select("path", "size_bytes", "auto_tags", "tags")
+
+
+@query(on_catalog("SELECT path, name, tags, auto_tags, NULL::BIGINT AS phash FROM catalog"))
+def load_catalog(spark, sf_dir):
+    own = catalog(spark, sf_dir).select("path", "name", "tags", "auto_tags")
+    base = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    files.save_catalog({"media": own.limit(0)}, base)
+    files.save_catalog({"media": own}, base)
+    return files.load_catalog(spark, base, {"media": own.schema.add("phash", "long")})["media"]
+
+
+@query(f"WITH {EVENTS} SELECT id, kind, state, count(*) AS n FROM journal WHERE state <> 'failed' GROUP BY ALL")
+def read_journal(spark, sf_dir):
+    own = journal(spark, sf_dir).withColumn("id", F.when(F.col("state") != "failed", F.col("id")))
+    lines = own.select(F.to_json(F.struct("id", "kind", "state", "old_path", "new_path", "path")).alias("value"))
+    torn = lines.select(F.substring("value", 1, 20).alias("value"))
+    path = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    lines.union(torn).write.text(path)
+    return files.read_journal(spark, path).groupBy("id", "kind", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ROOTS} SELECT path, origin, 'root' AS what FROM roots UNION ALL SELECT DISTINCT origin || '/old', NULL, 'ignored' FROM roots")
+def read_roots(spark, sf_dir):
+    own = roots(spark, sf_dir)
+    some = own.select("path", F.when(F.col("path") != F.col("origin"), F.col("origin")).otherwise("").alias("origin"))
+    some = some.union(own.select(F.concat("origin", F.lit("/vendor")).alias("path"), F.col("origin")))
+    ignored = own.select(F.concat("origin", F.lit("/old")).alias("path")).distinct()
+    # the file holds all roots, of which there are few
+    one = some.agg(F.collect_list(F.struct("path", "origin")).alias("roots")).join(ignored.agg(F.collect_list("path").alias("ignored")))
+    path = f"{shared_dir(spark)}/roots-{uuid.uuid4().hex}"
+    one.select(F.to_json(F.struct("roots", "ignored"))).coalesce(1).write.text(path)
+    found, gone = files.read_roots(spark, path)
+    return found.select("path", "origin", F.lit("root").alias("what")).union(gone.select("path", F.lit(None).cast("string"), F.lit("ignored")))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN (event_id % 5 + 1)::INT END AS channels, CASE WHEN event_id % 2 = 0 THEN event_id % 1000 / 4.0::DOUBLE WHEN event_id % 1000 > 0 THEN event_id % 1000 / 2.0::DOUBLE END AS duration_sec,
+ CASE WHEN event_id % 7 > 0 THEN (event_id // 1000)::INT END AS bitrate_kbps, CASE WHEN event_id % 4 > 0 THEN (event_id % 4 * 100)::INT END AS width FROM (SELECT event_id FROM events WHERE event_id % 1000 > 0)
+UNION ALL SELECT event_id, CASE WHEN event_id % 3 > 0 THEN (event_id % 5 + 1)::INT END, NULL, CASE WHEN event_id % 7 > 0 THEN (event_id // 1000)::INT END, CASE WHEN event_id % 4 > 0 THEN (event_id % 4 * 100)::INT END FROM events WHERE event_id % 1000 = 0""")
+def probe_fields(spark, sf_dir):
+    n = F.col("event_id")
+    audio = F.struct(
+        F.lit("audio").alias("codec_type"), F.when(n % 3 > 0, (n % 5 + 1).cast("int")).otherwise(0).alias("channels"),
+        F.when(n % 2 == 0, (n % 1000 / 4).cast("string")).otherwise("0").alias("duration"), F.lit("x").alias("bit_rate"), F.lit(0).alias("width"),
+    )
+    video = F.struct(F.lit("video").alias("codec_type"), F.lit(0).alias("channels"), F.lit("1").alias("duration"), F.lit("1").alias("bit_rate"), (n % 4 * 100).cast("int").alias("width"))
+    whole = F.struct((n % 1000 / 2).cast("string").alias("duration"), F.when(n % 7 > 0, n.cast("string")).alias("bit_rate"))
+    probe = F.to_json(F.struct(F.array(audio, video).alias("streams"), whole.alias("format")))
+    return files.probe_fields(table(spark, sf_dir, "events").select("event_id", probe.alias("probe"))).select("event_id", "channels", "duration_sec", "bitrate_kbps", "width")
 
 
 PLACES = """c AS (SELECT c_custkey AS id, (c_custkey * 41 % 180 - 90)::DOUBLE AS lat, (c_custkey * 67 % 360 - 180)::DOUBLE AS lon FROM customer),
@@ -644,12 +843,12 @@ def semantic_neighbours(spark, sf_dir):
     return clusters.semantic_neighbours(own, own.where("vec_id % 100 = 0"), 5).select("query", "vec_id", "rank")
 
 
-@query(on_catalog("""m AS (SELECT 'exact-' || hash AS id, path, tags, auto_tags FROM catalog WHERE hash IN (SELECT hash FROM catalog GROUP BY hash HAVING count(*) > 1)),
-n AS (SELECT id, count(*) AS size FROM m GROUP BY id HAVING count(*) FILTER (len(tags) = 0) > 0), t AS (SELECT id, tag, count(*) AS k FROM (SELECT id, unnest(auto_tags) AS tag FROM m) GROUP BY ALL)
-SELECT n.id, tag, size FROM n LEFT JOIN t ON t.id = n.id AND k = size"""))
+@query(on_catalog(labels(5) + """, q AS (SELECT * FROM named WHERE untagged > 0), t AS (SELECT kind, g, tag, count(*) AS k FROM (SELECT kind, g, unnest(auto_tags) AS tag FROM m) GROUP BY ALL),
+s AS (SELECT q.id, list_sort(list(tag)) AS shared FROM q JOIN t ON t.kind = q.kind AND t.g = q.g AND k = size GROUP BY q.id)
+SELECT q.id, size, untagged, first, coalesce(shared, []) AS shared, row_number() OVER (ORDER BY size DESC, q.id) - 1 AS pos FROM q LEFT JOIN s USING (id)""", HASHED))
 def tagging_queue(spark, sf_dir):
-    own = catalog(spark, sf_dir)
-    return clusters.tagging_queue(clusters.exact_members(own).select("id", "path"), own)
+    own = _hashed(spark, sf_dir)
+    return clusters.tagging_queue(clusters.near_members(own), own).select("id", "size", "untagged", "first", "shared", "pos")
 
 
 # -- streams, as batches
@@ -672,8 +871,3 @@ def idle_periods(spark, sf_dir):
 def route_changes(spark, sf_dir):
     events = change_events(spark, sf_dir).withColumn("is_dir", F.lit(False))
     return changes.route_changes(events, roots(spark, sf_dir)).groupBy("action", "path").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {EVENTS}, {LAST} SELECT id, state, seq FROM last")
-def journal_state_stream(spark, sf_dir):
-    return changes.journal_state_stream(journal(spark, sf_dir))

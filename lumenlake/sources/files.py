@@ -80,9 +80,13 @@ def probe_fields(df: DataFrame, column: str = "probe") -> DataFrame:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with ``seq``, their order within the file; torn lines and lines without an id are dropped."""
+    """JSON lines with ``seq``, which sorts them by their file's time and name, then as they stand in it; torn lines
+    and lines without an id are dropped."""
     own = spark.read.schema(JOURNAL).option("mode", "DROPMALFORMED").json(path)
-    return own.withColumn("seq", F.monotonically_increasing_id()).where("id IS NOT NULL AND id <> ''")
+    file = F.col("_metadata")
+    # within one block of a file the identifiers rise as the lines do; across files they follow the scan's packing
+    seq = F.struct(file["file_modification_time"].alias("at"), file["file_path"].alias("file"), file["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
+    return own.withColumn("seq", seq).where("id IS NOT NULL AND id <> ''")
 
 
 def read_roots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

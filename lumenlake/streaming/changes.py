@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.paths import parent_dir
-from lumenlake.operators.sync import additive_scan, detect_changes
+from lumenlake.functions.tags import with_auto_tags
+from lumenlake.operators.sync import detect_changes, latest_per_path, upsert_catalog
 
 RESCAN_OPS = ["create", "write", "rename", "chmod"]
 
@@ -32,9 +33,12 @@ def route_changes(events: DataFrame, roots: DataFrame) -> DataFrame:
     return inner.where("action IS NOT NULL").union(gone)
 
 
-def scan_progress(listing: DataFrame) -> DataFrame:
-    """(root, processed) running over a stream of (root, path); output mode update or complete."""
-    return listing.groupBy("root").agg(F.count(F.lit(1)).alias("processed"))
+def scan_progress(listing: DataFrame, every: int = 25) -> DataFrame:
+    """(root, processed, total) over a stream or batch of (root, path): files so far in steps of ``every``, and their
+    number, -1 as long as the listing goes on. Output mode update or complete."""
+    own = listing.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    total = F.lit(-1).cast("long") if listing.isStreaming else F.col("n")
+    return own.where(F.col("n") >= every).select("root", (F.floor(F.col("n") / every) * every).cast("long").alias("processed"), total.alias("total"))
 
 
 def journal_state_stream(journal: DataFrame) -> DataFrame:
@@ -42,15 +46,23 @@ def journal_state_stream(journal: DataFrame) -> DataFrame:
     return journal.groupBy("id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
-def ingest_stream(listing: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], checkpoint: str):
+def ingest_stream(
+    listing: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], checkpoint: str,
+    describe: Callable[[DataFrame], DataFrame] | None = None, preserve_tags: bool = False,
+):
     """A query that takes new and changed files of a streamed listing over the catalog, batch by batch.
-    load() gives the catalog, save(df, batch) commits it; a batch that is run again gives the same rows."""
+
+    Of each batch only new and changed files are described (describe adds what is known of them, such as hash and
+    camera), get their automatic tags and replace the catalog's rows. load() gives the catalog, save(df, batch) commits
+    it; a batch that is run again gives the same rows.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        df = df.dropDuplicates(["path"])
+        df = latest_per_path(df, "mod_time")
         catalog = load()
         fresh = detect_changes(df, catalog).where("status IN ('new', 'changed')").select("path")
-        save(additive_scan(catalog, df.join(fresh, "path", "left_semi")), number)
+        fresh = df.join(fresh, "path", "left_semi")
+        save(upsert_catalog(catalog, with_auto_tags(describe(fresh) if describe else fresh), preserve_tags), number)
 
     return listing.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
