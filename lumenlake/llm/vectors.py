@@ -10,6 +10,7 @@ sign bits; the number of bands follows from the recall asked for.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,17 @@ from lumenlake.llm.arrays import union
 from lumenlake.llm.common import components, materialise
 
 
+@lru_cache(maxsize=1024)
 def rotation(dim: int, k: int, seed: int) -> np.ndarray:
+    """Made once in each Python worker."""
     q, r = np.linalg.qr(np.random.default_rng([seed, dim, k]).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 
 
 def plan_bands(n: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
-    """(bits of a band, bands): about ``bucket`` of n random vectors share a band's value, at most 16 bits; a
-    pair at the threshold shares at least one band with probability recall."""
-    bits = int(min(16, max(4, math.ceil(math.log2(max(2, n) / bucket)))))
+    """(bits of a band, bands): about ``bucket`` of n random vectors share a band's value, so buckets do not grow with
+    n; a pair at the threshold shares at least one band with probability recall."""
+    bits = max(4, math.ceil(math.log2(max(2, n) / bucket)))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
@@ -60,9 +63,32 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
 
 
-def vector_links(classes: DataFrame, dim: int, n: int, threshold: float, recall: float, width: float, seed: int, most: int) -> DataFrame:
-    """classes(cid, copies, v) -> rows (cid, links, root): of a tile of a bucket, how many vectors (copies
-    counted) each class links with there and nowhere before, and the root of its links in the tile."""
+def bucket_links(band: int, rows: np.ndarray, part: np.ndarray, low: int, high: int, v: np.ndarray, norm: np.ndarray, turned: np.ndarray, code: np.ndarray, factor: np.ndarray, lowest: np.ndarray, threshold: float, keys_of):
+    """Yields (i, j, new) of the linked pairs of one tile of a bucket: rows of part low against rows of part high.
+    new: whether the two share no band before this one, where the pair has been counted already."""
+    left, right = rows[part[rows] == low], rows[part[rows] == high]
+    for at in range(0, len(left), 512):
+        own = left[at : at + 512]
+        i, j = np.nonzero((code[own] @ turned[right].T) / factor[own, None] >= lowest[own, None])
+        i, j = own[i], right[j]
+        if low == high:
+            i, j = i[i < j], j[i < j]
+        for s in range(0, len(i), 1 << 16):
+            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+            near = (v[a] * v[b]).sum(1) / (norm[a] * norm[b]) >= threshold
+            a, b = a[near], b[near]
+            if len(a):
+                who, at_who = np.unique(np.concatenate([a, b]), return_inverse=True)
+                before = keys_of(who)[:, :band]
+                yield a, b, ~(before[at_who[: len(a)]] == before[at_who[len(a) :]]).any(1)
+
+
+def vector_links(classes: DataFrame, dim: int, n: int, threshold: float, recall: float, width: float, seed: int, most: int, packed: int = 5) -> DataFrame:
+    """classes(cid, copies, v) -> rows (cid, links, root): of some buckets, how many vectors (copies counted) each
+    class links with there and nowhere before, and the root of its links there.
+
+    A task's group is 2^packed neighbouring buckets, or one tile of a bucket of over ``most`` classes.
+    """
     bits, bands = plan_bands(n, threshold, recall)
 
     def keyed(batches):
@@ -71,49 +97,39 @@ def vector_links(classes: DataFrame, dim: int, n: int, threshold: float, recall:
             keys = band_keys(v / np.linalg.norm(v, axis=1, keepdims=True), bits, bands, seed)
             cid = np.repeat(batch.column("cid").to_numpy(zero_copy_only=False), bands)
             band = np.tile(np.arange(bands, dtype=np.int32), len(v))
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.string()), pa.array(band), pa.array(keys.ravel().astype(np.int32))], ["cid", "band", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.string()), pa.array(band), pa.array(keys.ravel().astype(np.int64))], ["cid", "band", "value"])
 
-    keys = materialise(classes.select("cid", "v").mapInArrow(keyed, "cid string, band int, value int"), "bands")
+    keys = materialise(classes.select("cid", "v").mapInArrow(keyed, "cid string, band int, value long"), "bands")
     sizes = keys.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     placed = keys.join(sizes, ["band", "value"]).withColumn("parts", F.ceil(F.col("m") / most).cast("int"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     tile = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("other", tile).select("cid", "band", "value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
+    pack = F.when(F.col("parts") == 1, F.shiftright("value", packed)).otherwise(-1 - F.col("value"))
+    placed = placed.withColumn("other", tile).select("cid", "band", "value", pack.alias("pack"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
     rows = placed.join(classes, "cid")
 
-    def tile_links(table: pa.Table) -> pa.Table:
-        band = table.column("band")[0].as_py()
+    def group_links(table: pa.Table) -> pa.Table:
+        band, low, high = (table.column(x)[0].as_py() for x in ("band", "low", "high"))
+        table = table.sort_by("value")
         v = _matrix(table.column("v"))
-        cid, copies = table.column("cid").to_pylist(), table.column("copies").to_numpy()
-        part = table.column("part").to_numpy()
+        copies, part, value = (table.column(x).to_numpy() for x in ("copies", "part", "value"))
         norm = np.linalg.norm(v, axis=1)
         unit = v / norm[:, None]
-        before = band_keys(unit, bits, bands, seed)[:, :band]
         turned, code, factor = codes(unit, seed)
-        low = lowest_estimate(factor, dim, threshold, width).astype(np.float32)
-        first, last = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        apart = first != last
-        left, right = np.flatnonzero(part == first), np.flatnonzero(part == last)
+        lowest = lowest_estimate(factor, dim, threshold, width).astype(np.float32)
         labels, links = np.arange(len(v)), np.zeros(len(v), np.int64)
-        for at in range(0, len(left), 512):
-            own = left[at : at + 512]
-            estimate = (code[own] @ turned[right].T) / factor[own, None].astype(np.float32)
-            i, j = np.nonzero(estimate >= low[own, None])
-            i, j = own[i], right[j]
-            if not apart:
-                i, j = i[i < j], j[i < j]
-            for s in range(0, len(i), 1 << 16):
-                a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                near = (v[a] * v[b]).sum(1) / (norm[a] * norm[b]) >= threshold
-                a, b = a[near], b[near]
-                labels = union(labels, a, b)
-                new = ~(before[a] == before[b]).any(1)  # counted in the first band that both share only
-                np.add.at(links, a[new], copies[b[new]])
-                np.add.at(links, b[new], copies[a[new]])
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(v)]
+        keys_of = lambda who: band_keys(unit[who], bits, bands, seed)
+        for a, b in zip(cuts, cuts[1:]):
+            for i, j, new in bucket_links(band, np.arange(a, b), part, low, high, v, norm, turned, code, factor.astype(np.float32), lowest, threshold, keys_of):
+                labels = union(labels, i, j)
+                np.add.at(links, i[new], copies[j[new]])
+                np.add.at(links, j[new], copies[i[new]])
         hit = np.flatnonzero((links > 0) | (labels != np.arange(len(v))))
-        return pa.table({"cid": pa.array([cid[x] for x in hit], pa.string()), "links": links[hit], "root": pa.array([cid[labels[x]] for x in hit], pa.string())})
+        cid = table.column("cid").take(pa.array(hit))
+        return pa.table({"cid": cid, "links": links[hit], "root": table.column("cid").take(pa.array(labels[hit]))})
 
-    return rows.groupBy("band", "value", "low", "high").applyInArrow(tile_links, "cid string, links long, root string")
+    return rows.groupBy("band", "pack", "low", "high").applyInArrow(group_links, "cid string, links long, root string")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.998, width: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17, most: int = 2048) -> DataFrame:
