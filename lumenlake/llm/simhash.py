@@ -8,6 +8,8 @@ by the triangle bound, only at those whose distance differs by at most the radiu
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -92,13 +94,14 @@ def plant(sample: np.ndarray, leaves: int, seed: int = 11) -> list:
     return nodes
 
 
-def route(nodes: list, points: np.ndarray, radius: int):
-    """Yields (leaf, places of points, whether they are at home there); each point has one home.
+def route(nodes: list, points: np.ndarray, radius: int, home: bool = True):
+    """Yields (leaf, places of points, whether they are at home there); each point has one home, or with home false
+    none: all are visitors from the start.
 
     A pair on two sides of a boundary is found where the farther one is at home, so a point at home goes as a
     visitor from the near side to the far side only; a visitor goes to both.
     """
-    todo = [(0, np.arange(len(points)), True)]
+    todo = [(0, np.arange(len(points)), home)]
     while todo:
         at, own, home = todo.pop()
         if not len(own):
@@ -116,118 +119,170 @@ def route(nodes: list, points: np.ndarray, radius: int):
             todo.append((far, own[d > cut - radius], False))
 
 
-def shard_links(homes: np.ndarray, visitors: np.ndarray, radius: int, among: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one shard as (member, root): a forest over all pairs home-visitor and, if among, home-home."""
-    vantage = homes[0]
-    homes = homes[np.argsort(distance(homes, vantage), kind="stable")]
-    dh = distance(homes, vantage)
+def leaf_pairs(homes: np.ndarray, visitors: np.ndarray, radius: int, among: bool):
+    """Yields (places in homes then visitors, places in homes) of the pairs of one small leaf within radius."""
+    asks = [(0, homes)] if among else []
+    for base, asking in [*asks, (len(homes), visitors)]:
+        for at in range(0, len(asking), 512):
+            i, j = np.nonzero(np.bitwise_count(np.bitwise_xor(asking[at : at + 512][:, None], homes[None])) <= radius)
+            yield base + at + i, j
+
+
+def shard_links(homes: np.ndarray, visitors: np.ndarray, radius: int, among: bool, leaf: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one shard as (member, root): a forest over all pairs home-visitor and, if among, home-home.
+
+    The shard's homes make a tree of their own, of leaves of about ``leaf`` points; both sides go down it, and the
+    triangle bound keeps them out of the leaves that hold nothing within the radius.
+    """
     points = np.concatenate([homes, visitors])
     labels = np.arange(len(points))
-    asks = [(0, homes)] if among else []
-    if len(visitors):
-        asks.append((len(homes), visitors))
-    for base, asking in asks:
-        da = distance(asking, vantage)
-        order = np.argsort(da, kind="stable")
-        for at in range(0, len(order), 512):
-            own = order[at : at + 512]
-            low = np.searchsorted(dh, da[own[0]] - radius)
-            high = np.searchsorted(dh, da[own[-1]] + radius, "right")
-            for lo in range(low, high, 4096):
-                hi = min(high, lo + 4096)
-                i, j = np.nonzero(np.bitwise_count(np.bitwise_xor(asking[own][:, None], homes[None, lo:hi])) <= radius)
-                if len(i):
-                    labels = union(labels, base + own[i], lo + j)
+    nodes = plant(homes, max(1, len(homes) // leaf))
+    at_home: dict[int, np.ndarray] = {}
+    guests: dict[int, list[np.ndarray]] = {}
+    for at, own, home in route(nodes, homes, radius):
+        if home:
+            at_home[at] = own
+        elif among:
+            guests.setdefault(at, []).append(own)
+    for at, own, _ in route(nodes, visitors, radius, False):
+        guests.setdefault(at, []).append(len(homes) + own)
+    found, size = [], 0
+    for at, own in at_home.items():
+        other = np.concatenate([own[:0], *guests.get(at, [])])
+        places = np.concatenate([own, other])
+        for i, j in leaf_pairs(points[own], points[other], radius, among):
+            found.append((places[i], own[j]))
+            size += len(i)
+            if size > 1 << 20:
+                labels, found, size = union(labels, *map(np.concatenate, zip(*found))), [], 0
+    if found:
+        labels = union(labels, *map(np.concatenate, zip(*found)))
     linked = np.flatnonzero(labels != np.arange(len(points)))
     return points[linked], points[labels[linked]]
 
 
-def dealt(points: DataFrame, radius: int, key: str = "fp", per_shard: int = 16384, most_sample: int = 16384) -> DataFrame:
-    """points with shard, part and home: each row once where it is at home and wherever it visits.
+def dealt(points: DataFrame, radius: int, leaves: Callable[[int], int], key: str = "fp", per_task: int = 16384, most_guests: int = 1 << 20, most_sample: int = 1 << 16) -> DataFrame:
+    """points with shard, part, chunk and home: each row once where it is at home and wherever it visits.
 
-    The driver sees at most most_sample fingerprints and one count for each shard of the tree (at most an
-    eighth of that); a shard with more than twice per_shard points is dealt to several tasks by the long column
-    key, every point of it visiting the other parts, so no pair is lost.
+    leaves gives the number of shards from that of points. The driver sees at most most_sample fingerprints, and two
+    counts for each shard of the tree, which has at most a sixteenth of that many. A shard of more than twice per_task
+    points at home is dealt to parts, the points of one visiting the later ones, and its visitors to chunks of about
+    most_guests, each of which meets all parts; the long column key decides. No pair is lost, and no task holds more
+    than a part and a chunk.
     """
     n = points.count()
-    sample = points.orderBy(F.xxhash64(key, F.lit(1)), key).limit(most_sample).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = plant(sample, max(1, min(-(-n // per_shard), most_sample // 8)))
+    wanted = max(1, leaves(n))
+    size = min(most_sample, max(4096, 16 * wanted))
+    sample = points.orderBy(F.xxhash64(key, F.lit(1)), key).limit(size).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    nodes = plant(sample, min(wanted, max(1, size // 16)))
 
-    def homes(batches):
+    def visits(batches):
         for batch in batches:
             own_fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            leaf = np.zeros(len(own_fp), np.int32)
-            for at, own, home in route(nodes, own_fp, -1):
-                if home:
-                    leaf[own] = at
-            yield pa.RecordBatch.from_arrays([pa.array(leaf)], ["shard"])
+            for at, own, home in route(nodes, own_fp, radius):
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([at], pa.int32()), "homes": [len(own) if home else 0], "guests": [0 if home else len(own)]})
 
-    sizes = {x.shard: x["count"] for x in points.select("fp").mapInArrow(homes, "shard int").groupBy("shard").count().collect()}
-    parts = {k: max(1, round(v / per_shard)) for k, v in sizes.items() if v > 2 * per_shard}
+    sizes = points.select("fp").mapInArrow(visits, "shard int, homes long, guests long").groupBy("shard").agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests")).collect()
+    parts, chunks = {}, {}
+    for x in sizes:
+        parts[x.shard] = max(1, round(x.homes / per_task)) if x.homes > 2 * per_task else 1
+        chunks[x.shard] = -(-(x.guests + (x.homes if parts[x.shard] > 1 else 0)) // most_guests) or 1
 
     def deal(batches):
         for batch in batches:
             own_fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            dealer = batch.column(key).to_numpy(zero_copy_only=False).view(np.uint64)
+            dealer = batch.column(key).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+            def rows(here, at, part, chunk, home):
+                place = [np.full(len(here), x, t) for x, t in ((at, np.int32), (part, np.int32), (chunk, np.int32), (home, bool))]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in place] + batch.take(pa.array(here)).columns, ["shard", "part", "chunk", "home", *batch.schema.names])
+
             for at, own, home in route(nodes, own_fp, radius):
-                k = parts.get(at, 1)
-                mine = ((dealer[own] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % k
+                k, v = parts.get(at, 1), chunks.get(at, 1)
+                part = (dealer[own] >> np.uint64(40)).astype(np.int64) % k
+                chunk = (dealer[own] >> np.uint64(20)).astype(np.int64) % v
                 for p in range(k):
-                    here = own if k == 1 else own[mine <= p] if home else own
-                    at_home = (mine == p)[mine <= p] if home and k > 1 else np.full(len(here), home)
-                    place = [np.full(len(here), at, np.int32), np.full(len(here), p, np.int32), at_home]
-                    columns = batch.take(pa.array(here)).columns
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in place] + columns, ["shard", "part", "home", *batch.schema.names])
+                    if home:
+                        for c in range(v):
+                            yield rows(own[part == p], at, p, c, True)
+                    guest = part < p if home else np.ones(len(own), bool)
+                    for c in range(v):
+                        if (some := guest & (chunk == c)).any():
+                            yield rows(own[some], at, p, c, False)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-    return points.mapInArrow(deal, f"shard int, part int, home boolean, {kinds}")
+    return points.mapInArrow(deal, f"shard int, part int, chunk int, home boolean, {kinds}")
 
 
-def near_links(prints: DataFrame, radius: int = 3, per_shard: int = 16384, most_sample: int = 16384) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp``, whose components are those of all pairs within radius."""
+def near_links(prints: DataFrame, radius: int = 3, shards: Callable[[int], int] = lambda n: math.isqrt(n) // 8) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp``, whose components are those of all pairs within radius.
+
+    A point visits about the 0.7th power of the number of shards, which therefore grows with the root of the number of
+    points only; what is more lies in the trees within shards.
+    """
 
     def search(table: pa.Table) -> pa.Table:
         points = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        a, b = shard_links(np.unique(points[home]), np.unique(points[~home]), radius, True) if home.any() else (points[:0], points[:0])
+        among = table.column("chunk")[0].as_py() == 0
+        a, b = shard_links(np.unique(points[home]), np.unique(points[~home]), radius, among) if home.any() else (points[:0], points[:0])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt(prints, radius, "fp", per_shard, most_sample).groupBy("shard", "part").applyInArrow(search, "a long, b long")
+    return dealt(prints, radius, shards).groupBy("shard", "part", "chunk").applyInArrow(search, "a long, b long")
 
 
-def shard_pairs(fp: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one shard all pairs of nodes home-visitor and home-home within radius whose groups differ and whose
-    sizes n allow the least similarity."""
+def shard_pairs(fp: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray, spread: np.ndarray, home: np.ndarray, radius: int, among: bool, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of one shard the pairs of nodes home-visitor and, if among, home-home within radius whose groups differ and
+    whose sizes n and spreads allow the least similarity: all, or of each asking node the ``nearest`` few."""
     found = [np.empty((0, 2), np.int64)]
     homes = np.flatnonzero(home)
     homes = homes[np.argsort(n[homes], kind="stable")]
     sizes = n[homes]
-    asking = np.argsort(n, kind="stable")
+    asking = np.flatnonzero(~home) if not among else np.arange(len(n))
+    asking = asking[np.argsort(n[asking], kind="stable")]
+    p, q = SIMILAR
     for at in range(0, len(asking), 512):
         own = asking[at : at + 512]
-        low = np.searchsorted(sizes, -(-n[own[0]] * SIMILAR[0] // SIMILAR[1]))
-        high = np.searchsorted(sizes, n[own[-1]] * SIMILAR[1] // SIMILAR[0], "right")
+        low = np.searchsorted(sizes, -(-n[own[0]] * p // q))
+        high = np.searchsorted(sizes, n[own[-1]] * q // p, "right")
+        some = []
         for lo in range(low, high, 4096):
             other = homes[lo : min(high, lo + 4096)]
-            i, j = np.nonzero(np.bitwise_count(np.bitwise_xor(fp[own][:, None], fp[None, other])) <= radius)
+            far = np.bitwise_count(np.bitwise_xor(fp[own][:, None], fp[None, other]))
+            i, j = np.nonzero(far <= radius)
+            bits = far[i, j]
             i, j = own[i], other[j]
-            fits = (group[i] != group[j]) & (SIMILAR[1] * np.minimum(n[i], n[j]) >= SIMILAR[0] * np.maximum(n[i], n[j])) & (~home[i] | (node[i] < node[j]))
-            found.append(np.stack([node[i[fits]], node[j[fits]]], 1))
+            fits = (group[i] != group[j]) & (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & (~home[i] | (node[i] < node[j]))
+            i, j, bits = i[fits], j[fits], bits[fits]
+            for s in range(0, len(i), 1 << 16):
+                a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                apart = np.abs(spread[a].astype(np.int16) - spread[b]).sum(1)
+                close = apart * (p + q) <= (n[a] + n[b]) * (q - p)
+                some.append(np.stack([a[close], b[close], bits[s : s + (1 << 16)][close]], 1))
+        if some:
+            pairs = np.concatenate(some)
+            if nearest is not None:
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
+                first = np.searchsorted(pairs[:, 0], pairs[:, 0])
+                pairs = pairs[np.arange(len(pairs)) - first < nearest]
+            found.append(np.stack([node[pairs[:, 0]], node[pairs[:, 1]]], 1))
     pairs = np.concatenate(found)
     return pairs[:, 0], pairs[:, 1]
 
 
-def near_pairs(points: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b), a < b, of points(fp, node, n, group) within radius, but for those of one group or of sizes too
-    far apart."""
+def near_pairs(points: DataFrame, radius: int, nearest: int | None = None, per_shard: int = 16384) -> DataFrame:
+    """Pairs (a, b), a < b, of points(fp, node, n, group, spread) within radius, but for those of one group or of sizes
+    or spreads too far apart: all, or in each shard the ``nearest`` few of each node."""
 
     def search(table: pa.Table) -> pa.Table:
         fp, node, n, group = (table.column(x).to_numpy() for x in ("fp", "node", "n", "group"))
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        a, b = shard_pairs(fp.view(np.uint64), node, n, group, home, radius)
+        spread = np.frombuffer(b"".join(table.column("spread").to_pylist()), np.uint8).reshape(-1, 64)
+        a, b = shard_pairs(fp.view(np.uint64), node, n, group, spread, home, radius, table.column("chunk")[0].as_py() == 0, nearest)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt(points, radius, "node").groupBy("shard", "part").applyInArrow(search, "a long, b long").distinct()
+    shards = dealt(points, radius, lambda n: -(-n // per_shard), "node", per_shard)
+    return shards.groupBy("shard", "part", "chunk").applyInArrow(search, "a long, b long").distinct()
 
 
 def near_components(keyed: DataFrame, radius: int = 3) -> DataFrame:
@@ -263,59 +318,61 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def shingled(text: Column, width: int) -> Column:
     """Struct of the SimHash ``fp``, the distinct shingles' hashes, their number ``n``, a hash ``unit`` of them all, and
-    how many have each value of the lowest six bits (``spread``). A wordless text has no shingle."""
+    how many have each value of the lowest six bits (``spread``, one byte each, 255 for more: a bound still). A wordless
+    text has no shingle."""
 
-    @F.arrow_udf("struct<fp:bigint, unit:bigint, n:bigint, spread:array<int>, shingles:array<bigint>>")
+    @F.arrow_udf("struct<fp:bigint, unit:bigint, n:bigint, spread:binary, shingles:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
         prints, units, sizes, spreads, sets = [], [], [], [], []
         for k in range(len(texts)):
             words = as_bytes(texts[k : k + 1])[0].lower().split()
             count = max(1, len(words) - width + 1) if words else 0
-            own = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(count)), np.uint64, count)
+            parts = map(b" ".join, zip(*[words[i:] for i in range(width)])) if count > 1 or len(words) == width else [b" ".join(words)] * count
+            own = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, count)
             prints.append(majority(own))
             own = np.unique(own)
             units.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             sizes.append(len(own))
-            spreads.append(np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64).astype(np.int32))
+            spreads.append(np.minimum(np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes())
             sets.append(own.view(np.int64))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        columns = [signed(prints), signed(units), pa.array(sizes, pa.int64()), pa.array(spreads, pa.list_(pa.int32())), pa.array(sets, pa.list_(pa.int64()))]
+        columns = [signed(prints), signed(units), pa.array(sizes, pa.int64()), pa.array(spreads, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
         return pa.StructArray.from_arrays(columns, ["fp", "unit", "n", "spread", "shingles"])
 
     return of(text)
 
 
 def alike(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Of pairs(a, b) of rows of keyed those whose shingles have the least similarity: exact, first by the spreads, as two
-    sets differ in no fewer shingles than their spreads."""
-    side = lambda x, c: keyed.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col(c).alias(f"s{x}"))
-    both = lambda p, c: p.join(side("a", c), "a").join(side("b", c), "b")
+    """Of pairs(a, b) of rows of keyed those whose shingles have the least similarity, exactly."""
+    side = lambda x: keyed.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
     p, q = SIMILAR
-    total = F.col("na") + F.col("nb")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    close = materialise(both(pairs, "spread").where(apart * (p + q) <= total * (q - p)).select("a", "b"), "close")
-    return both(close, "shingles").where(F.size(F.array_intersect("sa", "sb")) * (p + q) >= total * p).select("a", "b")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.where(F.size(F.array_intersect("sa", "sb")) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b")
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16) -> DataFrame:
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16, nearest: int = 2) -> DataFrame:
     """(doc_id, component_id) of every row of docs; links are pairs whose shingles have the least similarity.
 
     Candidates are the pairs of fingerprints within radius, each held against the exact similarity. At a
     similarity of 0.8 two sets of one size differ in 9.7 of 64 bits on average, and in over 16 in about 1 of 100
-    pairs. Texts of equal shingles are one node. Links within 3 bits come first: pairs that they have joined are
-    not asked for again.
+    pairs. Texts of equal shingles are one node. Three steps: links within 3 bits; then of each node the ``nearest`` few
+    candidates in each shard; then all candidates that are left. Each asks only for pairs that those before have not
+    joined, so a large group of near copies is mostly one before all its pairs are asked for; none is left out.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width).alias("s"))
     keyed = materialise(own.select("doc_id", "row", "s.*"), "shingled")
-    points = materialise(keyed.groupBy("unit").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n")), "points")
+    points = keyed.groupBy("unit").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("spread").alias("spread"))
+    points = materialise(points, "points")
     prints = materialise(points.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     stars = points.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
     names = [prints.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
     forest = near_links(prints.select("fp")).join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = materialise(alike(stars.union(forest).where("a <> b").distinct(), keyed), "links")
-    grouped = points.join(components(first).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    grouped = materialise(grouped.select("fp", "node", "n", F.coalesce("root", "node").alias("group")), "grouped")
-    links = first.union(alike(materialise(near_pairs(grouped, radius), "pairs"), keyed))
+    links = materialise(alike(stars.union(forest).where("a <> b").distinct(), keyed), "links")
+    for few in (nearest, None):
+        grouped = points.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        grouped = materialise(grouped.select("fp", "node", "n", "spread", F.coalesce("root", "node").alias("group")), "grouped")
+        pairs = materialise(near_pairs(grouped, radius, few), "pairs")
+        links = links.union(materialise(alike(pairs, keyed), "links"))
     roots = components(links)
     named = points.join(roots, "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
     named = materialise(keyed.select("doc_id", "unit").join(named, "unit").select("doc_id", "root"), "named")
