@@ -103,7 +103,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     asked = materialise(asked.join(first.select("id", "id2", "d", "l"), "id"), "asked")
     by_doc = asked.groupBy("d").agg(F.collect_list(F.struct("l", "id", "id2", "asked")).alias("asked"))
     by_doc = materialise(by_doc, "asked-by-doc")
-    texts = docs.select(key_of(F.col(id_col)).alias("d"), F.col(text_col).alias("text")).join(by_doc, "d")
+    # both sides grow with the data, so no broadcast at any size
+    texts = docs.select(key_of(F.col(id_col)).alias("d"), F.col(text_col).alias("text")).join(by_doc.hint("merge"), "d")
     texts = texts.select("d", F.split("text", "\n").alias("lines"), F.explode("asked").alias("x")).select("d", F.get("lines", F.col("x.l")).alias("line"), "x.*")
     same = (F.xxhash64("line") == F.col("id")) & (F.hash("line") == F.col("id2"))  # rows that repeat a key may differ
     texts = texts.where(same).select("id", "id2", place_of(F.col("d"), F.col("l")).alias("at"), "line", "asked")
@@ -133,7 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by_doc = bits.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("bits"), F.max("w").alias("last"))
     dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0).cast("long")))
     by_doc = by_doc.select("d", dense.alias("bits"))
-    out = docs.select(F.struct("*").alias("row"), key_of(F.col(id_col)).alias("d")).join(by_doc, "d", "left")
+    out = docs.select(F.struct("*").alias("row"), key_of(F.col(id_col)).alias("d")).join(by_doc.hint("merge"), "d", "left")
     out = out.withColumn("lines", F.split(F.col(f"row.{text_col}"), "\n"))
     flag = lambda i: F.coalesce(F.getbit(F.get("bits", F.floor(i / 64).cast("int")), i % 64) == 1, F.lit(False))
     stays = F.filter("lines", lambda x, i: flag(i) | ~x.rlike(WORDED))
