@@ -1,38 +1,26 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Each byte is a symbol; a second half of the alphabet marks a byte whose next six bytes also began within the
-forty bytes before, so that the filters can see repetition. Filters of ``WIDTH`` symbols slide over the whole
-document, are max-pooled over overlapping chunks of two halves, and the mean and the maximum over all chunks
-go through a hidden layer into one probability.
+Learned filters of ``WIDTH`` bytes slide over the whole document and are max-pooled over overlapping chunks of two
+halves; the mean, the maximum and the minimum of the pooled filters over all chunks go through a hidden layer into one
+probability. The minimum tells of chunks in which what is common elsewhere is missing, as in runs of one word.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH, FILTERS, HALF, HIDDEN, STEP = 6, 16, 128, 16, 64
-GRAM, BACK = 6, 40
-SYMBOLS = 512
+WIDTH, FILTERS, HALF, HIDDEN, STEP = 6, 16, 64, 16, 128
 
 
 def symbols(data: bytes) -> np.ndarray:
-    """The symbols of one document, padded with zero bytes to whole half-chunks."""
+    """The bytes of one document, padded with zeros to whole half-chunks."""
     n = max(1, -(-len(data) // HALF)) * HALF
-    x = np.zeros(n + GRAM, np.uint8)
+    x = np.zeros(n, np.uint8)
     x[: len(data)] = np.frombuffer(data, np.uint8)
-    gram = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        gram = (gram << np.uint64(8)) | x[k : n + k]
-    again = np.zeros(n, bool)
-    for back in range(2, BACK + 1):
-        again[back:] |= gram[back:] == gram[:-back]
-    again[max(0, len(data) - GRAM + 1) :] = False
-    return x[:n].astype(np.intp) + again * 256
+    return x
 
 
 def pooled(sym: np.ndarray, tables: np.ndarray, where: bool = False):
@@ -70,9 +58,9 @@ def chunked(top: np.ndarray) -> np.ndarray:
 def start(seed: int) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     return {
-        "tables": r.normal(0, 0.3, (WIDTH, SYMBOLS, FILTERS)).astype(np.float32),
+        "tables": r.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32),
         "bias": np.full(FILTERS, -1.0, np.float32),
-        "w1": r.normal(0, 0.4, (2 * FILTERS, HIDDEN)).astype(np.float32),
+        "w1": r.normal(0, 0.4, (3 * FILTERS, HIDDEN)).astype(np.float32),
         "b1": np.zeros(HIDDEN, np.float32),
         "w2": r.normal(0, 0.4, HIDDEN).astype(np.float32),
         "b2": np.zeros(1, np.float32),
@@ -82,13 +70,12 @@ def start(seed: int) -> dict[str, np.ndarray]:
 def probability(model: dict, data: bytes) -> float:
     """Of one whole document, the empty one included."""
     act = np.tanh(chunked(pooled(symbols(data), model["tables"])) + model["bias"])
-    hidden = np.tanh(np.concatenate([act.mean(0), act.max(0)]) @ model["w1"] + model["b1"])
+    hidden = np.tanh(np.concatenate([act.mean(0), act.max(0), act.min(0)]) @ model["w1"] + model["b1"])
     return float(1 / (1 + np.exp(-np.clip(float(hidden @ model["w2"]) + float(model["b2"][0]), -30, 30))))
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 32, rate: float = 0.01, most_halves: int = 48, seed: int = 7) -> dict[str, np.ndarray]:
-    """Train on the driver from a bounded list. An epoch sees at most most_halves neighbouring half-chunks of a
-    document, from a random place, so that long documents cost no more than others."""
+def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
+    """Train on the driver from a bounded list; every epoch sees each document whole."""
     r = np.random.default_rng(seed)
     model = start(seed)
     if not texts:
@@ -107,17 +94,14 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 32,
             grad = {k: np.zeros_like(v) for k, v in model.items()}
             own = order[at : at + batch]
             for d in own:
-                sym, halves = docs[d], len(docs[d]) // HALF
-                if halves > most_halves:
-                    first = int(r.integers(0, halves - most_halves + 1)) * HALF
-                    sym = sym[first : first + most_halves * HALF]
+                sym = docs[d]
                 top, place = pooled(sym, model["tables"], True)
                 if len(top) > 1:
                     second = top[1:] > top[:-1]
                     place = np.where(second, place[1:], place[:-1])
                 act = np.tanh(chunked(top) + model["bias"])
-                best = act.argmax(0)
-                both = np.concatenate([act.mean(0), act.max(0)])
+                best, worst = act.argmax(0), act.argmin(0)
+                both = np.concatenate([act.mean(0), act.max(0), act.min(0)])
                 hidden = np.tanh(both @ model["w1"] + model["b1"])
                 p = 1 / (1 + np.exp(-np.clip(float(hidden @ model["w2"]) + float(model["b2"][0]), -30, 30)))
                 g = (p - y[d]) / len(own)
@@ -128,7 +112,8 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 32,
                 grad["w1"] += np.outer(both, gh)
                 gf = model["w1"] @ gh
                 ga = np.repeat(gf[None, :FILTERS] / len(act), len(act), 0)
-                ga[best, np.arange(FILTERS)] += gf[FILTERS:]
+                ga[best, np.arange(FILTERS)] += gf[FILTERS : 2 * FILTERS]
+                ga[worst, np.arange(FILTERS)] += gf[2 * FILTERS :]
                 ga *= 1 - act**2
                 grad["bias"] += ga.sum(0)
                 padded = np.concatenate([sym, np.zeros(WIDTH - 1, sym.dtype)])
@@ -143,18 +128,21 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 32,
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_chars: int = 65536) -> tuple[list[bytes], list[int]]:
-    """At most most_rows labelled texts of at most most_chars characters, chosen by a hash of their key.
+def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_bytes: int = 1 << 25) -> tuple[list[bytes], list[int]]:
+    """At most most_rows labelled texts, whole, in the order of a hash of their key, until they have most_bytes.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 may be learned from; the rest is held out. The rows
-    are first chosen by key among the labels alone, so that text is read for a bounded number of keys.
+    are first chosen by key among the labels alone, so that text is read for a bounded number of keys; of rows that
+    repeat a key the least text counts. So the driver gets most_bytes and one document at most.
     """
     named = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     named = named.where(~held_out(F.col("doc_id")))
     ids = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= most_chars)
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted(rows, key=lambda x: (zlib.crc32(str(x.doc_id).encode()), x.doc_id, x.text))[:most_rows]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # of most_rows rows
+    size = F.octet_length("text").cast("long")
+    rows = texts.withColumn("before", F.coalesce(F.sum(size).over(so_far), F.lit(0))).where(F.col("before") < most_bytes).orderBy("before", "doc_id").collect()
     return [x.text.encode() for x in rows], [x.quality for x in rows]
 
 
@@ -186,7 +174,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     Null and empty texts get the score of the empty document; repeated rows get equal scores; an empty table
     gives an empty one; columns of docs named score or predicted are replaced. Without labelled rows the
-    untrained network answers.
+    untrained network answers. most_rows: labelled rows to learn from, at most.
     """
     model = train(docs, labels, most_rows)
     return docs.withColumn("score", quality_score(model, F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
