@@ -11,20 +11,20 @@ from lumenlake.llm.common import materialise, running_total
 BUCKET_DIGITS = 3
 
 
-def rendezvous(key: Column, weights: list[float]) -> Column:
-    """The shard whose draw is least: an exponential variable of rate weight, fixed by md5 of "key:shard".
+def draw(key: Column, shard: int, weight: float) -> Column:
+    """Struct (draw, shard): an exponential variable of rate weight, fixed by md5 of "key:shard"."""
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("double")
+    return F.struct((-F.log((bits + 0.5) / float(1 << 52)) / float(weight)).alias("draw"), F.lit(shard).alias("shard"))
 
-    Each shard wins in proportion to its weight, and the draw of a shard depends on no other shard: one more
-    shard takes rows only into itself, one less spreads only its own rows. Ties go to the smaller shard.
-    """
-    draws = []
-    for shard, weight in enumerate(weights):
-        if weight > 0:
-            bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{shard}"))), 1, 13), 16, 10).cast("double")
-            draws.append(F.struct((-F.log((bits + 0.5) / float(1 << 52)) / float(weight)).alias("draw"), F.lit(shard).alias("shard")))
+
+def rendezvous(key: Column, weights: list[float]) -> Column:
+    """The least draw, with its shard. Each shard wins in proportion to its weight, and the draw of a shard depends on no
+    other shard: one more shard takes rows only into itself, one less spreads only its own rows. Ties go to the smaller
+    shard."""
+    draws = [draw(key, shard, weight) for shard, weight in enumerate(weights) if weight > 0]
     if not draws:
         raise ValueError("a shard of positive weight is needed")
-    return F.array_min(F.array(*draws))["shard"]
+    return F.array_min(F.array(*draws))
 
 
 def shard_records(docs: DataFrame, shards: int = 40, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,11 +45,12 @@ def shard_records(docs: DataFrame, shards: int = 40, weights: list[float] | None
         key.alias("_key"),
     )
     own = own.withColumns({
-        "shard": rendezvous(F.col("_key"), weights),
-        "grown_shard": rendezvous(F.col("_key"), [*weights, sum(weights) / len(weights)]),
+        "_won": rendezvous(F.col("_key"), weights),
+        "_new": draw(F.col("_key"), len(weights), sum(weights) / len(weights)),
         "_bucket": F.substring(F.md5("_key"), 1, BUCKET_DIGITS),
         "_one": F.lit(1),
     })
+    own = own.withColumns({"shard": F.col("_won.shard"), "grown_shard": F.least("_won", "_new")["shard"]}).drop("_won", "_new")
     own = materialise(own, "shards")
     order = [F.col(x) for x in ("_key", "size", "text_crc32")]
     out = running_total(own, ["shard"], "_bucket", order, "_one", "slot")
