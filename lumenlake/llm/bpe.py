@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by chunks that overlap.
 
-A document is cut into chunks that overlap; each is pre-tokenised on its own; where two neighbours agree on
-the end of a pre-token, the first hands over to the second, because the pattern looks at nothing before a
-pre-token's start. The pieces so found are merged by rank, all new ones of a block at once. Decoding puts the
+A long document is cut into chunks that overlap, which tasks share; each is pre-tokenised on its own; where two
+neighbours agree on the end of a pre-token, the first hands over to the second, because the pattern looks at nothing
+before a pre-token's start. The pieces so found are merged by rank, all new ones of a block at once. Decoding puts the
 tokens' raw bytes behind one another.
 """
 
@@ -16,9 +16,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.llm.common import materialise
+
 #: A pre-token's end is certain only if the pattern could see so many characters behind it ('re, 've, 'll).
 LOOK = 3
 NONE = np.int64(1) << 40
@@ -281,6 +283,14 @@ def ranks_of(path: str, pattern: str) -> Ranks:
 
 
 RESULT = "struct<ids:binary, n_tokens:bigint, ids_sha256:string, decoded_sha256:string>"
+NAMES = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def _results(ranks: Ranks, ids: list[bytes], with_ids: bool) -> list[pa.Array]:
+    """The columns of RESULT."""
+    n, first = [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids]
+    second = [hashlib.sha256(ranks.decode(x)).hexdigest() for x in ids]
+    return [pa.array(ids if with_ids else [None] * len(ids), pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
 
 
 def _blocks(texts: pa.Array, most: int):
@@ -298,24 +308,80 @@ def _blocks(texts: pa.Array, most: int):
 
 def bpe_encoded(text: Column, path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 256, with_ids: bool = True) -> Column:
     """Struct column: ids (little-endian unsigned 32-bit), n_tokens, ids_sha256 and, after decoding the ids,
-    decoded_sha256. Without with_ids, ids is null. path: a tiktoken rank file that every executor can read."""
+    decoded_sha256. Without with_ids, ids is null. path: a tiktoken rank file that every executor can read. All chunks of
+    a text are read in one task; encode_documents deals those of long texts to many."""
 
     @F.arrow_udf(RESULT)
     def encode(texts: pa.Array) -> pa.Array:
         ranks = ranks_of(path, pattern)
-        ids, n, first, second = [], [], [], []
-        for block in _blocks(texts, 1 << 22):
-            for own in ranks.encode_block([pretokenise(ranks.splitter, x, chunk, overlap) for x in block]):
-                ids.append(own if with_ids else None)
-                n.append(len(own) // 4)
-                first.append(hashlib.sha256(own).hexdigest())
-                second.append(hashlib.sha256(ranks.decode(own)).hexdigest())
-        arrays = [pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-        return pa.StructArray.from_arrays(arrays, ["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own = [x for block in _blocks(texts, 1 << 22) for x in ranks.encode_block([pretokenise(ranks.splitter, t, chunk, overlap) for t in block])]
+        return pa.StructArray.from_arrays(_results(ranks, own, with_ids), NAMES)
 
     return encode(text)
 
 
+def chunk_rows(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """texts(id, text) as (id, k, last, part): chunk k with the overlap behind it."""
+
+    def cut(batches):
+        for batch in batches:
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                for k in range(0, len(text), chunk):
+                    row = {"id": [key], "k": pa.array([k // chunk], pa.int32()), "last": [k + chunk >= len(text)], "part": [text[k : k + chunk + overlap]]}
+                    yield pa.RecordBatch.from_pydict(row)
+
+    return texts.mapInArrow(cut, "id long, k int, last boolean, part string")
+
+
+def stitched(parts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """chunk_rows(...) with start and end, places in the part between which its pieces lie: the first boundaries that
+    it shares with its neighbours in the overlaps, null where there is none. Only boundaries in overlaps are sorted by
+    document."""
+
+    @F.arrow_udf("struct<head:array<int>, tail:array<int>>")
+    def edges(part: pa.Array, last: pa.Array) -> pa.Array:
+        splitter, heads, tails = ranks_of(path, pattern).splitter, [], []
+        for text, end in zip(part.to_pylist(), last.to_pylist()):
+            ends = splitter.ends(text)
+            ends = ends if end else ends[ends <= len(text) - LOOK]
+            heads.append(ends[ends < overlap].astype(np.int32))
+            tails.append(ends[(ends >= chunk) & (ends < chunk + overlap)].astype(np.int32) - chunk)
+        return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in (heads, tails)], ["head", "tail"])
+
+    own = parts.select("id", "k", "last", edges("part", "last").alias("e")).select("id", "k", "last", "e.*")
+    by_doc = Window.partitionBy("id").orderBy("k")
+    shared = F.array_min(F.array_intersect("tail", F.lead("head").over(by_doc)))
+    own = own.withColumn("shared", shared)
+    start = F.when(F.col("k") == 0, 0).otherwise(F.lag("shared").over(by_doc))
+    own = own.select("id", "k", start.alias("start"), F.when(~F.col("last"), F.col("shared") + chunk).alias("end"), (F.col("last") | F.col("shared").isNotNull()).alias("joined"))
+    return parts.join(own, ["id", "k"])
+
+
+def encode_long(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int, with_ids: bool) -> DataFrame:
+    """texts(id, text) as (id, x), x as bpe_encoded gives it, chunks of one text in many tasks. A text with a pre-token
+    longer than an overlap, where two chunks share no boundary, is read in one task instead."""
+    parts = materialise(stitched(materialise(chunk_rows(texts, chunk, overlap), "chunks").repartition("id", "k"), path, pattern, chunk, overlap), "stitched")
+    apart = materialise(parts.where("NOT joined").select("id").distinct(), "apart")
+
+    @F.arrow_udf("binary")
+    def encode(part: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        ranks, pieces = ranks_of(path, pattern), []
+        for text, a, b in zip(part.to_pylist(), start.to_pylist(), end.to_pylist()):
+            ends = ranks.splitter.ends(text[a:]) + a
+            ends = ends[ends <= (len(text) if b is None else b)].tolist()
+            pieces.append([text[i:j] for i, j in zip([a, *ends], ends)])
+        return pa.array(ranks.encode_block(pieces), pa.binary())
+
+    def whole(table: pa.Table) -> pa.Table:
+        ranks = ranks_of(path, pattern)
+        own = b"".join(table.sort_by("k").column("ids").to_pylist())
+        return pa.table({"id": table.column("id").slice(0, 1), "x": pa.StructArray.from_arrays(_results(ranks, [own], with_ids), NAMES)})
+
+    good = parts.join(apart, "id", "left_anti").select("id", "k", encode("part", "start", "end").alias("ids"))
+    good = good.groupBy("id").applyInArrow(whole, f"id long, x {RESULT}")
+    return good.union(texts.join(apart, "id", "left_semi").select("id", bpe_encoded(F.col("text"), path, pattern, chunk, overlap, with_ids)))
+
+
 def bpe_decoded(ids: Column, path: str, pattern: str) -> Column:
     """Binary column: the tokens' raw bytes behind one another. Null ids give null."""
 
@@ -327,12 +393,20 @@ def bpe_decoded(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text", with_ids: bool = True, chunk: int = 1 << 16, overlap: int = 256) -> DataFrame:
     """docs with ids, n_tokens, ids_sha256 and decoded_sha256; columns of these names are replaced.
 
     A null or empty text has no ids. Repeated rows give equal rows. An empty table gives an empty one. Every
-    text is encoded whole, whatever its length.
+    text is encoded whole, whatever its length: those of more than a chunk of characters by chunks in many tasks.
     """
-    out = docs.withColumn("_bpe", bpe_encoded(F.col(text_col), path, pattern, with_ids=with_ids))
-    names = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
-    return out.withColumns({x: F.col(f"_bpe.{x}") for x in (names if with_ids else names[1:])}).drop("_bpe")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    is_long = F.length(text) > chunk + overlap
+    short = docs.where(~is_long).select(F.struct("*").alias("row"), bpe_encoded(text, path, pattern, chunk, overlap, with_ids).alias("x"))
+    large = materialise(docs.where(is_long).select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), "long")
+    long = encode_long(large.select("id", F.col(f"row.{text_col}").alias("text")), path, pattern, chunk, overlap, with_ids)
+    both = short.union(large.join(long, "id").select("row", "x"))
+    names = NAMES if with_ids else NAMES[1:]
+    row = F.col("row")
+    for x in names:
+        row = row.withField(x, F.col(f"x.{x}"))
+    return both.select(row.alias("row")).select("row.*")
