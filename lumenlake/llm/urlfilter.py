@@ -61,21 +61,34 @@ def alike(least: int, z: float) -> Column:
     return F.when(enough("labelled"), near("bad", "labelled")).otherwise(shape)
 
 
+def along_chains(going: DataFrame) -> DataFrame:
+    """going with template and level moved on to where the paths of each node part: what all of them share, which is
+    what the first and the last of them share, is no choice and stays as it is."""
+    node = ["host", "template"]
+    ends = going.groupBy(*node).agg(F.min("segments").alias("_a"), F.max("segments").alias("_b"))
+    same = F.zip_with("_a", "_b", lambda a, b: a.eqNullSafe(b))
+    apart = F.array_position(same, F.lit(False))
+    ends = ends.select(*node, F.when(apart > 0, apart - 1).otherwise(F.size("_a")).cast("int").alias("_to"))
+    own = going.join(ends, node).withColumn("_more", F.slice("segments", F.col("level") + 1, F.greatest(F.col("_to") - F.col("level"), F.lit(0))))
+    own = own.withColumn("template", F.when(F.size("_more") > 0, F.concat_ws("/", "template", F.array_join("_more", "/"))).otherwise(F.col("template")))
+    return own.withColumn("level", F.greatest("level", "_to")).drop("_to", "_more")
+
+
 def generalised(paths: DataFrame, fan: int, share: float, least: int, z: float, prior: float, strength: float) -> DataFrame:
     """paths(host, look, segments, n, labelled, bad) with ``template`` and ``purity``.
 
     One level at a time, from sums for each node; no group is ever gathered. A path that is alone below its node is
-    done: its rest is kept as it is. So there are as many levels as paths of one host still branch, whatever their
-    depth; the driver sees whether any is left.
+    done: its rest is kept as it is, and so is what all paths of a node share. So there are as many rounds as a path has
+    branchings above it, whatever its depth; the driver sees whether any is left.
     """
     top = paths.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    going = paths.join(top, "host").withColumns({"template": F.lit(""), "prior": F.lit(prior)})
+    going = paths.join(top, "host").withColumns({"template": F.lit(""), "prior": F.lit(prior), "level": F.lit(0)})
     going = materialise(going, "level")
-    done, level = [], 0
+    done, node = [], ["host", "template"]
     while True:
-        node = ["host", "template"]
-        after = F.get("segments", F.lit(level + 1))
-        own = going.withColumn("_seg", F.get("segments", F.lit(level)))
+        own = along_chains(going)
+        after = F.get("segments", F.col("level") + 1)
+        own = own.withColumn("_seg", F.get("segments", "level"))
         own = own.withColumn("ends", F.when(after.isNull(), F.col("n")).otherwise(0)).withColumn("varies", F.when(after.contains("#"), F.col("n")).otherwise(0))
         child = own.groupBy(*node, "_seg").agg(F.count(F.lit(1)).alias("c_paths"), *[F.sum(x).alias(f"c_{x}") for x in SUMS])
         parent = child.groupBy(*node).agg(F.sum("c_paths").alias("paths"), F.count("_seg").alias("children"), *[F.sum(F.when(F.col("_seg").isNotNull(), F.col(f"c_{x}"))).alias(f"p_{x}") for x in SUMS])
@@ -90,15 +103,14 @@ def generalised(paths: DataFrame, fan: int, share: float, least: int, z: float,
         outside = smoothed(F.col("b") - F.col("_b"), F.col("l") - F.col("_l"), F.col("prior"), strength)
         new = {"prior": outside, "l": F.col("_l"), "b": F.col("_b")}
         step = step.withColumns({k: F.when(on, v).otherwise(F.col(k)) for k, v in new.items()})
-        rest = F.concat_ws("/", F.col("template"), F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))))
-        rest = F.when(F.size("segments") > level, rest).otherwise(F.col("template"))
+        rest = F.concat_ws("/", F.col("template"), F.slice("segments", F.col("level") + 1, F.greatest(F.size("segments") - F.col("level"), F.lit(0))))
+        rest = F.when(F.size("segments") > F.col("level"), rest).otherwise(F.col("template"))
         step = step.withColumn("template", F.when(on, F.concat("template", F.lit("/"), "_to")).otherwise(rest))
-        step = materialise(step.withColumn("_on", on).drop("_seg", "_to", "_l", "_b"), "level")
+        step = materialise(step.withColumn("_on", on).withColumn("level", F.col("level") + 1).drop("_seg", "_to", "_l", "_b"), "level")
         done.append(step.where("NOT _on").drop("_on"))
         going = step.where("_on").drop("_on")
         if going.isEmpty():
             break
-        level += 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
