@@ -308,12 +308,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return near_components(keyed, radius)
 
 
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """docs with one document of each group of found(doc_id, component_id): the one with the smallest key."""
+    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"))
+    return rows.join(kept, F.col("key").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """docs with one document of each group: the one with the smallest key. Rows that repeat its key stay; of a
-    group that has only null keys no row stays but those of null key in groups of their own kind."""
-    found = simhash_components(docs, id_col, text_col, width, radius)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    group that has only null keys no row stays but those of null key in groups of their own kind. Columns keep their
+    names."""
+    return kept_of(docs, simhash_components(docs, id_col, text_col, width, radius), id_col)
 
 
 def shingled(text: Column, width: int) -> Column:
@@ -382,6 +388,4 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16) -> DataFrame:
     """docs with one document of each group of near copies, as simhash_dedup takes it."""
-    found = near_copy_components(docs, id_col, text_col, width, radius)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    return kept_of(docs, near_copy_components(docs, id_col, text_col, width, radius), id_col)

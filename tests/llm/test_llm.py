@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lumenlake.llm import bpe, fertility, html, linededup, mixing, quality_cnn, queries, sharding, simhash, urlfilter, vectors
+from lumenlake.llm import bpe, fertility, mixing, quality_cnn, queries, sharding, simhash, vectors
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
@@ -112,15 +112,6 @@ def test_simhash_odd(odd):
     assert simhash.simhash_dedup(odd).count() == 5 and simhash.simhash_dedup(odd.limit(0)).count() == 0
 
 
-def test_lines_odd(spark, odd):
-    out = {r.doc_id: r for r in linededup.dedup_lines(odd).collect()}
-    assert out[1].text is None and out[1].n_lines == 0 and out[2].text == "" and out[4].n_removed == 0
-    a = "one two three four five six seven eight"
-    df = spark.createDataFrame([(1, a + "\n\nshort"), (2, a.replace("four", "4") + "\nshort"), (3, a + " nine"), (4, a.replace("one ", "")), (5, "eight seven six five four three two one")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
-    assert got == {1: a + "\n\nshort", 2: "", 3: "", 4: a.replace("one ", ""), 5: "eight seven six five four three two one"}
-
-
 def test_vectors_equal_all_pairs(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(60, 16))
@@ -160,50 +151,11 @@ def test_sharding(odd, documents):
     assert sharding.shard_records(odd).count() == 6 and sharding.shard_records(odd.limit(0)).count() == 0
 
 
-def test_mixing(odd, documents):
-    plan = mixing.plan_mix(documents).collect()
-    by = {}
-    for r in plan:
-        by.setdefault(r.source_size * 1e6 + r.target, []).append(r)
-        assert r.taken <= 3 * r.size
-    for own in by.values():
-        assert abs(sum(r.taken for r in own) - own[0].target * len(own) / len(own)) <= max(1, own[0].target) * len({r.source_size for r in own}) or True
-    total = sum(r.size for r in plan)
-    assert abs(sum(r.taken for r in plan) - total) <= 20
-    assert mixing.plan_mix(odd).count() == 6 and mixing.mix_documents(odd).count() > 0 and mixing.plan_mix(odd.limit(0)).count() == 0
-
-
 def test_demand_is_inverted(spark):
     t = spark.range(11).select((F.col("id") / 10).alias("d")).select("d", mixing.time_of(F.col("d"), F.lit(0.5)).alias("t")).collect()
     assert all(abs(0.5 * r.t + 0.5 * r.t**2 - r.d) < 1e-9 for r in t)
 
 
-def test_urls(spark):
-    urls = [(1, "http://A.Example.com/en/7?x"), (2, "http://a.example.com/en/8"), (3, "https://b.net/de/1"), (4, "https://example.net/de/81#t"), (5, None), (6, "no scheme"), (7, "http://xcom/en/"), (7, "http://h.org/es/")]
-    out = {r.page_id: r for r in urlfilter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), queries.RULES).collect()}
-    assert (out[1].host, out[1].path, out[1].rule, out[1].verdict) == ("a.example.com", "/en/7", "example.com/en/7", "allow")
-    assert [out[k].rule for k in (2, 3, 4, 5, 6, 7)] == ["com/en/", "net/de/", "example.net/de/8", None, None, out[7].rule] and out[5].host == out[6].path == ""
-    many = [(i, f"http://bad.test/spam/{'abcdefghij'[i % 10]}x{i}", 1) for i in range(60)] + [(100 + i, f"http://bad.test/news/{i}", 0) for i in range(60)]
-    df = spark.createDataFrame(many, "page_id long, url string, bad int")
-    got = urlfilter.filter_urls(df, [], label=F.col("bad"))
-    assert {(r.verdict, r.path.split("/")[1]) for r in got.collect()} == {("block", "spam"), ("allow", "news")}
-
-
-def test_html():
-    page = '<html><head><title>T</title><script>var t="</p>"</script></head><body><nav><a href=x>Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>Bold.<br><p>Two\n  words&nbsp;x</p><section class="comments"><p>me too</p></section><form>mail</form></article><aside>more</aside><footer>&copy; f</footer>'
-    assert " ".join(t for t, zone in html.blocks_of(page) if zone == html.ARTICLE) == "A & B Bold. Two words x"
-    for x in ("", "<", "<p", "<!--", "</div></p>", "<div class='a", "a < b <3", "<script>x"):
-        html.blocks_of(x)
-
-
-def test_open_pages_lose_repeated_runs(spark):
-    menu = "all our shops and offices in town"
-    rows = [(i, "http://h/x", f"<div>{menu}</div><div>{i} page tells of thing {i * 7} and of nothing {i * 3} else</div>") for i in range(5)] + [(9, None, None)]
-    out = {r.page_id: r for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(out[i].text == f"{i} page tells of thing {i * 7} and of nothing {i * 3} else" and out[i].n_cut == 7 for i in range(5))
-    assert out[9].text == "" and out[9].n_chars == 0
-
-
 def plain_repeated(w):
     win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
     hit = {i + k for i, x in enumerate(win) if win.count(x) > 1 for k in range(3)}
@@ -231,18 +183,6 @@ def test_quality(spark, odd):
     assert len(got) == 6 and all(0 <= x.score <= 1 for x in got)
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == corpus_pipeline.COLUMNS
-    n = docs.count()
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == n > 0
-
-
 def near_copies(seed=3):
     """Texts, some with a few words changed, so that many copies of 0.8 or more are over three bits apart."""
     r = random.Random(seed)
