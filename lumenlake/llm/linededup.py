@@ -1,13 +1,13 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame operations only.
 
-An edit is one character inserted, deleted or substituted; the bound is one edit, for lines of every length. A
-variant of a line is the line without one character, keyed by the length of the longer line of a pair and by the
-place of the gap: two lines are within one edit exactly if a variant of one, or the line itself with a gap put in,
-has the key of a variant of the other. Lines that meet in a key are compared, and a line goes if an earlier one is
-within the bound.
+An edit inserts, deletes or substitutes one character, in lines of every length, or one word, in lines of ``WORDS`` words
+or more, where it is so small a part; the bound is one edit. A line is a row of units, its characters or its words. A
+variant of it is the row without one unit, keyed by the length of the longer line of a pair and by the place of the gap:
+two lines are within one edit exactly if a variant of one, or the line itself with a gap put in, has the key of a variant
+of the other. Lines that meet in a key are compared, and a line goes if an earlier one is within the bound.
 
 Most lines have no near neighbour, so variants are only made where one can be: a pair within the bound agrees
-outside the half that holds the edit, and outside the piece of about root n characters of that half that holds it.
+outside the half that holds the edit, and outside the piece of about root n units of that half that holds it.
 Both are joins on equal hashes that lose no pair, and a variant costs a hash of its piece, not of its line.
 """
 
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import materialise, spent
 
+#: Lines of so many words or more may also differ by a whole word.
+WORDS = 8
+BLANKS, SPACE = " \t\n\x0b\f\r", "[\\x20\\x09-\\x0D]+"
 WORDED = "[^\\x20\\x09-\\x0D]"
 #: A null key counts as the largest; a line's place is its key times PLACES plus its number.
 NULL_KEY, PLACES = 2**63 - 1, 2**31
@@ -37,25 +40,46 @@ def key_and_number(place: str) -> list[Column]:
     return [F.floor(F.col(place) / step).cast("long").alias("d"), F.pmod(F.col(place), step).cast("int").alias("l")]
 
 
-def half_keys(line: Column) -> Column:
-    """For the line as one of the longer length, and as one that lacks a character of it: a key of what lies outside
-    the first half, and of what lies outside the second. Two lines within one edit share at least one."""
+def left(x: Column, n: Column, words: bool) -> Column:
+    return F.slice(x, F.lit(1), n) if words else F.left(x, n)
+
+
+def right(x: Column, n: Column, words: bool) -> Column:
+    return F.slice(x, F.size(x) - n + 1, n) if words else F.right(x, n)
+
+
+def length(x: Column, words: bool) -> Column:
+    return F.size(x) if words else F.length(x)
+
+
+def words_of(line: Column) -> Column:
+    """Of a line that has a word."""
+    return F.split(F.btrim(line, F.lit(BLANKS)), SPACE)
+
+
+def half_keys(units: Column, words: bool) -> list[Column]:
+    """For the line as one of the longer length, and as one that lacks a unit of it: a key of what lies outside the
+    first half, and of what lies outside the second. Two lines within one edit share at least one."""
     keys = []
     for more in (0, 1):
-        longer = F.length(line) + more
+        longer = length(units, words) + more
         middle = F.ceil(longer / 2).cast("int")
-        keys += [F.xxhash64(F.lit(0), longer, F.right(line, longer - middle)), F.xxhash64(F.lit(1), longer, F.left(line, middle))]
-    return F.array(*keys)
+        kind = 2 * words
+        keys += [F.xxhash64(F.lit(kind), longer, right(units, longer - middle, words)), F.xxhash64(F.lit(kind + 1), longer, left(units, middle, words))]
+    return keys
 
 
 def first_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, id2, d, l, halves): each different line with a word, named by two hashes, where it comes first."""
+    """(id, id2, d, l, halves): each different line with a word, named by two hashes, where it comes first. halves are
+    four keys of its characters and, if it has words enough, four of its words, else nulls."""
     own = docs.select(F.col(id_col).alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("number", "line"))
     own = own.where(F.col("line").rlike(WORDED))
-    names = [f"h{k}" for k in range(4)]
+    names = [f"h{k}" for k in range(8)]
     line, at = F.col("line"), place_of(key_of(F.col("key")), F.col("number"))
-    own = own.select(F.xxhash64(line).alias("id"), F.hash(line).alias("id2"), at.alias("at"), half_keys(line).alias("h"))
-    own = own.select("id", "id2", "at", *[F.get("h", F.lit(k)).alias(x) for k, x in enumerate(names)])
+    own = own.select(F.xxhash64(line).alias("id"), F.hash(line).alias("id2"), at.alias("at"), "line", words_of(line).alias("words"))
+    enough = F.size("words") >= WORDS
+    keys = [*half_keys(F.col("line"), False), *[F.when(enough, x) for x in half_keys(F.col("words"), True)]]
+    own = own.select("id", "id2", "at", *[x.alias(name) for x, name in zip(keys, names)])
     first = own.groupBy("id", "id2").agg(F.min("at").alias("at"), *[F.first(x).alias(x) for x in names])
     return first.select("id", "id2", *key_and_number("at"), F.array(*names).alias("halves"))
 
@@ -67,41 +91,44 @@ def shared_only(rows: DataFrame, key: str) -> DataFrame:
     return dealt.join(many, key, "left_semi")
 
 
-def pieces(lines: DataFrame) -> DataFrame:
-    """lines(id, id2, at, line, half), half as half_keys numbers them -> (id, id2, at, full, outside, piece): the half
-    cut into root-of-its-length pieces, each with a hash of all that is outside it. full: the line is of the longer
-    length, and a piece loses a character; else it lacks one, and a gap is put in."""
-    own = lines.withColumn("full", F.col("half") < 2).withColumn("longer", F.length("line") + F.when(F.col("half") < 2, 0).otherwise(1))
+def pieces(lines: DataFrame, words: bool) -> DataFrame:
+    """lines(id, id2, at, units, half), half as half_keys numbers them -> (id, id2, at, full, outside, gaps, piece): the
+    half cut into root-of-its-length pieces, each with a hash of all that is outside it. full: the line is of the longer
+    length, and a piece loses a unit; else it lacks one, and a gap is put in."""
+    units = F.col("units")
+    own = lines.withColumn("full", F.col("half") < 2).withColumn("longer", length(units, words) + F.when(F.col("half") < 2, 0).otherwise(1))
     own = own.withColumn("middle", F.ceil(F.col("longer") / 2).cast("int")).withColumn("second", F.col("half") % 2)
     own = own.withColumn("low", F.col("middle") * F.col("second")).withColumn("width", F.when(F.col("second") == 1, F.col("longer") - F.col("middle")).otherwise(F.col("middle")))
     own = own.where("width > 0").withColumn("parts", F.ceil(F.sqrt("width")).cast("int"))
     own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     edge = lambda k: F.col("low") + F.ceil(k * F.col("width") / F.col("parts")).cast("int")
     own = own.withColumn("a", edge(F.col("part"))).withColumn("b", edge(F.col("part") + 1))
-    outside = F.xxhash64("longer", "second", "part", F.left("line", F.col("a")), F.right("line", F.col("longer") - F.col("b")))
+    outside = F.xxhash64(F.lit(words), "longer", "second", "part", left(units, F.col("a"), words), right(units, F.col("longer") - F.col("b"), words))
     size = F.col("b") - F.col("a") - F.when(F.col("full"), 0).otherwise(1)
-    return own.select("id", "id2", "at", "full", outside.alias("outside"), (F.col("b") - F.col("a")).alias("gaps"), F.substr("line", F.col("a") + 1, size).alias("piece"))
+    piece = F.slice(units, F.col("a") + 1, size) if words else F.substr(units, F.col("a") + 1, size)
+    return own.select("id", "id2", "at", "full", outside.alias("outside"), (F.col("b") - F.col("a")).alias("gaps"), piece.alias("piece"))
 
 
-def variants(found: DataFrame) -> DataFrame:
+def variants(found: DataFrame, words: bool) -> DataFrame:
     """pieces(...) as (id, id2, at, outside, variant): one row for each place of the gap."""
     own = found.withColumn("gap", F.explode(F.sequence(F.lit(0), F.col("gaps") - 1)))
     behind = F.col("gap") + F.when(F.col("full"), 2).otherwise(1)
-    variant = F.xxhash64("gap", F.left("piece", F.col("gap")), F.substr("piece", behind, F.length("piece")))
-    return own.select("id", "id2", "at", "outside", variant.alias("variant"))
+    piece = F.col("piece")
+    rest = right(piece, F.greatest(length(piece, words) - behind + 1, F.lit(0)), words)
+    return own.select("id", "id2", "at", "outside", F.xxhash64("gap", left(piece, F.col("gap"), words), rest).alias("variant"))
 
 
-def agree(a: Column, b: Column, end) -> Column:
-    """How many characters two texts share from their left or right ``end``: bits of the number from the highest."""
-    least = F.least(F.length(a), F.length(b))
+def agree(a: Column, b: Column, end, words: bool) -> Column:
+    """How many units two lines share from their left or right ``end``: bits of the number from the highest."""
+    least = F.least(length(a, words), length(b, words))
     powers = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
-    return F.aggregate(powers, F.lit(0), lambda n, k: F.when((n.cast("long") + k <= least) & (end(a, n + k) == end(b, n + k)), n + k).otherwise(n))
+    return F.aggregate(powers, F.lit(0), lambda n, k: F.when((n.cast("long") + k <= least) & (end(a, n + k, words) == end(b, n + k, words)), n + k).otherwise(n))
 
 
-def within_one(a: Column, b: Column) -> Column:
-    """Whether two texts are at most one edit apart: what they share from both ends is all but one character of the
-    longer. Unlike a table of distances this takes n log n for long lines."""
-    return agree(a, b, F.left) + agree(a, b, F.right) >= F.greatest(F.length(a), F.length(b)) - 1
+def within_one(a: Column, b: Column, words: bool) -> Column:
+    """Whether two lines are at most one unit apart: what they share from both ends is all but one unit of the longer.
+    Unlike a table of distances this takes n log n for long lines."""
+    return agree(a, b, left, words) + agree(a, b, right, words) >= F.greatest(length(a, words), length(b, words)) - 1
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +138,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     it comes earlier, whether or not that one stays.
     """
     first = materialise(first_places(docs, id_col, text_col), "lines")
-    halves = first.select("id", F.posexplode("halves").alias("half", "h"))
+    halves = first.select("id", F.posexplode("halves").alias("half", "h")).where("h IS NOT NULL")
     asked = shared_only(halves, "h").groupBy("id").agg(F.collect_set("half").alias("asked"))
     asked = materialise(asked.join(first.select("id", "id2", "d", "l"), "id"), "asked")
     by_doc = asked.groupBy("d").agg(F.collect_list(F.struct("l", "id", "id2", "asked")).alias("asked"))
@@ -122,13 +149,21 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = (F.xxhash64("line") == F.col("id")) & (F.hash("line") == F.col("id2"))  # rows that repeat a key may differ
     texts = texts.where(same).select("id", "id2", place_of(F.col("d"), F.col("l")).alias("at"), "line", "asked")
     texts = materialise(texts, "texts")
-    found = materialise(pieces(texts.select("id", "id2", "at", "line", F.explode("asked").alias("half"))), "pieces")
-    keyed = materialise(variants(shared_only(found, "outside")), "variants")
+    keyed, spare = [], [asked, by_doc, texts]
+    for words in (False, True):
+        half = F.explode(F.transform(F.filter("asked", lambda k: (k >= 4) == words), lambda k: k % 4))
+        own = texts.select("id", "id2", "at", (words_of(F.col("line")) if words else F.col("line")).alias("units"), half.alias("half"))
+        found = materialise(pieces(own, words), "pieces")
+        keyed.append(variants(shared_only(found, "outside"), words))
+        spare.append(found)
+    keyed = materialise(keyed[0].union(keyed[1]), "variants")
     earliest = keyed.groupBy("outside", "variant").agg(F.min("at").alias("e"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = keyed.join(earliest, ["outside", "variant"]).where("at > e").select("id", "id2", "e").distinct()
     pairs = pairs.join(texts.select("id", "id2", "line"), ["id", "id2"]).join(texts.select(F.col("at").alias("e"), F.col("line").alias("earlier")), "e")
-    gone = materialise(pairs.where(within_one(F.col("line"), F.col("earlier"))).select("id", "id2").distinct(), "gone")
-    spent(asked, by_doc, texts, found, keyed)
+    line, earlier = F.col("line"), F.col("earlier")
+    worded = (F.size(words_of(line)) >= WORDS) & (F.size(words_of(earlier)) >= WORDS) & within_one(words_of(line), words_of(earlier), True)
+    gone = materialise(pairs.where(within_one(line, earlier, False) | worded).select("id", "id2").distinct(), "gone")
+    spent(*spare, keyed)
     return first.join(gone, ["id", "id2"], "left_anti").select("d", "l")
 
 

@@ -128,14 +128,23 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM drawn
 """
 
-#: Pairs of lines that agree in a half, told apart by how far they agree from both ends.
-_AGREE = "list_reduce([0, 1048576, 524288, 262144, 131072, 65536, 32768, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda p, k: CASE WHEN p + k <= least(a.n, b.n) AND {side}(a.line, (p + k)::BIGINT) = {side}(b.line, (p + k)::BIGINT) THEN p + k ELSE p END)"
+def _agree(side: str) -> str:
+    """How far two lines agree from an end, by characters or, with {k} the number, by words."""
+    powers = ", ".join(str(1 << k) for k in range(20, -1, -1))
+    return f"list_reduce([0, {powers}], lambda p, k: CASE WHEN p + k <= least(a.n, b.n) AND {side.format(x='a', k='(p + k)::BIGINT')} = {side.format(x='b', k='(p + k)::BIGINT')} THEN p + k ELSE p END)"
+
+
+#: Pairs of lines that agree in a half of their characters or words, told apart by how far they agree from both ends.
 OP7_SQL = rf"""
 WITH each AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
 firsts AS (SELECT line, length(line) AS n, min((doc_id, no)) AS pos FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
 halves AS (SELECT *, unnest([m || 'r' || right(line, (m - (m + 1) // 2)::BIGINT), m || 'l' || left(line, ((m + 1) // 2)::BIGINT)]) AS h FROM (SELECT *, unnest([n, n + 1]) AS m FROM firsts)),
-gone AS (SELECT DISTINCT a.line FROM halves a JOIN halves b ON a.h = b.h AND b.pos < a.pos
-  WHERE {_AGREE.format(side="left")} + {_AGREE.format(side="right")} >= greatest(a.n, b.n) - 1),
+worded AS (SELECT line, pos, w, len(w) AS n FROM (SELECT line, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM firsts) WHERE len(w) >= 8),
+word_halves AS (SELECT *, unnest([m || 'r' || array_to_string(w[n - m + (m + 1) // 2 + 1:], ' '), m || 'l' || array_to_string(w[1:(m + 1) // 2], ' ')]) AS h FROM (SELECT *, unnest([n, n + 1]) AS m FROM worded)),
+gone AS (
+  SELECT a.line FROM halves a JOIN halves b ON a.h = b.h AND b.pos < a.pos WHERE {_agree("left({x}.line, {k})")} + {_agree("right({x}.line, {k})")} >= greatest(a.n, b.n) - 1
+  UNION SELECT a.line FROM word_halves a JOIN word_halves b ON a.h = b.h AND b.pos < a.pos
+  WHERE {_agree("{x}.w[1:{k}]")} + {_agree("{x}.w[{x}.n - {k} + 1:]")} >= greatest(a.n, b.n) - 1),
 stay AS (SELECT pos FROM firsts ANTI JOIN gone USING (line)),
 marked AS (
   SELECT e.doc_id, e.no, e.line, regexp_matches(e.line, '[^\x20\x09-\x0D]') AS worded, (e.doc_id, e.no) IN (SELECT pos FROM stay) AS stays FROM each e)
