@@ -24,6 +24,8 @@ from lumenlake.llm.common import components, materialise
 SEED = 42
 #: Least Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
+#: Counts that stand for a set of shingles in a shard; the more, the closer the bound, above all for short texts.
+BINS = 256
 
 
 def fingerprint(data: bytes, width: int = 3) -> int:
@@ -241,12 +243,12 @@ def shard_pairs(fp: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarr
     asking = np.flatnonzero(~home) if not among else np.arange(len(n))
     asking = asking[np.argsort(n[asking], kind="stable")]
     p, q = SIMILAR
-    for at in range(0, len(asking), 512):
-        own = asking[at : at + 512]
+    for at in range(0, len(asking), 128):
+        own = asking[at : at + 128]
         low = np.searchsorted(sizes, -(-n[own[0]] * p // q))
         high = np.searchsorted(sizes, n[own[-1]] * q // p, "right")
-        some = []
-        for lo in range(low, high, 4096):
+        some = np.empty((0, 3), np.int32)
+        for lo in range(low, high, 4096):  # a dense group fills a block of 128 x 4096, no more
             other = homes[lo : min(high, lo + 4096)]
             far = np.bitwise_count(np.bitwise_xor(fp[own][:, None], fp[None, other]))
             i, j = np.nonzero(far <= radius)
@@ -254,18 +256,16 @@ def shard_pairs(fp: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarr
             i, j = own[i], other[j]
             fits = (group[i] != group[j]) & (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & (~home[i] | (node[i] < node[j]))
             i, j, bits = i[fits], j[fits], bits[fits]
-            for s in range(0, len(i), 1 << 16):
-                a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                apart = np.abs(spread[a].astype(np.int16) - spread[b]).sum(1)
-                close = apart * (p + q) <= (n[a] + n[b]) * (q - p)
-                some.append(np.stack([a[close], b[close], bits[s : s + (1 << 16)][close]], 1))
-        if some:
-            pairs = np.concatenate(some)
+            close = np.empty(len(i), bool)
+            for s in range(0, len(i), 1 << 14):
+                x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                apart = np.abs(spread[x].astype(np.int16) - spread[y]).sum(1)
+                close[s : s + (1 << 14)] = apart * (p + q) <= (n[x] + n[y]) * (q - p)
+            some = np.concatenate([some, np.stack([i[close], j[close], bits[close]], 1).astype(np.int32)])
             if nearest is not None:
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
-                first = np.searchsorted(pairs[:, 0], pairs[:, 0])
-                pairs = pairs[np.arange(len(pairs)) - first < nearest]
-            found.append(np.stack([node[pairs[:, 0]], node[pairs[:, 1]]], 1))
+                some = some[np.lexsort((some[:, 1], some[:, 2], some[:, 0]))]
+                some = some[np.arange(len(some)) - np.searchsorted(some[:, 0], some[:, 0]) < nearest]
+        found.append(np.stack([node[some[:, 0]], node[some[:, 1]]], 1))
     pairs = np.concatenate(found)
     return pairs[:, 0], pairs[:, 1]
 
@@ -277,7 +277,7 @@ def near_pairs(points: DataFrame, radius: int, nearest: int | None = None, per_s
     def search(table: pa.Table) -> pa.Table:
         fp, node, n, group = (table.column(x).to_numpy() for x in ("fp", "node", "n", "group"))
         home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        spread = np.frombuffer(b"".join(table.column("spread").to_pylist()), np.uint8).reshape(-1, 64)
+        spread = np.frombuffer(b"".join(table.column("spread").to_pylist()), np.uint8).reshape(-1, BINS)
         a, b = shard_pairs(fp.view(np.uint64), node, n, group, spread, home, radius, table.column("chunk")[0].as_py() == 0, nearest)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -324,8 +324,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def shingled(text: Column, width: int) -> Column:
     """Struct of the SimHash ``fp``, the distinct shingles' hashes, their number ``n``, a hash ``unit`` of them all, and
-    how many have each value of the lowest six bits (``spread``, one byte each, 255 for more: a bound still). A wordless
-    text has no shingle."""
+    how many have each remainder by BINS (``spread``, one byte each, 255 for more: a bound still). Two sets differ in no
+    fewer shingles than their spreads. A wordless text has no shingle."""
 
     @F.arrow_udf("struct<fp:bigint, unit:bigint, n:bigint, spread:binary, shingles:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
@@ -339,7 +339,7 @@ def shingled(text: Column, width: int) -> Column:
             own = np.unique(own)
             units.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             sizes.append(len(own))
-            spreads.append(np.minimum(np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes())
+            spreads.append(np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             sets.append(own.view(np.int64))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         columns = [signed(prints), signed(units), pa.array(sizes, pa.int64()), pa.array(spreads, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
@@ -361,8 +361,8 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Candidates are the pairs of fingerprints within radius, each held against the exact similarity. At a
     similarity of 0.8 two sets of one size differ in 9.7 of 64 bits on average, and in over 16 in about 1 of 100
-    pairs. Texts of equal shingles are one node. Three steps: links within 3 bits; then of each node the ``nearest`` few
-    candidates in each shard; then all candidates that are left. Each asks only for pairs that those before have not
+    pairs. Texts of equal shingles are one node. Four steps: links within 3 bits; then of each node the ``nearest`` few
+    candidates in each shard; then four times as many; then all candidates that are left. Each asks only for pairs that those before have not
     joined, so a large group of near copies is mostly one before all its pairs are asked for; none is left out.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width).alias("s"))
@@ -374,7 +374,7 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = [prints.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
     forest = near_links(prints.select("fp")).join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = materialise(alike(stars.union(forest).where("a <> b").distinct(), keyed), "links")
-    for few in (nearest, None):
+    for few in (nearest, 4 * nearest, None):
         grouped = points.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
         grouped = materialise(grouped.select("fp", "node", "n", "spread", F.coalesce("root", "node").alias("group")), "grouped")
         pairs = materialise(near_pairs(grouped, radius, few), "pairs")
