@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, FILTERS, HALF, HIDDEN, STEP = 6, 16, 64, 16, 128
@@ -133,17 +133,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, m
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 may be learned from; the rest is held out. The rows
     are first chosen by key among the labels alone, so that text is read for a bounded number of keys; of rows that
-    repeat a key the least text counts. So the driver gets most_bytes and one document at most.
+    repeat a key the text of the least hash counts. So the driver gets most_bytes and one document at most.
     """
     named = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     named = named.where(~held_out(F.col("doc_id")))
     ids = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # of most_rows rows
-    size = F.octet_length("text").cast("long")
-    rows = texts.withColumn("before", F.coalesce(F.sum(size).over(so_far), F.lit(0))).where(F.col("before") < most_bytes).orderBy("before", "doc_id").collect()
-    return [x.text.encode() for x in rows], [x.quality for x in rows]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("mark"), F.octet_length("text").alias("size"))
+    own = own.groupBy("doc_id", "quality").agg(F.min("mark").alias("mark"), F.min_by("size", "mark").alias("size"))
+    chosen, so_far = [], 0
+    for x in own.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # most_rows numbers
+        if so_far < most_bytes:
+            chosen.append((x.doc_id, x.quality, x.mark))
+        so_far += x.size
+    if not chosen:
+        return [], []
+    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int, mark long"))
+    rows = texts.withColumn("mark", F.xxhash64("text")).join(keys, ["doc_id", "mark"])
+    # equal texts: one of each key
+    rows = rows.groupBy("doc_id", "quality").agg(F.collect_set("text").alias("texts")).collect()
+    place = {x[0]: i for i, x in enumerate(chosen)}
+    rows = sorted(rows, key=lambda x: place[x.doc_id])
+    return [x.texts[0].encode() for x in rows], [x.quality for x in rows]
 
 
 def held_out(doc_id):
