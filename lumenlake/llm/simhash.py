@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm.arrays import as_bytes, union
-from lumenlake.llm.common import components, materialise
+from lumenlake.llm.common import components, materialise, spent
 
 SEED = 42
 #: Least Jaccard similarity of near copies, as a fraction.
@@ -356,13 +356,13 @@ def alike(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     return joined.where(F.size(F.array_intersect("sa", "sb")) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b")
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16, nearest: int = 2) -> DataFrame:
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16, nearest: int = 8) -> DataFrame:
     """(doc_id, component_id) of every row of docs; links are pairs whose shingles have the least similarity.
 
     Candidates are the pairs of fingerprints within radius, each held against the exact similarity. At a
     similarity of 0.8 two sets of one size differ in 9.7 of 64 bits on average, and in over 16 in about 1 of 100
-    pairs. Texts of equal shingles are one node. Four steps: links within 3 bits; then of each node the ``nearest`` few
-    candidates in each shard; then four times as many; then all candidates that are left. Each asks only for pairs that those before have not
+    pairs. Texts of equal shingles are one node. Three steps: links within 3 bits; then of each node the ``nearest`` few
+    candidates in each shard; then all candidates that are left. Each asks only for pairs that those before have not
     joined, so a large group of near copies is mostly one before all its pairs are asked for; none is left out.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width).alias("s"))
@@ -374,14 +374,18 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = [prints.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
     forest = near_links(prints.select("fp")).join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = materialise(alike(stars.union(forest).where("a <> b").distinct(), keyed), "links")
-    for few in (nearest, 4 * nearest, None):
+    spare = [keyed, points, prints, links]
+    for few in (nearest, None):
         grouped = points.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
         grouped = materialise(grouped.select("fp", "node", "n", "spread", F.coalesce("root", "node").alias("group")), "grouped")
         pairs = materialise(near_pairs(grouped, radius, few), "pairs")
-        links = links.union(materialise(alike(pairs, keyed), "links"))
+        more = materialise(alike(pairs, keyed), "links")
+        links = links.union(more)
+        spare += [grouped, pairs, more]
     roots = components(links)
     named = points.join(roots, "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
     named = materialise(keyed.select("doc_id", "unit").join(named, "unit").select("doc_id", "root"), "named")
+    spent(*spare)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", "component_id")
 
