@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import bpe, fertility, html, linededup, mixing, quality_cnn, sharding, simhash, urlfilter, vectors
+from lumenlake.llm import bpe, collocations, fertility, filteraudit, html, linededup, mixing, quality_cnn, sharding, simhash, urlfilter, vectors
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -65,6 +65,14 @@ def op10_fertility(spark, sf_dir):
     return fertility.fertility_rules(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filteraudit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_phrase_rollup(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -75,7 +83,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_cnn, op2_curriculum_mix, op3_url_templates, op4_host_suffix_array, op5_rendezvous,
-        op6_chunked_bpe, op7_deletion_neighbourhood, op8_rotation_codes, op9_vantage_points, op10_fertility, pipeline,
+        op6_chunked_bpe, op7_deletion_neighbourhood, op8_rotation_codes, op9_vantage_points, op10_fertility, op11_filter_audit,
+        op13_phrase_rollup, pipeline,
     )
 }
 
@@ -164,4 +173,48 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN least ON node = vec_id LEFT JOIN counts ON a = vec_id
 """
 
-ORACLE_SQL = {"op2_curriculum_mix": OP2_SQL, "op5_rendezvous": OP5_SQL, "op7_deletion_neighbourhood": OP7_SQL, "op8_rotation_codes": OP8_SQL}
+OP11_SQL = r"""
+WITH own AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM own LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, s AS step, bits[s] AS own, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & before > 0 AND mask & own > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own > 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM counted
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split WHERE len(w) > 0),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM places, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE m > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts c
+  JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest AS (SELECT lang, phrase, a, arg_min({'l': l, 'r': r, 'score': score}, (score, k)) AS x FROM scored GROUP BY ALL),
+around AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(w[b:b + 1], ' ') AS phrase FROM candidates, (SELECT unnest([1, 2]) AS b) WHERE m = 3) GROUP BY ALL),
+left_over AS (SELECT t.lang, t.phrase, t.a, x.l, x.r, x.score FROM lowest t LEFT JOIN around o ON o.lang = t.lang AND o.phrase = t.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * t.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op2_curriculum_mix": OP2_SQL, "op5_rendezvous": OP5_SQL, "op7_deletion_neighbourhood": OP7_SQL, "op8_rotation_codes": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_phrase_rollup": OP13_SQL}
