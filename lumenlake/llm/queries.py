@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import bpe, collocations, fertility, filteraudit, html, linededup, mixing, quality_cnn, sharding, simhash, urlfilter, vectors
+from lumenlake.llm import bpe, collocations, fertility, filteraudit, html, linededup, mixing, quality_cnn, sharding, simhash, suffixes, urlfilter, vectors
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -69,6 +69,11 @@ def op11_filter_audit(spark, sf_dir):
     return filteraudit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_sampled_suffixes(spark, sf_dir):
+    found = suffixes.dedup_substrings(table(spark, sf_dir, "documents"), with_kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_phrase_rollup(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -84,7 +89,7 @@ QUERIES = {
     for f in (
         op1_quality_cnn, op2_curriculum_mix, op3_url_templates, op4_host_suffix_array, op5_rendezvous,
         op6_chunked_bpe, op7_deletion_neighbourhood, op8_rotation_codes, op9_vantage_points, op10_fertility, op11_filter_audit,
-        op13_phrase_rollup, pipeline,
+        op12_sampled_suffixes, op13_phrase_rollup, pipeline,
     )
 }
 
