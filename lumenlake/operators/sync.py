@@ -99,11 +99,13 @@ def upsert_catalog(catalog: DataFrame, built: DataFrame, preserve_tags: bool = F
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, change): added, removed or changed between two snapshots."""
+    """(path, change): added, removed or changed between two snapshots, by the columns that both have. Nulls are equal
+    to nulls alone."""
     names = sorted(x for x in set(old.columns) & set(new.columns) if x != "path")
-    a = old.select("path", F.xxhash64(*names).alias("a"), F.lit(True).alias("in_a"))
-    b = new.select("path", F.xxhash64(*names).alias("b"), F.lit(True).alias("in_b"))
-    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    values = F.struct(*[F.col(f"`{x}`") for x in names]) if names else F.lit(True)
+    a = old.select("path", values.alias("a"), F.lit(True).alias("in_a"))
+    b = new.select("path", values.alias("b"), F.lit(True).alias("in_b"))
+    change = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return a.join(b, "path", "full").select("path", change.alias("change")).where("change IS NOT NULL")
 
 

@@ -94,7 +94,7 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         u.alias("id"), F.element_at(kinds, (F.col("user_id") % 4 + 1).cast("int")).alias("kind"), state.alias("state"), F.col("event_id").alias("seq"),
         F.concat(F.lit("/lib/new/"), u, F.lit(".jpg")).alias("old_path"), F.concat(F.lit("/lib/new/"), (F.col("user_id") * 2).cast("string"), F.lit(".jpg")).alias("new_path"),
-        F.concat(F.lit("/lib/new/"), u, F.lit(".jpg")).alias("path"),
+        F.concat(F.lit("/lib/new/"), u, F.lit(".jpg")).alias("path"), "ts",
     )
 
 

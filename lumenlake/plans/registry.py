@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from lumenlake.functions import hashes, paths, tags
 from lumenlake.operators import clusters, rewrite, search, stats, sync
 from lumenlake.operators.tables import materialise, shared_dir
 from lumenlake.plans.catalog import CATALOG, EVENTS, HASHED, LISTING, ROOTS, catalog, change_events, hidden_tags, journal, listing, roots, table
-from lumenlake.sources import files
+from lumenlake.sources import files, store
 from lumenlake.streaming import changes
 
 QUERIES: dict = {}
@@ -477,6 +478,21 @@ def snapshot_diff(spark, sf_dir):
     return sync.snapshot_diff(catalog(spark, sf_dir).select("path", "size_bytes", "mod_time"), listing(spark, sf_dir))
 
 
+@query(on_catalog("""o AS (SELECT doc_id, path, width, height, taken_at FROM catalog WHERE doc_id % 11 <> 0),
+n AS (SELECT doc_id, path, CASE WHEN doc_id % 4 = 0 THEN height ELSE width END AS width, CASE WHEN doc_id % 4 = 0 THEN width ELSE height END AS height, CASE WHEN doc_id % 6 = 0 THEN mod_time ELSE taken_at END AS taken_at FROM catalog WHERE doc_id % 13 <> 0)
+SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path
+WHERE o.path IS NULL OR n.path IS NULL OR o.width IS DISTINCT FROM n.width OR o.height IS DISTINCT FROM n.height OR o.taken_at IS DISTINCT FROM n.taken_at"""))
+def snapshot_diff_nulls(spark, sf_dir):
+    """Columns that are null in many rows, swapped with others, filled and emptied."""
+    own = catalog(spark, sf_dir).select("doc_id", "path", "width", "height", "taken_at", "mod_time")
+    swap, n = F.col("doc_id") % 4 == 0, F.col("doc_id")
+    new = own.where(n % 13 != 0).select(
+        "path", F.when(swap, F.col("height")).otherwise(F.col("width")).alias("width"), F.when(swap, F.col("width")).otherwise(F.col("height")).alias("height"),
+        F.when(n % 6 == 0, F.col("mod_time")).otherwise(F.col("taken_at")).alias("taken_at"),
+    )
+    return sync.snapshot_diff(own.where(n % 11 != 0).select("path", "width", "height", "taken_at"), new)
+
+
 @query(on_catalog("SELECT CASE WHEN c.path IS NULL THEN 'added' WHEN l.path IS NULL THEN 'removed' ELSE 'changed' END AS change, count(*) AS count FROM listing l FULL JOIN catalog c ON l.path = c.path WHERE c.path IS NULL OR l.path IS NULL OR l.size_bytes <> c.size_bytes GROUP BY 1", LISTING))
 def snapshot_counts(spark, sf_dir):
     return sync.snapshot_counts(snapshot_diff(spark, sf_dir))
@@ -756,30 +772,69 @@ def scan_progress(spark, sf_dir):
     return _streamed(spark, changes.scan_progress(_stream_of(spark, each)), "complete")
 
 
+@contextmanager
+def _rocksdb(spark):
+    """Streams with state that Python keeps need this store; the setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def _in_order(spark, df, slices=6, files=4):
+    """A stream of df(ts, ...) that reads it in so many micro-batches, each of a later span of time."""
+    base = f"{shared_dir(spark)}/ordered-{uuid.uuid4().hex}"
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(slices):
+        own = df.where((F.col("ts") >= first + (last - first) * k / slices) & ((F.col("ts") < first + (last - first) * (k + 1) / slices) | F.lit(k == slices - 1)))
+        own.repartition(files).write.mode("append").parquet(base)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(base)
+
+
 @query(f"WITH {EVENTS}, {LAST} SELECT id, state, seq FROM last")
 def journal_state_stream(spark, sf_dir):
-    return _streamed(spark, changes.journal_state_stream(_stream_of(spark, journal(spark, sf_dir))), "complete")
+    with _rocksdb(spark):
+        seen = _streamed(spark, changes.journal_state_stream(_in_order(spark, journal(spark, sf_dir).select("id", "state", "seq", "ts"))))
+    return seen.groupBy("id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
 
 
 @query(on_catalog(CHANGES + """, l AS (SELECT l.path, l.size_bytes, status FROM listing l JOIN changed USING (path))
 SELECT l.path, l.size_bytes, ['kind:' || k] || CASE k WHEN 'audio' THEN ['codec:mp3', 'year:2024'] ELSE [] END AS auto_tags, [] AS tags FROM (SELECT *, CASE regexp_extract(path, '(\\.[^./]*)$', 1) WHEN '.mp3' THEN 'audio' WHEN '.mp4' THEN 'video' ELSE 'photo' END AS k FROM l WHERE status <> 'unchanged') l
 UNION ALL SELECT path, size_bytes, auto_tags, tags FROM catalog WHERE path NOT IN (SELECT path FROM l WHERE status <> 'unchanged')""", LISTING))
 def ingest_stream(spark, sf_dir):
-    names = ["path", "name", "media_kind", "size_bytes", "mod_time", "tags", "auto_tags"]
-    held = [materialise(catalog(spark, sf_dir).select(*names), "catalog")]
-    save = lambda df, _: held.append(materialise(df.select(*names), "catalog"))
-    log = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    changes.ingest_stream(_stream_of(spark, listing(spark, sf_dir)), lambda: held[-1], save, log).awaitTermination()
-    return held[-1].select("path", "size_bytes", "auto_tags", "tags")
+    own = catalog(spark, sf_dir).select("path", "name", "media_kind", "size_bytes", "mod_time", "tags", "auto_tags")
+    base = f"{shared_dir(spark)}/ingested-{uuid.uuid4().hex}"
+    store.save_catalog({"media": own}, base)
+    changes.ingest_stream(_stream_of(spark, listing(spark, sf_dir)), base, own.schema, f"{base}/log").awaitTermination()
+    return store.load_catalog(spark, base, {"media": own.schema})["media"].select("path", "size_bytes", "auto_tags", "tags")
 
 
 @query(on_catalog("SELECT path, name, tags, auto_tags, NULL::BIGINT AS phash FROM catalog"))
 def load_catalog(spark, sf_dir):
     own = catalog(spark, sf_dir).select("path", "name", "tags", "auto_tags")
     base = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
-    files.save_catalog({"media": own.limit(0)}, base)
-    files.save_catalog({"media": own}, base)
-    return files.load_catalog(spark, base, {"media": own.schema.add("phash", "long")})["media"]
+    store.save_catalog({"media": own.limit(0)}, base)
+    store.save_catalog({"media": own}, base)
+    return store.load_catalog(spark, base, {"media": own.schema.add("phash", "long")})["media"]
+
+
+@query(on_catalog("SELECT path, name, tags, CASE WHEN media_kind = 'audio' THEN 2 ELSE 1 END AS first_commit FROM catalog"))
+def save_catalog(spark, sf_dir):
+    """Two writers start from the empty store. The second is refused, takes over what the first has put, and commits."""
+    own = catalog(spark, sf_dir).select("path", "name", "tags", "media_kind")
+    sound, rest = own.where("media_kind = 'audio'"), own.where("media_kind <> 'audio'")
+    base, kinds = f"{shared_dir(spark)}/writers-{uuid.uuid4().hex}", {"media": own.schema}
+    one = store.save_catalog({"media": rest}, base, after=0)
+    try:
+        store.save_catalog({"media": sound}, base, after=0)
+    except store.Conflict:
+        store.save_catalog({"media": store.load_catalog(spark, base, kinds)["media"].unionByName(sound)}, base, after=one)
+    early = store.load_catalog(spark, base, kinds, number=one)["media"].select("path", F.lit(1).alias("early"))
+    last = store.load_catalog(spark, base, kinds)["media"].join(early, "path", "left")
+    return last.select("path", "name", "tags", F.coalesce("early", F.lit(2)).alias("first_commit"))
 
 
 @query(f"WITH {EVENTS} SELECT id, kind, state, count(*) AS n FROM journal WHERE state <> 'failed' GROUP BY ALL")
@@ -867,6 +922,23 @@ def idle_periods(spark, sf_dir):
     return changes.idle_periods(table(spark, sf_dir, "events"), "6 hours")
 
 
+IDLE = f"WITH s AS (SELECT user_id, g, min(ts) AS a, max(ts) AS b FROM {SESSIONS.format(key='user_id', gap='6 hours', source='events')} GROUP BY ALL), x AS (SELECT user_id, b AS idle_from, lead(a) OVER (PARTITION BY user_id ORDER BY a) AS idle_to FROM s)"
+
+
+@query(f"{IDLE} SELECT user_id, idle_from, idle_to FROM x WHERE idle_to IS NOT NULL")
+def idle_stream(spark, sf_dir):
+    with _rocksdb(spark):
+        seen = _streamed(spark, changes.idle_stream(_in_order(spark, table(spark, sf_dir, "events").select("user_id", "ts")), "6 hours"))
+    return seen.where("idle_to IS NOT NULL").select("user_id", *[F.col(x).cast("timestamp_ntz").alias(x) for x in ("idle_from", "idle_to")])
+
+
+@query(f"WITH {EVENTS} SELECT dir, min(ts) AS first_event, max(ts) + INTERVAL 1 HOUR AS due, count(*) AS events FROM {SESSIONS.format(key='dir', gap='1 hour', source='change_events')} GROUP BY dir, g HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def debounce_stream(spark, sf_dir):
+    """Fed in order; sessions that the watermark has not passed are still open, and not given."""
+    seen = _streamed(spark, changes.debounce_changes(_in_order(spark, change_events(spark, sf_dir)), "1 hour"))
+    return seen.select("dir", *[F.col(x).cast("timestamp_ntz").alias(x) for x in ("first_event", "due")], "events")
+
+
 @query(f"WITH {EVENTS} SELECT CASE op WHEN 'remove' THEN NULL ELSE 'rescan' END AS action, dir AS path, count(*) AS n FROM change_events WHERE op <> 'remove' AND dir IN (SELECT DISTINCT '/lib/' || source || '/' || lang FROM documents) GROUP BY ALL")
 def route_changes(spark, sf_dir):
     events = change_events(spark, sf_dir).withColumn("is_dir", F.lit(False))

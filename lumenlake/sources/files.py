@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenlake.functions.paths import AUDIO_EXTENSIONS, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, extension
 from lumenlake.operators.sync import path_policy
@@ -14,7 +11,6 @@ from lumenlake.operators.sync import path_policy
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 JOURNAL = "id string, kind string, state string, ts timestamp, old_path string, new_path string, path string, trash_path string, photo_hash string, error string"
 ROOTS = "path string, origin string, added_at timestamp, last_scanned_at timestamp"
-VERSION = 5
 
 
 def plain_path(uri: Column) -> Column:
@@ -99,32 +95,3 @@ def read_roots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     own = text.select(F.when(array, bare).otherwise(both["roots"]).alias("roots"), F.when(~array, both["ignored"]).alias("ignored"))
     roots = own.select(F.inline("roots")).withColumn("origin", F.coalesce(F.nullif("origin", F.lit("")), "path"))
     return path_policy(roots), own.select(F.explode("ignored").alias("path"))
-
-
-def save_catalog(tables: dict[str, DataFrame], directory: str) -> str:
-    """Write all tables into a new snapshot directory, then a manifest row, which is what commits them."""
-    spark = next(iter(tables.values())).sparkSession
-    snapshot = f"{directory.rstrip('/')}/v={uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{snapshot}/{name}")
-    row = spark.range(1).select(F.lit(snapshot).alias("snapshot"), F.lit(VERSION).alias("version"), F.current_timestamp().alias("at"), F.lit(sorted(tables)).alias("tables"))
-    row.coalesce(1).write.mode("append").parquet(f"{directory.rstrip('/')}/manifest")
-    return snapshot
-
-
-def load_catalog(spark: SparkSession, directory: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
-    """The tables of the last snapshot; columns that an older one lacks are null, tables that it lacks empty.
-    A missing catalog is empty; a newer version is an error."""
-    manifest = f"{directory.rstrip('/')}/manifest"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        return {k: spark.createDataFrame([], s) for k, s in schemas.items()}
-    last = spark.read.parquet(manifest).orderBy(F.desc("at")).first()
-    if last.version > VERSION:
-        raise ValueError(f"snapshot version {last.version} is newer than {VERSION}")
-    out = {}
-    for name, schema in schemas.items():
-        df = spark.read.schema(schema).parquet(f"{last.snapshot}/{name}") if name in last.tables else spark.createDataFrame([], schema)
-        lists = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]
-        out[name] = df.withColumns({x: F.coalesce(x, F.array().cast(schema[x].dataType)) for x in lists})
-    return out

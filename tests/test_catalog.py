@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import hashes, paths, tags
 from lumenlake.operators import clusters, rewrite, search, stats, sync, tables
 from lumenlake.plans import registry
-from lumenlake.sources import files
+from lumenlake.sources import files, store
 from lumenlake.streaming import changes
 
 SF = "/root/testdata/sf0.001"
@@ -153,19 +153,6 @@ def test_journal_and_roots(spark, tmp_path):
     assert [(r.path, r.origin) for r in roots.collect()] == [("/a", "/a")] and rows(ignored) == [("/a/b",)]
 
 
-def test_snapshots(spark, tmp_path):
-    df = spark.createDataFrame([("/1", ["a"])], "path string, tags array<string>")
-    wide = spark.createDataFrame([], "path string, tags array<string>, phash long").schema
-    assert files.load_catalog(spark, str(tmp_path / "c"), {"media": wide})["media"].count() == 0
-    files.save_catalog({"media": df}, str(tmp_path / "c"))
-    assert rows(files.load_catalog(spark, str(tmp_path / "c"), {"media": wide})["media"]) == [("/1", ["a"], None)]
-    assert files.load_catalog(spark, str(tmp_path / "c"), {"hidden": wide})["hidden"].count() == 0  # a table it lacks
-    newer = spark.read.parquet(str(tmp_path / "c" / "manifest")).withColumns({"version": F.lit(files.VERSION + 1), "at": F.timestamp_add("DAY", F.lit(1), F.col("at"))})
-    newer.write.mode("append").parquet(str(tmp_path / "c" / "manifest"))
-    with pytest.raises(ValueError):
-        files.load_catalog(spark, str(tmp_path / "c"), {"media": wide})
-
-
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(f"/a/{k}.jpg", t) for k, t in ((1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:02"), (3, "2024-01-01 00:01:00"), (9, "2024-01-01 02:00:00"))], "path string, t string")
     events = events.select("path", F.to_timestamp("t").alias("ts"))
@@ -181,13 +168,13 @@ def test_streams(spark, tmp_path):
 def test_ingest_stream(spark, tmp_path):
     png(tmp_path / "m/one.png", 9, 8)
     (tmp_path / "m/two.mp3").write_bytes(b"sound")
-    saved = []
-    catalog = spark.createDataFrame([("/old.jpg", 1, None, ["kept"])], "path string, size_bytes long, mod_time timestamp, tags array<string>")
+    catalog = spark.createDataFrame([("/old.jpg", 1, None, ["kept"], None, None)], "path string, size_bytes long, mod_time timestamp, tags array<string>, auto_tags array<string>, camera_make string")
+    store.save_catalog({"media": catalog}, str(tmp_path / "c"))
     describe = lambda df: df.withColumn("camera_make", F.lit("Sony"))
-    q = changes.ingest_stream(files.stream_listing(spark, str(tmp_path / "m")), lambda: catalog, lambda df, n: saved.append(df.collect()), str(tmp_path / "ck"), describe)
+    q = changes.ingest_stream(files.stream_listing(spark, str(tmp_path / "m")), str(tmp_path / "c"), catalog.schema, str(tmp_path / "ck"), describe=describe)
     q.awaitTermination(60)
-    got = {r.path.rsplit("/", 1)[1]: r for r in saved[0]}
-    assert len(saved) == 1 and sorted(got) == ["old.jpg", "one.png", "two.mp3"] and got["old.jpg"].tags == ["kept"]
+    got = {r.path.rsplit("/", 1)[1]: r for r in store.load_catalog(spark, str(tmp_path / "c"), {"media": catalog.schema})["media"].collect()}
+    assert sorted(got) == ["old.jpg", "one.png", "two.mp3"] and got["old.jpg"].tags == ["kept"]
     assert got["one.png"].auto_tags == ["camera:sony", "kind:photo"] and "codec:mp3" in got["two.mp3"].auto_tags and got["two.mp3"].tags == []
 
 
