@@ -22,22 +22,30 @@ from lumenlake.llm.common import materialise, spent
 WORDS = 8
 BLANKS, SPACE = " \t\n\x0b\f\r", "[\\x20\\x09-\\x0D]+"
 WORDED = "[^\\x20\\x09-\\x0D]"
-#: A null key counts as the largest; a line's place is its key times PLACES plus its number.
-NULL_KEY, PLACES = 2**63 - 1, 2**31
+#: A null key counts as the largest. A line's place is its key, its number and 31 bits of its text's hash, as one number.
+NULL_KEY, STEP = 2**63 - 1, 2**31
 
 
 def key_of(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NULL_KEY))
 
 
-def place_of(key: Column, number: Column) -> Column:
-    """One number that sorts by key, then line number; unlike a struct it is aggregated by hashing."""
-    return (key.cast("decimal(19,0)") * F.lit(PLACES).cast("decimal(11,0)") + number.cast("decimal(11,0)")).cast("decimal(38,0)")
+def identity(id_col: str, text_col: str) -> list[Column]:
+    """A row's identity: its key d and its text's hash t. Rows that share both are one document."""
+    return [key_of(F.col(id_col)).alias("d"), F.xxhash64(text_col).alias("t")]
+
+
+def place_of(key: Column, number: Column, text_hash: Column) -> Column:
+    """One number that sorts by key, line number, then text; unlike a struct it is aggregated by hashing."""
+    step, square = F.lit(STEP).cast("decimal(11,0)"), F.lit(STEP * STEP).cast("decimal(19,0)")
+    place = key.cast("decimal(19,0)") * square + number.cast("decimal(11,0)") * step + F.shiftrightunsigned(text_hash, 33).cast("decimal(11,0)")
+    return place.cast("decimal(38,0)")
 
 
 def key_and_number(place: str) -> list[Column]:
-    step = F.lit(PLACES).cast("decimal(11,0)")
-    return [F.floor(F.col(place) / step).cast("long").alias("d"), F.pmod(F.col(place), step).cast("int").alias("l")]
+    step, square = F.lit(STEP).cast("decimal(11,0)"), F.lit(STEP * STEP).cast("decimal(19,0)")
+    within = F.pmod(F.col(place), square)
+    return [F.call_function("div", F.col(place) - within, square).alias("d"), F.call_function("div", within, step).cast("int").alias("l")]
 
 
 def left(x: Column, n: Column, words: bool) -> Column:
@@ -70,25 +78,26 @@ def half_keys(units: Column, words: bool) -> list[Column]:
 
 
 def first_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, id2, d, l, halves): each different line with a word, named by two hashes, where it comes first. halves are
+    """(id, id2, d, t, l, halves): each different line with a word, named by two hashes, where it comes first. halves are
     four keys of its characters and, if it has words enough, four of its words, else nulls."""
-    own = docs.select(F.col(id_col).alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("number", "line"))
+    own = docs.select(*identity(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("number", "line"))
     own = own.where(F.col("line").rlike(WORDED))
     names = [f"h{k}" for k in range(8)]
-    line, at = F.col("line"), place_of(key_of(F.col("key")), F.col("number"))
-    own = own.select(F.xxhash64(line).alias("id"), F.hash(line).alias("id2"), at.alias("at"), "line", words_of(line).alias("words"))
+    line, at = F.col("line"), place_of(F.col("d"), F.col("number"), F.col("t"))
+    own = own.select(F.xxhash64(line).alias("id"), F.hash(line).alias("id2"), at.alias("at"), "t", "line", words_of(line).alias("words"))
     enough = F.size("words") >= WORDS
     keys = [*half_keys(F.col("line"), False), *[F.when(enough, x) for x in half_keys(F.col("words"), True)]]
-    own = own.select("id", "id2", "at", *[x.alias(name) for x, name in zip(keys, names)])
-    first = own.groupBy("id", "id2").agg(F.min("at").alias("at"), *[F.first(x).alias(x) for x in names])
-    return first.select("id", "id2", *key_and_number("at"), F.array(*names).alias("halves"))
+    own = own.select("id", "id2", "at", "t", *[x.alias(name) for x, name in zip(keys, names)])
+    first = own.groupBy("id", "id2").agg(F.min("at").alias("at"), F.min_by("t", "at").alias("t"), *[F.first(x).alias(x) for x in names])
+    return first.select("id", "id2", "at", "t", *key_and_number("at"), F.array(*names).alias("halves"))
 
 
-def shared_only(rows: DataFrame, key: str) -> DataFrame:
-    """The rows whose key another row has too; rows and counts read one exchange."""
-    dealt = rows.repartition(key)
-    many = dealt.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    return dealt.join(many, key, "left_semi")
+def shared_only(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose key another row has too, a scratch table). The shared keys are written, so that the join reads two
+    plain exchanges and the rows of a key that many lines have can be split over tasks."""
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    many = materialise(many, "shared-keys")
+    return rows.join(many.hint("merge"), key, "left_semi"), many
 
 
 def pieces(lines: DataFrame, words: bool) -> DataFrame:
@@ -132,30 +141,32 @@ def within_one(a: Column, b: Column, words: bool) -> Column:
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, l) of each line with a word that stays: key (null as the largest long) and line number.
+    """(d, t, l) of each line with a word that stays: key (null as the largest long), text hash and line number.
 
-    Of equal lines the earliest by (key, line number) stays. A line also goes if a different line within one edit of
-    it comes earlier, whether or not that one stays.
+    Of equal lines the earliest by (key, line number, text hash) stays. A line also goes if a different line within one
+    edit of it comes earlier, whether or not that one stays.
     """
     first = materialise(first_places(docs, id_col, text_col), "lines")
     halves = first.select("id", F.posexplode("halves").alias("half", "h")).where("h IS NOT NULL")
-    asked = shared_only(halves, "h").groupBy("id").agg(F.collect_set("half").alias("asked"))
-    asked = materialise(asked.join(first.select("id", "id2", "d", "l"), "id"), "asked")
-    by_doc = asked.groupBy("d").agg(F.collect_list(F.struct("l", "id", "id2", "asked")).alias("asked"))
+    shared, halves_twice = shared_only(halves, "h")
+    asked = shared.groupBy("id").agg(F.collect_set("half").alias("asked"))
+    asked = materialise(asked.join(first.select("id", "id2", "at", "d", "t", "l"), "id"), "asked")
+    by_doc = asked.groupBy("d", "t").agg(F.collect_list(F.struct("l", "at", "id", "id2", "asked")).alias("asked"))
     by_doc = materialise(by_doc, "asked-by-doc")
     # both sides grow with the data, so no broadcast at any size
-    texts = docs.select(key_of(F.col(id_col)).alias("d"), F.col(text_col).alias("text")).join(by_doc.hint("merge"), "d")
-    texts = texts.select("d", F.split("text", "\n").alias("lines"), F.explode("asked").alias("x")).select("d", F.get("lines", F.col("x.l")).alias("line"), "x.*")
-    same = (F.xxhash64("line") == F.col("id")) & (F.hash("line") == F.col("id2"))  # rows that repeat a key may differ
-    texts = texts.where(same).select("id", "id2", place_of(F.col("d"), F.col("l")).alias("at"), "line", "asked")
+    texts = docs.select(*identity(id_col, text_col), F.col(text_col).alias("text")).join(by_doc.hint("merge"), ["d", "t"])
+    texts = texts.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("x")).select(F.get("lines", F.col("x.l")).alias("line"), "x.*")
+    same = (F.xxhash64("line") == F.col("id")) & (F.hash("line") == F.col("id2"))
+    texts = texts.where(same).select("id", "id2", "at", "line", "asked").dropDuplicates(["at", "id", "id2"])  # rows that are repeated whole
     texts = materialise(texts, "texts")
-    keyed, spare = [], [asked, by_doc, texts]
+    keyed, spare = [], [halves_twice, asked, by_doc, texts]
     for words in (False, True):
         half = F.explode(F.transform(F.filter("asked", lambda k: (k >= 4) == words), lambda k: k % 4))
         own = texts.select("id", "id2", "at", (words_of(F.col("line")) if words else F.col("line")).alias("units"), half.alias("half"))
         found = materialise(pieces(own, words), "pieces")
-        keyed.append(variants(shared_only(found, "outside"), words))
-        spare.append(found)
+        shared, twice = shared_only(found, "outside")
+        keyed.append(variants(shared, words))
+        spare += [found, twice]
     keyed = materialise(keyed[0].union(keyed[1]), "variants")
     earliest = keyed.groupBy("outside", "variant").agg(F.min("at").alias("e"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = keyed.join(earliest, ["outside", "variant"]).where("at > e").select("id", "id2", "e").distinct()
@@ -164,7 +175,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     worded = (F.size(words_of(line)) >= WORDS) & (F.size(words_of(earlier)) >= WORDS) & within_one(words_of(line), words_of(earlier), True)
     gone = materialise(pairs.where(within_one(line, earlier, False) | worded).select("id", "id2").distinct(), "gone")
     spent(*spare, keyed)
-    return first.join(gone, ["id", "id2"], "left_anti").select("d", "l")
+    return first.join(gone, ["id", "id2"], "left_anti").select("d", "t", "l")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,17 +183,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A line ends at a line feed or at the text's end. Blank lines stay where they are. A null text stays null, with
     no lines; an empty one stays empty; an empty table gives an empty one. Keys are longs; a null key counts as the
-    largest. Rows that repeat a key are one document to the order: a line number that stays for the key stays in
-    each of them, so repeated rows stay equal. Other columns stay, whatever their names; columns of docs named
-    n_lines or n_removed are replaced.
+    largest. Rows that repeat a key with another text are documents of their own; rows that repeat key and text are one,
+    and stay equal. Other columns stay, whatever their names; columns of docs named n_lines or n_removed are replaced.
     """
     kept = kept_lines(docs, id_col, text_col)
     word, bit = F.floor(F.col("l") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("l") % 64)
-    bits = kept.groupBy("d", word.alias("w")).agg(F.bit_or(bit).alias("bits"))
-    by_doc = bits.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("bits"), F.max("w").alias("last"))
+    bits = kept.groupBy("d", "t", word.alias("w")).agg(F.bit_or(bit).alias("bits"))
+    by_doc = bits.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("bits"), F.max("w").alias("last"))
     dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.try_element_at("bits", w), F.lit(0).cast("long")))
-    by_doc = by_doc.select("d", dense.alias("bits"))
-    out = docs.select(F.struct("*").alias("row"), key_of(F.col(id_col)).alias("d")).join(by_doc.hint("merge"), "d", "left")
+    by_doc = by_doc.select("d", "t", dense.alias("bits"))
+    out = docs.select(F.struct("*").alias("row"), *identity(id_col, text_col)).join(by_doc.hint("merge"), ["d", "t"], "left")
     out = out.withColumn("lines", F.split(F.col(f"row.{text_col}"), "\n"))
     flag = lambda i: F.coalesce(F.getbit(F.get("bits", F.floor(i / 64).cast("int")), i % 64) == 1, F.lit(False))
     stays = F.filter("lines", lambda x, i: flag(i) | ~x.rlike(WORDED))
