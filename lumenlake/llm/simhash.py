@@ -285,20 +285,32 @@ def near_pairs(points: DataFrame, radius: int, nearest: int | None = None, per_s
     return shards.groupBy("shard", "part", "chunk").applyInArrow(search, "a long, b long").distinct()
 
 
+def near_roots(keyed: DataFrame, radius: int) -> DataFrame:
+    """(fp, first, root) of the different fingerprints of keyed(doc_id, fp): smallest doc_id, and a name of the component."""
+    prints = materialise(keyed.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    roots = components(near_links(prints.select("fp"), radius))
+    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return materialise(named, "roots")
+
+
 def near_components(keyed: DataFrame, radius: int = 3) -> DataFrame:
     """keyed(doc_id, fp) with component_id, the smallest doc_id that links reach.
 
     Equal fingerprints are one point. Null keys count as larger than all others; repeated rows keep their
     places; an empty table gives an empty one.
     """
-    prints = materialise(keyed.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = components(near_links(prints.select("fp"), radius))
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = materialise(named, "roots")
+    named = near_roots(keyed, radius)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return keyed.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
 
 
+def keyed_roots(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
+    """(doc_id, text_hash, root) of every row of docs."""
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), simhash(F.col(text_col), width).alias("fp"))
+    keyed = materialise(keyed, "keyed")
+    return keyed.join(near_roots(keyed, radius).select("fp", "root"), "fp").select("doc_id", "text_hash", "root")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs; other columns are left out, whatever their names.
 
@@ -308,18 +320,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return near_components(keyed, radius)
 
 
-def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """docs with one document of each group of found(doc_id, component_id): the one with the smallest key."""
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"))
-    return rows.join(kept, F.col("key").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one document of each group of found(doc_id, text_hash, root): the one with the smallest key, nulls last,
+    then the smallest hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"))
+    return rows.join(kept, F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_semi").select("row.*")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one document of each group: the one with the smallest key. Rows that repeat its key stay; of a
-    group that has only null keys no row stays but those of null key in groups of their own kind. Columns keep their
-    names."""
-    return kept_of(docs, simhash_components(docs, id_col, text_col, width, radius), id_col)
+    """docs with one document of each group: the one with the smallest key, nulls last; of a key that is repeated the text
+    of the smallest hash. Rows that repeat key and text are one document, and stay together. Columns keep their names."""
+    return kept_of(docs, keyed_roots(docs, id_col, text_col, width, radius), id_col, text_col)
 
 
 def shingled(text: Column, width: int) -> Column:
@@ -356,8 +369,8 @@ def alike(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     return joined.where(F.size(F.array_intersect("sa", "sb")) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b")
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16, nearest: int = 8) -> DataFrame:
-    """(doc_id, component_id) of every row of docs; links are pairs whose shingles have the least similarity.
+def near_copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16, nearest: int = 8) -> DataFrame:
+    """(doc_id, text_hash, root) of every row of docs; links are pairs whose shingles have the least similarity.
 
     Candidates are the pairs of fingerprints within radius, each held against the exact similarity. At a
     similarity of 0.8 two sets of one size differ in 9.7 of 64 bits on average, and in over 16 in about 1 of 100
@@ -365,8 +378,8 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     candidates in each shard; then all candidates that are left. Each asks only for pairs that those before have not
     joined, so a large group of near copies is mostly one before all its pairs are asked for; none is left out.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width).alias("s"))
-    keyed = materialise(own.select("doc_id", "row", "s.*"), "shingled")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width).alias("s"))
+    keyed = materialise(own.select("doc_id", "text_hash", "row", "s.*"), "shingled")
     points = keyed.groupBy("unit").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("spread").alias("spread"))
     points = materialise(points, "points")
     prints = materialise(points.groupBy("fp").agg(F.min("node").alias("least")), "prints")
@@ -384,12 +397,18 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         spare += [grouped, pairs, more]
     roots = components(links)
     named = points.join(roots, "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
-    named = materialise(keyed.select("doc_id", "unit").join(named, "unit").select("doc_id", "root"), "named")
+    named = materialise(keyed.select("doc_id", "text_hash", "unit").join(named, "unit").select("doc_id", "text_hash", "root"), "named")
     spent(*spare)
+    return named
+
+
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16) -> DataFrame:
+    """(doc_id, component_id) of every row of docs, component_id the smallest doc_id that links reach."""
+    named = near_copy_roots(docs, id_col, text_col, width, radius)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", "component_id")
 
 
 def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16) -> DataFrame:
     """docs with one document of each group of near copies, as simhash_dedup takes it."""
-    return kept_of(docs, near_copy_components(docs, id_col, text_col, width, radius), id_col)
+    return kept_of(docs, near_copy_roots(docs, id_col, text_col, width, radius), id_col, text_col)

@@ -16,6 +16,13 @@ def test_simhash_keeps_columns(spark):
         assert dedup(df.limit(0)).count() == 0
 
 
+def test_a_repeated_key_keeps_no_copy(spark):
+    rows = [(3, "alpha beta gamma delta epsilon zeta"), (5, "alpha beta gamma delta epsilon zeta"), (5, "other words that stand quite alone here"), (None, "alpha beta gamma delta epsilon zeta"), (None, "one more text that nobody else has"), (None, "one more text that nobody else has")]
+    for dedup in (simhash.simhash_dedup, simhash.near_copy_dedup):
+        got = sorted(map(tuple, dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        assert got == [rows[0], rows[2], rows[4], rows[4]]
+
+
 def test_classifier(spark):
     df = spark.createDataFrame(ROWS, KINDS)
     labels = spark.createDataFrame([(3, 1), (4, 0), (2, 0), (1, 1), (3, 0)], "doc_id long, quality int")
@@ -71,4 +78,4 @@ def test_recall_of_the_index_at_full_width(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(queries.QUERIES, key=len)[0] == "pipeline" and len(queries.QUERIES) == 11
+    assert sorted(queries.QUERIES, key=len)[0] == "pipeline" and len(queries.QUERIES) == 14
