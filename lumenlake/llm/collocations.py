@@ -4,9 +4,11 @@ Each word is counted once, as the first of the longest window it leads: itself a
 padded where the piece ends. A phrase is a prefix of the windows that its places lead, so ROLLUP over a window's
 columns gives the counts of all shorter phrases from those of the longest; no n-gram of another length is ever made.
 
-Nearly all windows hold a pair of neighbours too rare to be part of any candidate. Pairs are first counted by hash, and
-a Bloom filter of those that are frequent enough lets a window be padded behind the first pair that is not. A wrong
-hit keeps a window longer than needed, a miss cannot happen: no count of a candidate or of its parts changes.
+Nearly all windows hold a phrase too rare to be part of any candidate. Before the windows are counted, phrases of two
+words, then of three and so on are counted by 40-bit hashes, each size only where its shorter parts are frequent, and
+those that occur often enough are put into a Bloom filter. A window is padded behind its longest prefix that may be
+frequent. A wrong hit keeps a window longer than needed, a miss cannot happen: no count of a candidate or of its parts
+changes.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from lumenlake.llm.common import materialise
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text that are counted together in a task.
 BLOCK = 16 << 20
-#: Bits of the Bloom filter, 16 MB: its size is fixed. When frequent pairs are too many for it, it lets more pass.
-FILTER_BITS, PROBES = 1 << 27, 3
-CHUNK = 1 << 15
+#: Bits of the Bloom filter, 16 MB: its size is fixed. When frequent phrases are too many for it, it lets more pass.
+FILTER_BITS, PROBES, CHUNK = 1 << 27, 3, 1 << 15
+#: Bits of a phrase's hash; bytes of text for each slice of hashes that is counted together, and slices at least.
+HASH_BITS, SLICE, SLICES = 40, 64 << 20, 64
 #: Two levels of partial ranks, so that no task sorts all candidates of a language.
 SALTS = 256
 
@@ -83,74 +86,111 @@ def tokens(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy().astype(np.int64), last
 
 
-def pair_hashes(lang: str, words: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    own = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in words.to_pylist()), np.uint64, len(words))
-    x = own[a] * np.uint64(0x9E3779B97F4A7C15) + (own[b] ^ (own[b] >> np.uint64(29)))
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
 def bit_places(hashes: np.ndarray, bits: int) -> np.ndarray:
     """PROBES places for each hash, as columns."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
+    x = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
+    low, high = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32) | np.uint64(1)
     return np.stack([(low + np.uint64(k) * high) & np.uint64(bits - 1) for k in range(PROBES)], 1).astype(np.int64)
 
 
-def frequent_pairs(texts: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter, as bytes, of the pairs of neighbours that occur least times or more."""
+def phrases(lang: str, words: pa.Array, ids: np.ndarray, last: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For m from 2 to size: (hash of the phrase of m words at each place, whether it lies in a piece and both its parts
+    of m - 1 words may be frequent). The second array is written to by the caller's filter of size m."""
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    own = np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in words.to_pylist()), np.uint64, len(words))[ids]
+    h, ok = own, np.ones(len(ids), bool)
+    for m in range(2, size + 1):
+        h = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[m - 1 :])
+        ok = ok[:-1] & ok[1:] & ~last[m - 2 : max(len(ids) - 1, 0)]
+        yield h >> np.uint64(64 - HASH_BITS), ok
+
+
+def filtered(h: np.ndarray, ok: np.ndarray, likely: np.ndarray) -> None:
+    """Take from ok the places whose hash the Bloom filter lacks."""
+    at = np.flatnonzero(ok)
+    seen, back = np.unique(h[at], return_inverse=True)
+    where = bit_places(seen, 8 * len(likely))
+    hit = (likely[where >> 3] >> (where & 7).astype(np.uint8) & 1).all(1)
+    ok[at] = hit[back]
 
-    def count(batches):
-        for lang, text in blocks(batches):
-            words, ids, last = tokens(text)
-            at = np.flatnonzero(~last)
-            both, n = np.unique(ids[at] * len(words) + ids[at + 1], return_counts=True)
-            h = pair_hashes(lang, words, both // max(len(words), 1), both % max(len(words), 1))
-            for k in range(0, len(h), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 18)].view(np.int64)), pa.array(n[k : k + (1 << 18)])], ["h", "n"])
 
-    often = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def packed(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending values and counts below 256, as planes of bytes of the differences; zstandard does the rest."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]
+    return pa.compress(np.ascontiguousarray(np.concatenate([planes.T, counts.astype(np.uint8)[None]])).tobytes(), "zstd", asbytes=True)
 
-    def places(batches):
-        for batch in batches:
-            at = np.unique(bit_places(batch.column(0).to_numpy().view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at // CHUNK).astype(np.int32)), pa.array((at % CHUNK).astype(np.int32))], ["chunk", "bit"])
 
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    width = HASH_BITS // 8
+    planes = np.frombuffer(pa.decompress(data, n * (width + 1), "zstd", asbytes=True), np.uint8).reshape(width + 1, n)
+    steps = sum(planes[k].astype(np.uint64) << np.uint64(8 * k) for k in range(width))
+    return np.cumsum(steps, dtype=np.uint64), planes[width].astype(np.int64)
+
+
+def frequent_phrases(texts: DataFrame, size: int, least: int, slices: int, likely: np.ndarray | None, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter, as bytes, of the phrases of ``size`` words that occur least times or more; likely is that of all
+    shorter ones. Hashes are counted in slices of their range, whose number grows with the texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(likely)
+    part = (1 << HASH_BITS) // slices
+    ceiling = min(least, 255)  # that many in one block are enough, and counts add up
+
+    def count(batches):
+        for lang, text in blocks(batches):
+            words, ids, last = tokens(text)
+            for m, (h, ok) in enumerate(phrases(lang, words, ids, last, size), 2):
+                if m < size:
+                    filtered(h, ok, shared.value)
+            seen, n = np.unique(h[ok], return_counts=True)
+            cuts = np.searchsorted(seen, np.arange(slices + 1, dtype=np.uint64) * np.uint64(part))
+            used = np.flatnonzero(np.diff(cuts))
+            rows = [packed(seen[a:z], np.minimum(n[a:z], ceiling)) for a, z in zip(cuts[used], cuts[used + 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.diff(cuts)[used].astype(np.int32)), pa.array(rows, pa.binary())], ["slice", "n", "packed"])
+
+    def places(table):
+        own = [unpacked(x, n) for x, n in zip(table.column("packed").to_pylist(), table.column("n").to_pylist())]
+        seen, back = np.unique(np.concatenate([x for x, _ in own]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([n for _, n in own]))
+        at = np.unique(bit_places(seen[total >= ceiling], bits))
+        return pa.table([pa.array((at // CHUNK).astype(np.int32)), pa.array((at % CHUNK).astype(np.int32))], ["chunk", "bit"])
+
+    counted = texts.mapInArrow(count, "slice int, n int, packed binary")
     word, one = F.floor(F.col("bit") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
-    set_bits = often.select("h").mapInArrow(places, "chunk int, bit int").groupBy("chunk", word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    set_bits = counted.groupBy("slice").applyInArrow(places, "chunk int, bit int").groupBy("chunk", word.alias("word")).agg(F.bit_or(one).alias("bits"))
     chunks = set_bits.groupBy("chunk").agg(F.collect_list(F.struct("word", "bits")).alias("words"))  # at most CHUNK / 64 words, and bits / CHUNK chunks
     out = np.zeros(bits // 64, np.int64)
     for row in chunks.toLocalIterator():
         at = np.array([(x.word, x.bits) for x in row.words], np.int64)
         out[row.chunk * (CHUNK // 64) + at[:, 0]] = at[:, 1]
-    return out.view(np.uint8)
+    shared.destroy()
+    return out.view(np.uint8) if likely is None else out.view(np.uint8) | likely
 
 
 def windows(texts: DataFrame, longest: int, likely: np.ndarray) -> DataFrame:
     """(lang, w1 ... w_longest, n): the longest window that each word leads, counted for each block of texts; padded with
-    empty strings where the piece ends, or behind a pair that is not likely."""
+    empty strings where the piece ends, or behind the longest prefix that may be frequent."""
     shared = texts.sparkSession.sparkContext.broadcast(likely)
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def count(batches):
-        bits = shared.value
         for lang, text in blocks(batches):
             words, ids, last = tokens(text)
             pad = len(words)
-            goes_on = np.zeros(len(ids), bool)
-            at = np.flatnonzero(~last)
-            both, back = np.unique(ids[at] * max(pad, 1) + ids[at + 1], return_inverse=True)
-            where = bit_places(pair_hashes(lang, words, both // max(pad, 1), both % max(pad, 1)), 8 * len(bits))
-            goes_on[at] = (bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).all(1)[back] if len(at) else False
-            lead, runs = [ids], np.ones(len(ids), bool)
-            for k in range(1, longest):
-                runs = runs & np.append(goes_on[k - 1 :], np.zeros(min(k - 1, len(ids)), bool))
+            lead = [ids]
+            for m, (h, ok) in enumerate(phrases(lang, words, ids, last, longest), 2):
+                filtered(h, ok, shared.value)
                 column = np.full(len(ids), pad, np.int64)
-                column[runs] = ids[np.flatnonzero(runs) + k]
+                at = np.flatnonzero(ok)
+                column[at] = ids[at + m - 1]
                 lead.append(column)
             number = lead[0]
             for column in lead[1:]:  # number the different windows, a column at a time
-                seen, number = np.unique(number * (pad + 1) + column, return_inverse=True)
+                _, number = np.unique(number * (pad + 1) + column, return_inverse=True)
             first = np.zeros(number.max() + 1 if len(number) else 0, np.int64)
             first[number] = np.arange(len(number))
             n = np.bincount(number, minlength=len(first))
@@ -166,7 +206,12 @@ def windows(texts: DataFrame, longest: int, likely: np.ndarray) -> DataFrame:
 def phrase_counts(texts: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, size, phrase, f): of phrases that occur least times or more; size 0 and an empty phrase: all words."""
     names = [f"w{k}" for k in range(1, longest + 1)]
-    own = windows(texts, longest, frequent_pairs(texts, least))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = 1 << max(SLICES - 1, -(-size // SLICE) - 1).bit_length()
+    likely = None
+    for m in range(2, longest + 1):
+        likely = frequent_phrases(texts, m, least, slices, likely)
+    own = windows(texts, longest, likely)
     rolled = own.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))  # a bit of level for each column summed over
     size = F.coalesce(*[F.when(F.col("level") == (1 << (longest - k)) - 1, k) for k in range(longest + 1)])
     rolled = rolled.withColumn("size", size).where("size IS NOT NULL")  # all languages together: not asked

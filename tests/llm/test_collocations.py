@@ -58,7 +58,7 @@ def test_against_all_phrases(spark):
 
 def test_a_full_filter_changes_nothing(spark, monkeypatch):
     own = rows()
-    monkeypatch.setattr(collocations, "frequent_pairs", lambda *_: np.full(8, 255, np.uint8))
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda *_: np.full(8, 255, np.uint8))
     assert {tuple(r) for r in collocations.collocations(spark.createDataFrame(own, DOCS)).collect()} == plain(own, 3, 10, 50, 2000)
 
 
@@ -80,3 +80,11 @@ def test_scores_past_64_bits(spark):
     a, l, r = 10**12 - 1, 10**12, 10**12 + 7
     got = spark.range(1).select(collocations.exact_score(F.lit(a), F.lit(l), F.lit(r)).alias("s")).first().s
     assert got == 10**6 * a * a // (l * r)
+
+
+def test_packing():
+    rng = np.random.default_rng(2)
+    values = np.unique(rng.integers(0, 1 << 40, 5000).astype(np.uint64))
+    counts = rng.integers(1, 256, len(values))
+    got = collocations.unpacked(collocations.packed(values, counts), len(values))
+    assert (got[0] == values).all() and (got[1] == counts).all()
