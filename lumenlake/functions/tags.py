@@ -110,23 +110,22 @@ def flash_fired(flash: Column) -> Column:
 HIT, AT_START, AT_BOUNDARY, A_CHARACTER = 1, 4, 2, 0.01
 
 
-def fuzzy_score(q: str, target: Column) -> Column:
+def fuzzy_score(q: str | Column, target: Column) -> Column:
     """How well the letters of q, in order, hit the target; null if they don't all occur."""
-    q = q.lower()
-    if not q:
-        return F.lit(0.0)
+    q = F.lit(q) if isinstance(q, str) else q
+    wanted = F.filter(F.split(F.lower(q), ""), lambda x: x != "")
     text = F.lower(target)
     letters = F.split(text, "")
     at = F.zip_with(letters, F.concat(F.array(F.lit("")), letters), lambda x, before: F.struct(x.alias("x"), before.alias("before")))
-    wanted = F.array(*[F.lit(x) for x in q])
     zero = F.struct(F.lit(0).alias("qi"), F.lit(0).alias("score"), F.lit(0).alias("run"), F.lit(False).alias("hit"))
 
     def step(acc, c):
-        hit = (acc["qi"] < len(q)) & (c["x"] == F.get(wanted, acc["qi"]))
+        hit = F.coalesce(c["x"] == F.get(wanted, acc["qi"]), F.lit(False))
         run = F.when(hit & acc["hit"], acc["run"] + 1).otherwise(0)
         place = F.when(c["before"] == "", AT_START).when(c["before"].rlike("[\\s\\-_./]"), AT_BOUNDARY).otherwise(0)
         gain = F.when(hit, HIT + place + run).otherwise(0)
         return F.struct((acc["qi"] + hit.cast("int")).alias("qi"), (acc["score"] + gain).alias("score"), F.when(hit, run).otherwise(acc["run"]).alias("run"), hit.alias("hit"))
 
     end = F.aggregate(F.filter(at, lambda c: c["x"].isNotNull() & (c["x"] != "")), zero, step)
-    return F.when(end["qi"] == len(q), end["score"] - F.length(text) * F.lit(A_CHARACTER))
+    score = F.when(end["qi"] == F.size(wanted), end["score"] - F.length(text) * F.lit(A_CHARACTER))
+    return F.when(q == "", F.lit(0.0)).otherwise(score)

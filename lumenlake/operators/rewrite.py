@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.paths import base_name, is_under
 from lumenlake.functions.tags import HIDDEN, UNTAGGED, normal_tag, normalize_tags
+from lumenlake.operators.tables import materialise, spent
+
+#: Fixed value: operations that can be undone.
+DEPTH = 32
 
 
 def counted(df: DataFrame, **counts: Column) -> DataFrame:
@@ -112,16 +116,63 @@ def plan_deletes(df: DataFrame, paths: DataFrame, permanent: bool = False) -> tu
     return results, df.join(own, "path", "left_anti"), trash.limit(0) if permanent else trash
 
 
-def plan_undo(df: DataFrame, undo: DataFrame, trash: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(results, df): the last operation of undo(op_seq, kind, old_path, new_path) reversed. Moves swap back;
-    trashed rows return with path, name and hash only, and without tags; permanent deletes never do."""
-    last = undo.join(F.broadcast(undo.agg(F.max("op_seq").alias("op_seq"))), "op_seq")  # one row
-    back = last.where("kind = 'move'").select(F.col("new_path").alias("path"), F.col("old_path").alias("_to"))
-    out = df.join(back, "path", "left").withColumn("path", F.coalesce("_to", "path")).withColumn("name", F.when(F.col("_to").isNotNull(), base_name(F.col("_to"))).otherwise(F.col("name"))).drop("_to")
-    restored = last.where("kind = 'delete'").select(F.col("old_path").alias("original_path")).join(trash, "original_path")
-    restored = restored.select(F.col("original_path").alias("path"), base_name(F.col("original_path")).alias("name"), "hash")
-    found = back.join(df.select("path"), "path", "left_semi").select(F.col("_to").alias("path")).union(restored.select("path")).withColumn("_ok", F.lit(True))
-    results = last.select(F.col("old_path").alias("path")).join(found, "path", "left").select("path", F.coalesce("_ok", F.lit(False)).alias("success"))
-    out = out.unionByName(restored, allowMissingColumns=True)
+def _undo_map(moves: DataFrame, starts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(ends, met): where the undone moves(s, new_path, old_path) take each of starts(path, t), and the moves that take
+    any. An element at a path when the operations from t on are undone goes with the latest earlier move to that path.
+
+    Moves are nodes of chains; after r rounds a node knows the end, or the node 2^r moves further on, and which nodes
+    are met within so many. An operation moves a path once, so a path has at most ``most`` moves.
+    """
+    mark = moves.select(F.col("new_path").alias("path"), F.col("s").alias("t"), F.col("s").alias("mark"), F.lit(None).cast("string").alias("who"), F.lit(None).cast("long").alias("own"))
+    asks = moves.select(F.col("old_path").alias("path"), F.col("s").alias("t"), F.lit(None).cast("long").alias("mark"), F.col("new_path").alias("who"), F.col("s").alias("own"))
+    first = starts.select("path", "t", F.lit(None).cast("long").alias("mark"), F.col("path").alias("who"), F.lit(None).cast("long").alias("own"))
+    before = Window.partitionBy("path").orderBy("t", F.col("mark").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)  # at equal t asks come first
+    asked = mark.union(asks).union(first).withColumn("next", F.last("mark", ignorenulls=True).over(before)).where("who IS NOT NULL")
+    asked = materialise(asked, "undo-asked")
+    jump = asked.where("own IS NOT NULL").select(F.col("own").alias("s"), F.col("who").alias("new_path"), F.col("path").alias("end"), "next")
+    met = asked.where("own IS NULL AND next IS NOT NULL").select(F.col("next").alias("s"), F.col("path").alias("new_path")).distinct()
+    spare = [asked]
+    for k in range(max(1, most - 1).bit_length()):
+        jump, met = materialise(jump, f"undo-jump{k}"), materialise(met, f"undo-met{k}")
+        spare += [jump, met]
+        further = jump.select(F.col("s").alias("next"), F.col("new_path").alias("end"), F.col("end").alias("end2"), F.col("next").alias("next2"))
+        seen = met.join(jump, ["s", "new_path"]).where("next IS NOT NULL").select(F.col("next").alias("s"), F.col("end").alias("new_path"))
+        met = met.union(seen).distinct()
+        jump = jump.join(further, ["next", "end"], "left").select("s", "new_path", F.coalesce("end2", "end").alias("end"), F.col("next2").alias("next"))
+    elements = asked.where("own IS NULL").select("path", "t", F.col("next").alias("s"), F.col("path").alias("new_path"))
+    ends = elements.join(jump.select("s", "new_path", "end"), ["s", "new_path"], "left").select("path", "t", F.coalesce("end", "path").alias("end"))
+    ends, met = materialise(ends, "undo-ends"), materialise(met, "undo-met")
+    spent(*spare)
+    return ends, met
+
+
+def plan_undo(df: DataFrame, undo: DataFrame, trash: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(results, df): the last k operations of undo(op_seq, kind, old_path, new_path) reversed, the last first.
+
+    Moves swap back; trashed rows return with path, name and hash only, and without tags; permanent deletes never do. A
+    row that several of the operations moved goes back along all of them, one that was moved and then trashed too. A
+    reversed move fails if nothing is at its new path by then, a restore if trash(original_path, hash) lacks the row; if
+    a path was trashed more than once, trash also needs op_seq. results(op_seq, path, success) has each item, path its
+    old path. A stack holds DEPTH operations, k is at most that.
+    """
+    if not 1 <= k <= DEPTH:
+        raise ValueError(f"1 to {DEPTH} operations can be undone at once")
+    numbers = [r.op_seq for r in undo.select("op_seq").distinct().orderBy(F.desc("op_seq")).limit(k).collect()]
+    last = undo.where(F.col("op_seq").isin(numbers)).withColumn("s", F.col("op_seq").cast("long"))
+    moves = last.where("kind = 'move'").select("s", "new_path", "old_path")
+    gone = last.where("kind = 'delete'").select("s", F.col("old_path").alias("path"))
+    there = trash.withColumnRenamed("original_path", "path")
+    there = there.select("path", "hash", F.col("op_seq").cast("long").alias("s")) if "op_seq" in trash.columns else there.select("path", "hash")
+    restored = materialise(gone.join(there, ["path", "s"] if "s" in there.columns else ["path"]).select("s", "path", "hash"), "undo-restored")
+    final = F.lit(2**63 - 1)
+    starts = df.select("path").join(moves.select(F.col("new_path").alias("path")).distinct(), "path", "left_semi").select("path", final.alias("t"))
+    ends, met = _undo_map(moves, starts.union(restored.select("path", F.col("s").alias("t"))).distinct(), len(numbers))
+    to = ends.where(F.col("t") == final).select("path", F.col("end").alias("_to"))
+    out = df.join(to, "path", "left").withColumn("name", F.when(F.col("_to").isNotNull() & (F.col("_to") != F.col("path")), base_name(F.col("_to"))).otherwise(F.col("name")))
+    out = out.withColumn("path", F.coalesce("_to", "path")).drop("_to")
+    back = restored.join(ends.withColumnRenamed("t", "s"), ["path", "s"]).select(F.col("end").alias("path"), base_name(F.col("end")).alias("name"), "hash")
+    done = met.join(moves, ["s", "new_path"]).select("s", "old_path").union(restored.select("s", F.col("path").alias("old_path"))).distinct().withColumn("_ok", F.lit(True))
+    results = last.join(done, ["s", "old_path"], "left").select("op_seq", F.col("old_path").alias("path"), F.coalesce("_ok", F.lit(False)).alias("success"))
+    out = out.unionByName(back, allowMissingColumns=True)
     lists = [x for x in ("tags", "auto_tags") if x in out.columns]
     return results, out.withColumns({x: F.coalesce(x, F.array().cast("array<string>")) for x in lists})

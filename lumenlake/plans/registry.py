@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions import hashes, paths, tags
-from lumenlake.operators import clusters, rewrite, search, stats, sync
+from lumenlake.operators import clusters, many, rewrite, search, stats, sync
 from lumenlake.operators.tables import materialise, shared_dir
 from lumenlake.plans.catalog import CATALOG, EVENTS, HASHED, LISTING, ROOTS, catalog, change_events, hidden_tags, journal, listing, roots, table
 from lumenlake.sources import files, store
@@ -217,23 +219,52 @@ def filter_tag_names(spark, sf_dir):
 
 
 def fuzzy(q: str, text: str) -> str:
-    """The score of q against the column text: a fold over its letters that carries how many of q are hit."""
-    hit = f"(a.qi < {len(q)} AND x.c = substr('{q}', a.qi + 1, 1))"
+    """The score of q, in lower case, against the column text: a fold over its letters that carries how many of q are hit."""
+    hit = f"(a.qi < length({q}) AND x.c = substr({q}, a.qi + 1, 1))"
     run = f"CASE WHEN {hit} THEN CASE WHEN a.hit THEN a.run + 1 ELSE 0 END ELSE a.run END"
     place = "CASE WHEN x.p = '' THEN 4 WHEN regexp_matches(x.p, '[\\s\\-_./]') THEN 2 ELSE 0 END"
     start = "'qi': 0, 'score': 0, 'run': 0, 'hit': false"
     letters = f"list_transform(range(1, length({text}) + 1), lambda i: {{'c': lower({text})[i], 'p': CASE WHEN i = 1 THEN '' ELSE lower({text})[i - 1] END, {start}}})"
     step = f"{{'c': x.c, 'p': x.p, 'qi': a.qi + {hit}::INT, 'score': a.score + CASE WHEN {hit} THEN 1 + {place} + ({run}) ELSE 0 END, 'run': {run}, 'hit': {hit}}}"
     end = f"list_reduce(list_prepend({{'c': '', 'p': '', {start}}}, {letters}), lambda a, x: {step})"
-    return f"list_transform([{end}], lambda e: CASE WHEN e.qi = {len(q)} THEN e.score - length({text}) * 0.01::DOUBLE END)[1]"
+    return f"list_transform([{end}], lambda e: CASE WHEN e.qi = length({q}) THEN e.score - length({text}) * 0.01::DOUBLE END)[1]"
 
 
-@query(on_catalog(STATS + f" SELECT * FROM (SELECT name, max(count)::BIGINT AS count, {fuzzy('can', 'name')} AS score FROM tag_stats WHERE kind <> 'system' AND name <> 'camera:canon' GROUP BY name) WHERE score IS NOT NULL ORDER BY score DESC, name LIMIT 8"))
+@query(on_catalog(STATS + f" SELECT * FROM (SELECT name, max(count)::BIGINT AS count, {fuzzy("'can'", 'name')} AS score FROM tag_stats WHERE kind <> 'system' AND name <> 'camera:canon' GROUP BY name) WHERE score IS NOT NULL ORDER BY score DESC, name LIMIT 8"))
 def suggest_tags(spark, sf_dir):
     return search.suggest_tags(_stats(spark, sf_dir), "can", ["camera:canon"])
 
 
-@query(on_catalog(f"SELECT path, {fuzzy('doc1', 'name')} AS score FROM catalog"))
+PART_QUERIES = "SELECT p_partkey AS query_id, lower(substr(p_name, 1 + p_partkey % 3, 1 + p_partkey % 4)) AS q, CASE WHEN p_partkey % 3 = 0 THEN ['kind:photo', 'year:2019'] WHEN p_partkey % 3 = 1 THEN [] END AS chosen FROM part"
+
+
+@query(on_catalog(STATS + f""", asked AS ({PART_QUERIES}), v AS (SELECT name, max(count)::BIGINT AS count FROM tag_stats WHERE kind <> 'system' GROUP BY name),
+scored AS (SELECT q, name, count, CASE WHEN q = '' THEN 0 ELSE {fuzzy('q', 'name')} END AS score FROM (SELECT DISTINCT q FROM asked), v),
+ranked AS (SELECT query_id, name, count, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name)::INT AS rank FROM asked JOIN scored USING (q) WHERE score IS NOT NULL AND (chosen IS NULL OR NOT list_contains(chosen, name)))
+SELECT query_id, rank, name, count, score FROM ranked WHERE rank <= 8"""))
+def suggest_many(spark, sf_dir):
+    n = F.col("p_partkey")
+    chosen = F.when(n % 3 == 0, F.array(F.lit("kind:photo"), F.lit("year:2019"))).when(n % 3 == 1, F.array().cast("array<string>"))
+    asked = table(spark, sf_dir, "part").select(n.alias("query_id"), F.substring(F.col("p_name"), (1 + n % 3).cast("int"), (1 + n % 4).cast("int")).alias("q"), chosen.alias("chosen"))
+    return many.suggest_many(_stats(spark, sf_dir), asked)
+
+
+TOKENS = ["good", "IMG", "_9", "doc_1", "iso:low", ".mp", "7", "untagged", "hidden", "kind:audio", ".JPG", "oc_4", "junk"]
+
+
+@query(on_catalog(f"""asked AS (SELECT s_suppkey AS query_id, lower({TOKENS}[s_suppkey % 13 + 1]) AS a, CASE WHEN s_suppkey % 4 > 0 THEN lower({TOKENS}[s_suppkey * 5 % 11 + 1]) END AS b, s_suppkey % 2 = 0 AS every FROM supplier),
+hit AS (SELECT query_id, every, a, b, c.path, c.tags, list_contains(tags, a) OR list_contains(auto_tags, a) OR contains(lower(name), a) AS x, list_contains(tags, b) OR list_contains(auto_tags, b) OR contains(lower(name), b) AS y FROM asked, catalog c)
+SELECT query_id, path FROM hit WHERE (len(tags) = 0 OR (a <> 'untagged' AND coalesce(b, '') <> 'untagged')) AND (NOT list_contains(tags, 'hidden') OR a = 'hidden' OR b = 'hidden')
+AND CASE WHEN a = 'untagged' THEN b IS NULL OR b = 'untagged' OR y WHEN b IS NULL OR b = 'untagged' THEN x WHEN every THEN x AND y ELSE x OR y END"""))
+def search_many(spark, sf_dir):
+    n = F.col("s_suppkey")
+    word = lambda i: F.element_at(F.array(*map(F.lit, TOKENS)), (i + 1).cast("int"))
+    q = F.concat_ws("  ", word(n % 13), F.when(n % 4 > 0, word(n * 5 % 11)))
+    asked = table(spark, sf_dir, "supplier").select(n.alias("query_id"), q.alias("q"), F.when(n % 2 == 0, "all").otherwise("any").alias("match"))
+    return many.search_many(catalog(spark, sf_dir), asked)
+
+
+@query(on_catalog(f"SELECT path, {fuzzy("'doc1'", 'name')} AS score FROM catalog"))
 def fuzzy_score(spark, sf_dir):
     return catalog(spark, sf_dir).select("path", tags.fuzzy_score("doc1", F.col("name")).alias("score"))
 
@@ -694,6 +725,51 @@ def plan_undo(spark, sf_dir):
     return rewrite.plan_undo(left, undo, trash)[1].select("path", "name", "hash", "size_bytes")
 
 
+#: Where each row is after each of six operations, as expressions that Spark and the oracle share. 1 and 2 move rows on,
+#: 3 trashes some, 4 moves some back to where they began, 5 and 6 move every fourth row round by one place.
+OPS = [
+    ("move", "doc_id % 2 = 0", "concat('/one/', doc_id, '.jpg')"), ("move", "doc_id % 3 = 0", "concat('/two/', doc_id, '.jpg')"), ("delete", "doc_id % 5 = 0", "NULL"),
+    ("move", "doc_id % 14 = 0 AND doc_id % 5 > 0", "path"), ("move", "doc_id % 4 = 1 AND doc_id % 5 > 0", "concat('/swap/', doc_id, '.jpg')"), ("move", "doc_id % 4 = 1 AND doc_id % 5 > 0", "around"),
+]
+AROUND = "lead(p4) OVER (PARTITION BY doc_id % 4, doc_id % 5 > 0, doc_id // 1000 ORDER BY doc_id)"
+
+
+def _history() -> str:
+    """The catalog with p0 ... p6, its paths after each operation, p3 on null for trashed rows."""
+    out = "SELECT doc_id, path, name, hash, path AS p0 FROM catalog"
+    for k, (_, where, to) in enumerate(OPS, 1):
+        to = to if to != "around" else f"coalesce(around, p{k - 1})"
+        out = f"SELECT *, CASE WHEN {where} THEN {to} ELSE p{k - 1} END AS p{k} FROM ({out})"
+        if k == 4:
+            out = f"SELECT *, {AROUND} AS around FROM ({out})"
+    return out
+
+
+UNDONE = f"""h AS ({_history()}),
+undo AS ({' UNION ALL '.join(f"SELECT {k} AS op_seq, '{kind}' AS kind, p{k - 1} AS old_path, p{k} AS new_path FROM h WHERE {where}" for k, (kind, where, _) in enumerate(OPS, 1))}),
+reach(doc_id, restored, p, t) AS (SELECT doc_id, false, p6, 99 FROM h WHERE p6 IS NOT NULL UNION ALL SELECT doc_id, true, p2, 3 FROM h WHERE p6 IS NULL AND {{k}} >= 4
+  UNION ALL SELECT doc_id, restored, old_path, op_seq FROM (SELECT r.doc_id, r.restored, u.old_path, u.op_seq, row_number() OVER (PARTITION BY r.doc_id ORDER BY u.op_seq DESC) AS n FROM reach r JOIN undo u ON u.kind = 'move' AND u.op_seq > 6 - {{k}} AND u.new_path = r.p AND u.op_seq < r.t) WHERE n = 1)
+SELECT p AS path, hash, restored FROM (SELECT doc_id, restored, arg_min(p, t) AS p FROM reach GROUP BY ALL) JOIN h USING (doc_id)"""
+
+
+def _undo_table(spark, sf_dir):
+    catalog(spark, sf_dir).createOrReplaceTempView("catalog")
+    return materialise(spark.sql(_history().replace("//", "DIV")), "history")
+
+
+for _k in (2, 4, 6):
+
+    @query(on_catalog(UNDONE.format(k=_k)), name=f"plan_undo_{_k}")
+    def plan_undo_many(spark, sf_dir, k=_k):
+        rows = _undo_table(spark, sf_dir)
+        each = [rows.where(where).select(F.lit(n).alias("op_seq"), F.lit(kind).alias("kind"), F.col(f"p{n - 1}").alias("old_path"), F.col(f"p{n}").cast("string").alias("new_path")) for n, (kind, where, _) in enumerate(OPS, 1)]
+        undo = reduce(DataFrame.union, each)
+        now = rows.where("p6 IS NOT NULL").select(F.col("p6").alias("path"), "name", "hash", F.lit(False).alias("restored"))
+        trash = rows.where("p3 IS NULL").select(F.col("p2").alias("original_path"), "hash")
+        out = rewrite.plan_undo(now, undo, trash, k)[1]
+        return out.select("path", "hash", F.coalesce("restored", F.lit(True)).alias("restored"))
+
+
 MEDIA = ["path", "name", "media_kind", "size_bytes", "mod_time", "width", "height", "camera_make"]
 
 
