@@ -42,6 +42,11 @@ def ancestors(path: Column) -> Column:
     return F.when(path == "/", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("/")), F.when(F.size(parts) > 2, up).otherwise(F.array().cast("array<string>"))))
 
 
+def upwards(folder: Column) -> Column:
+    """A directory and all above it."""
+    return F.array_distinct(F.array_append(ancestors(folder), folder))
+
+
 def is_under(path: Column, folder: str) -> Column:
     """Below folder at any depth; pushed to Parquet as a prefix test."""
     return path.startswith(folder.rstrip("/") + "/")

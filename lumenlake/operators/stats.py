@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.functions.paths import ancestors, base_name, parent_dir
+from lumenlake.functions.paths import base_name, parent_dir, upwards
 from lumenlake.functions.tags import UNTAGGED
 
 
@@ -29,8 +29,9 @@ def folder_tree(df: DataFrame, include_audio: bool = False) -> DataFrame:
     """(path, parent, name, count, total): direct files and all below, for each directory above a file."""
     if not include_audio:
         df = df.where("media_kind <> 'audio'")
-    each = df.select(parent_dir(F.col("path")).alias("own"), F.explode(ancestors(F.col("path"))).alias("path"))
-    nodes = each.groupBy("path").agg(F.count_if(F.col("own") == F.col("path")).alias("count"), F.count(F.lit(1)).alias("total"))
+    folders = df.groupBy(parent_dir(F.col("path")).alias("own")).agg(F.count(F.lit(1)).alias("n"))  # only folders go up the tree
+    each = folders.select("own", "n", F.explode(upwards(F.col("own"))).alias("path"))
+    nodes = each.groupBy("path").agg(F.sum(F.when(F.col("own") == F.col("path"), F.col("n")).otherwise(0)).alias("count"), F.sum("n").alias("total"))
     return nodes.select("path", parent_dir(F.col("path")).alias("parent"), base_name(F.col("path")).alias("name"), "count", "total")
 
 

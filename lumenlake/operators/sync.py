@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.functions.paths import ancestors, is_under
+from lumenlake.functions.paths import ancestors, is_under, parent_dir, upwards
+from lumenlake.operators.search import with_position
 
 # Directories that a listing leaves out.
 SKIPPED_NAMES = ["node_modules", "__pycache__", "cdk.out", "vendor"]
@@ -32,8 +33,14 @@ def path_policy(df: DataFrame, system_prefixes: list[str] | None = None) -> Data
 
 def discover_dirs(listing: DataFrame, root: str) -> DataFrame:
     """Every directory at or below root that holds a file at some depth."""
-    dirs = listing.select(F.explode(ancestors(F.col("path"))).alias("dir"))
-    return dirs.where((F.col("dir") == root) | is_under(F.col("dir"), root)).distinct()
+    dirs = folders_above(listing).withColumnRenamed("path", "dir")
+    return dirs.where((F.col("dir") == root) | is_under(F.col("dir"), root))
+
+
+def folders_above(df: DataFrame) -> DataFrame:
+    """(path): every directory above a file of df(path). Files are reduced to their folders before these go up."""
+    own = df.select(parent_dir(F.col("path")).alias("own")).distinct()
+    return own.select(F.explode(upwards(F.col("own"))).alias("path")).distinct()
 
 
 def detect_changes(listing: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -58,11 +65,11 @@ def prune_missing(catalog: DataFrame, listing: DataFrame, root: str | None = Non
 
 def covered_by_roots(folders: DataFrame, roots: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """folders(path) that equal or lie below one of roots(path), or, if media(path) is given, hold any of it."""
-    up = folders.select("path", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("up"))
-    found = up.join(roots.select(F.col("path").alias("up")), "up", "left_semi").select("path")
+    root, own = roots.select(F.col("path").alias("up")), folders.select("path", parent_dir(F.col("path")).alias("own"))
+    inside = own.select("own").distinct().select("own", F.explode(upwards(F.col("own"))).alias("up")).join(root, "up", "left_semi").select("own").distinct()
+    found = own.join(root, F.col("path") == F.col("up"), "left_semi").select("path").union(own.where("path <> '/'").join(inside, "own", "left_semi").select("path"))
     if media is not None:
-        above = media.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
-        found = found.union(folders.select("path").join(above, "path", "left_semi"))
+        found = found.union(folders.select("path").join(folders_above(media), "path", "left_semi"))
     return found.distinct()
 
 
@@ -73,8 +80,9 @@ def drop_ignored(paths: DataFrame, ignored: DataFrame) -> DataFrame:
 
 def scan_summary(changes: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, status, count) of changes(path, status) below each of roots(path)."""
-    up = changes.where("status <> 'missing'").select("path", "status", F.explode(ancestors(F.col("path"))).alias("root"))
-    return up.join(roots.select(F.col("path").alias("root")).distinct(), "root").groupBy("root", "status").agg(F.count(F.lit(1)).alias("count"))
+    folders = changes.where("status <> 'missing'").groupBy(parent_dir(F.col("path")).alias("own"), "status").agg(F.count(F.lit(1)).alias("n"))
+    up = folders.select("status", "n", F.explode(upwards(F.col("own"))).alias("root"))
+    return up.join(roots.select(F.col("path").alias("root")).distinct(), "root").groupBy("root", "status").agg(F.sum("n").alias("count"))
 
 
 def latest_per_path(df: DataFrame, seq: str) -> DataFrame:
@@ -159,8 +167,9 @@ def trash_match(pending: DataFrame, trash: DataFrame) -> DataFrame:
 
 
 def trash_list(trash: DataFrame, listing: DataFrame) -> DataFrame:
-    """Trash rows whose file is in listing(path), newest first."""
-    return trash.join(listing.select(F.col("path").alias("trash_path")), "trash_path", "left_semi").orderBy(F.desc("trashed_at"), "id")
+    """Trash rows whose file is in listing(path), with pos: newest first, then by id, from 0."""
+    own = trash.join(listing.select(F.col("path").alias("trash_path")).distinct(), "trash_path", "left_semi")
+    return with_position(own, [F.desc("trashed_at"), F.asc("id")])
 
 
 def upsert_roots(roots: DataFrame, ignored: DataFrame, origin: str, dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +184,7 @@ def decompose_roots(roots: DataFrame, listing: DataFrame) -> DataFrame:
     own = F.coalesce("origin", "path") == F.col("path")
     parents = roots.where(~own).select(F.col("origin").alias("path")).distinct()
     whole = roots.where(own).join(parents, "path", "left_anti").select(F.col("path").alias("origin"))
-    dirs = listing.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct().where(~F.exists(F.split("path", "/"), skipped_dir))
+    dirs = folders_above(listing).where(~F.exists(F.split("path", "/"), skipped_dir))
     below = dirs.select("path", F.explode(ancestors(F.col("path"))).alias("origin")).join(whole, "origin")
     new = below.groupBy("path").agg(F.max("origin").alias("origin")).join(roots.select("path"), "path", "left_anti")  # the nearest: the longest
     return roots.unionByName(new, allowMissingColumns=True)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: A node with more edges than this, and more than all edges by MOST_HUBS, is a hub.
+HUB, MOST_HUBS = 1000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,28 +46,40 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges(a, b), n at most, with m, the least b of each a.
+
+    The edges of a node with very many, a hub, meet in no task: hubs have more than limit edges each, so there are at
+    most MOST_HUBS of them, and their least neighbours are broadcast. Edges of other nodes are joined by a shuffle.
+    """
+    limit = max(HUB, n // MOST_HUBS)
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") > limit).select("a", F.col("m").alias("hub_m")))
+    near = edges.join(hubs, "a", "left")
+    rest = near.where("hub_m IS NULL").select("a", "b").join(low.where(F.col("n") <= limit).select("a", "m"), "a")
+    return near.where("hub_m IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")).union(rest.select("a", "b", "m"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, root), root the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing changes; the driver sees a
     count and a checksum for each round. Nodes without an edge to another node do not appear.
     """
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now = materialise(edges.where("a <> b").selectExpr("least(a, b) AS b", "greatest(a, b) AS a").distinct(), "edges")
-    seen = None
+    seen = state(now)
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = with_least(both, 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = with_least(large, 2 * seen[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b"))).distinct()
         after = materialise(small, "edges")
         spent(now)
-        now = after
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        now, before, seen = after, seen, state(after)
+        if seen == before:
             break
-        seen = state
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

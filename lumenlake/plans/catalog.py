@@ -51,15 +51,17 @@ def catalog(spark: SparkSession, sf_dir: str, phash: bool = False) -> DataFrame:
     names = ["doc_id", *TEXTS, "width", "height", "camera_make", "camera_model", "lens", "iso", "orientation", "flash", "codec", "duration_sec", "bitrate_kbps", "channels"]
     if not phash:
         return df.select(*names)
-    df = df.select(*names, F.explode(F.array(word_cells(c("text")))).alias("_cells"))  # a generator keeps the array from being computed again for each cell
-    counts = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.size(F.filter("_cells", lambda x: x == i)))
-    return df.select(*names, F.explode(F.array(counts)).alias("_grid")).select(*names, dhash64(F.col("_grid")).alias("phash"))
+    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), "[ \\t\\n\\r\\f]+")).alias("word")).where("word <> ''")
+    cells = words.select("doc_id", cell_of(F.col("word")).alias("cell")).groupBy("doc_id", "cell").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    counts = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("counts"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0)))
+    own = df.select(*names).join(counts, "doc_id", "left").select(*names, F.explode(F.array(grid)).alias("_grid"))  # a generator keeps the array from being computed again for each bit
+    return own.select(*names, dhash64(F.col("_grid")).alias("phash"))
 
 
-def word_cells(text):
-    """The cell of an 8 x 9 grid that each word of a text falls into by its md5."""
-    words = F.filter(F.split(F.lower(text), "[ \\t\\n\\r\\f]+"), lambda w: w != "")
-    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 72).cast("int"))
+def cell_of(word):
+    """The cell of an 8 x 9 grid that a word falls into by its md5."""
+    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % 72).cast("int")
 
 
 def hidden_tags(spark: SparkSession, sf_dir: str) -> DataFrame:

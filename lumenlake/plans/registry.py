@@ -559,11 +559,11 @@ def rescan_order(spark, sf_dir):
     return sync.rescan_order(roots(spark, sf_dir)).select("path", "pos")
 
 
-@query(on_catalog("SELECT sha256(path) AS id, mod_time + INTERVAL 1 DAY AS trashed_at FROM catalog WHERE doc_id % 20 = 1 AND path IN (SELECT path FROM listing)", LISTING))
+@query(on_catalog("SELECT sha256(path) AS id, mod_time + INTERVAL 1 DAY AS trashed_at, row_number() OVER (ORDER BY mod_time DESC, sha256(path)) - 1 AS pos FROM catalog WHERE doc_id % 20 = 1 AND path IN (SELECT path FROM listing)", LISTING))
 def trash_list(spark, sf_dir):
     own = catalog(spark, sf_dir).where("doc_id % 20 IN (0, 1)")
     trash = own.select(F.sha2("path", 256).alias("id"), F.col("path").alias("trash_path"), F.timestamp_add("DAY", F.lit(1), F.col("mod_time")).alias("trashed_at"))
-    return sync.trash_list(trash, listing(spark, sf_dir)).select("id", "trashed_at")
+    return sync.trash_list(trash, listing(spark, sf_dir)).select("id", "trashed_at", "pos")
 
 
 @query(f"WITH {ROOTS}, k AS (SELECT * FROM roots WHERE last_scanned_at IS NOT NULL) SELECT path, origin FROM k UNION ALL SELECT path, '/lib' FROM (SELECT DISTINCT path FROM roots WHERE last_scanned_at IS NULL UNION SELECT '/lib') WHERE NOT (path = '/lib/src1/fr' OR starts_with(path, '/lib/src1/fr/'))")
@@ -923,6 +923,17 @@ def read_journal(spark, sf_dir):
     return files.read_journal(spark, path).groupBy("id", "kind", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {EVENTS}, {LAST} SELECT id, state FROM last")
+def read_journal_order(spark, sf_dir):
+    """A journal of several files, each later than the last: the last line of an id is that of the greatest seq."""
+    own = journal(spark, sf_dir)
+    path = f"{shared_dir(spark)}/journals-{uuid.uuid4().hex}"
+    for k in range(3):
+        lines = own.where(F.col("seq") * 3 >= F.lit(k) * own.count()).where((F.col("seq") * 3 < F.lit(k + 1) * own.count()) | F.lit(k == 2))
+        lines.coalesce(1).sortWithinPartitions("seq").select(F.to_json(F.struct("id", "kind", "state")).alias("value")).write.mode("append").text(path)
+    return files.read_journal(spark, path).groupBy("id").agg(F.max_by("state", "seq").alias("state"))
+
+
 @query(f"WITH {ROOTS} SELECT path, origin, 'root' AS what FROM roots UNION ALL SELECT DISTINCT origin || '/old', NULL, 'ignored' FROM roots")
 def read_roots(spark, sf_dir):
     own = roots(spark, sf_dir)

@@ -242,3 +242,46 @@ def test_nearest_place_reaches_across_a_pole(spark):
     cities = spark.createDataFrame([("north", "x", 89.5, 180.0), ("south", "y", -89.0, -170.0)], "place string, country string, lat double, lon double")
     got = {r.id: r.place for r in clusters.nearest_place(points, cities, 300.0).collect()}
     assert got == {1: "north", 2: "south", 3: None}
+
+
+def plain_components(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {(x, find(x)) for x in root}
+
+
+@pytest.mark.parametrize("hub", [3, 50, 10**6])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    """A star of a third of all nodes, two hubs that share neighbours, a chain, loops and repeated edges."""
+    monkeypatch.setattr(tables, "HUB", hub)
+    pairs = [(900, k) for k in range(1000, 1300)] + [(k, 2000) for k in range(1250, 1400)] + [(k, k + 1) for k in range(40)] + [(5, 5), (7, 8), (8, 7), (3000, 3001)]
+    got = {(r.node, r.root) for r in tables.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == plain_components([p for p in pairs if p[0] != p[1]])
+    assert tables.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edges_of_a_hub_meet_in_no_task(spark, monkeypatch):
+    monkeypatch.setattr(tables, "HUB", 100)
+    pairs = [(0, k) for k in range(1, 5000)] + [(k, k + 1) for k in range(5000, 15000)]
+    out = tables.with_least(spark.createDataFrame(pairs, "a long, b long").repartition(8), len(pairs))
+    at = out.withColumn("task", F.spark_partition_id()).where("a = 0").groupBy("task").count().collect()
+    assert len(at) >= 8 and max(r["count"] for r in at) < 1250 and sum(r["count"] for r in at) == 4999
+
+
+def test_folders_go_up_once(spark):
+    df = spark.createDataFrame([("/x.jpg", "new"), ("/a/1.jpg", "new"), ("/a/2.jpg", "missing"), ("/a/b/c/3.jpg", "changed")], "path string, status string")
+    assert rows(sync.folders_above(df)) == [("/",), ("/a",), ("/a/b",), ("/a/b/c",)]
+    roots = spark.createDataFrame([("/",), ("/a/b",), ("/zzz",)], "path string")
+    assert rows(sync.scan_summary(df, roots)) == [("/", "changed", 1), ("/", "new", 2), ("/a/b", "changed", 1)]
+    asked = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/c",), ("/ab",), ("/",)], "path string")
+    assert rows(sync.covered_by_roots(asked, roots.where("path = '/a/b'"))) == [("/a/b",), ("/a/b/c",)]
+    assert rows(sync.covered_by_roots(asked, roots.where("path = '/'"))) == [("/",), ("/a",), ("/a/b",), ("/a/b/c",), ("/ab",)]
+    assert rows(sync.covered_by_roots(asked, roots.where("path = '/zzz'"), df)) == [("/",), ("/a",), ("/a/b",), ("/a/b/c",)]
