@@ -137,7 +137,8 @@ def agree(a: Column, b: Column, end, words: bool) -> Column:
 def within_one(a: Column, b: Column, words: bool) -> Column:
     """Whether two lines are at most one unit apart: what they share from both ends is all but one unit of the longer.
     Unlike a table of distances this takes n log n for long lines."""
-    return agree(a, b, left, words) + agree(a, b, right, words) >= F.greatest(length(a, words), length(b, words)) - 1
+    m, n = length(a, words), length(b, words)
+    return (F.abs(m - n) <= 1) & (agree(a, b, left, words) + agree(a, b, right, words) >= F.greatest(m, n) - 1)
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,9 +172,11 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     earliest = keyed.groupBy("outside", "variant").agg(F.min("at").alias("e"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = keyed.join(earliest, ["outside", "variant"]).where("at > e").select("id", "id2", "e").distinct()
     pairs = pairs.join(texts.select("id", "id2", "line"), ["id", "id2"]).join(texts.select(F.col("at").alias("e"), F.col("line").alias("earlier")), "e")
-    line, earlier = F.col("line"), F.col("earlier")
-    worded = (F.size(words_of(line)) >= WORDS) & (F.size(words_of(earlier)) >= WORDS) & within_one(words_of(line), words_of(earlier), True)
-    gone = materialise(pairs.where(within_one(line, earlier, False) | worded).select("id", "id2").distinct(), "gone")
+    # a generator keeps the words from being split again at each step of the comparison
+    pairs = pairs.withColumn("w", F.explode(F.array(F.struct(words_of(F.col("line")).alias("a"), words_of(F.col("earlier")).alias("b")))))
+    worded = (F.size("w.a") >= WORDS) & (F.size("w.b") >= WORDS) & within_one(F.col("w.a"), F.col("w.b"), True)
+    near = within_one(F.col("line"), F.col("earlier"), False) | worded
+    gone = materialise(pairs.where(near).select("id", "id2").distinct(), "gone")
     spent(*spare, keyed)
     return first.join(gone, ["id", "id2"], "left_anti").select("d", "t", "l")
 
