@@ -1,13 +1,14 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary with byte fallback measures each whole text: characters per token, the share of tokens that
-are fallback bytes, and the entropy of its tokens. Bands for each language (or, where none is given, for each
-script) come from the medians and spreads over all documents; a text outside a band is rejected. Base rules
-count words, symbols, repeated lines and repeated three-word windows.
+are fallback bytes, and the entropy of its tokens; a byte-level one measures its characters per token too. Bands for each
+language (or, where none is given, for each script) come from the medians and spreads over all documents; a text outside
+a band is rejected. Base rules count words, symbols, repeated lines and repeated three-word windows.
 """
 
 from __future__ import annotations
 
+import base64
 from itertools import chain, repeat
 
 import numpy as np
@@ -20,7 +21,11 @@ from lumenlake.llm.arrays import as_bytes
 from lumenlake.llm.common import materialise
 
 SYMBOLS = b"#*$%&|<>"
-MEASURES = "struct<n_words:bigint, word_chars:bigint, n_symbols:bigint, n_dup_lines:bigint, n_repeat_words:bigint, chars_per_token:double, fallback_share:double, entropy:double, script:string>"
+MEASURES = "struct<n_words:bigint, word_chars:bigint, n_symbols:bigint, n_dup_lines:bigint, n_repeat_words:bigint, chars_per_token:double, fallback_share:double, entropy:double, chars_per_byte_token:double, script:string>"
+#: Measures with bands; the number of half-spreads to their ends, and the least distance of an end from the median.
+BANDS = {"chars_per_token": (10.0, 0.6), "chars_per_byte_token": (10.0, 0.6), "fallback_share": (10.0, 0.02), "entropy_rate": (10.0, 0.06)}
+#: Lower ends of their own: junk breaks into more tokens than clean text, and repeats them.
+LOWER = {"chars_per_token": (5.0, 0.1), "chars_per_byte_token": (6.0, 0.12), "entropy_rate": (3.8, 0.06)}
 
 #: Scripts told apart where a row names no language.
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Han", "Hiragana", "Katakana", "Hangul", "Devanagari", "Thai")
@@ -49,6 +54,29 @@ class Vocabulary:
         return [np.frombuffer(b"".join(self.kept[w] if x is None else x for w, x in zip(words, ids)), "<i4") for words, ids in zip(texts, got)]
 
 
+class ByteVocabulary:
+    """A byte-level rank file: the number of tokens of a word behind a blank; those of most_kept words are kept."""
+
+    def __init__(self, path: str, pattern: str, most_kept: int = 200_000):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.kept: dict[bytes, int] = {}
+        self.most_kept = most_kept
+
+    def count(self, words: list[bytes]) -> int:
+        if len(self.kept) > self.most_kept:
+            self.kept.clear()
+        found = list(map(self.kept.get, words))
+        if None in found:
+            for w in {w for w, n in zip(words, found) if n is None}:
+                self.kept[w] = len(self.encoding.encode_ordinary(" " + w.decode()))
+            found = map(self.kept.__getitem__, words)
+        return sum(found)
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a three-word window found twice or more, the first find included."""
     n = len(words) - 2
@@ -87,17 +115,19 @@ def script_of(data: bytes) -> str:
     return SCRIPTS[int(np.argmax(sizes))] if max(sizes) else "other"
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict = {}
 
 
-def fertility_measures(text: Column, vocabulary: str) -> Column:
-    """Struct column of the measures; a null text has no words. vocabulary: a model file every executor can read."""
+def fertility_measures(text: Column, vocabulary: str, byte_vocabulary: str, pattern: str) -> Column:
+    """Struct column of the measures; a null text has no words. The vocabularies: files that every executor can read."""
 
     @F.arrow_udf(MEASURES)
     def measure(texts: pa.Array) -> pa.Array:
         if vocabulary not in _loaded:  # once in each Python worker
             _loaded[vocabulary] = Vocabulary(vocabulary)
-        vocab = _loaded[vocabulary]
+        if (byte_vocabulary, pattern) not in _loaded:
+            _loaded[byte_vocabulary, pattern] = ByteVocabulary(byte_vocabulary, pattern)
+        vocab, plain = _loaded[vocabulary], _loaded[byte_vocabulary, pattern]
         rows = []
         at = 0
         while at < len(texts):
@@ -114,11 +144,11 @@ def fertility_measures(text: Column, vocabulary: str) -> Column:
                 rows.append(
                     (len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), repeated_lines(data), repeated_words(words))
                     + ((chars / len(ids), float(vocab.fallback[ids].mean()), float(-(p * np.log2(p)).sum())) if len(ids) else (None, None, None))
-                    + (script_of(data),)
+                    + (chars / n if (n := plain.count(words)) else None, script_of(data))
                 )
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_per_token", "fallback_share", "entropy", "script"]
-        kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.string()]
-        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else repeat([], 9), kinds)], names)
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_per_token", "fallback_share", "entropy", "chars_per_byte_token", "script"]
+        kinds = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.string()]
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else repeat([], 10), kinds)], names)
 
     return measure(text)
 
@@ -127,41 +157,40 @@ def fertility_measures(text: Column, vocabulary: str) -> Column:
 _NOT_CONTINUED = bytes(x for x in range(256) if not 0x80 <= x < 0xC0)
 
 
-def bands(measured: DataFrame, width: float, least: tuple[float, float, float], low: tuple[float, float]) -> DataFrame:
-    """For each group the lower and upper ends of its bands: median -+ width times the median distance from it,
-    and never narrower than ``least``; the lower end of characters per token by the width and least of ``low``. Texts that fail a base rule do not count. One row for each language, so
-    the result is small; the percentiles are Spark's mergeable sketches over all rows."""
-    names = ["chars_per_token", "fallback_share", "entropy_rate"]
+def bands(measured: DataFrame, ends: dict, lower: dict) -> DataFrame:
+    """For each group the lower and upper ends of its bands: the median and so many half-spreads (half the distance of
+    the quartiles) from it, but no nearer than the least distance; lower ends by ``lower`` where it has the measure.
+    Texts that fail a base rule do not count. One row for each language, so the result is small; the percentiles are
+    Spark's mergeable sketches over all rows."""
     sound = measured.where("NOT base_failed")
-    middle = sound.groupBy("band_group").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in names])
-    spread = {x: F.greatest((F.col(x)[2] - F.col(x)[0]) / 2 * F.lit(width), F.lit(m)) for x, m in zip(names, least)}
-    below = spread | {names[0]: F.greatest((F.col(names[0])[2] - F.col(names[0])[0]) / 2 * F.lit(low[0]), F.lit(low[1]))}
-    return middle.select("band_group", *chain.from_iterable(((F.col(x)[1] - below[x]).alias(f"{x}_low"), (F.col(x)[1] + spread[x]).alias(f"{x}_high")) for x in names))
+    middle = sound.groupBy("band_group").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in ends])
+    wide = lambda x, w, m: F.greatest((F.col(x)[2] - F.col(x)[0]) / 2 * F.lit(w), F.lit(m))
+    each = ((F.col(x)[1] - wide(x, *lower.get(x, end)), F.col(x)[1] + wide(x, *end)) for x, end in ends.items())
+    return middle.select("band_group", *chain.from_iterable((a.alias(f"{x}_low"), b.alias(f"{x}_high")) for x, (a, b) in zip(ends, each)))
 
 
-def fertility_rules(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, width: float = 10.0, low: tuple[float, float] = (5.0, 0.1)) -> DataFrame:
+def fertility_rules(docs: DataFrame, vocabulary: str, byte_vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, most_repeated: int = 50, ends: dict = BANDS, lower: dict = LOWER) -> DataFrame:
     """One row for each document: the measures, ``base_failed``, ``kept`` and ``reason``.
 
     Base rules: fewer than least_words words, or over most_repeated in 100 words in repeated windows. The
-    method's bands: characters per token, share of fallback bytes, and entropy over the logarithm of the text's
-    number of tokens (``entropy_rate``, which hardly depends on length), each with ends from all documents of
-    the row's language, or of its script where the language is null. Junk breaks into more tokens than clean text, so
-    characters per token have a lower end of their own, low. Null and empty texts fail the base rule;
-    repeated rows get equal verdicts; other columns of docs are left out, whatever their names.
+    method's bands: characters per token of both vocabularies, share of fallback bytes, and entropy over the logarithm
+    of the text's number of tokens (``entropy_rate``, which hardly depends on length), each with ends from all documents
+    of the row's language, or of its script where the language is null. reason: ``base``, or the first measure outside
+    its band. Null and empty texts fail the base rule; repeated rows get equal verdicts; other columns of docs are left
+    out, whatever their names.
     """
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col(id_col).alias("doc_id"), lang.alias("_lang"), fertility_measures(F.col(text_col), vocabulary).alias("_m"))
+    own = docs.select(F.col(id_col).alias("doc_id"), lang.alias("_lang"), fertility_measures(F.col(text_col), vocabulary, byte_vocabulary, pattern).alias("_m"))
     own = own.select("doc_id", "_lang", "_m.*")
     tokens = F.col("word_chars") / F.col("chars_per_token")
     own = own.withColumn("band_group", F.coalesce(F.concat(F.lit("lang:"), "_lang"), F.concat(F.lit("script:"), "script")))
     own = own.withColumn("entropy_rate", F.col("entropy") / F.log2(tokens + 1)).drop("_lang")
     own = own.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
     own = materialise(own, "fertility")
-    ends = materialise(bands(own, width, (0.6, 0.02, 0.06), low), "bands")
-    most = ends.count()
-    side = F.broadcast(ends) if most <= 10_000 else ends  # one row for each language
+    names = list(ends)
+    found = materialise(bands(own, ends, lower), "bands")
+    side = F.broadcast(found) if found.count() <= 10_000 else found  # one row for each language
     joined = own.join(side, "band_group", "left")
-    names = ["chars_per_token", "fallback_share", "entropy_rate"]
     outside = [F.when(~F.col(x).between(F.col(f"{x}_low"), F.col(f"{x}_high")), F.lit(x)) for x in names]
     reason = F.when(F.col("base_failed"), F.lit("base")).otherwise(F.coalesce(*outside))
     return joined.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull()).drop(*[f"{x}_{e}" for x in names for e in ("low", "high")])

@@ -62,7 +62,7 @@ def op9_vantage_points(spark, sf_dir):
 
 
 def op10_fertility(spark, sf_dir):
-    return fertility.fertility_rules(table(spark, sf_dir, "documents"), PIECES)
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), PIECES, RANKS, PATTERN)
 
 
 def op11_filter_audit(spark, sf_dir):

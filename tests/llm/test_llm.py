@@ -163,7 +163,7 @@ def plain_repeated(w):
 
 
 def test_fertility(documents, odd):
-    got = {r.doc_id: r for r in fertility.fertility_rules(documents, queries.PIECES).collect()}
+    got = {r.doc_id: r for r in fertility.fertility_rules(documents, queries.PIECES, queries.RANKS, queries.PATTERN).collect()}
     for r in documents.where("length(text) < 3000").collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text)
         lines = [x for x in r.text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -171,7 +171,7 @@ def test_fertility(documents, odd):
         g = got[r.doc_id]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want
         assert g.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (g.base_failed and g.kept)
-    assert fertility.fertility_rules(odd, queries.PIECES).count() == 6 and fertility.fertility_rules(odd.limit(0), queries.PIECES).count() == 0
+    assert fertility.fertility_rules(odd, queries.PIECES, queries.RANKS, queries.PATTERN).count() == 6 and fertility.fertility_rules(odd.limit(0), queries.PIECES, queries.RANKS, queries.PATTERN).count() == 0
 
 
 def test_quality(spark, odd):
@@ -228,6 +228,6 @@ def test_near_copies_equal_all_pairs(spark, odd):
 def test_fertility_rejects_junk_by_a_band(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     named = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where(quality_cnn.held_out(F.col("doc_id")))
-    rows = fertility.fertility_rules(docs, queries.PIECES).join(named, "doc_id").where("NOT base_failed").collect()
+    rows = fertility.fertility_rules(docs, queries.PIECES, queries.RANKS, queries.PATTERN).join(named, "doc_id").where("NOT base_failed").collect()
     lost = lambda q: [r.reason == "chars_per_token" for r in rows if r.quality == q]
     assert sum(lost(0)) >= 0.7 * len(lost(0)) > 0 and sum(lost(1)) <= 0.05 * len(lost(1))
