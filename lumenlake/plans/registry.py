@@ -57,10 +57,13 @@ def content_type(spark, sf_dir):
     return catalog(spark, sf_dir).select("path", paths.content_type(F.col("path")).alias("content_type"))
 
 
-@query("SELECT event_id, date_trunc('second', ts) AS t FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 2 THEN ts ELSE date_trunc('second', ts) END AS t FROM events")
 def parse_creation_time(spark, sf_dir):
-    own = table(spark, sf_dir, "events")
-    text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    """All layouts: with Z, with a blank, with a fraction, with an offset."""
+    own, n = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    later = F.concat(F.date_format(F.timestamp_add("HOUR", F.lit(2), F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    text = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    text = text.when(n == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(later)
     return own.select("event_id", paths.parse_creation_time(text).alias("t"))
 
 
@@ -963,6 +966,36 @@ def probe_fields(spark, sf_dir):
     return files.probe_fields(table(spark, sf_dir, "events").select("event_id", probe.alias("probe"))).select("event_id", "channels", "duration_sec", "bitrate_kbps", "width")
 
 
+IMAGES = "im AS (SELECT doc_id, '/pictures/' || doc_id AS path, (9 + doc_id % 4)::INT AS width, (8 + doc_id % 3)::INT AS height, repeat(sha256(text), 4) AS x FROM documents)"
+
+
+def _images(spark, sf_dir):
+    """Grey pictures of twelve shapes, as the image source gives them, whose points are the checksum of a document."""
+    n = F.col("doc_id")
+    own = table(spark, sf_dir, "documents").select(F.concat(F.lit("file:/pictures/"), n.cast("string")).alias("origin"), (8 + n % 3).cast("int").alias("height"), (9 + n % 4).cast("int").alias("width"), F.sha2("text", 256).alias("x"))
+    data = F.unhex(F.substring(F.repeat("x", 4), F.lit(1), 2 * F.col("width") * F.col("height")))
+    return own.select(F.struct("origin", "height", "width", F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data")).alias("image"))
+
+
+@query(f"WITH {IMAGES} SELECT path, width, height FROM im")
+def image_dims(spark, sf_dir):
+    return files.dims_of(_images(spark, sf_dir))
+
+
+#: Bilinear points of an 8 x 9 grid, rounded to even; bit 63 is the first.
+@query(f"""WITH {IMAGES}, spots AS (
+  SELECT doc_id, width AS w, x, i, j, greatest(0, least((i + 0.5::DOUBLE) * height / 8 - 0.5::DOUBLE, height - 1))::DOUBLE AS v, greatest(0, least((j + 0.5::DOUBLE) * width / 9 - 0.5::DOUBLE, width - 1))::DOUBLE AS u, height - 1 AS last_v, width - 1 AS last_u
+  FROM im, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(9)) AS j)),
+corners AS (SELECT doc_id, i, j, v - floor(v) AS fv, u - floor(u) AS fu, list_transform(
+    [floor(v)::INT * w + floor(u)::INT, floor(v)::INT * w + least(floor(u)::INT + 1, last_u), least(floor(v)::INT + 1, last_v) * w + floor(u)::INT, least(floor(v)::INT + 1, last_v) * w + least(floor(u)::INT + 1, last_u)],
+    lambda k: ('0x' || substr(x, 2 * k + 1, 2))::INT::DOUBLE) AS p FROM spots),
+grid AS (SELECT doc_id, i, j, round_even((p[1] * (1 - fu) + p[2] * fu) * (1 - fv) + (p[3] * (1 - fu) + p[4] * fu) * fv, 0)::INT AS n FROM corners),
+sums AS (SELECT a.doc_id, sum((a.n < b.n)::HUGEINT << (63 - a.i * 8 - a.j)::INT) AS u FROM grid a JOIN grid b ON b.doc_id = a.doc_id AND b.i = a.i AND b.j = a.j + 1 GROUP BY a.doc_id)
+SELECT 'file:/pictures/' || doc_id AS path, (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT AS phash FROM sums""")
+def image_dhash(spark, sf_dir):
+    return hashes.image_dhash(_images(spark, sf_dir))
+
+
 PLACES = """c AS (SELECT c_custkey AS id, (c_custkey * 41 % 180 - 90)::DOUBLE AS lat, (c_custkey * 67 % 360 - 180)::DOUBLE AS lon FROM customer),
 s AS (SELECT s_name AS place, n_name AS country, (s_suppkey * 37 % 180 - 90)::DOUBLE AS lat, (s_suppkey * 73 % 360 - 180)::DOUBLE AS lon FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 m AS (SELECT id, place, country, 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, sin(radians(c.lat - s.lat) / 2) ** 2 + cos(radians(c.lat)) * cos(radians(s.lat)) * sin(radians(c.lon - s.lon) / 2) ** 2))) AS km FROM c, s),

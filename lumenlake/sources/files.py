@@ -47,9 +47,14 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)
 
 
+def dims_of(images: DataFrame) -> DataFrame:
+    """(path, width, height) of decoded pictures, as the image source gives them, in a column ``image``."""
+    return images.select(plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height")
+
+
 def image_dims(spark: SparkSession, root: str) -> DataFrame:
     """(path, width, height); files that cannot be decoded are left out."""
-    return read_images(spark, root).select(plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height")
+    return dims_of(read_images(spark, root))
 
 
 def probe_fields(df: DataFrame, column: str = "probe") -> DataFrame:
