@@ -170,26 +170,55 @@ def undismiss(dismissed: DataFrame, fingerprints: DataFrame) -> DataFrame:
     return dismissed.join(fingerprints, "fingerprint", "left_anti")
 
 
+#: Points at different spots that make a cell crowded, and the parts that each side of such a cell is cut into.
+CROWDED, FINER = 100_000, 8
+
+
 def nearest_place(points: DataFrame, cities: DataFrame, max_km: float = 50.0, cell: float = 1.0) -> DataFrame:
     """points(id, lat, lon) with place, country and km of the nearest of cities(place, country, lat, lon) within
     max_km; ties by name. Cities are sent to all cells that the radius reaches, so the join is on equal keys;
-    a cell's width in longitude shrinks with latitude, which the reach allows for."""
-    up = int(max_km / 111.0 / cell) + 1
+    a cell's width in longitude shrinks with latitude, which the reach allows for.
+
+    Points at one spot are looked up once. Crowded cells are cut into FINER x FINER, to which only the cities within reach
+    of the part are sent. There are at most 360 x 180 / cell^2 cells, so the crowded ones are broadcast.
+    """
+    reach = max_km / 111.0
+    up = int(reach / cell) + 1
     row = F.floor(F.col("lat") / cell)
     far = F.greatest(F.lit(0.02), F.cos(F.radians(F.least(F.abs("lat") + up * cell, F.lit(89.0)))))
-    wide = F.least(F.ceil(F.lit(max_km / 111.0 / cell) / far).cast("int") + 1, F.lit(int(180 / cell)))
+    wide = F.least(F.ceil(F.lit(reach / cell) / far).cast("int") + 1, F.lit(int(180 / cell)))
     wide = F.when(F.abs("lat") + up * cell >= 90, F.lit(int(180 / cell))).otherwise(wide)  # a pole within reach: all longitudes
     turns = int(360 / cell)
     column = F.floor((F.col("lon") + 180.0) / cell)
     city = cities.select("place", "country", F.col("lat").alias("clat"), F.col("lon").alias("clon"), row.alias("r"), column.alias("c"), wide.alias("w"))
     city = city.select("place", "country", "clat", "clon", "c", "w", F.explode(F.sequence(F.col("r") - up, F.col("r") + up)).alias("r"))
     city = city.select("place", "country", "clat", "clon", "r", F.explode(F.array_distinct(F.transform(F.sequence(F.col("c") - F.col("w"), F.col("c") + F.col("w")), lambda x: F.pmod(x, F.lit(turns))))).alias("c"))
-    near = points.withColumns({"r": row, "c": F.pmod(column, F.lit(turns))}).join(city, ["r", "c"])
+
+    within = lambda x, n: F.least(F.floor((x / cell - F.floor(x / cell)) * FINER), F.lit(n - 1)).cast("int")
+    spots = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("lat", "lon").distinct().withColumns({"r": row, "c": F.pmod(column, F.lit(turns))})
+    spots = materialise(spots, "spots")
+    crowd = F.broadcast(spots.groupBy("r", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("r", "c", F.lit(True).alias("crowded")))
+    none = F.lit(-1)
+    own = spots.join(crowd, ["r", "c"], "left")
+    own = own.withColumns({"i": F.when(F.col("crowded"), within(F.col("lat"), FINER)).otherwise(none), "j": F.when(F.col("crowded"), within(F.col("lon") + 180.0, FINER)).otherwise(none)}).drop("crowded")
+    sides = F.sequence(F.lit(0), F.lit(FINER - 1))
+    parts = F.flatten(F.transform(sides, lambda i: F.transform(sides, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    city = city.join(crowd, ["r", "c"], "left").withColumn("x", F.explode(F.when(F.col("crowded"), parts).otherwise(F.array(F.struct(none.alias("i"), none.alias("j"))))))
+    low = F.col("r") * cell + F.col("x.i") * (cell / FINER)
+    left = F.col("c") * cell - 180.0 + F.col("x.j") * (cell / FINER)
+    gap = F.greatest(F.lit(0.0), low - F.col("clat"), F.col("clat") - (low + cell / FINER))
+    turn = F.pmod(left - F.col("clon"), F.lit(360.0))  # east of the city by so much, to the part's edge
+    side = F.when(turn + cell / FINER >= 360.0, 0.0).otherwise(F.least(turn, F.lit(360.0) - turn - cell / FINER))
+    top = F.abs("clat") + reach
+    near_lon = (top >= 89.0) | (side * F.cos(F.radians(F.least(top, F.lit(89.0)))) <= reach)
+    city = city.where(F.col("crowded").isNull() | ((gap <= reach) & near_lon)).select("place", "country", "clat", "clon", "r", "c", "x.i", "x.j")
+    near = own.join(city, ["r", "c", "i", "j"])
     half = lambda a, b: F.pow(F.sin(F.radians(F.col(a) - F.col(b)) / 2), 2)
     h = half("lat", "clat") + F.cos(F.radians("lat")) * F.cos(F.radians("clat")) * half("lon", "clon")
     near = near.withColumn("km", 2 * 6371.0 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))).where(F.col("km") <= max_km)
-    best = near.groupBy("id").agg(F.min_by(F.struct("place", "country", "km"), F.struct(F.round("km", 6), F.col("place"))).alias("b")).select("id", "b.*")
-    return points.join(best, "id", "left")
+    best = near.groupBy("lat", "lon").agg(F.min_by(F.struct("place", "country", "km"), F.struct(F.round("km", 6), F.col("place"))).alias("b")).select("lat", "lon", "b.*")
+    # written, so that the points of one spot can be split over tasks
+    return points.join(materialise(best, "nearest"), ["lat", "lon"], "left").select(*points.columns, "place", "country", "km")
 
 
 def semantic_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, most_queries: int = 10_000) -> DataFrame:

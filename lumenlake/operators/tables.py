@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_scopes: list[list[DataFrame]] = []
 #: A node with more edges than this, and more than all edges by MOST_HUBS, is a hub.
 HUB, MOST_HUBS = 1000, 10_000
 
@@ -36,9 +39,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that ``materialise`` makes inside are removed at the end, but for those put into the list that it gives.
+
+    Results are lazy and read such tables: write what is wanted before the end.
+    """
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        made = _scopes.pop()
+        names = {x.scratch_path for x in kept}
+        spent(*[x for x in made if x.scratch_path not in names])
+        if _scopes:
+            _scopes[-1] += [x for x in made if x.scratch_path in names]
+
+
 def spent(*tables: DataFrame) -> None:
     """Remove tables that ``materialise`` gave and that no later job reads."""
     for df in tables:

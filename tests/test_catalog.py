@@ -285,3 +285,42 @@ def test_folders_go_up_once(spark):
     assert rows(sync.covered_by_roots(asked, roots.where("path = '/a/b'"))) == [("/a/b",), ("/a/b/c",)]
     assert rows(sync.covered_by_roots(asked, roots.where("path = '/'"))) == [("/",), ("/a",), ("/a/b",), ("/a/b/c",), ("/ab",)]
     assert rows(sync.covered_by_roots(asked, roots.where("path = '/zzz'"), df)) == [("/",), ("/a",), ("/a/b",), ("/a/b/c",)]
+
+
+@pytest.mark.parametrize("crowded", [3, 10**6])
+def test_crowded_cells_find_the_same_places(spark, monkeypatch, crowded):
+    import math
+    import random
+
+    monkeypatch.setattr(clusters, "CROWDED", crowded)
+    rng = random.Random(2)
+    dense = [(rng.uniform(47.9, 49.1), rng.uniform(1.9, 3.1)) for _ in range(80)] + [(48.5, 2.5)] * 30 + [(0.0, 179.99), (0.0, -179.99), (89.9, 10.0), (-89.95, 120.0), (-12.5, -180.0), (12.0, 180.0)]
+    dense += [(rng.uniform(-1, 1), rng.choice([179.6, -179.8]) + rng.uniform(-0.2, 0.2)) for _ in range(20)] + [(rng.uniform(88, 90), rng.uniform(-180, 180)) for _ in range(20)]
+    points = [(k, *p) for k, p in enumerate(dense)] + [(900, None, 2.0), (901, 48.0, None)]
+    cities = [(f"c{k}", "x", rng.uniform(47, 50), rng.uniform(1, 4)) for k in range(60)] + [("w", "x", 0.1, -179.7), ("e", "x", -0.2, 179.7), ("n", "x", 89.8, -170.0), ("s", "x", -89.9, -60.0)]
+
+    def km(a, b, c, d):
+        h = math.sin(math.radians(a - c) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(b - d) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(min(1, h)))
+
+    want = {}
+    for k, lat, lon in points:
+        all_ = sorted((round(km(lat, lon, c, d), 6), name) for name, _, c, d in cities) if lat is not None and lon is not None else []
+        want[k] = all_[0][1] if all_ and all_[0][0] <= 50 else None
+    df = spark.createDataFrame(points, "id int, lat double, lon double")
+    got = clusters.nearest_place(df, spark.createDataFrame(cities, "place string, country string, lat double, lon double"))
+    assert {r.id: r.place for r in got.collect()} == want and sum(x is not None for x in want.values()) > 60
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    there = lambda df: os.path.exists(df.scratch_path.removeprefix("file:"))
+    with tables.scratch() as outer:
+        first = tables.materialise(spark.range(3), "first")
+        with tables.scratch() as inner:
+            second, third = (tables.materialise(first.where(f"id < {k}"), "more") for k in (2, 1))
+            inner.append(third)
+        assert there(first) and not there(second) and there(third)
+        outer.append(first)
+    assert there(first) and not there(third) and first.count() == 3
+    tables.spent(first)
+    assert not there(first)
