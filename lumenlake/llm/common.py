@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.operators.tables import components, materialise, shared_dir, spent
+from lumenlake.operators.tables import components, materialise, scratch, shared_dir, spent
 
-__all__ = ["WORD", "components", "materialise", "running_total", "shared_dir", "spent"]
+__all__ = ["WORD", "components", "materialise", "running_total", "scratch", "shared_dir", "spent"]
 
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
