@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import bpe, linededup, mixing, quality_cnn, simhash
-from lumenlake.llm.common import materialise
+from lumenlake.llm.common import materialise, scratch, spent
 from lumenlake.llm.queries import PATTERN, RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -67,5 +67,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch() as kept:  # what a stage has written for itself goes when its result stands
+            out = materialise(stage(spark, docs, sf_dir), f"stage{k}")
+            kept.append(out)
+        if k:
+            spent(docs)
+        docs = out
     return docs
