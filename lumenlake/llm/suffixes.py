@@ -11,8 +11,9 @@ the last. An anchor's suffix stands for all of them; there is about one for 85 b
   before it) at splitters that Spark samples. Contexts differ, so a token that a third of all documents have is split
   over many buckets. Each bucket sorts its windows by multikey quicksort, eight bytes a step, and neighbours that
   agree over the whole length are repeated.
-- Windows of the first and the last token of a bucket may have equals across its boundary. They are compared by
-  128-bit hashes, one row for each different window of a bucket.
+- Windows of the first and the last token of a bucket may have equals across its boundary. Runs of eight windows of a
+  context are compared by the bytes that all of them share, and only where two buckets have those the windows
+  themselves, all by 128-bit hashes and one row for each different window of a bucket.
 
 Tokens are compared by 64-bit hashes, contexts by those and 64 bits more, texts by 128 bits.
 """
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import materialise, shared_dir, spent
 
 #: Bytes of the leading token, bytes of text that are hashed at once, bytes of contexts that a bucket should hold.
-TOKEN, PIECE, BUCKET = 32, 1 << 21, 8 << 20
+TOKEN, PIECE, BUCKET = 32, 1 << 17, 2 << 20
+#: Windows that cross a bucket's boundary together.
+RUN = 8
 POSITION = 22  # bits for a place within a piece; the rest of an anchor's rank is its hash
 ODD = np.random.default_rng(7).integers(1 << 62, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BYTES = np.random.default_rng(8).integers(0, 1 << 63, 256).astype(np.uint64)
@@ -181,9 +184,14 @@ def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     return a.view(np.int64), b.view(np.int64)
 
 
+FOUND = "h1 long, h2 long, begin int, end int, core1 long, core2 long, windows array<struct<begin: int, a: bigint, b: bigint>>"
+OPEN = pa.list_(pa.struct([("begin", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
+
+
 def compare_bucket(rows: pa.Table, length: int, token: int) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, begin, end, a, b) of a bucket: spans of repeated bytes; and, for windows that may have equals in another
-    bucket, their hashes a and b, with begin -1 where they need no answer."""
+    """FOUND of a bucket: spans of repeated bytes; and, of each run of windows that may have equals in another bucket, a
+    hash of the bytes that all of them share, and of each window its hash, with begin -1 if it needs no answer."""
+    names = [*NAMES, "begin", "end", "core1", "core2", "windows"]
     leads, back, many = rows.column("lead").to_pylist(), rows.column("back").to_numpy(), rows.column("many").to_numpy()
     h1, h2, lo = (rows.column(x).to_numpy() for x in (*NAMES, "lo"))
     data = np.frombuffer(b"".join(x[len(x) - n :][::-1] + x[: len(x) - n] for x, n in zip(leads, back)), np.uint8)
@@ -191,34 +199,43 @@ def compare_bucket(rows: pa.Table, length: int, token: int) -> Iterator[pa.Recor
     windows = sizes - length + 1
     row = np.repeat(np.arange(len(leads)), windows)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    starts = np.repeat(np.cumsum(sizes) - sizes, windows) + offset
+    context = np.cumsum(sizes) - sizes
+    starts = context[row] + offset
     places, group = multikey_quicksort(data, starts, length)
     repeated = many[row]
     repeated[places] = True
     at = np.flatnonzero(repeated)
     if len(at):
-        new = np.append(True, (row[at][1:] != row[at][:-1]) | (offset[at][1:] != offset[at][:-1] + 1))
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.append(True, (row[at][1:] != row[at][:-1]) | (offset[at][1:] != offset[at][:-1] + 1)))
         a, z = at[first], at[np.append(first[1:], len(at)) - 1]
         who, none = row[a], pa.nulls(len(a), pa.int64())
         spans = [h1[who], h2[who], (lo[who] + offset[a]).astype(np.int32), (lo[who] + offset[z] + length).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, spans), none, none], [*NAMES, "begin", "end", "a", "b"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, spans), none, none, pa.nulls(len(a), OPEN)], names)
     heads = [x[:token] for x in leads]
     edges = {min(heads), max(heads)}
     edge = np.fromiter((x in edges for x in heads), bool, len(heads))[row]
     spare = np.zeros(len(row), bool)  # of equal windows one is enough
     spare[places[np.flatnonzero(group[1:] == group[:-1]) + 1]] = True
+    run = min(RUN, length - 7)
+    number = (back[row] - offset) // run  # counted from the anchor, so that equal windows are in equal runs
     open_at = np.flatnonzero(edge & ~spare)
-    for k in range(0, len(open_at), 1 << 18):
-        own = open_at[k : k + (1 << 18)]
-        a, b = window_hashes(data, starts[own], length)
-        who = row[own]
-        begin = np.where(repeated[own], -1, lo[who] + offset[own]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([*map(pa.array, (h1[who], h2[who], begin, (begin + length).astype(np.int32), a, b))], [*NAMES, "begin", "end", "a", "b"])
-
-
-def sorted_spans(contexts: DataFrame, length: int, token: int) -> DataFrame:
-    """(h1, h2, begin, end) of the windows of different contexts that are repeated."""
+    for part in np.split(open_at, np.flatnonzero(np.diff(row[open_at] >> 10)) + 1):
+        if not len(part):
+            continue
+        who = row[part]
+        first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (np.diff(number[part]) != 0)))
+        a, b = window_hashes(data, starts[part], length)
+        begin = np.where(repeated[part], -1, lo[who] + offset[part]).astype(np.int32)
+        held = pa.StructArray.from_arrays([pa.array(begin), pa.array(a), pa.array(b)], ["begin", "a", "b"])
+        own = who[first]
+        core = window_hashes(data, context[own] + back[own] - run * number[part[first]], length - run + 1)
+        none = pa.nulls(len(own), pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(part)).astype(np.int32)), held)
+        yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(h2[own]), none, none, *map(pa.array, core), lists], names)
+
+
+def sorted_spans(contexts: DataFrame, length: int, token: int) -> tuple[DataFrame, DataFrame]:
+    """(spans, scratch table): (h1, h2, begin, end) of the windows of different contexts that are repeated."""
     size = contexts.agg(F.coalesce(F.sum(F.octet_length("lead")), F.lit(0))).first()[0]
     dealt = contexts.repartitionByRange(max(1, -(-size // BUCKET)), "lead")
 
@@ -227,11 +244,13 @@ def sorted_spans(contexts: DataFrame, length: int, token: int) -> DataFrame:
         if bucket.num_rows:
             yield from compare_bucket(bucket, length, token)
 
-    found = materialise(dealt.mapInArrow(compare, "h1 long, h2 long, begin int, end int, a long, b long"), "suffix-buckets")
-    hashed = found.where("a IS NOT NULL")
+    found = materialise(dealt.mapInArrow(compare, FOUND).withColumn("bucket", F.spark_partition_id()), "suffix-buckets")
+    runs = found.where("core1 IS NOT NULL")
+    shared = runs.groupBy("core1", "core2").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).where("low < high")
+    hashed = runs.join(shared, ["core1", "core2"]).select(*NAMES, F.explode("windows").alias("x")).select(*NAMES, "x.*")
     twice = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    across = hashed.where("begin >= 0").join(twice, ["a", "b"])
-    return found.where("a IS NULL").select(*NAMES, "begin", "end").union(across.select(*NAMES, "begin", "end"))
+    across = hashed.where("begin >= 0").join(twice, ["a", "b"]).select(*NAMES, "begin", (F.col("begin") + length).alias("end"))
+    return found.where("core1 IS NULL").select(*NAMES, "begin", "end").union(across), found
 
 
 def kept_bytes(texts: DataFrame, spans: DataFrame, length: int, with_kept: bool) -> DataFrame:
@@ -289,7 +308,8 @@ def dedup_substrings(docs: DataFrame, length: int = 200, token: int = TOKEN, tex
 
     own = anchored(texts, length, token)
     tokens = own.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    tokens = tokens.select("token", (F.col("least") != F.col("most")).alias("differ"))
+    # written, so that the join reads two plain exchanges and the anchors of a frequent token can be split over tasks
+    tokens = materialise(tokens.select("token", (F.col("least") != F.col("most")).alias("differ")), "suffix-tokens")
     shared = materialise(own.join(tokens.hint("merge"), "token"), "suffixes")
     differ = shared.where("differ")
     each = differ.groupBy("token", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*NAMES, "lo", "hi", "at")).alias("x"))
@@ -298,9 +318,10 @@ def dedup_substrings(docs: DataFrame, length: int = 200, token: int = TOKEN, tex
     again = differ.join(each.where("many").select("token", "context").hint("merge"), ["token", "context"])
     equal = shared.where("NOT differ").select(*NAMES, "lo", "hi").union(again.select(*NAMES, "lo", "hi"))
     equal = equal.select(*NAMES, F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
-    found = materialise(kept_bytes(texts, equal.union(sorted_spans(contexts, length, token)), length, with_kept), "suffix-kept")
+    spans, buckets = sorted_spans(contexts, length, token)
+    found = materialise(kept_bytes(texts, equal.union(spans), length, with_kept), "suffix-kept")
     spark.sql(f"DROP TABLE {table}")
-    spent(texts, shared, each, contexts)
+    spent(texts, tokens, shared, each, contexts, buckets)
 
     added = ["n_bytes", "n_removed", "spans", "kept_sha256", *["kept"] * with_kept]
     spans = F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end"))
