@@ -94,7 +94,7 @@ class ClassSplitter:
 class Ranks:
     """A rank file and what is derived from it. Pieces already encoded are kept, at most ``most_kept`` of them."""
 
-    def __init__(self, path: str, pattern: str, most_kept: int = 500_000):
+    def __init__(self, path: str, pattern: str, most_kept: int = 100_000):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.token = {v: k for k, v in self.rank.items()}

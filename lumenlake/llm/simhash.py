@@ -25,7 +25,7 @@ SEED = 42
 #: Least Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
 #: Counts that stand for a set of shingles in a shard; the more, the closer the bound, above all for short texts.
-BINS = 256
+BINS = 128
 
 
 def fingerprint(data: bytes, width: int = 3) -> int:
