@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +70,73 @@ def shared_keys(phash: Column, threshold: int, equal: int = 3) -> Column:
     return F.array(*keys)
 
 
-def _probes(value: Column, flips: list[int], band: int) -> Column:
-    masks = F.array(*[F.lit(x).cast("long") for x in flips])
-    return F.transform(masks, lambda m: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(m).alias("value")))
-
-
-def wide_probes(phash: Column, bands: int, radius: int) -> Column:
-    """(band, value) of all values within radius bit flips of each of so many slices."""
-    out, at = [], 0
-    for k in range(bands):
-        width = 64 // bands + (k < 64 % bands)
-        flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-        out.append(_probes(F.shiftrightunsigned(phash, at).bitwiseAND((1 << width) - 1), flips, k))
-        at += width
-    return F.flatten(F.array(*out))
+#: Hashes that meet in one task of a comparison of all: when pairs are wanted, and when only what they connect is.
+PAIRS_SIDE, LINKS_SIDE = 16_384, 65_536
+
+
+def _close(own: np.ndarray, other: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the hashes of own and other within threshold, i < j if they are the same; what is held at once
+    is bounded."""
+    same = own is other
+    for top in range(0, len(own), 32):
+        rows = own[top : top + 32, None]
+        for left in range(top // 4096 * 4096 if same else 0, len(other), 4096):
+            i, j = np.nonzero(np.bitwise_count(rows ^ other[None, left : left + 4096]) <= threshold)
+            i, j = i + top, j + left
+            yield (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _linked(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least node that each node reaches, given those before the links (i, j)."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        root[np.maximum(a, b)] = np.minimum(a, b)
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def compared(hashes: DataFrame, threshold: int, links: bool = False) -> DataFrame:
+    """(kind, a, b) of the distinct hashes within threshold, by comparing all: hashes are dealt to blocks, every two blocks
+    meet in a task of bounded size. With links, of each task only so many pairs (chains of pairs, not all within
+    threshold) as connect the same hashes."""
+    most = LINKS_SIDE if links else PAIRS_SIDE
+    n = hashes.groupBy("kind").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    blocks = max(-(-n // most), min(8, -(-n // 2048)), 1)
+
+    def meet(key, table):
+        block, phash = table.column("block").to_numpy(), table.column("phash").to_numpy().view(np.uint64)
+        first = phash[block == key[1].as_py()]
+        second = first if key[1].as_py() == key[2].as_py() else phash[block == key[2].as_py()]
+        if links:
+            both = first if second is first else np.concatenate([first, second])
+            shift = 0 if second is first else len(first)
+            root, held, size = np.arange(len(both)), [], 0
+            for i, j in _close(first, second, threshold):
+                new = root[i] != root[j + shift]
+                if new.any():
+                    held.append((i[new], j[new] + shift))
+                    size += len(held[-1][0])
+                if size > 1 << 16:
+                    root, held, size = _linked(root, *map(np.concatenate, zip(*held))), [], 0
+            root = _linked(root, *map(np.concatenate, zip(*held))) if held else root
+            a, b = both[root], both
+        else:
+            found = [(first[i], second[j]) for i, j in _close(first, second, threshold) if len(i)]
+            a, b = map(np.concatenate, zip(*found)) if found else (first[:0], first[:0])
+        a, b = a.view(np.int64), b.view(np.int64)
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        return pa.table({"kind": pa.array([key[0].as_py()] * len(a), pa.string()), "a": a, "b": b})
+
+    block = F.pmod(F.xxhash64("phash"), F.lit(blocks)).cast("int")
+    own = hashes.select("kind", "phash", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = own.select("kind", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "phash")
+    # few bytes are much work, so the number of tasks is not left to their size
+    own = own.repartition(min(2000, blocks * (blocks + 1)), "kind", "i", "j")
+    return own.groupBy("kind", "i", "j").applyInArrow(meet, "kind string, a long, b long")
 
 
 def distinct_hashes(df: DataFrame) -> DataFrame:
@@ -93,33 +149,35 @@ def distinct_hashes(df: DataFrame) -> DataFrame:
 def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
     """(kind, a, b, dist), a < b, all pairs of distinct hashes within threshold, losing none.
 
-    Up to eight: hashes that agree in some three of threshold + 3 slices meet. Beyond, slices are few bits, so fewer
-    and longer ones are taken, of which one differs in at most two bits; one side probes those.
+    Up to eight: hashes that agree in some three of threshold + 3 slices meet. The join shuffles both sides, since
+    exploded keys are many times the size that the planner expects of them. Beyond, slices are too few bits, and all
+    hashes are compared.
     """
-    if threshold <= 8:
-        left = right = hashes.select("kind", "phash", F.explode(shared_keys(F.col("phash"), threshold)).alias("key"))
-        pairs = left.withColumnRenamed("phash", "a").join(right.withColumnRenamed("phash", "b"), ["kind", "key"]).where("a < b")
-    else:
-        bands = threshold // 3 + 1
-        left = hashes.select("kind", "phash", F.posexplode(F.array(*[x for x, _ in slices_of(F.col("phash"), bands)])).alias("band", "value"))
-        right = hashes.select("kind", "phash", F.explode(wide_probes(F.col("phash"), bands, 2)).alias("p")).select("kind", "phash", "p.*")
-        pairs = left.withColumnRenamed("phash", "a").join(right.withColumnRenamed("phash", "b"), ["kind", "band", "value"])
-        pairs = pairs.where("a <> b").select("kind", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if threshold > 8:
+        return compared(hashes, threshold).withColumn("dist", hamming64(F.col("a"), F.col("b")))
+    left = right = hashes.select("kind", "phash", F.explode(shared_keys(F.col("phash"), threshold)).alias("key"))
+    pairs = left.withColumnRenamed("phash", "a").join(right.withColumnRenamed("phash", "b").hint("merge"), ["kind", "key"]).where("a < b")
     return pairs.withColumn("dist", hamming64(F.col("a"), F.col("b"))).where(F.col("dist") <= threshold).select("kind", "a", "b", "dist").distinct()
 
 
+def near_links(hashes: DataFrame, threshold: int) -> DataFrame:
+    """(kind, a, b): links that connect the same hashes as the pairs of near_hashes, no more than a few for each hash and
+    block where all are compared."""
+    return near_hashes(hashes, threshold) if threshold <= 8 else compared(hashes, threshold, links=True)
+
+
 def near_pairs(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
-    return near_hashes(distinct_hashes(df), threshold)
+    return near_hashes(materialise(distinct_hashes(df), "hashes"), threshold)
 
 
 def near_groups(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
     """(path, phash, untagged, group): each row with the smallest unsigned hash that links of its kind reach."""
     hashes = materialise(distinct_hashes(df), "hashes")
     key = lambda x: F.concat(F.col("kind"), F.lit(":"), F.lower(F.lpad(F.hex(x), 16, "0")))
-    labels = components(near_hashes(hashes, threshold).select(key("a").alias("a"), key("b").alias("b")))
+    labels = components(near_links(hashes, threshold).select(key("a").alias("a"), key("b").alias("b")))
     kind = F.when(F.col("media_kind") == "audio", "audio").otherwise("photo").alias("kind")
     own = df.where("phash IS NOT NULL AND phash <> 0").select("path", "phash", kind, (F.size("tags") == 0).alias("untagged"), "size_bytes").withColumn("node", key("phash"))
-    return own.join(labels, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root", "node", "kind")
+    return own.join(labels.hint("merge"), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root", "node", "kind")
 
 
 def clusters_of(groups: DataFrame) -> DataFrame:
