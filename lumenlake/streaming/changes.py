@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,12 +24,18 @@ def timed(events: DataFrame, late: str) -> DataFrame:
     return own.withColumn("at", F.unix_micros("ts"))
 
 
+def quiet_window(gap: str) -> Column:
+    """Sessions of ts that a pause of gap ends. Spark's own still take in an event that comes exactly gap after the last
+    one, so they get a gap that is a microsecond less; their end is as much too early."""
+    return F.session_window("ts", f"{gap} -1 microseconds")
+
+
 def debounce_changes(events: DataFrame, gap: str = "3 seconds", late: str = "10 minutes") -> DataFrame:
     """(dir, first_event, due, events): one rescan of a directory when it has been quiet for gap. events(path, ts)."""
     own = events.select(parent_dir(F.col("path")).alias("dir"), "ts")
     own = timed(own, late) if events.isStreaming else own
-    out = own.groupBy("dir", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return out.select("dir", F.col("w.start").alias("first_event"), F.col("w.end").alias("due"), "events")
+    out = own.groupBy("dir", quiet_window(gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return out.select("dir", F.col("w.start").alias("first_event"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("due"), "events")
 
 
 def route_changes(events: DataFrame, roots: DataFrame) -> DataFrame:
@@ -131,6 +137,6 @@ def idle_stream(events: DataFrame, threshold: str = "2 minutes", late: str = "10
 
 def idle_periods(events: DataFrame, threshold: str = "2 minutes") -> DataFrame:
     """(user_id, idle_from, idle_to): gaps of threshold or more between a user's events(user_id, ts)."""
-    sessions = events.groupBy("user_id", F.session_window("ts", threshold).alias("w")).agg(F.max("ts").alias("last"))
+    sessions = events.groupBy("user_id", quiet_window(threshold).alias("w")).agg(F.max("ts").alias("last"))
     after = F.lead("w.start").over(Window.partitionBy("user_id").orderBy("w.start"))
     return sessions.select("user_id", F.col("last").alias("idle_from"), after.alias("idle_to")).where("idle_to IS NOT NULL")
