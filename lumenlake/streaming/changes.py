@@ -70,7 +70,7 @@ def journal_state_stream(journal: DataFrame, keep: str = "1 hour", late: str = "
         last = journal.groupBy("id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
         return last.withColumn("closed", F.lit(False))
     own = timed(journal.select("id", "state", F.col("seq").cast("long").alias("seq"), "ts").where("id IS NOT NULL"), late)
-    return own.groupBy("id").transformWithStateInPandas(JournalStates(milliseconds(keep)), "id string, state string, seq long, closed boolean", "append", "eventTime")
+    return own.groupBy("id").transformWithState(JournalStates(milliseconds(keep)), "id string, state string, seq long, closed boolean", "append", "eventTime")
 
 
 def take_batch(
@@ -131,7 +131,7 @@ def idle_stream(events: DataFrame, threshold: str = "2 minutes", late: str = "10
     each user one time is kept. Mode append; needs the RocksDB state store."""
     own = timed(events.select("user_id", "ts").where("user_id IS NOT NULL"), late)
     kind = events.schema["user_id"].dataType.simpleString()
-    out = own.groupBy("user_id").transformWithStateInPandas(IdleStates(milliseconds(threshold)), f"user_id {kind}, idle_from long, idle_to long", "append", "eventTime")
+    out = own.groupBy("user_id").transformWithState(IdleStates(milliseconds(threshold)), f"user_id {kind}, idle_from long, idle_to long", "append", "eventTime")
     return out.select("user_id", F.timestamp_micros("idle_from").alias("idle_from"), F.timestamp_micros("idle_to").alias("idle_to"))
 
 

@@ -1,25 +1,34 @@
-"""What streams keep of a key between batches, with timers of event time that let it go."""
+"""What streams keep of a key between batches, with timers of event time that let it go.
+
+Each call to the store is a round trip for a key, so timers are lazy: a key has one at most, which is not moved when the
+key's time grows, but looks at it when it fires and is set again if the time has not come.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SETTLED = ("complete", "failed")
+#: In place of the time of a timer: there is none.
+NO_TIMER = -1
 
 
 def milliseconds(duration: str) -> int:
     return pd.Timedelta(duration) // pd.Timedelta(milliseconds=1)
 
 
-def only_timer(handle: StatefulProcessorHandle, at: int | None) -> None:
-    """Let the key have this timer and no other."""
-    for old in list(handle.listTimers()):
-        handle.deleteTimer(old)
-    if at is not None:
-        handle.registerTimer(at)
+def timer_by(handle: StatefulProcessorHandle, held: int, due: int) -> int:
+    """The key's timer, at due or before; held is the one it has."""
+    if NO_TIMER < held <= due:
+        return held
+    if held > due:
+        handle.deleteTimer(held)
+    handle.registerTimer(due)
+    return due
 
 
 class JournalStates(StatefulProcessor):
@@ -30,27 +39,31 @@ class JournalStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "state string, seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for own in rows:
-            r = own.loc[own["seq"].idxmax()]
-            if best is None or r["seq"] > best["seq"]:
-                best = r
+        self.last = handle.getValueState("last", "state string, seq long, due long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = max(((r["seq"], r["state"], r["at"]) for r in rows if r["seq"] is not None), key=lambda x: x[0], default=None)
         held = self.last.get()
-        if held is not None and held[1] >= best["seq"]:
+        if best is None or held is not None and held[1] >= best[0]:
             return
-        self.last.update((best["state"], int(best["seq"])))
-        settled = best["state"] in SETTLED
-        only_timer(self.handle, -(-int(best["at"]) // 1000) + self.keep if settled else None)
-        yield pd.DataFrame({"id": [key[0]], "state": [best["state"]], "seq": [int(best["seq"])], "closed": [False]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seq, state, at = best
+        timer, due = NO_TIMER if held is None else held[3], NO_TIMER
+        if state in SETTLED:
+            due = -(-at // 1000) + self.keep
+            timer = timer_by(self.handle, timer, due)
+        self.last.update((state, seq, due, timer))
+        yield Row(id=key[0], state=state, seq=seq, closed=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.last.get()
+        if held is None:
+            return
+        state, seq, due, _ = held
+        if due == NO_TIMER or due > timerValues.getCurrentWatermarkInMs():
+            self.last.update((state, seq, due, NO_TIMER if due == NO_TIMER else timer_by(self.handle, NO_TIMER, due)))
+            return
         self.last.clear()
-        if held is not None:
-            yield pd.DataFrame({"id": [key[0]], "state": [held[0]], "seq": [int(held[1])], "closed": [True]})
+        yield Row(id=key[0], state=state, seq=seq, closed=True)
 
     def close(self) -> None:
         pass
@@ -64,23 +77,30 @@ class IdleStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+        self.last = handle.getValueState("last", "at long, timer long")
+
+    def due(self, at: int) -> int:
+        return -(-at // 1000) + self.threshold
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = pd.concat([own["at"] for own in rows]).sort_values()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        times = [r["at"] for r in rows]
         held = self.last.get()
         if held is not None:  # an event that is late, but not too late, may be older than the last one
-            times = pd.concat([pd.Series([held[0]]), times]).sort_values()
-        end = int(times.iloc[-1])
-        gaps = (times.diff() >= self.threshold * 1000).to_numpy()
-        if gaps.any():
-            yield pd.DataFrame({"user_id": key[0], "idle_from": times.shift()[gaps].astype("int64"), "idle_to": times[gaps].astype("int64")})
-        if held is None or end != held[0]:
-            self.last.update((end,))
-            only_timer(self.handle, -(-end // 1000) + self.threshold)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"user_id": [key[0]], "idle_from": [self.last.get()[0]], "idle_to": pd.array([None], "Int64")})
+            times.append(held[0])
+        times.sort()
+        for a, b in zip(times, times[1:]):
+            if b - a >= self.threshold * 1000:
+                yield Row(user_id=key[0], idle_from=a, idle_to=b)
+        if held is None or times[-1] != held[0]:
+            self.last.update((times[-1], timer_by(self.handle, NO_TIMER if held is None else held[1], self.due(times[-1]))))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, _ = self.last.get()
+        if (due := self.due(at)) > timerValues.getCurrentWatermarkInMs():
+            self.last.update((at, timer_by(self.handle, NO_TIMER, due)))
+            return
+        self.last.update((at, NO_TIMER))
+        yield Row(user_id=key[0], idle_from=at, idle_to=None)
 
     def close(self) -> None:
         pass
