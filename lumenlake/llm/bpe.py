@@ -314,7 +314,7 @@ def bpe_encoded(text: Column, path: str, pattern: str, chunk: int = 1 << 16, ove
     @F.arrow_udf(RESULT)
     def encode(texts: pa.Array) -> pa.Array:
         ranks = ranks_of(path, pattern)
-        own = [x for block in _blocks(texts, 1 << 22) for x in ranks.encode_block([pretokenise(ranks.splitter, t, chunk, overlap) for t in block])]
+        own = [x for block in _blocks(texts, 1 << 20) for x in ranks.encode_block([pretokenise(ranks.splitter, t, chunk, overlap) for t in block])]
         return pa.StructArray.from_arrays(_results(ranks, own, with_ids), NAMES)
 
     return encode(text)
