@@ -24,8 +24,12 @@ from lumenlake.llm.common import components, materialise, spent
 SEED = 42
 #: Least Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
-#: Counts that stand for a set of shingles in a shard; the more, the closer the bound, above all for short texts.
+#: Counts that stand for a set of shingles; the more, the closer the bound, above all for short texts.
 BINS = 128
+#: A token of more rows is dense: its pairs are held against the counts too.
+DENSE = 64
+#: Where a row of a token that many share is compared.
+BOTH, HOME, ASKS = 0, 1, 2
 
 
 def fingerprint(data: bytes, width: int = 3) -> int:
@@ -233,56 +237,100 @@ def near_links(prints: DataFrame, radius: int = 3, shards: Callable[[int], int]
     return dealt(prints, radius, shards).groupBy("shard", "part", "chunk").applyInArrow(search, "a long, b long")
 
 
-def shard_pairs(fp: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray, spread: np.ndarray, home: np.ndarray, radius: int, among: bool, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of one shard the pairs of nodes home-visitor and, if among, home-home within radius whose groups differ and
-    whose sizes n and spreads allow the least similarity: all, or of each asking node the ``nearest`` few."""
-    found = [np.empty((0, 2), np.int64)]
-    homes = np.flatnonzero(home)
-    homes = homes[np.argsort(n[homes], kind="stable")]
-    sizes = n[homes]
-    asking = np.flatnonzero(~home) if not among else np.arange(len(n))
-    asking = asking[np.argsort(n[asking], kind="stable")]
+def token_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarray, group: np.ndarray, side: np.ndarray, spread: np.ndarray, place: np.ndarray, radius: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that share a token, of fingerprints within radius, other groups and sizes n (of dense tokens spreads
+    too, of a row at its place) that allow the least similarity: all, or of each row the ``nearest`` few. Rows of side
+    ASKS need not meet each other."""
+    order = np.lexsort((n, token))
+    token, node, n, fp, group, side, place = (x[order] for x in (token, node, n, fp, group, side, place))
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    ends = np.r_[starts[1:], len(token)].astype(np.int64)
     p, q = SIMILAR
-    for at in range(0, len(asking), 128):
-        own = asking[at : at + 128]
-        low = np.searchsorted(sizes, -(-n[own[0]] * p // q))
-        high = np.searchsorted(sizes, n[own[-1]] * q // p, "right")
-        some = np.empty((0, 3), np.int32)
-        for lo in range(low, high, 4096):  # a dense group fills a block of 128 x 4096, no more
-            other = homes[lo : min(high, lo + 4096)]
-            far = np.bitwise_count(np.bitwise_xor(fp[own][:, None], fp[None, other]))
-            i, j = np.nonzero(far <= radius)
-            bits = far[i, j]
-            i, j = own[i], other[j]
-            fits = (group[i] != group[j]) & (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & (~home[i] | (node[i] < node[j]))
-            i, j, bits = i[fits], j[fits], bits[fits]
-            close = np.empty(len(i), bool)
-            for s in range(0, len(i), 1 << 14):
-                x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-                apart = np.abs(spread[x].astype(np.int16) - spread[y]).sum(1)
-                close[s : s + (1 << 14)] = apart * (p + q) <= (n[x] + n[y]) * (q - p)
-            some = np.concatenate([some, np.stack([i[close], j[close], bits[close]], 1).astype(np.int32)])
-            if nearest is not None:
-                some = some[np.lexsort((some[:, 1], some[:, 2], some[:, 0]))]
-                some = some[np.arange(len(some)) - np.searchsorted(some[:, 0], some[:, 0]) < nearest]
-        found.append(np.stack([node[some[:, 0]], node[some[:, 1]]], 1))
+    found = [np.empty((0, 3), np.int64)]
+
+    def hold(i, j):
+        far = np.bitwise_count(np.bitwise_xor(fp[i], fp[j]))
+        fits = (far <= radius) & (group[i] != group[j]) & (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j]))
+        return np.stack([i[fits], j[fits], far[fits]], 1).astype(np.int64)
+
+    def near(some):
+        close = [np.empty(0, bool)]
+        for s in range(0, len(some), 1 << 14):
+            i, j = some[s : s + (1 << 14), 0], some[s : s + (1 << 14), 1]
+            apart = np.abs(spread[place[i]].astype(np.int16) - spread[place[j]]).sum(1)
+            close.append(apart * (p + q) <= (n[i] + n[j]) * (q - p))
+        return some[np.concatenate(close)]
+
+    def closest(some):
+        if nearest is None:
+            return some
+        some = some[np.lexsort((node[some[:, 1]], some[:, 2], some[:, 0]))]
+        return some[np.arange(len(some)) - np.searchsorted(some[:, 0], some[:, 0]) < nearest]
+
+    small = ends - starts <= DENSE
+    left = np.repeat(ends * small, ends - starts) - np.arange(len(token)) - 1  # rows of the token behind each row
+    own, few = np.flatnonzero(left > 0), [found[0]]
+    for step in range(1, DENSE):
+        own = own[left[own] >= step]
+        if not len(own):
+            break
+        some = hold(own, own + step)
+        few += [some, some[:, [1, 0, 2]]]
+    found.append(closest(np.concatenate(few)))
+    for lo, hi in zip(starts[~small], ends[~small]):
+        homes, asking = lo + np.flatnonzero(side[lo:hi] != ASKS), lo + np.flatnonzero(side[lo:hi] != HOME)
+        sizes = n[homes]
+        for at in range(0, len(asking), 128):
+            own = asking[at : at + 128]
+            low, high = np.searchsorted(sizes, -(-n[own[0]] * p // q)), np.searchsorted(sizes, n[own[-1]] * q // p, "right")
+            some = [found[0]]
+            for k in range(low, high, 4096):  # a dense token fills a block of 128 x 4096, no more
+                other = homes[k : min(high, k + 4096)]
+                i, j = np.nonzero(np.bitwise_count(np.bitwise_xor(fp[own][:, None], fp[None, other])) <= radius)
+                some = [closest(np.concatenate([*some, near(hold(own[i], other[j]))]))]
+            found += some
     pairs = np.concatenate(found)
+    a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def near_pairs(points: DataFrame, radius: int, nearest: int | None = None, per_shard: int = 16384) -> DataFrame:
-    """Pairs (a, b), a < b, of points(fp, node, n, group, spread) within radius, but for those of one group or of sizes
-    or spreads too far apart: all, or in each shard the ``nearest`` few of each node."""
+def near_pairs(tokens: DataFrame, radius: int, nearest: int | None = None, per_task: int = 16384) -> DataFrame:
+    """Pairs (a, b), a < b, of tokens(token, node, n, fp, spread, group) that share a token and lie within radius, but for those of
+    one group or of sizes too far apart: all, or of each node the ``nearest`` few by each token.
+
+    Tokens whose rows are all of one group have no pair. The rows of a token of more than per_task are dealt: those
+    outside its largest group are at home, all rows ask them, each part of the one meeting each chunk of the other; for
+    the ``nearest`` few, parts do not meet. So no task holds more than a part and a chunk, and a large group costs what
+    its rows and the few others are.
+    """
+    of_group = tokens.groupBy("token", "group").agg(F.count(F.lit(1)).alias("rows"))
+    of_token = of_group.groupBy("token").agg(F.sum("rows").alias("m"), F.max(F.struct("rows", "group")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    of_token = of_token.where("groups > 1").select(F.col("token").alias("_token"), "m", "top")
+    rows = tokens.join(of_token, F.col("token") == F.col("_token")).withColumn("dealer", F.pmod(F.xxhash64("node", "token"), F.lit(1 << 30)).cast("int"))
+    total = F.lit(max(1, -(-tokens.count() // (4 * per_task))))
+    parts = lambda x: F.greatest(F.lit(1), F.ceil(x / per_task)).cast("int")
+    place = lambda side, part, chunk: F.struct(F.lit(side).cast("byte").alias("side"), part.alias("part"), chunk.alias("chunk"))
+    alone = F.array(place(BOTH, F.lit(-1), F.lit(-1)))
+    if nearest is None:
+        k, v = parts(F.col("m") - F.col("top.rows")), parts(F.col("m"))
+        asks = F.transform(F.sequence(F.lit(0), k - 1), lambda x: place(ASKS, x, F.col("dealer") % v))
+        at_home = F.transform(F.sequence(F.lit(0), v - 1), lambda x: place(HOME, F.col("dealer") % k, x))
+        many = F.when(F.col("group") == F.col("top.group"), asks).otherwise(F.concat(asks, at_home))
+    else:
+        many = F.array(place(BOTH, F.col("dealer") % parts(F.col("m")), F.lit(-1)))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("m") <= per_task, alone).otherwise(many)))
+    shard = F.when(F.col("m") <= per_task, F.pmod(F.xxhash64("token"), total)).otherwise(F.col("token"))
+    rows = rows.select(shard.alias("shard"), "at.part", "at.chunk", "at.side", "token", "node", "n", "fp", "spread", "group")
 
     def search(table: pa.Table) -> pa.Table:
-        fp, node, n, group = (table.column(x).to_numpy() for x in ("fp", "node", "n", "group"))
-        home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        spread = np.frombuffer(b"".join(table.column("spread").to_pylist()), np.uint8).reshape(-1, BINS)
-        a, b = shard_pairs(fp.view(np.uint64), node, n, group, spread, home, radius, table.column("chunk")[0].as_py() == 0, nearest)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        token, node, n, fp, group, side = (table.column(x).to_numpy() for x in ("token", "node", "n", "fp", "group", "side"))
+        told = table.column("spread").is_valid().to_numpy()
+        spread = np.frombuffer(b"".join(table.column("spread").drop_null().to_pylist()), np.uint8).reshape(-1, BINS)
+        a, b = token_pairs(token, node, n, fp.view(np.uint64), group, side, spread, np.cumsum(told) - 1, radius, nearest)
+        return pa.table({"a": a, "b": b})
 
-    shards = dealt(points, radius, lambda n: -(-n // per_shard), "node", per_shard)
-    return shards.groupBy("shard", "part", "chunk").applyInArrow(search, "a long, b long").distinct()
+    return rows.groupBy("shard", "part", "chunk").applyInArrow(search, "a long, b long").distinct()
 
 
 def near_roots(keyed: DataFrame, radius: int) -> DataFrame:
@@ -335,10 +383,20 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return kept_of(docs, keyed_roots(docs, id_col, text_col, width, radius), id_col, text_col)
 
 
-def shingled(text: Column, width: int) -> Column:
+def frequent_shingles(docs: DataFrame, text_col: str, width: int, texts: int = 4096, most: int = 1 << 17) -> np.ndarray:
+    """Hashes of shingles that three or more of about so many different texts share, the most frequent ones. They only
+    order the shingles of a text: which texts are taken changes the work, not the result."""
+    every = max(1, docs.count() // texts)
+    few = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")).where(F.pmod(F.xxhash64("hash"), F.lit(every)) == 0)
+    shared = few.dropDuplicates(["hash"]).select(F.explode(shingled(F.col("text"), width)["shingles"]).alias("x")).groupBy("x").count().where("count > 2")
+    return np.sort(np.array([r.x for r in shared.orderBy(F.desc("count"), "x").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def shingled(text: Column, width: int, last: np.ndarray | None = None) -> Column:
     """Struct of the SimHash ``fp``, the distinct shingles' hashes, their number ``n``, a hash ``unit`` of them all, and
     how many have each remainder by BINS (``spread``, one byte each, 255 for more: a bound still). Two sets differ in no
-    fewer shingles than their spreads. A wordless text has no shingle."""
+    fewer shingles than their spreads. Shingles stand in one order in all texts: by hash, those of the sorted array ``last`` behind all others. A wordless
+    text has no shingle."""
 
     @F.arrow_udf("struct<fp:bigint, unit:bigint, n:bigint, spread:binary, shingles:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
@@ -353,6 +411,9 @@ def shingled(text: Column, width: int) -> Column:
             units.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             sizes.append(len(own))
             spreads.append(np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            if last is not None and len(last):
+                often = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+                own = np.concatenate([own[~often], own[often]])
             sets.append(own.view(np.int64))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         columns = [signed(prints), signed(units), pa.array(sizes, pa.int64()), pa.array(spreads, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
@@ -361,6 +422,17 @@ def shingled(text: Column, width: int) -> Column:
     return of(text)
 
 
+def shared_tokens(points: DataFrame) -> DataFrame:
+    """(token, node, n, fp, spread) of points(node, n, fp, spread, prefix), for tokens that two or more of them have; the
+    spread is null where the token is not dense."""
+    each = points.select("node", F.explode("prefix").alias("token"))
+    often = materialise(each.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("dense", F.col("m") > DENSE).select("token", "dense"), "often")
+    kept = each.join(often, "token").join(points.select("node", "n", "fp", "spread"), "node")
+    kept = materialise(kept.select("token", "node", "n", "fp", F.when(F.col("dense"), F.col("spread")).alias("spread")), "tokens")
+    spent(often)
+    return kept
+
+
 def alike(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     """Of pairs(a, b) of rows of keyed those whose shingles have the least similarity, exactly."""
     side = lambda x: keyed.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
@@ -374,23 +446,31 @@ def near_copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Candidates are the pairs of fingerprints within radius, each held against the exact similarity. At a
     similarity of 0.8 two sets of one size differ in 9.7 of 64 bits on average, and in over 16 in about 1 of 100
-    pairs. Texts of equal shingles are one node. Three steps: links within 3 bits; then of each node the ``nearest`` few
-    candidates in each shard; then all candidates that are left. Each asks only for pairs that those before have not
-    joined, so a large group of near copies is mostly one before all its pairs are asked for; none is left out.
+    pairs. At so wide a radius fingerprints alone do not part the texts, so they are compared where two texts share
+    one of their first shingles: with all shingles in one order, two sets of n shingles or more that share 0.8 share one
+    of the first n - ceil(0.8 n) + 1 of each, so no link is lost. Texts of equal shingles are one node. Three steps: links
+    within 3 bits; then of each node the ``nearest`` few candidates by each shingle; then all candidates that are left. Each asks only for
+    pairs that those before have not joined, so a large group of near copies is mostly one before all its pairs are asked
+    for; none is left out.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width).alias("s"))
+    last = frequent_shingles(docs, text_col, width)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width, last).alias("s"))
     keyed = materialise(own.select("doc_id", "text_hash", "row", "s.*"), "shingled")
-    points = keyed.groupBy("unit").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("spread").alias("spread"))
+    p, q = SIMILAR
+    first = F.slice("shingles", F.lit(1), F.expr(f"int(n - (n * {p} + {q - 1}) div {q} + 1)"))
+    points = keyed.groupBy("unit").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first(first).alias("prefix"))
     points = materialise(points, "points")
+    tokens = shared_tokens(points)
     prints = materialise(points.groupBy("fp").agg(F.min("node").alias("least")), "prints")
     stars = points.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
     names = [prints.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
     forest = near_links(prints.select("fp")).join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links = materialise(alike(stars.union(forest).where("a <> b").distinct(), keyed), "links")
-    spare = [keyed, points, prints, links]
+    pairs = materialise(stars.union(forest).where("a <> b").distinct(), "pairs")
+    links = materialise(alike(pairs, keyed), "links")
+    spare = [keyed, points, tokens, prints, pairs, links]
     for few in (nearest, None):
-        grouped = points.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-        grouped = materialise(grouped.select("fp", "node", "n", "spread", F.coalesce("root", "node").alias("group")), "grouped")
+        grouped = tokens.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        grouped = materialise(grouped.select("token", "fp", "node", "n", "spread", F.coalesce("root", "node").alias("group")), "grouped")
         pairs = materialise(near_pairs(grouped, radius, few), "pairs")
         more = materialise(alike(pairs, keyed), "links")
         links = links.union(more)
