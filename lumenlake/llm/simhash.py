@@ -269,14 +269,16 @@ def token_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarr
 
     small = ends - starts <= DENSE
     left = np.repeat(ends * small, ends - starts) - np.arange(len(token)) - 1  # rows of the token behind each row
-    own, few = np.flatnonzero(left > 0), [found[0]]
-    for step in range(1, DENSE):
-        own = own[left[own] >= step]
-        if not len(own):
-            break
-        some = hold(own, own + step)
-        few += [some, some[:, [1, 0, 2]]]
-    found.append(closest(np.concatenate(few)))
+    run = np.repeat(starts >> 12, ends - starts)  # tokens of about 4096 rows at once
+    for at in np.unique(run[left > 0]):
+        own, few = np.flatnonzero((run == at) & (left > 0)), [found[0]]
+        for step in range(1, DENSE):
+            own = own[left[own] >= step]
+            if not len(own):
+                break
+            some = hold(own, own + step)
+            few += [some, some[:, [1, 0, 2]]]
+        found.append(closest(np.concatenate(few))[:, :2])
     for lo, hi in zip(starts[~small], ends[~small]):
         homes, asking = lo + np.flatnonzero(side[lo:hi] != ASKS), lo + np.flatnonzero(side[lo:hi] != HOME)
         sizes = n[homes]
@@ -288,8 +290,8 @@ def token_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarr
                 other = homes[k : min(high, k + 4096)]
                 i, j = np.nonzero(np.bitwise_count(np.bitwise_xor(fp[own][:, None], fp[None, other])) <= radius)
                 some = [closest(np.concatenate([*some, near(hold(own[i], other[j]))]))]
-            found += some
-    pairs = np.concatenate(found)
+            found += [x[:, :2] for x in some]
+    pairs = np.concatenate([x[:, :2] for x in found])
     a, b = node[pairs[:, 0]], node[pairs[:, 1]]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
@@ -383,41 +385,59 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return kept_of(docs, keyed_roots(docs, id_col, text_col, width, radius), id_col, text_col)
 
 
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """Of one whole text, repeats included; a wordless text has none, one of fewer words a single one."""
+    words = data.lower().split()
+    count = max(1, len(words) - width + 1) if words else 0
+    parts = map(b" ".join, zip(*[words[i:] for i in range(width)])) if count > 1 or len(words) == width else [b" ".join(words)] * count
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, count)
+
+
+def shingled(text: Column, width: int) -> Column:
+    """The distinct shingles' hashes of each text."""
+
+    @F.arrow_udf("array<bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(shingle_hashes(as_bytes(texts[k : k + 1])[0], width)).view(np.int64) for k in range(len(texts))]
+        return pa.array(sets, pa.list_(pa.int64()))
+
+    return of(text)
+
+
 def frequent_shingles(docs: DataFrame, text_col: str, width: int, texts: int = 4096, most: int = 1 << 17) -> np.ndarray:
     """Hashes of shingles that three or more of about so many different texts share, the most frequent ones. They only
     order the shingles of a text: which texts are taken changes the work, not the result."""
     every = max(1, docs.count() // texts)
     few = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash")).where(F.pmod(F.xxhash64("hash"), F.lit(every)) == 0)
-    shared = few.dropDuplicates(["hash"]).select(F.explode(shingled(F.col("text"), width)["shingles"]).alias("x")).groupBy("x").count().where("count > 2")
+    shared = few.dropDuplicates(["hash"]).select(F.explode(shingled(F.col("text"), width)).alias("x")).groupBy("x").count().where("count > 2")
     return np.sort(np.array([r.x for r in shared.orderBy(F.desc("count"), "x").limit(most).collect()], np.int64).view(np.uint64))
 
 
-def shingled(text: Column, width: int, last: np.ndarray | None = None) -> Column:
-    """Struct of the SimHash ``fp``, the distinct shingles' hashes, their number ``n``, a hash ``unit`` of them all, and
-    how many have each remainder by BINS (``spread``, one byte each, 255 for more: a bound still). Two sets differ in no
-    fewer shingles than their spreads. Shingles stand in one order in all texts: by hash, those of the sorted array ``last`` behind all others. A wordless
-    text has no shingle."""
+def sketched(text: Column, width: int, last: np.ndarray) -> Column:
+    """Struct of the SimHash ``fp``, the number ``n`` of distinct shingles, a hash ``unit`` of them all, how many have each
+    remainder by BINS (``spread``, one byte each, 255 for more: a bound still) and the first n - ceil(0.8 n) + 1 of them
+    (``prefix``). Two sets differ in no fewer shingles than their spreads. Shingles stand in one order in all texts: by
+    hash, those of the sorted array ``last`` behind all others. A wordless text has no shingle. The rest of the shingles
+    is not told: they are many times the size of this, and only few texts are ever compared by them."""
+    p, q = SIMILAR
 
-    @F.arrow_udf("struct<fp:bigint, unit:bigint, n:bigint, spread:binary, shingles:array<bigint>>")
+    @F.arrow_udf("struct<fp:bigint, unit:bigint, n:bigint, spread:binary, prefix:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        prints, units, sizes, spreads, sets = [], [], [], [], []
+        prints, units, sizes, spreads, firsts = [], [], [], [], []
         for k in range(len(texts)):
-            words = as_bytes(texts[k : k + 1])[0].lower().split()
-            count = max(1, len(words) - width + 1) if words else 0
-            parts = map(b" ".join, zip(*[words[i:] for i in range(width)])) if count > 1 or len(words) == width else [b" ".join(words)] * count
-            own = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, count)
+            own = shingle_hashes(as_bytes(texts[k : k + 1])[0], width)
             prints.append(majority(own))
             own = np.unique(own)
             units.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             sizes.append(len(own))
             spreads.append(np.minimum(np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            if last is not None and len(last):
+            if len(last):
                 often = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
                 own = np.concatenate([own[~often], own[often]])
-            sets.append(own.view(np.int64))
+            firsts.append(own[: len(own) + (-len(own) * p // q) + 1].view(np.int64))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        columns = [signed(prints), signed(units), pa.array(sizes, pa.int64()), pa.array(spreads, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(columns, ["fp", "unit", "n", "spread", "shingles"])
+        columns = [signed(prints), signed(units), pa.array(sizes, pa.int64()), pa.array(spreads, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["fp", "unit", "n", "spread", "prefix"])
 
     return of(text)
 
@@ -433,9 +453,17 @@ def shared_tokens(points: DataFrame) -> DataFrame:
     return kept
 
 
-def alike(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Of pairs(a, b) of rows of keyed those whose shingles have the least similarity, exactly."""
-    side = lambda x: keyed.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, n, shingles) of wanted(node, mark), mark the hash of a row's key and text. Rows that repeat both are one."""
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = rows.join(wanted, "mark").groupBy("mark").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    rows = rows.select("node", shingled(F.col("text"), width).alias("shingles"))
+    return rows.select("node", F.size("shingles").cast("long").alias("n"), "shingles")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs(a, b) of nodes of sets those whose shingles have the least similarity, exactly."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
     p, q = SIMILAR
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     return joined.where(F.size(F.array_intersect("sa", "sb")) * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b")
@@ -451,32 +479,43 @@ def near_copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the first n - ceil(0.8 n) + 1 of each, so no link is lost. Texts of equal shingles are one node. Three steps: links
     within 3 bits; then of each node the ``nearest`` few candidates by each shingle; then all candidates that are left. Each asks only for
     pairs that those before have not joined, so a large group of near copies is mostly one before all its pairs are asked
-    for; none is left out.
+    for; none is left out. All shingles are written only of the texts that stand in a pair, in each step from another
+    reading of docs, which must give the same rows.
     """
     last = frequent_shingles(docs, text_col, width)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"), shingled(F.col(text_col), width, last).alias("s"))
-    keyed = materialise(own.select("doc_id", "text_hash", "row", "s.*"), "shingled")
-    p, q = SIMILAR
-    first = F.slice("shingles", F.lit(1), F.expr(f"int(n - (n * {p} + {q - 1}) div {q} + 1)"))
-    points = keyed.groupBy("unit").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first(first).alias("prefix"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.xxhash64(id_col, text_col).alias("mark"), F.monotonically_increasing_id().alias("row"), sketched(F.col(text_col), width, last).alias("s"))
+    sketches = materialise(own.select("doc_id", "text_hash", "mark", "row", "s.*"), "sketches")
+    points = sketches.groupBy("unit").agg(F.min("row").alias("node"), F.min("mark").alias("mark"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"))
     points = materialise(points, "points")
+    keyed = materialise(sketches.select("doc_id", "text_hash", "unit"), "keyed")
+    spent(sketches)
     tokens = shared_tokens(points)
-    prints = materialise(points.groupBy("fp").agg(F.min("node").alias("least")), "prints")
-    stars = points.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    nodes = materialise(points.select("unit", "node", "mark", "fp"), "nodes")
+    spent(points)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = materialise(shingle_sets(docs, nodes.select("node", "mark").join(ends, "node"), id_col, text_col, width), "sets")
+        links = materialise(alike(pairs, sets), "links")
+        spent(sets)
+        return links
+
+    prints = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    stars = nodes.join(prints, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
     names = [prints.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
     forest = near_links(prints.select("fp")).join(names[0], "a").join(names[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = materialise(stars.union(forest).where("a <> b").distinct(), "pairs")
-    links = materialise(alike(pairs, keyed), "links")
-    spare = [keyed, points, tokens, prints, pairs, links]
+    links = linked(pairs)
+    spare = [keyed, nodes, tokens, prints, pairs, links]
     for few in (nearest, None):
         grouped = tokens.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
         grouped = materialise(grouped.select("token", "fp", "node", "n", "spread", F.coalesce("root", "node").alias("group")), "grouped")
         pairs = materialise(near_pairs(grouped, radius, few), "pairs")
-        more = materialise(alike(pairs, keyed), "links")
+        more = linked(pairs)
         links = links.union(more)
         spare += [grouped, pairs, more]
     roots = components(links)
-    named = points.join(roots, "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(roots, "node", "left").select("unit", F.coalesce("root", "node").alias("root"))
     named = materialise(keyed.select("doc_id", "text_hash", "unit").join(named, "unit").select("doc_id", "text_hash", "root"), "named")
     spent(*spare)
     return named
