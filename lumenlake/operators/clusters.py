@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -73,6 +74,10 @@ def shared_keys(phash: Column, threshold: int, equal: int = 3) -> Column:
 
 #: Hashes that meet in one task of a comparison of all: when pairs are wanted, and when only what they connect is.
 PAIRS_SIDE, LINKS_SIDE = 16_384, 65_536
+#: A component grows from the largest one of a sample of so many hashes, if that has an eighth of them or more.
+CORE, SHARE = 32_768, 8
+#: Hashes that look for a neighbour in one task, and members of the component that they meet there.
+SOUGHT_SIDE, MEMBERS_SIDE = 32_768, 262_144
 
 
 def _close(own: np.ndarray, other: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,6 +105,38 @@ def _linked(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = up
 
 
+def _connected(first: np.ndarray, second: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of first and second, once if they are the same, and the place of the least that pairs of one of each
+    connect with it; links that are held at once are bounded."""
+    both = first if second is first else np.concatenate([first, second])
+    shift = 0 if second is first else len(first)
+    root, held, size = np.arange(len(both)), [], 0
+    for i, j in _close(first, second, threshold):
+        new = root[i] != root[j + shift]
+        if new.any():
+            held.append((i[new], j[new] + shift))
+            size += len(held[-1][0])
+        if size > 1 << 16:
+            root, held, size = _linked(root, *map(np.concatenate, zip(*held))), [], 0
+    return both, _linked(root, *map(np.concatenate, zip(*held))) if held else root
+
+
+def _near_any(own: np.ndarray, members: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether each hash of own is within threshold of some member; one that has found a member asks no further."""
+    found, left, at, width = np.zeros(len(own), bool), np.arange(len(own)), 0, 512
+    apart, bits = np.empty(32 * 4096, np.uint64), np.empty(32 * 4096, np.uint8)
+    while at < len(members) and len(left):
+        some = members[at : at + width]
+        for top in range(0, len(left), 32):
+            rows = own[left[top : top + 32], None]
+            shape, n = (len(rows), len(some)), len(rows) * len(some)
+            x = np.bitwise_xor(rows, some, out=apart[:n].reshape(shape))
+            found[left[top : top + 32]] = np.bitwise_count(x, out=bits[:n].reshape(shape)).min(1) <= threshold
+        left = left[~found[left]]
+        at, width = at + width, min(4096, 2 * width)
+    return found
+
+
 def compared(hashes: DataFrame, threshold: int, links: bool = False) -> DataFrame:
     """(kind, a, b) of the distinct hashes within threshold, by comparing all: hashes are dealt to blocks, every two blocks
     meet in a task of bounded size. With links, of each task only so many pairs (chains of pairs, not all within
@@ -113,17 +150,7 @@ def compared(hashes: DataFrame, threshold: int, links: bool = False) -> DataFram
         first = phash[block == key[1].as_py()]
         second = first if key[1].as_py() == key[2].as_py() else phash[block == key[2].as_py()]
         if links:
-            both = first if second is first else np.concatenate([first, second])
-            shift = 0 if second is first else len(first)
-            root, held, size = np.arange(len(both)), [], 0
-            for i, j in _close(first, second, threshold):
-                new = root[i] != root[j + shift]
-                if new.any():
-                    held.append((i[new], j[new] + shift))
-                    size += len(held[-1][0])
-                if size > 1 << 16:
-                    root, held, size = _linked(root, *map(np.concatenate, zip(*held))), [], 0
-            root = _linked(root, *map(np.concatenate, zip(*held))) if held else root
+            both, root = _connected(first, second, threshold)
             a, b = both[root], both
         else:
             found = [(first[i], second[j]) for i, j in _close(first, second, threshold) if len(i)]
@@ -140,6 +167,75 @@ def compared(hashes: DataFrame, threshold: int, links: bool = False) -> DataFram
     return own.groupBy("kind", "i", "j").applyInArrow(meet, "kind string, a long, b long")
 
 
+def reached(rest: DataFrame, members: DataFrame, threshold: int, sizes: tuple[int, int]) -> DataFrame:
+    """(kind, phash, center) of rest(kind, phash): center is that of the members(kind, phash, center) if one is within
+    threshold, else null. sizes are the greatest numbers of both of a kind; tasks are bounded."""
+    chunks = max(-(-sizes[0] // SOUGHT_SIDE), min(16, -(-sizes[0] // 1024)), 1)
+    blocks = max(-(-sizes[1] // MEMBERS_SIDE), 1)
+
+    def meet(own, other):
+        hits = _near_any(own.column("phash").to_numpy().view(np.uint64), other.column("phash").to_numpy().view(np.uint64), threshold)
+        center = np.full(len(hits), other.column("center")[0].as_py() if len(other) else 0, np.int64)
+        return pa.table({"kind": own.column("kind"), "phash": own.column("phash"), "center": pa.array(center, mask=~hits)})
+
+    place = lambda n: F.pmod(F.xxhash64("phash"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(2000, 4 * chunks * blocks)  # few bytes are much work, so the number of tasks is not left to their size
+    own = rest.select("kind", "phash", place(chunks).alias("i"), every(blocks).alias("j")).repartition(tasks, "kind", "i", "j")
+    other = members.select("kind", "phash", "center", every(chunks).alias("i"), place(blocks).alias("j")).repartition(tasks, "kind", "i", "j")
+    found = own.groupBy("kind", "i", "j").cogroup(other.groupBy("kind", "i", "j")).applyInArrow(meet, "kind string, phash long, center long")
+    return found.groupBy("kind", "phash").agg(F.max("center").alias("center"))
+
+
+def grown(hashes: DataFrame, threshold: int) -> tuple[list[DataFrame], DataFrame]:
+    """(components, rest) of the distinct hashes(kind, phash): whole components, as tables (kind, phash, center) whose
+    members of a kind and center are connected, and the hashes in none of them.
+
+    Pairs within a component are not needed once its hashes are known to be in it. So of each kind the largest component of
+    a sample is taken, and all other hashes look for a neighbour in it, those that found one become members that the others
+    have still to look at, until no member is left to look at. A hash stops at its first neighbour, and members are looked
+    at in steps that grow eightfold, so only hashes with few neighbours or none meet all members. No pair between a component and
+    the rest is left out. What is left is taken again, as long as a sample shows a component of a good share of it.
+    """
+    out, aside, rest, turn = [], [], hashes.select("kind", "phash"), 0
+    # a row for each kind
+    sizes = lambda df, found=F.lit(False): {(x["kind"], x["found"]): x["count"] for x in df.groupBy("kind", found.alias("found")).count().collect()}
+
+    def start(key, table):
+        phash = np.sort(table.column("phash").to_numpy()).view(np.uint64)
+        _, root = _connected(phash, phash, threshold)
+        first, own = np.bincount(root).argmax(), phash.view(np.int64)
+        own = own[root == first] if np.count_nonzero(root == first) * SHARE >= len(own) else own[:0]
+        return pa.table({"kind": pa.array([key[0].as_py()] * len(own), pa.string()), "phash": own, "center": own[:1].repeat(len(own))})
+
+    while left := {kind: n for (kind, _), n in sizes(rest).items() if n > LINKS_SIDE}:
+        parts = F.create_map(*[F.lit(x) for kind, n in left.items() for x in (kind, -(-n // CORE))])
+        sample = rest.where(F.pmod(F.xxhash64(F.lit(turn), "phash"), parts[F.col("kind")]) == 0)
+        core = materialise(sample.groupBy("kind").applyInArrow(start, "kind string, phash long, center long"), "members")
+        n = {kind: m for (kind, _), m in sizes(core).items()}
+        aside.append(rest.where(~F.col("kind").isin(*n)))
+        if not n:
+            return out, reduce(DataFrame.union, aside)
+        rest = materialise(rest.where(F.col("kind").isin(*n)).join(core.hint("merge"), ["kind", "phash"], "left_anti"), "rest")
+        out.append(core)
+        waiting, most, turn = [(core, n)], CORE, turn + 1
+        while waiting and left:
+            df, n = waiting.pop(0)
+            if (cut := -(-max(n.values()) // most)) > 1:
+                part = F.pmod(F.xxhash64(F.lit(-turn), "phash"), F.lit(cut))
+                waiting.insert(0, (df.where(part > 0), {kind: m - m // cut for kind, m in n.items()}))
+                df, n = df.where(part == 0), {kind: m // cut for kind, m in n.items()}
+            found = materialise(reached(rest, df, threshold, (max(left.values()), max(n.values()))), "reached")
+            rest, new = found.where("center IS NULL").select("kind", "phash"), found.where("center IS NOT NULL")
+            own = sizes(found, F.col("center").isNotNull())
+            left = {kind: m for (kind, hit), m in own.items() if not hit}
+            if n := {kind: m for (kind, hit), m in own.items() if hit}:
+                out.append(new)
+                waiting.append((new, n))
+            most, turn = 8 * most, turn + 1
+    return out, reduce(DataFrame.union, aside, rest)
+
+
 def distinct_hashes(df: DataFrame) -> DataFrame:
     """One row for each kind of media (photos and videos are one) and hash; null and zero are "none"."""
     kind = F.when(F.col("media_kind") == "audio", "audio").otherwise("photo")
@@ -167,6 +263,20 @@ def near_links(hashes: DataFrame, threshold: int) -> DataFrame:
     return near_hashes(hashes, threshold) if threshold <= 8 else compared(hashes, threshold, links=True)
 
 
+def near_labels(hashes: DataFrame, threshold: int) -> DataFrame:
+    """(node, root): the smallest unsigned hash, with its kind, that links within threshold reach from each hash; hashes
+    without links may be missing. Beyond eight bits only hashes outside of the large components are compared with all."""
+    key = lambda x: F.concat(F.col("kind"), F.lit(":"), F.lower(F.lpad(F.hex(x), 16, "0")))
+    whole, rest = grown(hashes, threshold) if threshold > 8 else ([], hashes)
+    labels = components(near_links(rest, threshold).select(key("a").alias("a"), key("b").alias("b")))
+    if whole:
+        own = reduce(DataFrame.union, whole).select("kind", "center", key("phash").alias("node"))
+        # a row for each of the large components
+        roots = F.broadcast(own.groupBy("kind", "center").agg(F.min("node").alias("root")))
+        labels = labels.union(own.join(roots, ["kind", "center"]).select("node", "root"))
+    return labels
+
+
 def near_pairs(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
     return near_hashes(materialise(distinct_hashes(df), "hashes"), threshold)
 
@@ -175,7 +285,7 @@ def near_groups(df: DataFrame, threshold: int = DUPLICATE) -> DataFrame:
     """(path, phash, untagged, group): each row with the smallest unsigned hash that links of its kind reach."""
     hashes = materialise(distinct_hashes(df), "hashes")
     key = lambda x: F.concat(F.col("kind"), F.lit(":"), F.lower(F.lpad(F.hex(x), 16, "0")))
-    labels = components(near_links(hashes, threshold).select(key("a").alias("a"), key("b").alias("b")))
+    labels = near_labels(hashes, threshold)
     kind = F.when(F.col("media_kind") == "audio", "audio").otherwise("photo").alias("kind")
     own = df.where("phash IS NOT NULL AND phash <> 0").select("path", "phash", kind, (F.size("tags") == 0).alias("untagged"), "size_bytes").withColumn("node", key("phash"))
     return own.join(labels.hint("merge"), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root", "node", "kind")

@@ -36,3 +36,37 @@ def test_links_of_blocks_connect_what_pairs_connect(hashes, monkeypatch):
     assert found == want and pairs.count() == len(want)
     groups = [{tuple(x) for x in components(df.where("kind = 'audio'").select("a", "b")).collect()} for df in (pairs, clusters.near_links(hashes, 12))]
     assert groups[0] == groups[1] and groups[0]
+
+
+def test_large_components_are_not_compared_with_themselves(spark, monkeypatch):
+    for name, n in (("CORE", 60), ("LINKS_SIDE", 100), ("SOUGHT_SIDE", 40), ("MEMBERS_SIDE", 30)):
+        monkeypatch.setattr(clusters, name, n)
+    r = random.Random(6)
+    near = lambda v, n: v ^ sum(1 << b for b in r.sample(range(64), n))
+    values = []
+    for size in (250, 150):  # two large components about hashes near each other, then small ones
+        own = [r.getrandbits(64)]
+        while len(own) < size:
+            own.append(near(r.choice(own[:8]), r.randrange(1, 8)))
+        values += own
+    for _ in range(40):
+        v = r.getrandbits(64)
+        values += [v, near(v, 12), near(v, 13)]
+    signed = sorted({struct.unpack("<q", struct.pack("<Q", v))[0] for v in values})
+    rows = [("photo", v) for v in signed] + [("audio", v) for v in signed[::3]]
+    df = materialise(spark.createDataFrame(rows, "kind string, phash long"), "hashes")
+    met, compared = [], clusters.compared
+    monkeypatch.setattr(clusters, "compared", lambda hashes, *x, **y: met.append(hashes.count()) or compared(hashes, *x, **y))
+    got = {x.node: x.root for x in clusters.near_labels(df, 12).collect()}
+    want = {}
+    for kind in ("photo", "audio"):
+        left = {v & (2**64 - 1) for k, v in rows if k == kind}
+        while left:
+            group, todo = set(), {min(left)}
+            while todo:
+                left -= todo
+                group |= todo
+                todo = {x for x in left if any((x ^ y).bit_count() <= 12 for y in todo)}
+            want |= {f"{kind}:{v:016x}": f"{kind}:{min(group):016x}" for v in group}
+    assert {v: got.get(v, v) for v in want} == want and set(got) <= set(want)
+    assert met and sum(met) < len(rows) / 2
