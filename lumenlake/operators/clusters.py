@@ -50,26 +50,34 @@ def keeper_and_extras(members: DataFrame) -> DataFrame:
     return members.select("id", "path", F.when(F.col("keep"), "keep").otherwise("extra").alias("role"))
 
 
-def slices_of(phash: Column, n: int) -> list[Column]:
-    """The 64 bits cut into n slices of about one width."""
+def slices_of(n: int) -> list[int]:
+    """The 64 bits cut into n slices of about one width, each as a mask, the lowest first."""
     at, out = 0, []
     for k in range(n):
         width = 64 // n + (k < 64 % n)
-        out.append((F.shiftrightunsigned(phash, at).bitwiseAND((1 << width) - 1), width))
+        out.append(((1 << width) - 1) << at)
         at += width
     return out
 
 
-def shared_keys(phash: Column, threshold: int, equal: int = 3) -> Column:
-    """Keys of which two hashes within threshold share at least one: of threshold + equal slices at most threshold
-    differ, so some ``equal`` of them agree. Three slices together have 24 bits or so, which keeps buckets small."""
-    own, keys = slices_of(phash, threshold + equal), []
-    for number, some in enumerate(combinations(own, equal)):
-        value = F.lit(number).cast("long")
-        for part, width in some:
-            value = F.shiftleft(value, width).bitwiseOR(part)
-        keys.append(value)
-    return F.array(*keys)
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shared_keys(threshold: int, equal: int = 3) -> Column:
+    """Masks, an array of (number, mask, last), of which two hashes within threshold agree under at least one: of threshold
+    + equal slices at most threshold differ, so some ``equal`` of them agree. Three slices together have 24 bits or so,
+    which keeps buckets small. last is the highest slice of a mask. The array is constant, so each row is little code."""
+    own = slices_of(threshold + equal)
+    keys = [(number, signed(sum(own[i] for i in some)), some[-1]) for number, some in enumerate(combinations(range(len(own)), equal))]
+    return F.array(*[F.struct(F.lit(number).alias("number"), F.lit(mask).cast("long").alias("mask"), F.lit(last).alias("last")) for number, mask, last in keys])
+
+
+def first_shared(a: Column, b: Column, last: Column, threshold: int, equal: int = 3) -> Column:
+    """Whether a mask under which both hashes agree, with this last slice, is the first such of shared_keys: up to its last
+    slice no other agrees."""
+    agree = [(a.bitwiseXOR(b).bitwiseAND(F.lit(signed(mask)).cast("long")) == 0) & (last >= i) for i, mask in enumerate(slices_of(threshold + equal))]
+    return reduce(lambda x, y: x + y, [x.cast("int") for x in agree]) == equal
 
 
 #: Hashes that meet in one task of a comparison of all: when pairs are wanted, and when only what they connect is.
@@ -247,14 +255,16 @@ def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
     """(kind, a, b, dist), a < b, all pairs of distinct hashes within threshold, losing none.
 
     Up to eight: hashes that agree in some three of threshold + 3 slices meet. The join shuffles both sides, since
-    exploded keys are many times the size that the planner expects of them. Beyond, slices are too few bits, and all
-    hashes are compared.
+    exploded keys are many times the size that the planner expects of them. A pair that shares many keys is kept at the
+    first of them, so none is there twice. Beyond, slices are too few bits, and all hashes are compared.
     """
     if threshold > 8:
         return compared(hashes, threshold).withColumn("dist", hamming64(F.col("a"), F.col("b")))
-    left = right = hashes.select("kind", "phash", F.explode(shared_keys(F.col("phash"), threshold)).alias("key"))
-    pairs = left.withColumnRenamed("phash", "a").join(right.withColumnRenamed("phash", "b").hint("merge"), ["kind", "key"]).where("a < b")
-    return pairs.withColumn("dist", hamming64(F.col("a"), F.col("b"))).where(F.col("dist") <= threshold).select("kind", "a", "b", "dist").distinct()
+    keyed = lambda name: hashes.select("kind", F.col("phash").alias(name), F.inline(shared_keys(threshold))).withColumn("key", F.col(name).bitwiseAND(F.col("mask")))
+    left, right = keyed("a").drop("mask"), keyed("b").select("kind", "b", "number", "key")
+    pairs = left.join(right.hint("merge"), ["key", "number", "kind"]).where("a < b")
+    pairs = pairs.withColumn("dist", hamming64(F.col("a"), F.col("b"))).where(F.col("dist") <= threshold)
+    return pairs.where(first_shared(F.col("a"), F.col("b"), F.col("last"), threshold)).select("kind", "a", "b", "dist")
 
 
 def near_links(hashes: DataFrame, threshold: int) -> DataFrame:

@@ -70,3 +70,13 @@ def test_large_components_are_not_compared_with_themselves(spark, monkeypatch):
             want |= {f"{kind}:{v:016x}": f"{kind}:{min(group):016x}" for v in group}
     assert {v: got.get(v, v) for v in want} == want and set(got) <= set(want)
     assert met and sum(met) < len(rows) / 2
+
+
+@pytest.mark.parametrize("t", [5, 8])
+def test_pairs_that_share_many_keys_are_made_once(hashes, t):
+    pairs = clusters.near_hashes(hashes, t)
+    values = [x.phash for x in hashes.where("kind = 'audio'").collect()]
+    apart = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = sorted((k, a, b, apart(a, b)) for k in ("audio", "photo") for a in values for b in values if a < b and apart(a, b) <= t)
+    assert sorted(tuple(x) for x in pairs.collect()) == want and want
+    assert "Aggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
